@@ -6,6 +6,7 @@ import importlib
 
 QUERY_MODULES = (
     "q_profile",
+    "q_infotheo",
 )
 
 
