@@ -7,6 +7,7 @@ import importlib
 QUERY_MODULES = (
     "q_profile",
     "q_infotheo",
+    "q_phases",
 )
 
 
