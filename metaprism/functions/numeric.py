@@ -26,9 +26,11 @@ def sig(c, digits: int = SIG_DIGITS) -> Column:
 
     The scale is an integer power of ten applied by multiplication for
     non-negative exponents and by division otherwise, so both engines use the
-    same exactly representable constant.
+    same exactly representable constant.  The value is first nudged away from
+    zero by a relative 1e-11 so that exact decimal ties (averages of short
+    decimals) round the same way despite last-bit noise between engines.
     """
-    c = col(c).cast("double")
+    c = col(c).cast("double") * F.lit(1.0 + 1e-11)
     k = (F.lit(digits - 1) - F.floor(F.log10(F.abs(c)))).cast("int")
     pos = F.round(c * F.pow(F.lit(10.0), k)) / F.pow(F.lit(10.0), k)
     neg = F.round(c / F.pow(F.lit(10.0), -k)) * F.pow(F.lit(10.0), -k)
@@ -44,7 +46,7 @@ def sig(c, digits: int = SIG_DIGITS) -> Column:
 
 def sql_sig(e: str, digits: int = SIG_DIGITS) -> str:
     """DuckDB twin of :func:`sig`."""
-    x = f"CAST(({e}) AS DOUBLE)"
+    x = f"(CAST(({e}) AS DOUBLE) * {1.0 + 1e-11!r})"
     k = f"CAST({digits - 1} - floor(log10(abs({x}))) AS INTEGER)"
     return (
         f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} = 0 THEN 0.0 "

@@ -8,6 +8,7 @@ QUERY_MODULES = (
     "q_profile",
     "q_infotheo",
     "q_phases",
+    "q_summary",
 )
 
 

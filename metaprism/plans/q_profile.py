@@ -40,6 +40,10 @@ COL_SQL = {
 
 
 def col_features_sql(features, by_class=False) -> str:
+    return with_(LI_CTE) + sql_long(col_features_union(features, by_class))
+
+
+def col_features_union(features, by_class=False) -> str:
     parts = []
     for f in features:
         for i, c in enumerate(NUM):
@@ -48,7 +52,7 @@ def col_features_sql(features, by_class=False) -> str:
                 parts.append(row(f, expr, attr=c, cls="y", idx=i, src=f"{src} GROUP BY y"))
             else:
                 parts.append(row(f, expr, attr=c, idx=i, src=src))
-    return with_(LI_CTE) + sql_long(union(parts))
+    return union(parts)
 
 
 def _li(spark, sf_dir):
