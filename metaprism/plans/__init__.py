@@ -9,6 +9,7 @@ QUERY_MODULES = (
     "q_infotheo",
     "q_phases",
     "q_summary",
+    "q_cluster",
 )
 
 
