@@ -16,16 +16,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-V = F.col("value")
+
+
+def _v() -> Column:
+    return F.col("value")
 
 
 def _has_nan() -> Column:
-    return F.max(F.isnan(V).cast("int")) == 1
+    return F.max(F.isnan(_v()).cast("int")) == 1
 
 
 def _ok() -> Column:
     """value without NaN (null otherwise) for the nan* forms."""
-    return F.when(~F.isnan(V), V)
+    return F.when(~F.isnan(_v()), _v())
 
 
 def _nan_if_null(c: Column) -> Column:
@@ -110,36 +113,36 @@ def _pnorm(x: Column, p: float, prop: bool) -> Column:
 
 # name -> builder(**kwargs) -> list of aggregate Columns (len 1 = scalar)
 SUMMARIES: dict[str, Callable[..., list[Column]]] = {
-    "mean": lambda: [_nan_if_null(F.avg(V))],
+    "mean": lambda: [_nan_if_null(F.avg(_v()))],
     "nanmean": lambda: [_nan_if_null(F.avg(_ok()))],
-    "sd": lambda ddof=1: [_prop(_sd(V, ddof))],
+    "sd": lambda ddof=1: [_prop(_sd(_v(), ddof))],
     "nansd": lambda ddof=1: [_sd(_ok(), ddof)],
-    "var": lambda ddof=1: [_prop(_nan_if_null(F.var_samp(V) if ddof == 1 else F.var_pop(V)))],
+    "var": lambda ddof=1: [_prop(_nan_if_null(F.var_samp(_v()) if ddof == 1 else F.var_pop(_v())))],
     "nanvar": lambda ddof=1: [_nan_if_null(F.var_samp(_ok()) if ddof == 1 else F.var_pop(_ok()))],
     "count": lambda: [F.count(F.lit(1)).cast("double")],
     "nancount": lambda: [F.count(_ok()).cast("double")],
-    "histogram": lambda bins=10: _hist(V, bins, True),
+    "histogram": lambda bins=10: _hist(_v(), bins, True),
     "nanhistogram": lambda bins=10: _hist(_ok(), bins, False),
-    "iq_range": lambda: [_prop(F.percentile(V, 0.75) - F.percentile(V, 0.25))],
+    "iq_range": lambda: [_prop(F.percentile(_v(), 0.75) - F.percentile(_v(), 0.25))],
     "naniq_range": lambda: [_nan_if_null(F.percentile(_ok(), 0.75) - F.percentile(_ok(), 0.25))],
-    "kurtosis": lambda method=3: [_prop(_kurt(V, method))],
+    "kurtosis": lambda method=3: [_prop(_kurt(_v(), method))],
     "nankurtosis": lambda method=3: [_kurt(_ok(), method)],
-    "max": lambda: [_prop(F.max(V))],
+    "max": lambda: [_prop(F.max(_v()))],
     "nanmax": lambda: [_nan_if_null(F.max(_ok()))],
-    "median": lambda: [_prop(F.median(V))],
+    "median": lambda: [_prop(F.median(_v()))],
     "nanmedian": lambda: [_nan_if_null(F.median(_ok()))],
-    "min": lambda: [_prop(F.min(V))],
+    "min": lambda: [_prop(F.min(_v()))],
     "nanmin": lambda: [_nan_if_null(F.min(_ok()))],
-    "quantiles": lambda: _quantiles(V, True),
+    "quantiles": lambda: _quantiles(_v(), True),
     "nanquantiles": lambda: _quantiles(_ok(), False),
-    "range": lambda: [_prop(F.max(V) - F.min(V))],
+    "range": lambda: [_prop(F.max(_v()) - F.min(_v()))],
     "nanrange": lambda: [_nan_if_null(F.max(_ok()) - F.min(_ok()))],
-    "skewness": lambda method=3: [_prop(_skew(V, method))],
+    "skewness": lambda method=3: [_prop(_skew(_v(), method))],
     "nanskewness": lambda method=3: [_skew(_ok(), method)],
-    "sum": lambda: [_prop(_sum(V))],
+    "sum": lambda: [_prop(_sum(_v()))],
     "nansum": lambda: [_nan_if_null(F.when(F.count(_ok()) == 0, F.lit(NAN)).otherwise(F.sum(_ok())))],
-    "powersum": lambda p=2: [_powersum(V, p, True)],
-    "pnorm": lambda p=2: [_pnorm(V, p, True)],
+    "powersum": lambda p=2: [_powersum(_v(), p, True)],
+    "pnorm": lambda p=2: [_pnorm(_v(), p, True)],
     "nanpowersum": lambda p=2: [_powersum(_ok(), p, False)],
     "nanpnorm": lambda p=2: [_pnorm(_ok(), p, False)],
 }

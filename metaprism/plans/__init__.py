@@ -10,6 +10,7 @@ QUERY_MODULES = (
     "q_phases",
     "q_summary",
     "q_cluster",
+    "q_pairs",
 )
 
 
