@@ -45,10 +45,12 @@ def scaled_matrix(fr: Frame, scale: str | None) -> DataFrame:
 
 def _dist(A: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
+        if A.shape[0] * B.shape[0] * A.shape[1] <= 4_000_000:
+            # direct differences: no cancellation for tiny distances
+            diff = A[:, None, :] - B[None, :, :]
+            return np.sqrt((diff * diff).sum(-1))
         d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T
-        # exact recomputation avoids cancellation for tiny distances
-        diff = A[:, None, :] - B[None, :, :]
-        return np.sqrt((diff * diff).sum(-1)) if A.shape[0] * B.shape[0] * A.shape[1] <= 4_000_000 else np.sqrt(np.maximum(d2, 0))
+        return np.sqrt(np.maximum(d2, 0))
     if metric == "gower":  # mean absolute difference of min-max scaled columns
         return np.abs(A[:, None, :] - B[None, :, :]).mean(-1)
     if metric == "manhattan":
@@ -136,7 +138,7 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
             out["topk"] = lists
         return pd.DataFrame(out)
 
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         ta, tb = int(key[0]), int(key[1])
         X = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
         ids = pdf["row_id"].to_numpy()

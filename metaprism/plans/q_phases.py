@@ -138,7 +138,11 @@ def part_frame(spark, sf_dir) -> Frame:
 
 PT_CTE = ("pt AS (SELECT p_partkey, p_name, p_brand, p_type, 'k' || CAST(p_partkey % 400 AS VARCHAR) AS p_mid, "
           "CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part)")
-PT_LOW = ["p_name", "p_brand", "p_type"]  # distinct / rows <= 0.05
+PT_TEXT = ["p_name", "p_brand", "p_type", "p_mid"]
+
+
+def _ratio(c):
+    return f"(SELECT count(DISTINCT {c}) * 1.0 / count(*) FROM pt)"
 
 
 def _rank_sql(c):
@@ -146,44 +150,68 @@ def _rank_sql(c):
             f"(SELECT DISTINCT {c} AS v FROM pt WHERE {c} IS NOT NULL) AS d) AS rk WHERE rk.v = pt.{c})")
 
 
-@query("encode_low_card_label",
-       f"WITH {PT_CTE} SELECT p_partkey, " + ", ".join(f"{_rank_sql(c)} AS {c}" for c in PT_LOW) + " FROM pt",
-       group="phases")
+def _text_long(df, cols):
+    """(p_partkey, column_name, value string) for the given columns."""
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
+    return df.select("p_partkey", F.inline(F.array(*items)))
+
+
+_LOW_LABEL_SQL = f"WITH {PT_CTE} " + " UNION ALL ".join(
+    f"SELECT p_partkey, '{c}' AS column_name, CASE WHEN {_ratio(c)} <= 0.05 THEN CAST({_rank_sql(c)} AS VARCHAR) "
+    f"ELSE {c} END AS value FROM pt" for c in PT_TEXT)
+
+
+@query("encode_low_card_label", _LOW_LABEL_SQL, group="phases")
 def q_low_card_label(spark, sf_dir):
     fr = part_frame(spark, sf_dir)
     out = P.fit_low_card(fr, "label_encoding").transform(fr)
-    return out.df.select("p_partkey", *PT_LOW)
+    return _text_long(out.df, PT_TEXT)
 
 
 @query("encode_low_card_onehot",
        f"WITH {PT_CTE} " + " UNION ALL ".join(
            f"SELECT p_partkey, '{c}_' || l.v AS column_name, CAST(coalesce(pt.{c} = l.v, false) AS INTEGER) AS value "
-           f"FROM pt CROSS JOIN (SELECT DISTINCT {c} AS v FROM pt WHERE {c} IS NOT NULL) AS l" for c in PT_LOW),
+           f"FROM pt CROSS JOIN (SELECT DISTINCT {c} AS v FROM pt WHERE {c} IS NOT NULL) AS l "
+           f"WHERE {_ratio(c)} <= 0.05" for c in PT_TEXT),
        group="phases")
 def q_low_card_onehot(spark, sf_dir):
     fr = part_frame(spark, sf_dir)
     out = P.fit_low_card(fr, "one_hot_encoding").transform(fr)
-    new = [c for c in out.df.columns if any(c.startswith(p + "_") for p in PT_LOW)]
+    new = [c for c in out.df.columns if c not in fr.df.columns]
+    if not new:
+        return spark.createDataFrame([], "p_partkey bigint, column_name string, value int")
     items = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("int").alias("value")) for c in new]
     return out.df.select("p_partkey", F.inline(F.array(*items)))
 
 
-@query("encode_mid_card_freq",
-       f"WITH {PT_CTE}, f AS (SELECT p_mid AS v, count(*) * 1.0 / sum(count(*)) OVER () AS freq FROM pt "
-       "WHERE p_mid IS NOT NULL GROUP BY 1) "
-       f"SELECT p_partkey, {sql_sig('coalesce(f.freq, (SELECT min(freq) FROM f))')} AS p_mid FROM pt LEFT JOIN f ON f.v = pt.p_mid",
-       group="phases")
+_MID_SQL = f"WITH {PT_CTE} " + " UNION ALL ".join(
+    f"SELECT p_partkey, '{c}' AS column_name, {sql_sig('coalesce(f.freq, (SELECT min(freq) FROM f' + c + '))')} AS value "
+    f"FROM pt LEFT JOIN (SELECT {c} AS v, count(*) * 1.0 / sum(count(*)) OVER () AS freq FROM pt WHERE {c} IS NOT NULL "
+    f"GROUP BY 1) AS f ON f.v = pt.{c} WHERE {_ratio(c)} > 0.05 AND {_ratio(c)} < 0.90" for c in PT_TEXT)
+_MID_SQL = _MID_SQL.replace(f"WITH {PT_CTE} ", f"WITH {PT_CTE}, " + ", ".join(
+    f"f{c} AS (SELECT count(*) * 1.0 / sum(count(*)) OVER () AS freq FROM pt WHERE {c} IS NOT NULL GROUP BY {c})"
+    for c in PT_TEXT) + " ", 1)
+
+
+@query("encode_mid_card_freq", _MID_SQL, group="phases")
 def q_mid_card_freq(spark, sf_dir):
     fr = part_frame(spark, sf_dir)
-    out = P.fit_mid_card(fr, "frequency_encoding").transform(fr)
-    return out.df.select("p_partkey", sig(F.col("p_mid")).alias("p_mid"))
+    f = P.fit_mid_card(fr, "frequency_encoding")
+    out = f.transform(fr)
+    cols = list(f.params)
+    if not cols:
+        return spark.createDataFrame([], "p_partkey bigint, column_name string, value double")
+    items = [F.struct(F.lit(c).alias("column_name"), sig(F.col(c)).alias("value")) for c in cols]
+    return out.df.select("p_partkey", F.inline(F.array(*items)))
 
 
-@query("drop_mid_card", f"WITH {PT_CTE} SELECT p_partkey, p_name, p_brand, p_type FROM pt", group="phases")
+@query("drop_mid_card", f"WITH {PT_CTE} " + " UNION ALL ".join(
+    f"SELECT p_partkey, '{c}' AS column_name, {c} AS value FROM pt WHERE {_ratio(c)} <= 0.05 OR {_ratio(c)} >= 0.90"
+    for c in PT_TEXT), group="phases")
 def q_drop_mid_card(spark, sf_dir):
     fr = part_frame(spark, sf_dir)
     out = P.fit_mid_card(fr, "eliminar_variable").transform(fr)
-    return out.df.select("p_partkey", *out.cat)
+    return _text_long(out.df, list(out.cat))
 
 
 @query("drop_high_card", "SELECT c_custkey, c_mktsegment FROM customer", group="phases")
