@@ -32,3 +32,24 @@ def level_codes(df: DataFrame, col: str, levels: DataFrame) -> DataFrame:
     lv = levels.select(F.col("value").alias(f"_lv_{col}"), F.col("code").alias(f"_lc_{col}"))
     out = df.join(lv, df[col] == lv[f"_lv_{col}"], "left")
     return out.withColumn(col, F.col(f"_lc_{col}")).drop(f"_lv_{col}", f"_lc_{col}").select(*df.columns)
+
+
+def rank_within(df: DataFrame, by: list[str], order: list[str], out: str = "rank",
+                partitions: int | None = None) -> DataFrame:
+    """0-based rank of each row inside its ``by`` group, ordered by ``order``.
+
+    Skew-proof: the data is range-partitioned on (by, order), so a group that
+    holds a third of all rows is spread over many tasks; each task ranks its
+    slice, and a per-(partition, group) count table - partitions x groups rows
+    - supplies the offsets.  No window ever sees a whole large group.
+    """
+    spark = df.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.repartitionByRange(parts, *by, *order).withColumn("_pid", F.spark_partition_id())
+    local = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order)) - 1)
+    counts = keyed.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")  # one row per (partition, group)
+    offs = counts.select("_pid", *by, (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
+    return (local.join(offs, ["_pid", *by])
+            .withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
+            .drop("_pid", "_r", "_off"))

@@ -82,11 +82,16 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
     topk = opts.get("topk") or 0
     concept = opts.get("concept")
 
-    def side_stats(ids, ys, yc, D, other_ids, other_ys, other_yc, self_mask, thr):
-        """Statistics for the rows of D (axis 0) over the columns of D."""
+    def side_stats(ids, ys, yc, D, other_ids, other_ys, other_yc, self_mask, thr, grp=None, other_grp=None):
+        """Statistics for the rows of D (axis 0) over the columns of D.
+
+        With groups (e.g. CV folds), row i only sees rows of OTHER groups, so
+        one kernel pass serves every fold's train/test split at once."""
         n = D.shape[0]
         out = {"row_id": ids, "y": ys}
         valid = ~self_mask
+        if grp is not None:
+            valid = valid & (grp[:, None] != other_grp[None, :])
         for c in range(k):
             m = (other_yc == c)[None, :] & valid
             Dm = np.where(m, D, np.nan)
@@ -146,15 +151,16 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
         yc = np.array([cidx.get(v, -1) for v in ys])
         blk = pdf["_blk"].to_numpy()
         thr = pdf["thresh"].to_numpy(dtype=float) if opts.get("thresh") else None
+        g = pdf["grp"].to_numpy() if opts.get("grp") else None
         if ta == tb:
             D = _dist(X, X, metric)
-            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr)
+            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr, g, g)
         a, b = blk == ta, blk == tb
         D = _dist(X[a], X[b], metric)
         sa = side_stats(ids[a], ys[a], yc[a], D, ids[b], ys[b], yc[b], np.zeros(D.shape, bool),
-                        None if thr is None else thr[a])
+                        None if thr is None else thr[a], None if g is None else g[a], None if g is None else g[b])
         sb = side_stats(ids[b], ys[b], yc[b], D.T, ids[a], ys[a], yc[a], np.zeros(D.T.shape, bool),
-                        None if thr is None else thr[b])
+                        None if thr is None else thr[b], None if g is None else g[b], None if g is None else g[a])
         return pd.concat([sa, sb], ignore_index=True)
     return fn
 
@@ -171,7 +177,7 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
         raise ValueError(f"{len(classes)} classes exceed {MAX_CLASSES} for class-wise pair statistics")
     n = n if n is not None else mat.count()
     B = max(1, math.ceil(n / block_rows))
-    opts = {"thresh": thresh is not None, "concept": concept, "topk": topk}
+    opts = {"thresh": thresh is not None, "concept": concept, "topk": topk, "grp": "grp" in mat.columns}
     m = mat
     if thresh is not None:
         m = m.join(thresh, "row_id")

@@ -11,6 +11,7 @@ QUERY_MODULES = (
     "q_summary",
     "q_cluster",
     "q_pairs",
+    "q_eval",
 )
 
 
