@@ -12,6 +12,7 @@ QUERY_MODULES = (
     "q_cluster",
     "q_pairs",
     "q_eval",
+    "q_shape",
 )
 
 

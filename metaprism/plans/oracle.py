@@ -17,21 +17,23 @@ def duck(sf_dir: str):
     return con
 
 
+def _norm(v):
+    if hasattr(v, "tolist") and not isinstance(v, (str, bytes)) and getattr(v, "ndim", 0) > 0:
+        v = v.tolist()
+    if isinstance(v, (list, tuple)):
+        return tuple(_norm(x) for x in v)
+    if isinstance(v, float) and math.isnan(v):
+        return "nan"
+    if v is None or pd.isna(v):
+        return None
+    if hasattr(v, "item"):
+        return v.item()
+    return v
+
+
 def norm_rows(pdf: pd.DataFrame):
     cols = sorted(pdf.columns)
-    out = []
-    for rec in pdf[cols].itertuples(index=False):
-        r = []
-        for v in rec:
-            if isinstance(v, float) and math.isnan(v):
-                r.append("nan")
-            elif v is None or (not isinstance(v, (list, tuple)) and pd.isna(v)):
-                r.append(None)
-            elif hasattr(v, "item"):
-                r.append(v.item())
-            else:
-                r.append(v)
-        out.append(tuple(r))
+    out = [tuple(_norm(v) for v in rec) for rec in pdf[cols].itertuples(index=False)]
     return cols, sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
