@@ -44,3 +44,86 @@ def ft_one_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, cols=N
         mat.select("row_id", F.col("grp").alias("fold")), "row_id")
     sc = _score(pred, score)
     return sc.select(entry(feature, F.col("value"), idx=F.col("fold")).alias("e")).select("e.*")
+
+
+# ----------------------------------------------------- model landmarks
+def _fold_scores(fr: Frame, feature: str, fit_predict, score: str, num_cv_folds: int) -> DataFrame:
+    """Fit on each fold's train part, predict its test part; one score per
+    fold.  ``fit_predict(train: Frame, fold: int) -> predict(df) -> df+pred``."""
+    folded = cv_folds(fr, num_cv_folds).withColumn("y", fr.y()).cache()
+    preds = []
+    for f in range(num_cv_folds):
+        train = Frame(df=folded.where(F.col("fold") != f), num=fr.num, cat=(), label="y", row_id=fr.row_id)
+        predict = fit_predict(train, f)
+        preds.append(predict(folded.where(F.col("fold") == f)).select("fold", "y", "pred"))
+    from ..frame import union_all
+    sc = _score(union_all(preds), score)
+    return sc.select(entry(feature, F.col("value"), idx=F.col("fold")).alias("e")).select("e.*")
+
+
+def _tree_importances(train: Frame, seed: int):
+    from .models import fit_classifier
+    m = fit_classifier("decision_tree", train, seed=seed)
+    return m.model.featureImportances.toArray()
+
+
+def _stump(cols):
+    def fit_predict(train: Frame, f: int):
+        from .models import fit_classifier
+        sub = Frame(df=train.df, num=tuple(cols(train, f)), cat=(), label=train.label, row_id=train.row_id)
+        return fit_classifier("decision_tree", sub, maxDepth=1).predict
+    return fit_predict
+
+
+def ft_best_node(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10) -> DataFrame:
+    return _fold_scores(fr, "best_node", _stump(lambda t, f: t.num), score, num_cv_folds)
+
+
+def ft_random_node(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, random_state: int = 0) -> DataFrame:
+    import random
+    col = random.Random(random_state).choice(list(fr.num))
+    return _fold_scores(fr, "random_node", _stump(lambda t, f: [col]), score, num_cv_folds)
+
+
+def ft_worst_node(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, seed: int = 0) -> DataFrame:
+    def worst(t: Frame, f: int):
+        imp = _tree_importances(t, seed)
+        return [t.num[int(imp.argmin())]]
+    return _fold_scores(fr, "worst_node", _stump(worst), score, num_cv_folds)
+
+
+def ft_linear_discr(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10) -> DataFrame:
+    from .models import fit_classifier
+    return _fold_scores(fr, "linear_discr",
+                        lambda t, f: fit_classifier("linear_discriminant_analysis", t).predict, score, num_cv_folds)
+
+
+def ft_naive_bayes(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10) -> DataFrame:
+    from .models import fit_classifier
+    return _fold_scores(fr, "naive_bayes", lambda t, f: fit_classifier("gaussian_nb", t).predict, score, num_cv_folds)
+
+
+def ft_elite_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, seed: int = 0,
+                block_rows: int = 2048) -> DataFrame:
+    """1-NN on the most important column of each fold's tree."""
+    from .pairs import pair_stats as _ps
+    folded = cv_folds(fr, num_cv_folds).withColumn("y", fr.y()).cache()
+    preds = []
+    classes = sorted_classes(fr)
+    for f in range(num_cv_folds):
+        train = Frame(df=folded.where(F.col("fold") != f), num=fr.num, cat=(), label="y", row_id=fr.row_id)
+        col = fr.num[int(_tree_importances(train, seed).argmax())]
+        mat = folded.select(F.col(fr.row_id).cast("long").alias("row_id"), F.col("y"),
+                            F.array(F.col(col).cast("double")).alias("x"),
+                            (F.col("fold") == f).cast("int").alias("grp"))
+        st = _ps(mat, classes, "euclidean", block_rows)
+        p = st.join(mat.select("row_id", "grp"), "row_id").where(F.col("grp") == 1)
+        preds.append(p.select(F.lit(f).alias("fold"), "y", F.col("nn_y").alias("pred")))
+    from ..frame import union_all
+    sc = _score(union_all(preds), score)
+    return sc.select(entry("elite_nn", F.col("value"), idx=F.col("fold")).alias("e")).select("e.*")
+
+
+FEATURES = {"best_node": ft_best_node, "elite_nn": ft_elite_nn, "linear_discr": ft_linear_discr,
+            "naive_bayes": ft_naive_bayes, "one_nn": ft_one_nn, "random_node": ft_random_node,
+            "worst_node": ft_worst_node}

@@ -13,6 +13,7 @@ QUERY_MODULES = (
     "q_pairs",
     "q_eval",
     "q_shape",
+    "q_models",
 )
 
 
