@@ -57,12 +57,14 @@ def class_list(fr: Frame) -> list[str]:
 
 MLLIB_CLASSIFIERS = {
     "logistic_regression": lambda k, seed: MC.LogisticRegression(family="multinomial", maxIter=100),
-    "linear_svc": lambda k, seed: MC.OneVsRest(classifier=MC.LinearSVC(maxIter=100)),
-    "sgd_classifier": lambda k, seed: MC.OneVsRest(classifier=MC.LinearSVC(maxIter=20)),
+    "linear_svc": lambda k, seed: MC.OneVsRest(classifier=MC.LinearSVC(maxIter=100), parallelism=8),
+    "sgd_classifier": lambda k, seed: MC.OneVsRest(classifier=MC.LinearSVC(maxIter=20), parallelism=8),
     "decision_tree": lambda k, seed: MC.DecisionTreeClassifier(maxDepth=30, seed=seed),
     "random_forest": lambda k, seed: MC.RandomForestClassifier(numTrees=100, seed=seed),
-    "gradient_boosting": lambda k, seed: MC.OneVsRest(classifier=MC.GBTClassifier(maxIter=100, seed=seed)),
-    "hist_gradient_boosting": lambda k, seed: MC.OneVsRest(classifier=MC.GBTClassifier(maxIter=100, seed=seed)),
+    "gradient_boosting": lambda k, seed: MC.OneVsRest(classifier=MC.GBTClassifier(maxIter=100, seed=seed),
+                                                      parallelism=8),
+    "hist_gradient_boosting": lambda k, seed: MC.OneVsRest(classifier=MC.GBTClassifier(maxIter=100, seed=seed),
+                                                           parallelism=8),
     "gaussian_nb": lambda k, seed: MC.NaiveBayes(modelType="gaussian"),
     "multinomial_nb": lambda k, seed: MC.NaiveBayes(modelType="multinomial"),
 }
@@ -75,9 +77,10 @@ def fit_classifier(name: str, fr: Frame, seed: int = 42, **params) -> FittedMode
         est = (MC.MultilayerPerceptronClassifier(layers=[len(fr.num), 100, len(classes)], seed=seed, maxIter=200)
                if name == "mlp_classifier" else MLLIB_CLASSIFIERS[name](len(classes), seed))
         est = est.setFeaturesCol(FEAT).setLabelCol(LBL).setPredictionCol("_p")
+        inner = est.getClassifier() if isinstance(est, MC.OneVsRest) else est
         for k, v in params.items():
-            if est.hasParam(k):
-                est._set(**{k: v})
+            if inner.hasParam(k):
+                inner._set(**{k: v})
         model = est.fit(_indexed(fr, classes))
 
         def predict(df: DataFrame) -> DataFrame:
@@ -122,16 +125,23 @@ def _fit_discriminant(fr: Frame, name: str, quadratic: bool, reg: float = 0.0) -
             w = P @ mu
             b = float(-0.5 * mu @ P @ mu + pri[c])
             scores.append(sum(float(w[i]) * x[i] for i in range(d)) + F.lit(b))
-    best = F.greatest(*scores) if k > 1 else scores[0]
-    pred = F.lit(None).cast("string")
-    for c in reversed(range(k)):  # first class wins ties
-        pred = F.when(scores[c] == best, F.lit(sc.classes[c])).otherwise(pred)
-
     def predict(df: DataFrame) -> DataFrame:
-        return df.withColumn("pred", pred)
+        # scores as columns first: the argmax then refers to them by name
+        with_s = df.withColumns({f"_s{c}": scores[c] for c in range(k)})
+        return with_s.withColumn("pred", _argmax_label([f"_s{c}" for c in range(k)], sc.classes)).drop(
+            *[f"_s{c}" for c in range(k)])
     return FittedModel(name, predict, None, sc.classes)
 
 
+def _argmax_label(score_cols: list[str], classes: list[str]):
+    """Label of the largest score column; the first class wins ties."""
+    best = F.greatest(*[F.col(c) for c in score_cols]) if len(score_cols) > 1 else F.col(score_cols[0])
+    pred = F.lit(None).cast("string")
+    for c in reversed(range(len(classes))):
+        pred = F.when(F.col(score_cols[c]) == best, F.lit(classes[c])).otherwise(pred)
+    return pred
+
+
 def _fit_ridge_classifier(fr: Frame, alpha: float) -> FittedModel:
     """Least squares on +-1 targets with L2 (one regression per class)."""
     classes = class_list(fr)
@@ -149,11 +159,8 @@ def _fit_ridge_classifier(fr: Frame, alpha: float) -> FittedModel:
         for c, m in zip(classes, models):
             coef = m.coefficients.toArray()
             s.append(sum(float(coef[i]) * F.col(col).cast("double") for i, col in enumerate(fr.num)) + F.lit(m.intercept))
-        best = F.greatest(*s)
-        pred = F.lit(None).cast("string")
-        for i in reversed(range(len(classes))):
-            pred = F.when(s[i] == best, F.lit(classes[i])).otherwise(pred)
-        return a.select(*df.columns, pred.alias("pred"))
+        a = a.withColumns({f"_s{i}": s[i] for i in range(len(classes))})
+        return a.select(*df.columns, _argmax_label([f"_s{i}" for i in range(len(classes))], classes).alias("pred"))
     return FittedModel("ridge_classifier", predict, models, classes)
 
 
@@ -190,11 +197,8 @@ def _fit_adaboost(fr: Frame, n_estimators: int, seed: int) -> FittedModel:
         for j, (m, a) in enumerate(learners):
             out = m.setPredictionCol(f"_p{j}").setRawPredictionCol(f"_r{j}").setProbabilityCol(f"_q{j}").transform(out)
             votes = [votes[c] + F.when(F.col(f"_p{j}") == float(c), a).otherwise(0.0) for c in range(k)]
-        best = F.greatest(*votes) if k > 1 else votes[0]
-        pred = F.lit(None).cast("string")
-        for c in reversed(range(k)):
-            pred = F.when(votes[c] == best, F.lit(classes[c])).otherwise(pred)
-        return out.select(*df.columns, pred.alias("pred"))
+        out = out.withColumns({f"_v{c}": votes[c] for c in range(k)})
+        return out.select(*df.columns, _argmax_label([f"_v{c}" for c in range(k)], classes).alias("pred"))
     return FittedModel("ada_boost", predict, learners, classes)
 
 
