@@ -14,6 +14,7 @@ QUERY_MODULES = (
     "q_eval",
     "q_shape",
     "q_models",
+    "q_sources",
 )
 
 
