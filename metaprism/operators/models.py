@@ -47,7 +47,7 @@ def _indexed(fr: Frame, classes: list[str]) -> DataFrame:
 
 def _decode(classes):
     arr = F.array(*[F.lit(c) for c in classes])
-    return lambda col: arr[col.cast("int")]
+    return lambda col: F.get(arr, col.cast("int"))
 
 
 def class_list(fr: Frame) -> list[str]:

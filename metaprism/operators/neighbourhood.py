@@ -193,3 +193,21 @@ def knn_vote(fr: Frame, k: int = 5, block_rows: int = 2048) -> DataFrame:
     votes = tbl.groupBy("row_id", "nb_y").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("nb_y"))).alias("b"))
     return best.select("row_id", F.col("b.nb_y").alias("pred"))
+
+
+def knn_predict(train: Frame, valid: DataFrame, k: int = 5, block_rows: int = 2048) -> DataFrame:
+    """k-NN vote for validation rows using only train rows: one kernel pass
+    with groups (train = 0, valid = 1; rows only see the other group)."""
+    from .pairs import pair_stats as _ps
+    cols = list(train.num)
+    tr = train.df.select(F.col(train.row_id).cast("long").alias("row_id"), train.y().alias("y"),
+                         F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.lit(0).alias("grp"))
+    va = valid.select(F.col(train.row_id).cast("long").alias("row_id"), F.col(train.label).cast("string").alias("y"),
+                      F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.lit(1).alias("grp"))
+    mat = tr.unionByName(va)
+    st = _ps(mat, sorted_classes(train), "euclidean", block_rows, topk=k)
+    nb = st.join(va.select("row_id"), "row_id").select("row_id", F.explode("topk").alias("nb"))
+    votes = nb.groupBy("row_id", F.col("nb.y").alias("nb_y")).agg(F.count(F.lit(1)).alias("v"))
+    best = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("nb_y"))).alias("b"))
+    return valid.join(best.select(F.col("row_id").alias("_rid"), F.col("b.nb_y").alias("pred")),
+                      F.col(train.row_id).cast("long") == F.col("_rid")).drop("_rid")

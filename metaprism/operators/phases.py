@@ -542,3 +542,57 @@ def select_mutual_info(fr: Frame, share: float) -> Frame:
     top = max(scores.values()) if scores else 0.0
     keep = [c for c in fr.attrs if top > 0 and scores.get(c, 0.0) >= share * top]
     return select_columns(fr, keep)
+
+
+def fit_select_mutual_info(fr: Frame, share: float) -> Fitted:
+    """P34 as a fitted phase: columns chosen on train, applied anywhere."""
+    keep = list(select_mutual_info(fr, share).attrs)
+    return Fitted("select", f"mutual_info_{int(share * 100)}", {"keep": keep},
+                  lambda f, p: select_columns(f, p["keep"]))
+
+
+def fit_select_by_forest(fr: Frame, task: str = "clasificacion", trees: int = 100, seed: int = 42) -> Fitted:
+    """Random-forest importances (100 trees), keep columns with
+    importance >= mean importance."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+    cols = list(fr.num)
+    data = VectorAssembler(inputCols=cols, outputCol="_f", handleInvalid="keep").transform(fr.df)
+    if task == "regresion":
+        model = RandomForestRegressor(numTrees=trees, seed=seed, featuresCol="_f", labelCol=fr.label).fit(data)
+    else:
+        classes = sorted(r[0] for r in fr.df.select(fr.y()).distinct().collect())  # class list (checked small by caller)
+        idx = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
+        model = RandomForestClassifier(numTrees=trees, seed=seed, featuresCol="_f", labelCol="_l").fit(
+            data.withColumn("_l", idx[fr.y()]))
+    imp = model.featureImportances.toArray()
+    keep = [c for c, v in zip(cols, imp) if v >= imp.mean()]
+    return Fitted("select", "select_from_model", {"keep": keep}, lambda f, p: select_columns(f, p["keep"]))
+
+
+def fit_pca(fr: Frame, share: float) -> Fitted:
+    """Principal components reaching ``share`` of the variance, fitted on
+    train (centred, not scaled), applied anywhere; output columns PC1..PCk."""
+    from pyspark.ml.feature import VectorAssembler, StandardScaler, PCA
+    from pyspark.ml.functions import vector_to_array
+    cols = list(fr.num)
+    va = VectorAssembler(inputCols=cols, outputCol="_v", handleInvalid="keep")
+    sc = StandardScaler(inputCol="_v", outputCol="_c", withMean=True, withStd=False).fit(va.transform(fr.df))
+    pca = PCA(k=len(cols), inputCol="_c", outputCol="_pc").fit(sc.transform(va.transform(fr.df)))
+    ev = pca.explainedVariance.toArray()
+    cum, k = 0.0, 0
+    for v in ev:
+        k += 1
+        cum += v
+        if cum >= share - 1e-12:
+            break
+    names = [f"PC{i + 1}" for i in range(k)]
+
+    def apply(f: Frame, p: dict) -> Frame:
+        keep = [c for c in f.df.columns if c not in cols]
+        out = pca.transform(sc.transform(va.transform(f.df)))
+        arr = vector_to_array(F.col("_pc"))
+        out = out.select(*keep, *[arr[i].alias(n) for i, n in enumerate(names)])
+        return f.with_df(out, num=tuple(names), cat=tuple(c for c in f.cat if c in keep))
+    return Fitted("select", f"pca_{int(share * 100)}", {"k": k, "explained": ev.tolist()}, apply)

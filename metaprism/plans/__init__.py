@@ -15,6 +15,7 @@ QUERY_MODULES = (
     "q_shape",
     "q_models",
     "q_sources",
+    "q_runs",
 )
 
 
