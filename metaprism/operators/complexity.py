@@ -203,3 +203,67 @@ FEATURES = {"c1": ft_c1, "c2": ft_c2, "f1": ft_f1, "f1v": ft_f1v, "f2": ft_f2, "
             "t2": ft_t2, "t3": ft_t3, "t4": ft_t4}
 NEEDS_LABEL = {"c1", "c2", "f1", "f1v", "f2", "f3", "f4"}
 _ = math
+
+
+# ------------------------------------------------------------ X6-X8 linear SVM
+def _svm_pairs(fr: Frame, max_iter: int = 100, seed: int = 0):
+    """Per class pair: standardise on the pair's rows, fit a hinge-loss linear
+    SVM (C = 2 -> regParam = 1 / (2 n)), yield (pair, rows with margin and
+    prediction, fitted scaler + model, n_a + n_b)."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    classes, cnt, _, _ = class_ranges(fr)
+    y = fr.y()
+    for a, b in ovo_pairs(len(classes)):
+        sub = fr.df.where(y.isin(classes[a], classes[b])).withColumn("_t", (y == classes[a]).cast("double"))
+        va = VectorAssembler(inputCols=list(fr.num), outputCol="_v", handleInvalid="keep")
+        sc = StandardScaler(inputCol="_v", outputCol="_f", withMean=True, withStd=True).fit(va.transform(sub))
+        data = sc.transform(va.transform(sub)).cache()
+        n = cnt[a] + cnt[b]
+        svm = LinearSVC(featuresCol="_f", labelCol="_t", regParam=1.0 / (2.0 * n), maxIter=max_iter,
+                        rawPredictionCol="_raw", predictionCol="_p").fit(data)
+        yield f"{classes[a]}|{classes[b]}", data, (va, sc, svm), n, (classes[a], classes[b])
+
+
+def _margin():
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(F.col("_raw"))[1]
+
+
+def ft_l1(fr: Frame, max_iter: int = 100) -> DataFrame:
+    vals, names = [], []
+    for name, data, (va, sc, svm), n, _ in _svm_pairs(fr, max_iter):
+        out = svm.transform(data)
+        s = out.where(F.col("_p") != F.col("_t")).agg(F.sum(F.abs(_margin()))).first()[0] or 0.0
+        e = s / n
+        vals.append(1.0 - 1.0 / (1.0 + e))
+        names.append(name)
+    return M.values_frame(fr.spark, "l1", vals, classes=names)
+
+
+def ft_l2(fr: Frame, max_iter: int = 100) -> DataFrame:
+    vals, names = [], []
+    for name, data, (va, sc, svm), n, _ in _svm_pairs(fr, max_iter):
+        out = svm.transform(data)
+        vals.append(out.agg(F.avg((F.col("_p") != F.col("_t")).cast("double"))).first()[0])
+        names.append(name)
+    return M.values_frame(fr.spark, "l2", vals, classes=names)
+
+
+def ft_l3(fr: Frame, max_iter: int = 100, seed: int = 0) -> DataFrame:
+    """Error of the pair's SVM on interpolated rows of the pair (R5), with
+    the seed moving per pair."""
+    from .splits import interpolate_rows
+    vals, names = [], []
+    for k, (name, data, (va, sc, svm), n, (ca, cb)) in enumerate(_svm_pairs(fr, max_iter)):
+        sub = fr.with_df(fr.df.where(fr.y().isin(ca, cb)))
+        inter = interpolate_rows(sub, seed=seed + k + 1)
+        inter = inter.withColumn("_t", (F.col(fr.label).cast("string") == ca).cast("double"))
+        out = svm.transform(sc.transform(va.transform(inter)))
+        vals.append(out.agg(F.avg((F.col("_p") != F.col("_t")).cast("double"))).first()[0])
+        names.append(name)
+    return M.values_frame(fr.spark, "l3", vals, classes=names)
+
+
+FEATURES.update({"l1": ft_l1, "l2": ft_l2, "l3": ft_l3})
+NEEDS_LABEL.update({"l1", "l2", "l3"})

@@ -211,3 +211,84 @@ def knn_predict(train: Frame, valid: DataFrame, k: int = 5, block_rows: int = 20
     best = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("nb_y"))).alias("b"))
     return valid.join(best.select(F.col("row_id").alias("_rid"), F.col("b.nb_y").alias("pred")),
                       F.col(train.row_id).cast("long") == F.col("_rid")).drop("_rid")
+
+
+def ft_n4(fr: Frame, metric: str = "gower", seed: int = 0, block_rows: int = 2048) -> DataFrame:
+    """1-NN error of interpolated rows (per class convex blends of
+    min-max scaled rows) classified by the original rows; per interpolated
+    row 1 = misclassified.  One kernel pass with groups: interpolated rows
+    only see original rows."""
+    from .pairs import pair_stats as _ps
+    from .splits import interpolate_rows
+    mat = scaled_matrix(fr, "minmax")
+    cols = [f"x{i}" for i in range(len(fr.num))]
+    flat = mat.select("row_id", "y", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
+    sf = Frame(df=flat, num=tuple(cols), cat=(), label="y", row_id="row_id")
+    inter = interpolate_rows(sf, seed=seed)
+    orig = mat.withColumn("grp", F.lit(0))
+    new = inter.select((-F.col("row_id") - 1).alias("row_id"), F.col("y").cast("string").alias("y"),
+                       F.array(*cols).alias("x"), F.lit(1).alias("grp"))
+    st = _ps(orig.unionByName(new), sorted_classes(fr), metric, block_rows)
+    test = st.where(F.col("row_id") < 0)
+    return _per_row(test, "n4", (F.col("nn_y") != F.col("y")).cast("double"))
+
+
+def minimum_spanning_forest(fr: Frame, metric: str = "gower", scale: str | None = "minmax",
+                            block_rows: int = 2048, max_rounds: int = 64) -> DataFrame:
+    """Exact minimum spanning forest of the complete distance graph (zero
+    distances are no edge) by Boruvka rounds on the pair kernel.
+
+    Each round: one kernel pass gives every row its nearest row in another
+    component (ties by id); each component keeps its lightest edge under the
+    total order (d, low id, high id); components merge by pointer jumping
+    on the component table.  O(log n) rounds; every round's component table is
+    checkpointed to the shared folder.  Returns edges (src, dst, d).
+    """
+    mat = scaled_matrix(fr, scale).cache()
+    spark = fr.spark
+    comp = mat.select("row_id", F.col("row_id").alias("comp")).checkpoint(eager=True)
+    edges = None
+    for _ in range(max_rounds):
+        m = mat.join(comp, "row_id").select("row_id", F.col("comp").cast("string").alias("y"), "x")
+        st = pair_stats(m, [], metric, block_rows, positive=True)
+        cand = (st.where(F.col("ne_id") >= 0)
+                .select(F.col("y").cast("long").alias("comp"), "row_id", "ne_id", "ne_d"))
+        best = cand.groupBy("comp").agg(F.min(F.struct(
+            F.col("ne_d").alias("d"), F.least("row_id", "ne_id").alias("lo"),
+            F.greatest("row_id", "ne_id").alias("hi"), F.col("row_id").alias("src"),
+            F.col("ne_id").alias("dst"))).alias("e")).select("comp", "e.*").cache()
+        if best.isEmpty():
+            break
+        new = best.select("lo", "hi", "d").distinct()
+        edges = new if edges is None else edges.unionByName(new).distinct()
+        edges = edges.checkpoint(eager=True)
+        # pointer of each component = component of its edge's other end
+        ptr = best.join(comp.withColumnRenamed("row_id", "dst").withColumnRenamed("comp", "p"), "dst") \
+            .select("comp", "p")
+        back = ptr.select(F.col("comp").alias("p"), F.col("p").alias("pp"))
+        ptr = ptr.join(back, "p", "left").select(
+            "comp", F.when((F.col("pp") == F.col("comp")) & (F.col("comp") < F.col("p")), F.col("comp"))
+            .otherwise(F.col("p")).alias("p")).checkpoint(eager=True)
+        while True:  # pointer jumping, O(log #components) rounds
+            nxt = ptr.join(ptr.select(F.col("comp").alias("p"), F.col("p").alias("p2")), "p", "left") \
+                .select("comp", F.coalesce("p2", "p").alias("p")).checkpoint(eager=True)
+            changed = nxt.join(ptr.withColumnRenamed("p", "old"), "comp").where(F.col("p") != F.col("old")).count()
+            ptr = nxt
+            if changed == 0:
+                break
+        comp = comp.join(ptr, "comp", "left").select("row_id", F.coalesce("p", "comp").alias("comp")).checkpoint(eager=True)
+    if edges is None:
+        return spark.createDataFrame([], "src long, dst long, d double")
+    return edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "d")
+
+
+def ft_n1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame:
+    """Share of rows incident to a spanning-forest edge joining classes."""
+    edges = minimum_spanning_forest(fr, metric, "minmax", block_rows)
+    lab = fr.df.select(F.col(fr.row_id).cast("long").alias("id"), fr.y().alias("y"))
+    e = (edges.join(lab.withColumnRenamed("id", "src").withColumnRenamed("y", "ys"), "src")
+         .join(lab.withColumnRenamed("id", "dst").withColumnRenamed("y", "yd"), "dst")
+         .where(F.col("ys") != F.col("yd")))
+    verts = e.select(F.col("src").alias("v")).unionByName(e.select(F.col("dst").alias("v"))).distinct()
+    n = float(fr.count())
+    return verts.agg(F.count(F.lit(1)).alias("c")).select(entry("n1", F.col("c") / F.lit(n)).alias("e")).select("e.*")

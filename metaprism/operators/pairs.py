@@ -110,7 +110,9 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
         out["nn_d"] = np.where(has, D[np.arange(n), first], np.inf) if D.shape[1] else np.full(n, np.inf)
         out["nn_id"] = np.where(has, other_ids[first], -1) if D.shape[1] else np.full(n, -1)
         out["nn_y"] = np.where(has, other_ys[first], None) if D.shape[1] else np.full(n, None)
-        enemy = valid & (other_yc[None, :] != yc[:, None])
+        enemy = valid & (other_ys[None, :] != ys[:, None])
+        if opts.get("positive"):
+            enemy = enemy & (D > 0)  # zero distance is no edge
         De = np.where(enemy, D, np.inf)
         order_e = np.lexsort((np.broadcast_to(other_ids, D.shape), De), axis=1)
         fe = order_e[:, 0] if D.shape[1] else np.zeros(n, dtype=int)
@@ -167,7 +169,7 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
 
 def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", block_rows: int = BLOCK_ROWS,
                thresh: DataFrame | None = None, concept: tuple | None = None, topk: int = 0,
-               n: int | None = None) -> DataFrame:
+               n: int | None = None, positive: bool = False) -> DataFrame:
     """Merged per-row statistics over all other rows (see module doc).
 
     ``mat``: (row_id, y, x).  ``thresh``: optional (row_id, thresh) - count of
@@ -177,7 +179,8 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
         raise ValueError(f"{len(classes)} classes exceed {MAX_CLASSES} for class-wise pair statistics")
     n = n if n is not None else mat.count()
     B = max(1, math.ceil(n / block_rows))
-    opts = {"thresh": thresh is not None, "concept": concept, "topk": topk, "grp": "grp" in mat.columns}
+    opts = {"thresh": thresh is not None, "concept": concept, "topk": topk, "grp": "grp" in mat.columns,
+            "positive": positive}
     m = mat
     if thresh is not None:
         m = m.join(thresh, "row_id")

@@ -96,3 +96,12 @@ def q_complexity_iter(spark, sf_dir):
     """f1v (pseudo-inverse on d x d) and f4 (iterative removal): rows-only."""
     fr = _li(spark, sf_dir)
     return finish_long(union_all([X.ft_f1v(fr), X.ft_f4(fr), X.ft_t3(fr), X.ft_t4(fr)]))
+
+
+@query("complexity_linear", group="complexity")
+def q_complexity_linear(spark, sf_dir):
+    """l1, l2, l3: linear SVM per class pair on standardised LI columns."""
+    li = lineitem_frame(spark, sf_dir, with_cat=False)
+    fr = li.with_df(li.df.withColumn("row_id", X.F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
+                    row_id="row_id")
+    return finish_long(union_all([X.ft_l1(fr, 20), X.ft_l2(fr, 20), X.ft_l3(fr, 20)]))

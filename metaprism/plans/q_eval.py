@@ -161,3 +161,14 @@ def q_average_folds(spark, sf_dir):
     out = V.average_folds(m, "clasificacion").join(ok, ["model", "metric"])
     return out.select("model", "metric", sig(F.col("value_ok")).alias("value_ok"), sig(F.col("value")).alias("value"),
                       "status")
+
+
+@query("bootstrap_ci", group="splits")
+def q_bootstrap_ci(spark, sf_dir):
+    """Basic 95 % interval of the column means of LI from 128 Poisson
+    bootstrap replicates (one weighted aggregate)."""
+    from ..sources.tables import lineitem_frame
+    fr = lineitem_frame(spark, sf_dir, with_cat=False)
+    li = fr.df.withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    fr2 = Frame(df=li, num=fr.num, cat=(), label="y", row_id="row_id")
+    return R.bootstrap_ci(fr2, "mean", replicates=128, confidence=(0.9, 0.95))

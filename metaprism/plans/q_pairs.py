@@ -127,3 +127,17 @@ _VOTE_SQL = with_(EM_CTE, P_CTE) + (
 @query("knn_vote", _VOTE_SQL, group="models")
 def q_knn_vote(spark, sf_dir):
     return NB.knn_vote(_em(spark, sf_dir), k=5)
+
+
+@query("complexity_n4", group="complexity")
+def q_n4(spark, sf_dir):
+    """1-NN error of class-wise interpolated rows (hash-drawn partners and
+    blend weights), one kernel pass; rows-only (random draws)."""
+    return finish_long(NB.ft_n4(_em(spark, sf_dir)))
+
+
+@query("complexity_n1", group="complexity")
+def q_n1(spark, sf_dir):
+    """Share of rows on a spanning-forest edge joining different classes
+    (Boruvka on the pair kernel; checked against Prim's algorithm in tests)."""
+    return finish_long(NB.ft_n1(_em(spark, sf_dir)))
