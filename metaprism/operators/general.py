@@ -13,7 +13,9 @@ from ..functions.numeric import safe_div
 
 
 def _n(fr: Frame) -> DataFrame:
-    return fr.df.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    """One-row frame with the (memoised) row count: the size features share a
+    single count action instead of one scan each."""
+    return fr.spark.range(1).select(F.lit(float(fr.count())).alias("n"))
 
 
 def ft_nr_inst(fr: Frame) -> DataFrame:

@@ -59,7 +59,16 @@ def _pair_aggs(cols: list[str]):
 
 
 def class_scatter(fr: Frame, cols: list[str] | None = None) -> ClassScatter:
+    """Memoised per Frame: every feature that needs class moments (canonical
+    correlations, Box's M, f1, f1v, ch, discriminant models) shares one pass."""
     cols = list(cols if cols is not None else fr.num)
+    key = ("_class_scatter", tuple(cols))
+    if key not in fr.options:
+        fr.options[key] = _class_scatter(fr, cols)
+    return fr.options[key]
+
+
+def _class_scatter(fr: Frame, cols: list[str]) -> ClassScatter:
     d = len(cols)
     if d > MAX_PAIRWISE_COLS:
         raise ValueError(f"{d} columns: use the assembled-vector path for wide tables")
@@ -81,8 +90,16 @@ def class_scatter(fr: Frame, cols: list[str] | None = None) -> ClassScatter:
 
 
 def covariance(fr: Frame, cols: list[str] | None = None) -> tuple[np.ndarray, float]:
-    """Sample covariance matrix (ddof 1) of the numeric columns, one pass."""
+    """Sample covariance matrix (ddof 1) of the numeric columns, one pass
+    (memoised per Frame)."""
     cols = list(cols if cols is not None else fr.num)
+    key = ("_covariance", tuple(cols))
+    if key not in fr.options:
+        fr.options[key] = _covariance(fr, cols)
+    return fr.options[key]
+
+
+def _covariance(fr: Frame, cols: list[str]) -> tuple[np.ndarray, float]:
     d = len(cols)
     r = fr.df.agg(F.count(F.lit(1)).alias("n"), *_pair_aggs(cols)).first()
     cov = np.zeros((d, d))

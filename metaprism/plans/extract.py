@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..frame import Frame, union_all, empty_long
 from ..functions.summaries import SUMMARIES, summarise
 from ..operators import clustering, complexity, general, infotheory, itemset, statistical
+from ..operators import landmarking, modelbased
 from ..operators import neighbourhood as NB
 
 DEFAULT_GROUPS = ("general", "statistical", "info-theory")
@@ -41,12 +42,20 @@ CATALOGUE: dict[str, dict[str, bool]] = {
     "clustering": {"ch": False, "int": False, "nre": False, "pb": False, "sc": False, "sil": False,
                    "vdb": False, "vdu": False},
     "complexity": {"c1": False, "c2": False, "f1": True, "f1v": True, "f2": True, "f3": True, "f4": True,
-                   "lsc": False, "n2": True, "n3": True, "t2": False, "t3": False, "t4": False},
+                   "l1": True, "l2": True, "l3": True, "lsc": False, "n1": False, "n2": True, "n3": True,
+                   "n4": True, "t2": False, "t3": False, "t4": False},
+    "landmarking": {"best_node": True, "elite_nn": True, "linear_discr": True, "naive_bayes": True,
+                    "one_nn": True, "random_node": True, "worst_node": True},
+    "model-based": {"leaves": False, "leaves_branch": True, "leaves_corrob": True, "leaves_homo": True,
+                    "leaves_per_class": True, "nodes": False, "nodes_per_attr": False, "nodes_per_inst": False,
+                    "nodes_per_level": True, "nodes_repeated": True, "tree_depth": True, "tree_imbalance": True,
+                    "tree_shape": True, "var_importance": True},
     "concept": {"cohesiveness": True, "conceptvar": True, "impconceptvar": True, "wg_dist": True},
 }
 NEEDS_LABEL = (general.NEEDS_LABEL | statistical.NEEDS_LABEL | infotheory.NEEDS_LABEL
                | clustering.NEEDS_LABEL | complexity.NEEDS_LABEL
-               | {"int", "pb", "sil", "vdu", "lsc", "n2", "n3", "conceptvar", "impconceptvar"})
+               | {"int", "pb", "sil", "vdu", "lsc", "n1", "n2", "n3", "n4", "conceptvar", "impconceptvar"}
+               | set(CATALOGUE["landmarking"]) | set(CATALOGUE["model-based"]))
 
 
 def catalogue_df(spark, summaries: Iterable[str] = DEFAULT_SUMMARY) -> DataFrame:
@@ -127,11 +136,20 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
         elif g == "complexity":
             simple = [f for f in names if f in complexity.FEATURES]
             parts += [complexity.FEATURES[f](fr) for f in simple]
-            dist = [f for f in names if f not in complexity.FEATURES]
+            dist = [f for f in names if f in ("n2", "n3", "lsc")]
             if dist:
                 ctx = NB.PairContext(fr, "gower", "minmax", pair_block_rows)
                 fns = {"n2": NB.ft_n2, "n3": NB.ft_n3, "lsc": NB.ft_lsc}
                 parts += [fns[f](ctx) for f in dist]
+            if "n1" in names:
+                parts.append(NB.ft_n1(fr, block_rows=pair_block_rows))
+            if "n4" in names:
+                parts.append(NB.ft_n4(fr, block_rows=pair_block_rows))
+        elif g == "landmarking":
+            parts += [landmarking.FEATURES[f](fr) for f in names]
+        elif g == "model-based":
+            t = modelbased.TreeContext(fr)
+            parts += [modelbased.FEATURES[f](t) for f in names]
         elif g == "concept":
             ctx = NB.concept_context(fr, block_rows=pair_block_rows)
             fns = {"conceptvar": NB.ft_conceptvar, "wg_dist": NB.ft_wg_dist,

@@ -63,3 +63,22 @@ def q_summary_functions(spark, sf_dir):
     long = S.column_features(lineitem_frame(spark, sf_dir), ALL_COL)
     out = summarise(long, PLAIN + NANS, vector_features=set(ALL_COL))
     return out.select("name", sig(F.col("value")).alias("value"))
+
+
+@query("extract_default", group="extract")
+def q_extract_default(spark, sf_dir):
+    """The reference's default call: general, statistical and information
+    theory groups summarised by mean and sd, (name, value) sorted by name."""
+    from .extract import extract
+    out = extract(lineitem_frame(spark, sf_dir))
+    return out.select("name", sig(F.col("value")).alias("value"))
+
+
+@query("extract_all_groups", group="extract")
+def q_extract_all(spark, sf_dir):
+    """Every group (incl. clustering, complexity, concept, item sets,
+    landmarking and tree shape) on the embeddings table."""
+    from ..sources.tables import embeddings_frame
+    from .extract import extract
+    out = extract(embeddings_frame(spark, sf_dir), groups="all")
+    return out.select("name", sig(F.col("value")).alias("value"))
