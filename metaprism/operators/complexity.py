@@ -98,43 +98,55 @@ def ft_f4(fr: Frame) -> DataFrame:
     Repeatedly drop the rows separable by the column with the least overlap
     (rows outside its overlap interval) and recompute the interval on the
     rows left, until no column remains or nothing is left; value = rows left
-    / rows of the pair.  Each step is one aggregate over the pair's rows.
+    / rows of the pair.  All class pairs advance together: each step is two
+    aggregates over the data (class ranges on the rows alive, then overlap
+    counts), whatever the number of pairs.
     """
-    classes, cnt, lo0, hi0 = class_ranges(fr)
+    classes, cnt, _, _ = class_ranges(fr)
     pairs = ovo_pairs(len(classes))
     d = len(fr.num)
-    vals = []
     y = fr.y()
-    for a, b in pairs:
-        alive = y.isin(classes[a], classes[b])
-        remaining = list(range(d))
-        total = cnt[a] + cnt[b]
-        left = total
-        while remaining:
-            r = fr.df.where(alive).agg(
-                F.count(F.lit(1)).alias("n"),
-                *[F.min(F.when(y == classes[a], _x(fr.num[i]))).alias(f"la{i}") for i in remaining],
-                *[F.max(F.when(y == classes[a], _x(fr.num[i]))).alias(f"ha{i}") for i in remaining],
-                *[F.min(F.when(y == classes[b], _x(fr.num[i]))).alias(f"lb{i}") for i in remaining],
-                *[F.max(F.when(y == classes[b], _x(fr.num[i]))).alias(f"hb{i}") for i in remaining]).first()
-            left = r["n"]
-            if left == 0:
-                break
-            if r[f"la{remaining[0]}"] is None or r[f"lb{remaining[0]}"] is None:
-                left = 0  # one class emptied: no overlap region remains
-                break
-            bounds = {i: (max(r[f"la{i}"], r[f"lb{i}"]), min(r[f"ha{i}"], r[f"hb{i}"])) for i in remaining}
-            cnts = fr.df.where(alive).agg(*[
-                F.count_if((_x(fr.num[i]) >= bounds[i][0]) & (_x(fr.num[i]) <= bounds[i][1])).alias(f"o{i}")
-                for i in remaining]).first()
-            best = min(remaining, key=lambda i: (cnts[f"o{i}"], remaining.index(i)))
-            lo_b, hi_b = bounds[best]
-            alive = alive & (_x(fr.num[best]) >= lo_b) & (_x(fr.num[best]) <= hi_b)
-            remaining.remove(best)
-            left = cnts[f"o{best}"]
-            if left == 0:
-                break
-        vals.append(float(left / total))
+    x = [_x(c) for c in fr.num]
+    alive = [y.isin(classes[a], classes[b]) for a, b in pairs]
+    remaining = [list(range(d)) for _ in pairs]
+    left = [cnt[a] + cnt[b] for a, b in pairs]
+    done = [False] * len(pairs)
+    for _ in range(d):
+        act = [p for p in range(len(pairs)) if not done[p] and remaining[p]]
+        if not act:
+            break
+        aggs = [F.count_if(alive[p]).alias(f"n{p}") for p in act]
+        for p in act:
+            a, b = pairs[p]
+            for i in remaining[p]:
+                for side, cl in (("a", classes[a]), ("b", classes[b])):
+                    v = F.when(alive[p] & (y == cl), x[i])
+                    aggs += [F.min(v).alias(f"l{side}{p}_{i}"), F.max(v).alias(f"h{side}{p}_{i}")]
+        r = fr.df.agg(*aggs).first()
+        bounds = {}
+        for p in act:
+            if r[f"n{p}"] == 0:
+                left[p], done[p] = 0, True
+                continue
+            i0 = remaining[p][0]
+            if r[f"la{p}_{i0}"] is None or r[f"lb{p}_{i0}"] is None:
+                left[p], done[p] = 0, True  # one class emptied: no overlap region remains
+                continue
+            bounds[p] = {i: (max(r[f"la{p}_{i}"], r[f"lb{p}_{i}"]), min(r[f"ha{p}_{i}"], r[f"hb{p}_{i}"]))
+                         for i in remaining[p]}
+        if not bounds:
+            break
+        cnts = fr.df.agg(*[F.count_if(alive[p] & (x[i] >= lo) & (x[i] <= hi)).alias(f"o{p}_{i}")
+                           for p, bd in bounds.items() for i, (lo, hi) in bd.items()]).first()
+        for p, bd in bounds.items():
+            best = min(remaining[p], key=lambda i: (cnts[f"o{p}_{i}"], remaining[p].index(i)))
+            lo, hi = bd[best]
+            alive[p] = alive[p] & (x[best] >= lo) & (x[best] <= hi)
+            remaining[p].remove(best)
+            left[p] = cnts[f"o{p}_{best}"]
+            if left[p] == 0:
+                done[p] = True
+    vals = [float(left[p] / (cnt[a] + cnt[b])) for p, (a, b) in enumerate(pairs)]
     return M.values_frame(fr.spark, "f4", vals, classes=[f"{classes[a]}|{classes[b]}" for a, b in pairs])
 
 
@@ -206,23 +218,36 @@ _ = math
 
 
 # ------------------------------------------------------------ X6-X8 linear SVM
-def _svm_pairs(fr: Frame, max_iter: int = 100, seed: int = 0):
+def _svm_pairs(fr: Frame, max_iter: int = 100, seed: int = 0, parallelism: int = 32):
     """Per class pair: standardise on the pair's rows, fit a hinge-loss linear
-    SVM (C = 2 -> regParam = 1 / (2 n)), yield (pair, rows with margin and
-    prediction, fitted scaler + model, n_a + n_b)."""
+    SVM (C = 2 -> regParam = 1 / (2 n)); returns [(pair, rows, (assembler,
+    scaler, model), n_a + n_b, (class_a, class_b))].  Fits are shared by l1,
+    l2 and l3 (memoised per Frame) and submitted concurrently (each fit is its
+    own distributed job; the driver only waits)."""
+    key = ("_svm_pairs", max_iter)
+    if key in fr.options:
+        return fr.options[key]
+    from concurrent.futures import ThreadPoolExecutor
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     classes, cnt, _, _ = class_ranges(fr)
     y = fr.y()
-    for a, b in ovo_pairs(len(classes)):
+
+    def fit(pair):
+        a, b = pair
         sub = fr.df.where(y.isin(classes[a], classes[b])).withColumn("_t", (y == classes[a]).cast("double"))
         va = VectorAssembler(inputCols=list(fr.num), outputCol="_v", handleInvalid="keep")
         sc = StandardScaler(inputCol="_v", outputCol="_f", withMean=True, withStd=True).fit(va.transform(sub))
         data = sc.transform(va.transform(sub)).cache()
         n = cnt[a] + cnt[b]
-        svm = LinearSVC(featuresCol="_f", labelCol="_t", regParam=1.0 / (2.0 * n), maxIter=max_iter,
+        svm = LinearSVC(featuresCol="_f", labelCol="_t", regParam=1.0 / (2.0 * n), maxIter=max_iter, tol=1e-2,
                         rawPredictionCol="_raw", predictionCol="_p").fit(data)
-        yield f"{classes[a]}|{classes[b]}", data, (va, sc, svm), n, (classes[a], classes[b])
+        return f"{classes[a]}|{classes[b]}", data, (va, sc, svm), n, (classes[a], classes[b])
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        out = list(pool.map(fit, ovo_pairs(len(classes))))
+    fr.options[key] = out
+    return out
 
 
 def _margin():
@@ -230,39 +255,50 @@ def _margin():
     return vector_to_array(F.col("_raw"))[1]
 
 
+def _pair_predictions(fr: Frame, max_iter: int, interpolated: bool = False, seed: int = 0) -> DataFrame:
+    """(pair, _t, _p, margin) for every pair's training rows (or the pair's
+    interpolated rows), as ONE union so the per-pair measures are one job."""
+    from .splits import interpolate_rows
+    outs = []
+    # class-wise blends are drawn once for all classes; each pair takes its
+    # two classes' interpolated rows
+    inter_all = interpolate_rows(fr, seed=seed + 1).cache() if interpolated else None
+    for k, (name, data, (va, sc, svm), n, (ca, cb)) in enumerate(_svm_pairs(fr, max_iter)):
+        if interpolated:
+            inter = inter_all.where(F.col(fr.label).cast("string").isin(ca, cb))
+            inter = inter.withColumn("_t", (F.col(fr.label).cast("string") == ca).cast("double"))
+            out = svm.transform(sc.transform(va.transform(inter)))
+        else:
+            out = svm.transform(data)
+        outs.append(out.select(F.lit(k).alias("pair"), F.lit(name).alias("name"), F.lit(float(n)).alias("n"),
+                               "_t", "_p", _margin().alias("m")))
+    res = outs[0]
+    for o in outs[1:]:
+        res = res.unionByName(o)
+    return res
+
+
 def ft_l1(fr: Frame, max_iter: int = 100) -> DataFrame:
-    vals, names = [], []
-    for name, data, (va, sc, svm), n, _ in _svm_pairs(fr, max_iter):
-        out = svm.transform(data)
-        s = out.where(F.col("_p") != F.col("_t")).agg(F.sum(F.abs(_margin()))).first()[0] or 0.0
-        e = s / n
-        vals.append(1.0 - 1.0 / (1.0 + e))
-        names.append(name)
-    return M.values_frame(fr.spark, "l1", vals, classes=names)
+    """1 - 1 / (1 + sum |margin| of misclassified rows / n) per class pair."""
+    pr = _pair_predictions(fr, max_iter)
+    agg = pr.groupBy("pair", "name", "n").agg(F.sum(F.when(F.col("_p") != F.col("_t"), F.abs("m"))).alias("s"))
+    v = 1.0 - 1.0 / (1.0 + F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n"))
+    return agg.select(entry("l1", v, cls=F.col("name"), idx=F.col("pair")).alias("e")).select("e.*")
 
 
 def ft_l2(fr: Frame, max_iter: int = 100) -> DataFrame:
-    vals, names = [], []
-    for name, data, (va, sc, svm), n, _ in _svm_pairs(fr, max_iter):
-        out = svm.transform(data)
-        vals.append(out.agg(F.avg((F.col("_p") != F.col("_t")).cast("double"))).first()[0])
-        names.append(name)
-    return M.values_frame(fr.spark, "l2", vals, classes=names)
+    """Training error of the pair's linear SVM."""
+    pr = _pair_predictions(fr, max_iter)
+    agg = pr.groupBy("pair", "name").agg(F.avg((F.col("_p") != F.col("_t")).cast("double")).alias("v"))
+    return agg.select(entry("l2", F.col("v"), cls=F.col("name"), idx=F.col("pair")).alias("e")).select("e.*")
 
 
 def ft_l3(fr: Frame, max_iter: int = 100, seed: int = 0) -> DataFrame:
-    """Error of the pair's SVM on interpolated rows of the pair (R5), with
-    the seed moving per pair."""
-    from .splits import interpolate_rows
-    vals, names = [], []
-    for k, (name, data, (va, sc, svm), n, (ca, cb)) in enumerate(_svm_pairs(fr, max_iter)):
-        sub = fr.with_df(fr.df.where(fr.y().isin(ca, cb)))
-        inter = interpolate_rows(sub, seed=seed + k + 1)
-        inter = inter.withColumn("_t", (F.col(fr.label).cast("string") == ca).cast("double"))
-        out = svm.transform(sc.transform(va.transform(inter)))
-        vals.append(out.agg(F.avg((F.col("_p") != F.col("_t")).cast("double"))).first()[0])
-        names.append(name)
-    return M.values_frame(fr.spark, "l3", vals, classes=names)
+    """Error of the pair's SVM on interpolated rows of the pair (R5), the
+    seed moving per pair."""
+    pr = _pair_predictions(fr, max_iter, interpolated=True, seed=seed)
+    agg = pr.groupBy("pair", "name").agg(F.avg((F.col("_p") != F.col("_t")).cast("double")).alias("v"))
+    return agg.select(entry("l3", F.col("v"), cls=F.col("name"), idx=F.col("pair")).alias("e")).select("e.*")
 
 
 FEATURES.update({"l1": ft_l1, "l2": ft_l2, "l3": ft_l3})

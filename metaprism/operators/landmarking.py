@@ -51,11 +51,16 @@ def _fold_scores(fr: Frame, feature: str, fit_predict, score: str, num_cv_folds:
     """Fit on each fold's train part, predict its test part; one score per
     fold.  ``fit_predict(train: Frame, fold: int) -> predict(df) -> df+pred``."""
     folded = cv_folds(fr, num_cv_folds).withColumn("y", fr.y()).cache()
-    preds = []
-    for f in range(num_cv_folds):
+
+    def one(f):
         train = Frame(df=folded.where(F.col("fold") != f), num=fr.num, cat=(), label="y", row_id=fr.row_id)
         predict = fit_predict(train, f)
-        preds.append(predict(folded.where(F.col("fold") == f)).select("fold", "y", "pred"))
+        return predict(folded.where(F.col("fold") == f)).select("fold", "y", "pred")
+    # folds are independent fits: submit them concurrently (each is its own
+    # distributed job; the driver only waits)
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=min(8, num_cv_folds)) as pool:
+        preds = list(pool.map(one, range(num_cv_folds)))
     from ..frame import union_all
     sc = _score(union_all(preds), score)
     return sc.select(entry(feature, F.col("value"), idx=F.col("fold")).alias("e")).select("e.*")
