@@ -251,3 +251,58 @@ def q_size(spark, sf_dir):
        "ORDER BY name) AS b FROM f GROUP BY \"group\") AS t", group="shaping")
 def q_report(spark, sf_dir):
     return U.format_report(U.sanitise_values(_filled(spark, sf_dir)))
+
+
+# ------------------------------------------------------- T6 / P37 / KX1 / T7-T8
+@query("rescale_numeric",
+       f"SELECT {KEYS}, " + ", ".join(
+           f"{sql_sig(f'({c} - (SELECT min({c}) FROM lineitem)) / (SELECT CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE max({c}) - min({c}) END FROM lineitem)')} AS {c}"
+           for c in NUM) + " FROM lineitem", group="typing")
+def q_rescale(spark, sf_dir):
+    out = T.rescale_numeric(lineitem_frame(spark, sf_dir, with_cat=False), "min-max")
+    return out.df.select(*LI_KEY, *[sig(F.col(c)).alias(c) for c in NUM])
+
+
+@query("standardise_matrix",
+       f"SELECT {KEYS}, " + ", ".join(
+           f"{sql_sig(f'({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM lineitem)')} AS {c}"
+           for c in NUM) + " FROM lineitem", group="phases")
+def q_standardise(spark, sf_dir):
+    from ..operators import phases as P
+    fr = lineitem_frame(spark, sf_dir, with_cat=False)
+    out = P.standardise_matrix(fr).transform(fr)
+    return out.df.select(*LI_KEY, *[sig(F.col(c)).alias(c) for c in NUM])
+
+
+@query("class_centers",
+       "SELECT l_returnflag AS cls, count(*) AS cnt, " + ", ".join(
+           f"{sql_sig(f'avg({c})')} AS c{i}" for i, c in enumerate(NUM)) + " FROM lineitem GROUP BY 1",
+       group="clustering")
+def q_class_centers(spark, sf_dir):
+    from ..operators import clustering as K
+    cent = K.class_centroids(lineitem_frame(spark, sf_dir, with_cat=False))
+    return cent.select("cls", "cnt", *[sig(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(NUM))])
+
+
+@query("build_views", group="typing")
+def q_build_views(spark, sf_dir):
+    """Categorical view (text columns + equal-frequency codes of the
+    numeric columns) and numeric view (numeric columns + reduced dummies),
+    reported as (view, column, distinct values)."""
+    fr = lineitem_frame(spark, sf_dir)
+    c_view = T.build_C(fr)
+    n_view = T.build_N(fr, "gray")
+    parts = []
+    for view, f in (("C", c_view), ("N", n_view)):
+        cols = list(f.cat if view == "C" else f.num)
+        r = f.df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        parts += [(view, c, int(r[f"d{i}"])) for i, c in enumerate(cols)]
+    return spark.createDataFrame(parts, "view string, column_name string, distinct_values long")
+
+
+@query("parse_by_group", group="shaping")
+def q_parse_by_group(spark, sf_dir):
+    """Keep only the statistical results of a default extraction."""
+    from .extract import extract, parse_by_group
+    res = extract(lineitem_frame(spark, sf_dir), groups=("general", "statistical"))
+    return parse_by_group(res, ["statistical"]).select("name", sig(F.col("value")).alias("value"))
