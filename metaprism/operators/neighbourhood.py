@@ -292,3 +292,70 @@ def ft_n1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame
     verts = e.select(F.col("src").alias("v")).unionByName(e.select(F.col("dst").alias("v"))).distinct()
     n = float(fr.count())
     return verts.agg(F.count(F.lit(1)).alias("c")).select(entry("n1", F.col("c") / F.lit(n)).alias("e")).select("e.*")
+
+
+def hypersphere_radii(ne: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Radius of each row's hypersphere from the nearest-enemy chain:
+    mutual nearest enemies share half their distance; any other row's radius
+    is |d(row, enemy) - radius(enemy)|.  Resolved by join rounds along the
+    chain (one round per chain link); a row on an enemy cycle longer than two
+    (only possible with distance ties) starts from radius 0.
+    ``ne``: (row_id, ne_id, ne_d) -> (row_id, r)."""
+    e2 = ne.select(F.col("row_id").alias("ne_id"), F.col("ne_id").alias("_ne2"))
+    cur = ne.join(e2, "ne_id", "left").select(
+        "row_id", "ne_id", "ne_d", F.when(F.col("_ne2") == F.col("row_id"), 0.5 * F.col("ne_d")).alias("r"))
+    cur = cur.checkpoint(eager=True)
+    for _ in range(max_rounds):
+        unknown = cur.where(F.col("r").isNull()).count()
+        if unknown == 0:
+            break
+        known = cur.where(F.col("r").isNotNull()).select(F.col("row_id").alias("ne_id"), F.col("r").alias("_re"))
+        nxt = cur.join(known, "ne_id", "left").select(
+            "row_id", "ne_id", "ne_d",
+            F.coalesce("r", F.abs(F.col("ne_d") - F.col("_re"))).alias("r")).checkpoint(eager=True)
+        if nxt.where(F.col("r").isNull()).count() == unknown:  # only cycles left
+            nxt = nxt.withColumn("r", F.coalesce("r", F.col("ne_d"))).checkpoint(eager=True)
+        cur = nxt
+    return cur.select("row_id", "r")
+
+
+def ft_t1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame:
+    """Share of hyperspheres left after absorption (mass priority,
+    centre reference).
+
+    A sphere is *active* when no active sphere of higher priority contains its
+    centre; it *survives* when, in addition, no other active sphere contains
+    it.  Activity is settled in rounds (each one kernel pass): an undecided
+    sphere becomes inactive once an active higher-priority container exists,
+    and active once all its higher-priority containers are inactive.  The
+    undecided sphere of highest priority is always settled, so the rounds
+    end; the result equals the sequential absorption loop.
+    """
+    from ..functions.ranking import rank_within
+    classes = sorted_classes(fr)
+    mat = scaled_matrix(fr, "minmax").cache()
+    n = mat.count()
+    ne = pair_stats(mat, classes, metric, block_rows, n=n).select("row_id", "ne_id", "ne_d")
+    radii = hypersphere_radii(ne)
+    thr = radii.select("row_id", F.col("r").alias("thresh"))
+    mass = pair_stats(mat, classes, metric, block_rows, thresh=thr, n=n, thresh_le=True) \
+        .select("row_id", (F.col("below") + 1).alias("mass"))
+    ordered = rank_within(mass.join(radii, "row_id").withColumn("_neg", -F.col("mass")), [], ["_neg", "row_id"], "ord")
+    state = ordered.select("row_id", "r", "ord", F.lit(0).alias("st")).checkpoint(eager=True)
+    while True:
+        m = mat.join(state, "row_id")
+        c = pair_stats(m, classes, metric, block_rows, n=n).select("row_id", "c_act_before", "c_und_before", "c_act_any")
+        state_new = state.join(c, "row_id").select(
+            "row_id", "r", "ord",
+            F.when(F.col("st") != 0, F.col("st"))
+            .when(F.col("c_act_before") > 0, F.lit(2))
+            .when(F.col("c_und_before") == 0, F.lit(1))
+            .otherwise(F.lit(0)).alias("st"),
+            "c_act_any").checkpoint(eager=True)
+        left = state_new.where(F.col("st") == 0).count()
+        state = state_new.select("row_id", "r", "ord", "st")
+        if left == 0:
+            break
+    final = pair_stats(mat.join(state, "row_id"), classes, metric, block_rows, n=n)
+    surv = final.join(state.select("row_id", "st"), "row_id").where((F.col("st") == 1) & (F.col("c_act_any") == 0))
+    return surv.agg(F.count(F.lit(1)).alias("c")).select(entry("t1", F.col("c") / F.lit(float(n))).alias("e")).select("e.*")

@@ -68,6 +68,8 @@ def _stats_schema(k: int, opts: dict) -> T.StructType:
           T.StructField("ne_d", T.DoubleType()), T.StructField("ne_id", T.LongType())]
     if opts.get("thresh"):
         f += [T.StructField("below", T.LongType())]
+    if opts.get("spheres"):
+        f += [T.StructField(n, T.LongType()) for n in ("c_act_before", "c_und_before", "c_act_any")]
     if opts.get("concept"):
         f += [T.StructField(n, T.DoubleType()) for n in ("w_other", "w_all", "w_d", "imp_other", "imp_all")]
     if opts.get("topk"):
@@ -82,7 +84,8 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
     topk = opts.get("topk") or 0
     concept = opts.get("concept")
 
-    def side_stats(ids, ys, yc, D, other_ids, other_ys, other_yc, self_mask, thr, grp=None, other_grp=None):
+    def side_stats(ids, ys, yc, D, other_ids, other_ys, other_yc, self_mask, thr, grp=None, other_grp=None,
+                   sph=None, other_sph=None):
         """Statistics for the rows of D (axis 0) over the columns of D.
 
         With groups (e.g. CV folds), row i only sees rows of OTHER groups, so
@@ -120,7 +123,16 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
         out["ne_d"] = np.where(has_e, De[np.arange(n), fe], np.inf) if D.shape[1] else np.full(n, np.inf)
         out["ne_id"] = np.where(has_e, other_ids[fe], -1) if D.shape[1] else np.full(n, -1)
         if thr is not None:
-            out["below"] = (valid & (D < thr[:, None])).sum(1).astype("int64")
+            le = opts.get("thresh_le")
+            out["below"] = (valid & ((D <= thr[:, None]) if le else (D < thr[:, None]))).sum(1).astype("int64")
+        if sph is not None:
+            # hyperspheres: other row j contains row i when D[i, j] <= r_j
+            (_, o_i, _), (r_j, o_j, s_j) = sph, other_sph
+            inside = valid & (D <= r_j[None, :])
+            before = inside & (o_j[None, :] < o_i[:, None])
+            out["c_act_before"] = (before & (s_j == 1)[None, :]).sum(1).astype("int64")
+            out["c_und_before"] = (before & (s_j == 0)[None, :]).sum(1).astype("int64")
+            out["c_act_any"] = (inside & (s_j == 1)[None, :]).sum(1).astype("int64")
         if concept:
             alpha, minimum, ncol, imp_alpha = concept
             div = math.sqrt(ncol) - D
@@ -154,22 +166,29 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
         blk = pdf["_blk"].to_numpy()
         thr = pdf["thresh"].to_numpy(dtype=float) if opts.get("thresh") else None
         g = pdf["grp"].to_numpy() if opts.get("grp") else None
+        sp = ((pdf["r"].to_numpy(dtype=float), pdf["ord"].to_numpy(), pdf["st"].to_numpy())
+              if opts.get("spheres") else None)
+
+        def cut(sel):
+            return None if sp is None else tuple(x[sel] for x in sp)
         if ta == tb:
             D = _dist(X, X, metric)
-            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr, g, g)
+            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr, g, g, sp, sp)
         a, b = blk == ta, blk == tb
         D = _dist(X[a], X[b], metric)
         sa = side_stats(ids[a], ys[a], yc[a], D, ids[b], ys[b], yc[b], np.zeros(D.shape, bool),
-                        None if thr is None else thr[a], None if g is None else g[a], None if g is None else g[b])
+                        None if thr is None else thr[a], None if g is None else g[a], None if g is None else g[b],
+                        cut(a), cut(b))
         sb = side_stats(ids[b], ys[b], yc[b], D.T, ids[a], ys[a], yc[a], np.zeros(D.T.shape, bool),
-                        None if thr is None else thr[b], None if g is None else g[b], None if g is None else g[a])
+                        None if thr is None else thr[b], None if g is None else g[b], None if g is None else g[a],
+                        cut(b), cut(a))
         return pd.concat([sa, sb], ignore_index=True)
     return fn
 
 
 def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", block_rows: int = BLOCK_ROWS,
                thresh: DataFrame | None = None, concept: tuple | None = None, topk: int = 0,
-               n: int | None = None, positive: bool = False) -> DataFrame:
+               n: int | None = None, positive: bool = False, thresh_le: bool = False) -> DataFrame:
     """Merged per-row statistics over all other rows (see module doc).
 
     ``mat``: (row_id, y, x).  ``thresh``: optional (row_id, thresh) - count of
@@ -180,7 +199,7 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
     n = n if n is not None else mat.count()
     B = max(1, math.ceil(n / block_rows))
     opts = {"thresh": thresh is not None, "concept": concept, "topk": topk, "grp": "grp" in mat.columns,
-            "positive": positive}
+            "positive": positive, "thresh_le": thresh_le, "spheres": "st" in mat.columns}
     m = mat
     if thresh is not None:
         m = m.join(thresh, "row_id")
@@ -203,6 +222,8 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
              F.min(F.struct("ne_d", "ne_id")).alias("ne")]
     if thresh is not None:
         aggs.append(F.sum("below").alias("below"))
+    if opts["spheres"]:
+        aggs += [F.sum(c).alias(c) for c in ("c_act_before", "c_und_before", "c_act_any")]
     if concept:
         aggs += [F.sum(c).alias(c) for c in ("w_other", "w_all", "w_d", "imp_other", "imp_all")]
     if topk:

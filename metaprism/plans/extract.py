@@ -43,7 +43,7 @@ CATALOGUE: dict[str, dict[str, bool]] = {
                    "vdb": False, "vdu": False},
     "complexity": {"c1": False, "c2": False, "f1": True, "f1v": True, "f2": True, "f3": True, "f4": True,
                    "l1": True, "l2": True, "l3": True, "lsc": False, "n1": False, "n2": True, "n3": True,
-                   "n4": True, "t2": False, "t3": False, "t4": False},
+                   "n4": True, "t1": False, "t2": False, "t3": False, "t4": False},
     "landmarking": {"best_node": True, "elite_nn": True, "linear_discr": True, "naive_bayes": True,
                     "one_nn": True, "random_node": True, "worst_node": True},
     "model-based": {"leaves": False, "leaves_branch": True, "leaves_corrob": True, "leaves_homo": True,
@@ -54,7 +54,7 @@ CATALOGUE: dict[str, dict[str, bool]] = {
 }
 NEEDS_LABEL = (general.NEEDS_LABEL | statistical.NEEDS_LABEL | infotheory.NEEDS_LABEL
                | clustering.NEEDS_LABEL | complexity.NEEDS_LABEL
-               | {"int", "pb", "sil", "vdu", "lsc", "n1", "n2", "n3", "n4", "conceptvar", "impconceptvar"}
+               | {"int", "pb", "sil", "vdu", "lsc", "n1", "n2", "n3", "n4", "t1", "conceptvar", "impconceptvar"}
                | set(CATALOGUE["landmarking"]) | set(CATALOGUE["model-based"]))
 
 
@@ -145,6 +145,8 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
                 parts.append(NB.ft_n1(fr, block_rows=pair_block_rows))
             if "n4" in names:
                 parts.append(NB.ft_n4(fr, block_rows=pair_block_rows))
+            if "t1" in names:
+                parts.append(NB.ft_t1(fr, block_rows=pair_block_rows))
         elif g == "landmarking":
             parts += [landmarking.FEATURES[f](fr) for f in names]
         elif g == "model-based":

@@ -141,3 +141,10 @@ def q_n1(spark, sf_dir):
     """Share of rows on a spanning-forest edge joining different classes
     (Boruvka on the pair kernel; checked against Prim's algorithm in tests)."""
     return finish_long(NB.ft_n1(_em(spark, sf_dir)))
+
+
+@query("complexity_t1", group="complexity")
+def q_t1(spark, sf_dir):
+    """Share of hyperspheres left after absorption (activity rounds on the
+    pair kernel; checked against the sequential loop in tests)."""
+    return finish_long(NB.ft_t1(_em(spark, sf_dir)))
