@@ -70,6 +70,8 @@ def _stats_schema(k: int, opts: dict) -> T.StructType:
         f += [T.StructField("below", T.LongType())]
     if opts.get("spheres"):
         f += [T.StructField(n, T.LongType()) for n in ("c_act_before", "c_und_before", "c_act_any")]
+    if opts.get("eps") is not None:
+        f += [T.StructField("n_eps", T.LongType()), T.StructField("lab_min", T.LongType())]
     if opts.get("concept"):
         f += [T.StructField(n, T.DoubleType()) for n in ("w_other", "w_all", "w_d", "imp_other", "imp_all")]
     if opts.get("topk"):
@@ -85,7 +87,7 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
     concept = opts.get("concept")
 
     def side_stats(ids, ys, yc, D, other_ids, other_ys, other_yc, self_mask, thr, grp=None, other_grp=None,
-                   sph=None, other_sph=None):
+                   sph=None, other_sph=None, lab=None, other_lab=None):
         """Statistics for the rows of D (axis 0) over the columns of D.
 
         With groups (e.g. CV folds), row i only sees rows of OTHER groups, so
@@ -125,6 +127,15 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
         if thr is not None:
             le = opts.get("thresh_le")
             out["below"] = (valid & ((D <= thr[:, None]) if le else (D < thr[:, None]))).sum(1).astype("int64")
+        if lab is not None:
+            # density clustering: neighbours within eps, smallest label of
+            # core neighbours within eps
+            near = valid & (D <= opts["eps"])
+            o_lab, o_core = other_lab
+            out["n_eps"] = near.sum(1).astype("int64")
+            big = np.iinfo(np.int64).max
+            cand = np.where(near & (o_core == 1)[None, :], o_lab[None, :], big)
+            out["lab_min"] = cand.min(1) if cand.shape[1] else np.full(n, big)
         if sph is not None:
             # hyperspheres: other row j contains row i when D[i, j] <= r_j
             (_, o_i, _), (r_j, o_j, s_j) = sph, other_sph
@@ -169,26 +180,33 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
         sp = ((pdf["r"].to_numpy(dtype=float), pdf["ord"].to_numpy(), pdf["st"].to_numpy())
               if opts.get("spheres") else None)
 
+        lb = ((pdf["lab"].to_numpy(dtype="int64"), pdf["core"].to_numpy(dtype="int64"))
+              if opts.get("eps") is not None else None)
+
         def cut(sel):
             return None if sp is None else tuple(x[sel] for x in sp)
+
+        def cutl(sel):
+            return None if lb is None else tuple(x[sel] for x in lb)
         if ta == tb:
             D = _dist(X, X, metric)
-            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr, g, g, sp, sp)
+            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr, g, g, sp, sp, lb, lb)
         a, b = blk == ta, blk == tb
         D = _dist(X[a], X[b], metric)
         sa = side_stats(ids[a], ys[a], yc[a], D, ids[b], ys[b], yc[b], np.zeros(D.shape, bool),
                         None if thr is None else thr[a], None if g is None else g[a], None if g is None else g[b],
-                        cut(a), cut(b))
+                        cut(a), cut(b), cutl(a), cutl(b))
         sb = side_stats(ids[b], ys[b], yc[b], D.T, ids[a], ys[a], yc[a], np.zeros(D.T.shape, bool),
                         None if thr is None else thr[b], None if g is None else g[b], None if g is None else g[a],
-                        cut(b), cut(a))
+                        cut(b), cut(a), cutl(b), cutl(a))
         return pd.concat([sa, sb], ignore_index=True)
     return fn
 
 
 def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", block_rows: int = BLOCK_ROWS,
                thresh: DataFrame | None = None, concept: tuple | None = None, topk: int = 0,
-               n: int | None = None, positive: bool = False, thresh_le: bool = False) -> DataFrame:
+               n: int | None = None, positive: bool = False, thresh_le: bool = False,
+               eps: float | None = None) -> DataFrame:
     """Merged per-row statistics over all other rows (see module doc).
 
     ``mat``: (row_id, y, x).  ``thresh``: optional (row_id, thresh) - count of
@@ -199,7 +217,7 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
     n = n if n is not None else mat.count()
     B = max(1, math.ceil(n / block_rows))
     opts = {"thresh": thresh is not None, "concept": concept, "topk": topk, "grp": "grp" in mat.columns,
-            "positive": positive, "thresh_le": thresh_le, "spheres": "st" in mat.columns}
+            "positive": positive, "thresh_le": thresh_le, "spheres": "st" in mat.columns, "eps": eps}
     m = mat
     if thresh is not None:
         m = m.join(thresh, "row_id")
@@ -224,6 +242,8 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
         aggs.append(F.sum("below").alias("below"))
     if opts["spheres"]:
         aggs += [F.sum(c).alias(c) for c in ("c_act_before", "c_und_before", "c_act_any")]
+    if eps is not None:
+        aggs += [F.sum("n_eps").alias("n_eps"), F.min("lab_min").alias("lab_min")]
     if concept:
         aggs += [F.sum(c).alias(c) for c in ("w_other", "w_all", "w_d", "imp_other", "imp_all")]
     if topk:

@@ -121,3 +121,13 @@ def q_relative(spark, sf_dir):
     long = union_all([L.FEATURES[n](fr) for n in names])
     res = summarise(long, ("mean", "sd"), vector_features=set(names))
     return U.relative_rank(res, names).select("name", sig(F.col("value")).alias("value"))
+
+
+@query("dbscan_clusters", group="models")
+def q_dbscan(spark, sf_dir):
+    """DBSCAN (eps 0.5, min_samples 5) on the standardised embedding columns;
+    checked against brute force in tests/test_dbscan.py."""
+    from ..operators import phases as P
+    fr = embeddings_frame(spark, sf_dir)
+    z = P.standardise_matrix(fr).transform(fr)
+    return E.dbscan(z, eps=0.5, min_samples=5)
