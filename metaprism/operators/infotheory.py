@@ -36,8 +36,12 @@ def attr_entropies(fr: Frame, ct: DataFrame | None = None) -> DataFrame:
 
 
 def class_entropy_value(fr: Frame) -> float:
-    cc = fr.df.where(fr.y().isNotNull()).groupBy(fr.y().alias("y")).agg(F.count(F.lit(1)).cast("double").alias("cnt"))
-    return _entropy(cc.withColumn("g", F.lit(0)), ["g"]).first()["ent"]
+    """Entropy of the label (memoised per Frame: one grouped pass)."""
+    if "_class_ent" not in fr.options:
+        cc = (fr.df.where(fr.y().isNotNull()).groupBy(fr.y().alias("y"))
+              .agg(F.count(F.lit(1)).cast("double").alias("cnt")))
+        fr.options["_class_ent"] = _entropy(cc.withColumn("g", F.lit(0)), ["g"]).first()["ent"]
+    return fr.options["_class_ent"]
 
 
 def joint_entropies(ct: DataFrame, eps: float = EPS) -> DataFrame:
@@ -71,8 +75,8 @@ def concentration(cells: DataFrame, eps: float = EPS) -> DataFrame:
     return s.join(jsum2, "g").select("g", ((F.col("s") - F.col("jsum2")) / (1.0 - F.col("jsum2"))).alias("conc"))
 
 
-def ft_attr_ent(fr: Frame) -> DataFrame:
-    ae = attr_entropies(fr)
+def ft_attr_ent(fr: Frame, ct: DataFrame | None = None) -> DataFrame:
+    ae = attr_entropies(fr, ct)
     return ae.select(entry("attr_ent", F.col("ent"), attr=F.col("attr"), idx=_idx_map(fr.cat)[F.col("attr")]).alias("e")).select("e.*")
 
 

@@ -120,8 +120,8 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
                 ct = infotheory.K.attr_class_counts(fr).cache() if fr.label else None
                 for f in names:
                     fn = infotheory.FEATURES[f]
-                    parts.append(fn(fr, ct) if f in ("joint_ent", "mut_inf", "eq_num_attr", "ns_ratio", "class_conc")
-                                 else fn(fr))
+                    parts.append(fn(fr, ct) if f in ("attr_ent", "joint_ent", "mut_inf", "eq_num_attr", "ns_ratio",
+                                                     "class_conc") and ct is not None else fn(fr))
         elif g == "itemset":
             if fr.cat:
                 parts += [itemset.FEATURES[f](fr) for f in names]

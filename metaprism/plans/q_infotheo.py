@@ -61,7 +61,7 @@ def _li(spark, sf_dir):
 def q_info_theory(spark, sf_dir):
     fr = _li(spark, sf_dir)
     ct = I.K.attr_class_counts(fr).cache()
-    out = union_all([I.ft_attr_ent(fr), I.ft_class_ent(fr), I.ft_joint_ent(fr, ct), I.ft_mut_inf(fr, ct),
+    out = union_all([I.ft_attr_ent(fr, ct), I.ft_class_ent(fr), I.ft_joint_ent(fr, ct), I.ft_mut_inf(fr, ct),
                      I.ft_eq_num_attr(fr, ct), I.ft_ns_ratio(fr, ct), I.ft_class_conc(fr, ct)])
     return finish_long(out)
 
