@@ -132,9 +132,9 @@ def fit_impute_num(fr: Frame, option: str, seed: int = 42) -> Fitted:
 
 def _fit_random_fill(fr: Frame, cols: list[str], seed: int, phase: str, where=None) -> Fitted:
     """Fill each null (or each ``where`` cell) with a distinct train value
-    picked by a hash of (row key, seed, column).  The distinct-value table is
-    ranked distributedly and joined on the drawn rank - no value list on the
-    driver, no per-row Python.
+    picked by a portable hash of (row key, seed + 7919 * column position).
+    The distinct-value table is ranked distributedly and joined on the drawn
+    rank - no value list on the driver, no per-row Python.
     """
     if fr.row_id is None:
         raise ValueError("random fill needs a row key")
@@ -148,12 +148,13 @@ def _fit_random_fill(fr: Frame, cols: list[str], seed: int, phase: str, where=No
 
     def apply(fr: Frame, p: dict) -> Frame:
         df = fr.df
-        for c in p["cols"]:
+        from .splits import hkey
+        for j, c in enumerate(p["cols"]):
             k = p["sizes"][c]
             if k == 0:
                 continue
             hit = F.col(c).isNull() if where is None else where(c)
-            draw = F.pmod(F.xxhash64(F.col(fr.row_id), F.lit(p["seed"]), F.lit(c)), F.lit(k))
+            draw = hkey(F.col(fr.row_id), p["seed"] + 7919 * j) % F.lit(k)
             lv = p["_tables"][c].select(F.col("code").alias(f"_d_{c}"), F.col("value").alias(f"_v_{c}"))
             df = (df.withColumn(f"_d_{c}", F.when(hit, draw))
                   .join(lv, f"_d_{c}", "left")

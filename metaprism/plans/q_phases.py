@@ -29,7 +29,7 @@ def lin_frame(spark, sf_dir) -> Frame:
         "l_extendedprice", "l_discount", "l_tax",
         F.when(F.col("l_orderkey") % 11 == 0, F.lit(None)).otherwise(F.col("l_linestatus")).alias("l_linestatus"),
         F.col("l_returnflag").alias("y"),
-        F.xxhash64(*KEY).alias("row_id"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),  # portable draw key
     )
     return Frame(df=df, num=LI_NUM, cat=("l_linestatus",), label="y", row_id="row_id", name="lineitem_nulls")
 
@@ -74,7 +74,21 @@ for _o, _e in _IMPUTE.items():
     _impute_num_query(_o, _e)
 
 
-@query("impute_num_random", group="phases")
+def _random_fill_sql(table_cte: str, src: str, key_expr: str, col: str, keys: str, hit: str, cast: str = "") -> str:
+    from ..operators.splits import sql_hkey
+    draw = f"({sql_hkey(key_expr, 42)}) % (SELECT count(*) FROM lv)"
+    val = f"(SELECT v FROM lv WHERE lv.code = {draw})"
+    out = f"CASE WHEN {hit} THEN {val} ELSE {col} END"
+    if cast:
+        out = f"CAST({out} AS {cast})"
+    return (f"WITH {table_cte}lv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM "
+            f"(SELECT DISTINCT {col} AS v FROM {src} WHERE {col} IS NOT NULL) AS d) "
+            f"SELECT {keys}, {out} AS {col} FROM {src}")
+
+
+@query("impute_num_random",
+       _random_fill_sql(LIN_CTE + ", ", "lin", "l_orderkey * 8 + l_linenumber", "l_quantity", KEYS_SQL,
+                        "l_quantity IS NULL"), group="phases")
 def q_impute_num_random(spark, sf_dir):
     fr = lin_frame(spark, sf_dir)
     return _out(P.fit_impute_num(fr, "aleatorio").transform(fr), ["l_quantity"])
@@ -104,7 +118,9 @@ def q_impute_str_label(spark, sf_dir):
     return _out(P.fit_impute_str(fr, "etiqueta_desconocido").transform(fr), ["l_linestatus"])
 
 
-@query("impute_str_random", group="phases")
+@query("impute_str_random",
+       _random_fill_sql(LIN_CTE + ", ", "lin", "l_orderkey * 8 + l_linenumber", "l_linestatus", KEYS_SQL,
+                        "l_linestatus IS NULL"), group="phases")
 def q_impute_str_random(spark, sf_dir):
     fr = lin_frame(spark, sf_dir)
     return _out(P.fit_impute_str(fr, "aleatorio").transform(fr), ["l_linestatus"])
@@ -254,7 +270,9 @@ for _o, _s in _OUT_STAT.items():
     _outlier_query(_o, _s)
 
 
-@query("replace_outliers_random", group="phases")
+@query("replace_outliers_random",
+       _random_fill_sql("", "events", "event_id", "value", "event_id",
+                        f"(value < {_FENCE[0]} OR value > {_FENCE[1]})"), group="phases")
 def q_outliers_random(spark, sf_dir):
     fr = events_value_frame(spark, sf_dir)
     out = P.fit_outliers(fr, "aleatorio").transform(fr)
@@ -352,6 +370,16 @@ def q_norm_boxcox(spark, sf_dir):
                          F.lit(f.params["lambda"]["c_acctbal"]).alias("lambda"))
 
 
+@query("normalise_box_cox_fixed",
+       f"SELECT c_custkey, {sql_sig(f'(power(c_acctbal + {_SHIFT}, 0.5) - 1.0) / 0.5')} AS c_acctbal FROM customer",
+       group="phases")
+def q_norm_boxcox_fixed(spark, sf_dir):
+    """Box-Cox apply with lambda fixed at 0.5 (shift rule as sqrt/ln)."""
+    fr = cust_frame(spark, sf_dir)
+    out = P.fit_normalise(fr, "box_cox", lambdas={"c_acctbal": 0.5}).transform(fr)
+    return out.df.select("c_custkey", sig(F.col("c_acctbal")).alias("c_acctbal"))
+
+
 # ------------------------------------------------------- derived / selections
 @query("derive_columns",
        f"SELECT {KEYS_SQL}, {sql_sig('l_extendedprice / l_quantity')} AS unit_price, "
