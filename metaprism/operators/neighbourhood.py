@@ -359,3 +359,25 @@ def ft_t1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame
     final = pair_stats(mat.join(state, "row_id"), classes, metric, block_rows, n=n)
     surv = final.join(state.select("row_id", "st"), "row_id").where((F.col("st") == 1) & (F.col("c_act_any") == 0))
     return surv.agg(F.count(F.lit(1)).alias("c")).select(entry("t1", F.col("c") / F.lit(float(n))).alias("e")).select("e.*")
+
+
+def ft_density(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048) -> DataFrame:
+    """1 - density of the graph linking each row to its round(0.15 n)
+    nearest rows of the same class (positive distances, either direction).
+
+    Two kernel passes and no edge list: the first finds each row's k-th
+    neighbour (distance, id); the second counts, per row, out-edges and
+    mutual edges under the exact (distance, id) neighbour order, so
+    |E| = sum(out) - sum(mutual) / 2."""
+    classes = sorted_classes(fr)
+    mat = scaled_matrix(fr, "minmax").cache()
+    n = mat.count()
+    k = int(round(n * radius_frac)) if 0 < radius_frac < 1 else int(radius_frac)
+    k = max(1, min(k, n - 1))
+    top = pair_stats(mat, classes, metric, block_rows, topk=k, n=n)
+    kth = top.select("row_id", F.element_at("topk", -1).alias("kth")).select(
+        "row_id", F.col("kth.d").alias("rkd"), F.col("kth.id").alias("rkid"))
+    st = pair_stats(mat.join(kth, "row_id"), classes, metric, block_rows, n=n)
+    e = st.agg((F.sum("knn_out") - F.sum("knn_mutual") / 2.0).alias("E"))
+    dens = F.col("E") * 2.0 / (float(n) * (n - 1.0))
+    return e.select(entry("density", 1.0 - dens).alias("e")).select("e.*")

@@ -72,6 +72,8 @@ def _stats_schema(k: int, opts: dict) -> T.StructType:
         f += [T.StructField(n, T.LongType()) for n in ("c_act_before", "c_und_before", "c_act_any")]
     if opts.get("eps") is not None:
         f += [T.StructField("n_eps", T.LongType()), T.StructField("lab_min", T.LongType())]
+    if opts.get("knng"):
+        f += [T.StructField("knn_out", T.LongType()), T.StructField("knn_mutual", T.LongType())]
     if opts.get("concept"):
         f += [T.StructField(n, T.DoubleType()) for n in ("w_other", "w_all", "w_d", "imp_other", "imp_all")]
     if opts.get("topk"):
@@ -87,7 +89,7 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
     concept = opts.get("concept")
 
     def side_stats(ids, ys, yc, D, other_ids, other_ys, other_yc, self_mask, thr, grp=None, other_grp=None,
-                   sph=None, other_sph=None, lab=None, other_lab=None):
+                   sph=None, other_sph=None, lab=None, other_lab=None, kg=None, other_kg=None):
         """Statistics for the rows of D (axis 0) over the columns of D.
 
         With groups (e.g. CV folds), row i only sees rows of OTHER groups, so
@@ -136,6 +138,15 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
             big = np.iinfo(np.int64).max
             cand = np.where(near & (o_core == 1)[None, :], o_lab[None, :], big)
             out["lab_min"] = cand.min(1) if cand.shape[1] else np.full(n, big)
+        if kg is not None:
+            # k-NN graph restricted to same-class, positive-distance pairs:
+            # j is among i's k nearest iff (d, id_j) <= (kth_d_i, kth_id_i)
+            (rkd_i, rki_i), (rkd_j, rki_j) = kg, other_kg
+            in_i = (D < rkd_i[:, None]) | ((D == rkd_i[:, None]) & (other_ids[None, :] <= rki_i[:, None]))
+            in_j = (D < rkd_j[None, :]) | ((D == rkd_j[None, :]) & (ids[:, None] <= rki_j[None, :]))
+            same = valid & (other_ys[None, :] == ys[:, None]) & (D > 0)
+            out["knn_out"] = (same & in_i).sum(1).astype("int64")
+            out["knn_mutual"] = (same & in_i & in_j).sum(1).astype("int64")
         if sph is not None:
             # hyperspheres: other row j contains row i when D[i, j] <= r_j
             (_, o_i, _), (r_j, o_j, s_j) = sph, other_sph
@@ -182,6 +193,11 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
 
         lb = ((pdf["lab"].to_numpy(dtype="int64"), pdf["core"].to_numpy(dtype="int64"))
               if opts.get("eps") is not None else None)
+        kg = ((pdf["rkd"].to_numpy(dtype=float), pdf["rkid"].to_numpy(dtype="int64"))
+              if opts.get("knng") else None)
+
+        def cutk(sel):
+            return None if kg is None else tuple(x[sel] for x in kg)
 
         def cut(sel):
             return None if sp is None else tuple(x[sel] for x in sp)
@@ -190,15 +206,16 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
             return None if lb is None else tuple(x[sel] for x in lb)
         if ta == tb:
             D = _dist(X, X, metric)
-            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr, g, g, sp, sp, lb, lb)
+            return side_stats(ids, ys, yc, D, ids, ys, yc, np.eye(len(ids), dtype=bool), thr, g, g, sp, sp, lb, lb,
+                              kg, kg)
         a, b = blk == ta, blk == tb
         D = _dist(X[a], X[b], metric)
         sa = side_stats(ids[a], ys[a], yc[a], D, ids[b], ys[b], yc[b], np.zeros(D.shape, bool),
                         None if thr is None else thr[a], None if g is None else g[a], None if g is None else g[b],
-                        cut(a), cut(b), cutl(a), cutl(b))
+                        cut(a), cut(b), cutl(a), cutl(b), cutk(a), cutk(b))
         sb = side_stats(ids[b], ys[b], yc[b], D.T, ids[a], ys[a], yc[a], np.zeros(D.T.shape, bool),
                         None if thr is None else thr[b], None if g is None else g[b], None if g is None else g[a],
-                        cut(b), cut(a), cutl(b), cutl(a))
+                        cut(b), cut(a), cutl(b), cutl(a), cutk(b), cutk(a))
         return pd.concat([sa, sb], ignore_index=True)
     return fn
 
@@ -217,7 +234,8 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
     n = n if n is not None else mat.count()
     B = max(1, math.ceil(n / block_rows))
     opts = {"thresh": thresh is not None, "concept": concept, "topk": topk, "grp": "grp" in mat.columns,
-            "positive": positive, "thresh_le": thresh_le, "spheres": "st" in mat.columns, "eps": eps}
+            "positive": positive, "thresh_le": thresh_le, "spheres": "st" in mat.columns, "eps": eps,
+            "knng": "rkd" in mat.columns}
     m = mat
     if thresh is not None:
         m = m.join(thresh, "row_id")
@@ -244,6 +262,8 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
         aggs += [F.sum(c).alias(c) for c in ("c_act_before", "c_und_before", "c_act_any")]
     if eps is not None:
         aggs += [F.sum("n_eps").alias("n_eps"), F.min("lab_min").alias("lab_min")]
+    if opts["knng"]:
+        aggs += [F.sum("knn_out").alias("knn_out"), F.sum("knn_mutual").alias("knn_mutual")]
     if concept:
         aggs += [F.sum(c).alias(c) for c in ("w_other", "w_all", "w_d", "imp_other", "imp_all")]
     if topk:

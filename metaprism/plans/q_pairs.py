@@ -148,3 +148,10 @@ def q_t1(spark, sf_dir):
     """Share of hyperspheres left after absorption (activity rounds on the
     pair kernel; checked against the sequential loop in tests)."""
     return finish_long(NB.ft_t1(_em(spark, sf_dir)))
+
+
+@query("complexity_density", group="complexity")
+def q_density(spark, sf_dir):
+    """1 - density of the same-class round(0.15 n)-NN graph, counted on the
+    pair kernel without an edge list (checked against a dense graph in tests)."""
+    return finish_long(NB.ft_density(_em(spark, sf_dir)))
