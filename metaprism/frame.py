@@ -119,3 +119,16 @@ def union_all(dfs: list[DataFrame]) -> DataFrame:
     for d in dfs[1:]:
         out = out.unionByName(d)
     return out
+
+
+MAX_GROUPS = 100_000
+
+
+def collect_bounded(df: DataFrame, what: str, limit: int = MAX_GROUPS) -> list:
+    """Collect a small aggregate (one row per class / level / column) after
+    checking its size: at most ``limit`` rows are fetched, and more than
+    ``limit`` raises instead of silently truncating."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} {what}: too many to bring to the driver")
+    return rows

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame, entry, unpivot
+from ..frame import Frame, entry, unpivot, collect_bounded
 from . import moments as M
 
 
@@ -38,7 +38,8 @@ def class_ranges(fr: Frame):
     rows = fr.df.groupBy(fr.y().alias("cls")).agg(
         F.count(F.lit(1)).alias("cnt"),
         *[F.min(_x(c)).alias(f"lo{i}") for i, c in enumerate(fr.num)],
-        *[F.max(_x(c)).alias(f"hi{i}") for i, c in enumerate(fr.num)]).collect()  # one row per class
+        *[F.max(_x(c)).alias(f"hi{i}") for i, c in enumerate(fr.num)])
+    rows = collect_bounded(rows, "classes")  # one row per class, size checked
     rows.sort(key=lambda r: r["cls"])
     d = len(fr.num)
     lo = np.array([[r[f"lo{i}"] for i in range(d)] for r in rows], dtype=float)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame
+from ..frame import Frame, collect_bounded
 
 # Wide tables switch to the MLlib Summarizer path above this many columns.
 MAX_PAIRWISE_COLS = 200
@@ -75,7 +75,8 @@ def _class_scatter(fr: Frame, cols: list[str]) -> ClassScatter:
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]
     aggs += _pair_aggs(cols)
-    rows = fr.df.groupBy(fr.y().alias("cls")).agg(*aggs).orderBy("cls").collect()
+    rows = sorted(collect_bounded(fr.df.groupBy(fr.y().alias("cls")).agg(*aggs), "classes"),
+                  key=lambda r: r["cls"])
     k = len(rows)
     counts = np.array([r["n"] for r in rows], dtype=float)
     means = np.array([[r[f"m_{i}"] for i in range(d)] for r in rows], dtype=float).reshape(k, d)

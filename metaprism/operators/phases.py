@@ -563,7 +563,8 @@ def fit_select_by_forest(fr: Frame, task: str = "clasificacion", trees: int = 10
     if task == "regresion":
         model = RandomForestRegressor(numTrees=trees, seed=seed, featuresCol="_f", labelCol=fr.label).fit(data)
     else:
-        classes = sorted(r[0] for r in fr.df.select(fr.y()).distinct().collect())  # class list (checked small by caller)
+        from ..frame import collect_bounded
+        classes = sorted(r[0] for r in collect_bounded(fr.df.select(fr.y()).distinct(), "classes"))
         idx = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
         model = RandomForestClassifier(numTrees=trees, seed=seed, featuresCol="_f", labelCol="_l").fit(
             data.withColumn("_l", idx[fr.y()]))

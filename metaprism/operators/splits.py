@@ -42,7 +42,8 @@ def kfold_stratified(fr: Frame, k: int = 3, shuffle: bool = True, seed: int = 42
     if shuffle:
         ranked = rank_within(df.withColumn("_h", hkey(rid, seed)), ["_y"], ["_h", fr.row_id], "_rk")
         return ranked.withColumn("fold", (F.col("_rk") % k).cast("int")).drop("_h", "_rk", "_y")
-    counts = {r["_y"]: r["count"] for r in df.groupBy("_y").count().collect()}  # one row per class
+    from ..frame import collect_bounded
+    counts = {r["_y"]: r["count"] for r in collect_bounded(df.groupBy("_y").count(), "classes")}
     classes = sorted(counts)
     start, bounds = 0, {}
     for c in classes:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame, entry, unpivot, union_all, empty_long
+from ..frame import Frame, entry, unpivot, union_all, empty_long, collect_bounded
 from ..functions.numeric import safe_div
 from . import moments as M
 
@@ -265,7 +265,7 @@ def ft_gravity(fr: Frame, norm_ord: float = 2.0) -> DataFrame:
     cols = list(fr.num)
     cent = fr.df.groupBy(fr.y().alias("cls")).agg(
         F.count(F.lit(1)).alias("cnt"), *[F.avg(_x(c)).alias(f"m{i}") for i, c in enumerate(cols)])
-    rows = cent.collect()  # one row per class
+    rows = collect_bounded(cent, "classes")  # one row per class, size checked
     rows.sort(key=lambda r: r["cls"])
     maj = max(rows, key=lambda r: (r["cnt"], -rows.index(r)))
     rest = [r for r in rows if r is not maj]
