@@ -381,3 +381,64 @@ def ft_density(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, bloc
     e = st.agg((F.sum("knn_out") - F.sum("knn_mutual") / 2.0).alias("E"))
     dens = F.col("E") * 2.0 / (float(n) * (n - 1.0))
     return e.select(entry("density", 1.0 - dens).alias("e")).select("e.*")
+
+
+def knn_graph_edges(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048) -> DataFrame:
+    """Undirected edges (a < b) of the same-class round(0.15 n)-NN graph with
+    positive distances.  The graph is the feature's own object, so its edge
+    list (n * k rows at most) is materialised here; density avoids it."""
+    classes = sorted_classes(fr)
+    mat = scaled_matrix(fr, "minmax").cache()
+    n = mat.count()
+    k = int(round(n * radius_frac)) if 0 < radius_frac < 1 else int(radius_frac)
+    k = max(1, min(k, n - 1))
+    top = pair_stats(mat, classes, metric, block_rows, topk=k, n=n)
+    e = (top.select("row_id", "y", F.explode("topk").alias("nb"))
+         .where((F.col("nb.y") == F.col("y")) & (F.col("nb.d") > 0))
+         .select(F.least("row_id", F.col("nb.id")).alias("a"), F.greatest("row_id", F.col("nb.id")).alias("b"))
+         .distinct())
+    return e
+
+
+def ft_cls_coef(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048) -> DataFrame:
+    """1 - global transitivity (3 x triangles / connected triples) of the
+    k-NN graph.  Triangles by the oriented wedge join (a < b < c): each wedge
+    a-b, a-c is closed by an equi-join with the edge set."""
+    e = knn_graph_edges(fr, metric, radius_frac, block_rows).checkpoint(eager=True)
+    deg = e.select(F.col("a").alias("v")).unionAll(e.select(F.col("b").alias("v"))).groupBy("v").count()
+    triples = deg.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2.0).alias("t")).first()["t"] or 0.0
+    w = e.alias("e1").join(e.alias("e2"), (F.col("e1.a") == F.col("e2.a")) & (F.col("e1.b") < F.col("e2.b"))) \
+        .select(F.col("e1.b").alias("a"), F.col("e2.b").alias("b"))
+    tri = w.join(e, ["a", "b"]).count()
+    v = 1.0 - (3.0 * tri / triples if triples > 0 else 0.0)
+    return fr.spark.range(1).select(entry("cls_coef", F.lit(float(v))).alias("e")).select("e.*")
+
+
+def ft_hubs(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048,
+            tol: float = 1e-10, max_iter: int = 1000) -> DataFrame:
+    """1 - hub score per row of the k-NN graph (principal eigenvector of
+    A A^T = A^2 for the undirected graph, scaled to max 1), by power
+    iteration on the edge list: each step is two join-aggregates; the score
+    table is checkpointed every 10 steps."""
+    e = knn_graph_edges(fr, metric, radius_frac, block_rows)
+    directed = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint(eager=True)
+    verts = fr.df.select(F.col(fr.row_id).cast("long").alias("v")).distinct().checkpoint(eager=True)
+    x = verts.select("v", F.lit(1.0).alias("x"))
+
+    def step(x):
+        y = directed.join(x.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.sum("x").alias("x"))
+        return verts.join(y.withColumnRenamed("a", "v"), "v", "left").select("v", F.coalesce("x", F.lit(0.0)).alias("x"))
+    scale = 1.0
+    for it in range(max_iter):
+        # one action per iteration: the new maximum and the change against
+        # the previous vector (both scaled by the previous maximum)
+        z = step(step(x)).select("v", (F.col("x") / F.lit(scale)).alias("x"))
+        z = z.checkpoint(eager=True) if it % 10 == 9 else z.cache()
+        r = z.join(x.withColumnRenamed("x", "x0"), "v").agg(
+            F.max(F.abs("x")).alias("m"), F.max(F.abs(F.col("x") - F.col("x0"))).alias("d")).first()
+        x = z
+        scale = r["m"] or 1.0
+        if r["d"] is not None and r["d"] < tol and abs(scale - 1.0) < tol:
+            break
+    x = x.select("v", (F.col("x") / F.lit(x.agg(F.max(F.abs("x"))).first()[0] or 1.0)).alias("x"))
+    return x.select(entry("hubs", 1.0 - F.col("x"), attr=F.col("v").cast("string")).alias("e")).select("e.*")

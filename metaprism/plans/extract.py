@@ -41,7 +41,7 @@ CATALOGUE: dict[str, dict[str, bool]] = {
     "itemset": {"one_itemset": True, "two_itemset": True},
     "clustering": {"ch": False, "int": False, "nre": False, "pb": False, "sc": False, "sil": False,
                    "vdb": False, "vdu": False},
-    "complexity": {"c1": False, "c2": False, "density": False, "f1": True, "f1v": True, "f2": True, "f3": True, "f4": True,
+    "complexity": {"c1": False, "c2": False, "cls_coef": False, "density": False, "f1": True, "f1v": True, "f2": True, "f3": True, "f4": True,
                    "l1": True, "l2": True, "l3": True, "lsc": False, "n1": False, "n2": True, "n3": True,
                    "n4": True, "t1": False, "t2": False, "t3": False, "t4": False},
     "landmarking": {"best_node": True, "elite_nn": True, "linear_discr": True, "naive_bayes": True,
@@ -54,7 +54,7 @@ CATALOGUE: dict[str, dict[str, bool]] = {
 }
 NEEDS_LABEL = (general.NEEDS_LABEL | statistical.NEEDS_LABEL | infotheory.NEEDS_LABEL
                | clustering.NEEDS_LABEL | complexity.NEEDS_LABEL
-               | {"int", "pb", "sil", "vdu", "lsc", "n1", "n2", "n3", "n4", "t1", "density", "conceptvar", "impconceptvar"}
+               | {"int", "pb", "sil", "vdu", "lsc", "n1", "n2", "n3", "n4", "t1", "density", "cls_coef", "hubs", "conceptvar", "impconceptvar"}
                | set(CATALOGUE["landmarking"]) | set(CATALOGUE["model-based"]))
 
 
@@ -149,6 +149,8 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
                 parts.append(NB.ft_t1(fr, block_rows=pair_block_rows))
             if "density" in names:
                 parts.append(NB.ft_density(fr, block_rows=pair_block_rows))
+            if "cls_coef" in names:
+                parts.append(NB.ft_cls_coef(fr, block_rows=pair_block_rows))
         elif g == "landmarking":
             parts += [landmarking.FEATURES[f](fr) for f in names]
         elif g == "model-based":

@@ -155,3 +155,18 @@ def q_density(spark, sf_dir):
     """1 - density of the same-class round(0.15 n)-NN graph, counted on the
     pair kernel without an edge list (checked against a dense graph in tests)."""
     return finish_long(NB.ft_density(_em(spark, sf_dir)))
+
+
+@query("complexity_cls_coef", group="complexity")
+def q_cls_coef(spark, sf_dir):
+    """1 - transitivity of the same-class round(0.15 n)-NN graph (wedge join;
+    checked against a dense graph in tests)."""
+    return finish_long(NB.ft_cls_coef(_em(spark, sf_dir)))
+
+
+@query("complexity_hubs", group="complexity")
+def q_hubs(spark, sf_dir):
+    """1 - hub score per row of the k-NN graph; power iteration capped at 25
+    steps here (the same-class components have close leading eigenvalues, so
+    full convergence takes hundreds of steps; tests check it to 1e-6)."""
+    return finish_long(NB.ft_hubs(_em(spark, sf_dir), tol=1e-6, max_iter=25))
