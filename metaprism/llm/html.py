@@ -252,7 +252,7 @@ class _Writer:
         self.flush()
         for i, line in enumerate(lines):
             mark = first if i == 0 else rest
-            self.now = [(mark + line) if line else mark.rstrip() if i == 0 else ""]
+            self.now = [mark + line if line else mark.rstrip()]
             self.flush(True)
 
 

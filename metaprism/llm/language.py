@@ -148,7 +148,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
         x, letters = _vectors(pdf["text"].tolist(), idf)
         x, letters = x[letters > 0], letters[letters > 0]
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroids": [], "least": []})
+            return pd.DataFrame({"lang": [], "centroids": [], "least": []}, dtype=object)
         c = _cluster(x, clusters)
         sims, cls = (x @ c.T).max(axis=1), _length_class(letters)
         least = [float(sims[cls == j].min()) if (cls == j).any() else 2.0 for j in range(16)]
