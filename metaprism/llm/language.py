@@ -128,7 +128,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     N-gram document frequencies cover all rows.  Centroids and length floors
     are fitted on at most ``per_lang`` texts a language, those of lowest text
     hash.  A floor is ``slack`` times the least own-language cosine seen in
-    the length class or a longer one.  None when there is no usable row.
+    the length class or a longer one; below 128 letters, where a key or a
+    number can be half the text, the slack shrinks with the length class.
+    None when there is no usable row.
     """
     training = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     df, n = _document_frequencies(training)
@@ -162,7 +164,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     least = np.min([r["least"] for r in rows], axis=0)
     floors = np.minimum.accumulate(least[::-1])[::-1].copy()  # a shorter class is never stricter
     floors[floors > 1] = 1.0
-    return Model(idf, np.concatenate(blocks), [r["lang"] for r, b in zip(rows, blocks) for _ in b], floors * slack)
+    return Model(idf, np.concatenate(blocks), [r["lang"] for r, b in zip(rows, blocks) for _ in b],
+                 floors * slack * np.minimum(1.0, np.arange(16) / 7))
 
 
 def predictor(model: Model | None):
