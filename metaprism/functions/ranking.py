@@ -12,13 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
+
+def _ranged(df: DataFrame, keys: list[str], partitions: int | None) -> DataFrame:
+    """``df`` range-partitioned on ``keys`` with the partition number as
+    ``_pid``, fixed by a reliable checkpoint: the range bounds come from a
+    sample, so both readers must see the one written copy."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(parts, *keys).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+
 
 def sorted_levels(values: DataFrame, col: str = "value", partitions: int | None = None) -> DataFrame:
     """(value, code) with code = rank of value among the sorted distinct values."""
-    spark = values.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = values.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    ranged = d.repartitionByRange(parts, "value").withColumn("_pid", F.spark_partition_id())
+    ranged = _ranged(d, ["value"], partitions)
     local = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_pid").orderBy("value")) - 1)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     # offsets: one row per partition -> cumulative sum over a handful of rows
@@ -43,13 +52,15 @@ def rank_within(df: DataFrame, by: list[str], order: list[str], out: str = "rank
     slice, and a per-(partition, group) count table - partitions x groups rows
     - supplies the offsets.  No window ever sees a whole large group.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.repartitionByRange(parts, *by, *order).withColumn("_pid", F.spark_partition_id())
+    keyed = _ranged(df, [*by, *order], partitions)
     local = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order)) - 1)
     counts = keyed.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*by).orderBy("_pid") if by else Window.orderBy("_pid")  # one row per (partition, group)
-    offs = counts.select("_pid", *by, (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
-    return (local.join(offs, ["_pid", *by])
+    offs = counts.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+                         (F.sum("_c").over(w) - F.col("_c")).alias("_off"))
+    same = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(by):  # a null group is a group
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return (local.join(offs, same)
             .withColumn(out, (F.col("_off") + F.col("_r")).cast("long"))
-            .drop("_pid", "_r", "_off"))
+            .select(*df.columns, out))

@@ -55,18 +55,23 @@ def class_list(fr: Frame) -> list[str]:
     return sorted_classes(fr)
 
 
+# The defaults of the reference's learners: penalty C = 1 spread over n rows,
+# no standardisation; boosting of depth 3; forests and trees as deep as MLlib goes.
 MLLIB_CLASSIFIERS = {
-    "logistic_regression": lambda k, seed: MC.LogisticRegression(family="multinomial", maxIter=100),
-    "linear_svc": lambda k, seed: MC.OneVsRest(classifier=MC.LinearSVC(maxIter=100), parallelism=8),
-    "sgd_classifier": lambda k, seed: MC.OneVsRest(classifier=MC.LinearSVC(maxIter=20), parallelism=8),
-    "decision_tree": lambda k, seed: MC.DecisionTreeClassifier(maxDepth=30, seed=seed),
-    "random_forest": lambda k, seed: MC.RandomForestClassifier(numTrees=100, seed=seed),
-    "gradient_boosting": lambda k, seed: MC.OneVsRest(classifier=MC.GBTClassifier(maxIter=100, seed=seed),
-                                                      parallelism=8),
-    "hist_gradient_boosting": lambda k, seed: MC.OneVsRest(classifier=MC.GBTClassifier(maxIter=100, seed=seed),
-                                                           parallelism=8),
-    "gaussian_nb": lambda k, seed: MC.NaiveBayes(modelType="gaussian"),
-    "multinomial_nb": lambda k, seed: MC.NaiveBayes(modelType="multinomial"),
+    "logistic_regression": lambda n, seed: MC.LogisticRegression(
+        family="multinomial", maxIter=100, regParam=1.0 / n, standardization=False),
+    "linear_svc": lambda n, seed: MC.OneVsRest(
+        classifier=MC.LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False), parallelism=8),
+    "sgd_classifier": lambda n, seed: MC.OneVsRest(
+        classifier=MC.LinearSVC(maxIter=100, regParam=1e-4, standardization=False), parallelism=8),
+    "decision_tree": lambda n, seed: MC.DecisionTreeClassifier(maxDepth=30, seed=seed),
+    "random_forest": lambda n, seed: MC.RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed),
+    "gradient_boosting": lambda n, seed: MC.OneVsRest(
+        classifier=MC.GBTClassifier(maxIter=100, maxDepth=3, seed=seed), parallelism=8),
+    "hist_gradient_boosting": lambda n, seed: MC.OneVsRest(
+        classifier=MC.GBTClassifier(maxIter=100, maxDepth=5, maxBins=255, seed=seed), parallelism=8),
+    "gaussian_nb": lambda n, seed: MC.NaiveBayes(modelType="gaussian"),
+    "multinomial_nb": lambda n, seed: MC.NaiveBayes(modelType="multinomial"),
 }
 
 
@@ -75,7 +80,7 @@ def fit_classifier(name: str, fr: Frame, seed: int = 42, **params) -> FittedMode
     dec = _decode(classes)
     if name in MLLIB_CLASSIFIERS or name == "mlp_classifier":
         est = (MC.MultilayerPerceptronClassifier(layers=[len(fr.num), 100, len(classes)], seed=seed, maxIter=200)
-               if name == "mlp_classifier" else MLLIB_CLASSIFIERS[name](len(classes), seed))
+               if name == "mlp_classifier" else MLLIB_CLASSIFIERS[name](max(fr.count(), 1), seed))
         est = est.setFeaturesCol(FEAT).setLabelCol(LBL).setPredictionCol("_p")
         inner = est.getClassifier() if isinstance(est, MC.OneVsRest) else est
         for k, v in params.items():
@@ -203,19 +208,23 @@ def _fit_adaboost(fr: Frame, n_estimators: int, seed: int) -> FittedModel:
 
 
 # ------------------------------------------------------------------ regression
+# MLlib minimises RSS / 2n + penalty: ridge's alpha = 1 is 1/n there, lasso's
+# and elastic net's are the same.
 REGRESSORS = {
-    "lineal": lambda seed: MR.LinearRegression(regParam=0.0),
-    "ridge": lambda seed: MR.LinearRegression(regParam=1.0, elasticNetParam=0.0),
-    "lasso": lambda seed: MR.LinearRegression(regParam=1.0, elasticNetParam=1.0),
-    "elasticnet": lambda seed: MR.LinearRegression(regParam=1.0, elasticNetParam=0.5),
-    "arbol_decision": lambda seed: MR.DecisionTreeRegressor(maxDepth=30, seed=seed),
-    "random_forest": lambda seed: MR.RandomForestRegressor(numTrees=100, seed=seed),
-    "gradient_boosting": lambda seed: MR.GBTRegressor(maxIter=100, seed=seed),
+    "lineal": lambda n, seed: MR.LinearRegression(regParam=0.0),
+    "ridge": lambda n, seed: MR.LinearRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False),
+    "lasso": lambda n, seed: MR.LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False),
+    "elasticnet": lambda n, seed: MR.LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False),
+    "arbol_decision": lambda n, seed: MR.DecisionTreeRegressor(maxDepth=30, seed=seed),
+    "random_forest": lambda n, seed: MR.RandomForestRegressor(numTrees=100, maxDepth=30, seed=seed),
+    "gradient_boosting": lambda n, seed: MR.GBTRegressor(maxIter=100, maxDepth=3, seed=seed),
 }
 
 
 def fit_regressor(name: str, fr: Frame, target: str, seed: int = 42) -> FittedModel:
-    est = REGRESSORS[name](seed).setFeaturesCol(FEAT).setLabelCol(target).setPredictionCol("pred")
+    if name not in REGRESSORS:
+        raise ValueError(f"unknown regressor {name}")
+    est = REGRESSORS[name](max(fr.count(), 1), seed).setFeaturesCol(FEAT).setLabelCol(target).setPredictionCol("pred")
     model = est.fit(assemble(fr.df, fr.num))
 
     def predict(df: DataFrame) -> DataFrame:
@@ -239,8 +248,9 @@ def spectral_clustering(fr: Frame, k: int = 8, n_neighbors: int = 10, seed: int
     from .neighbourhood import knn_table
     f2 = Frame(df=fr.df, num=fr.num, cat=(), label=fr.label, row_id=fr.row_id)
     edges = knn_table(f2, n_neighbors=n_neighbors, block_rows=block_rows)
-    aff = edges.select(F.col("row_id").alias("src"), F.col("nb_id").alias("dst"),
-                       F.exp(-F.col("nb_dist") * F.col("nb_dist")).alias("weight"))
+    # one row a pair: the clustering mirrors every row itself
+    aff = edges.groupBy(F.least("row_id", "nb_id").alias("src"), F.greatest("row_id", "nb_id").alias("dst")).agg(
+        F.exp(-F.max("nb_dist") * F.max("nb_dist")).alias("weight"))
     pic = MK.PowerIterationClustering(k=k, maxIter=20, weightCol="weight", initMode="degree")
     return pic.assignClusters(aff).select(F.col("id").alias("row_id"), F.col("cluster").cast("string").alias("pred"))
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import Frame, entry
+from ..functions.ranking import rank_within
 from . import moments as M
 from .pairs import pair_stats, scaled_matrix, sorted_classes
 
@@ -213,6 +214,20 @@ def knn_predict(train: Frame, valid: DataFrame, k: int = 5, block_rows: int = 20
                       F.col(train.row_id).cast("long") == F.col("_rid")).drop("_rid")
 
 
+def knn_regress(train: Frame, valid: DataFrame, k: int = 5, block_rows: int = 2048) -> DataFrame:
+    """E8, regression form: the mean target of the k nearest train rows; adds
+    ``pred``.  Targets travel with the neighbours, so any number of distinct
+    values will do."""
+    rid = F.col(train.row_id).cast("long").alias("row_id")
+    x = F.array(*[F.col(c).cast("double") for c in train.num]).alias("x")
+    y = F.col(train.label).cast("string").alias("y")
+    mat = (train.df.select(rid, y, x, F.lit(0).alias("grp"))
+           .unionByName(valid.select(rid, y, x, F.lit(1).alias("grp"))))
+    st = pair_stats(mat, [], "euclidean", block_rows, topk=k)
+    mean = st.select("row_id", F.explode("topk").alias("nb")).groupBy("row_id").agg(F.avg(F.col("nb.y").cast("double")).alias("pred"))
+    return valid.join(mean.select(F.col("row_id").alias("_rid"), "pred"), F.col(train.row_id).cast("long") == F.col("_rid")).drop("_rid")
+
+
 def ft_n4(fr: Frame, metric: str = "gower", seed: int = 0, block_rows: int = 2048) -> DataFrame:
     """1-NN error of interpolated rows (per class convex blends of
     min-max scaled rows) classified by the original rows; per interpolated
@@ -220,21 +235,23 @@ def ft_n4(fr: Frame, metric: str = "gower", seed: int = 0, block_rows: int = 204
     only see original rows."""
     from .pairs import pair_stats as _ps
     from .splits import interpolate_rows
-    mat = scaled_matrix(fr, "minmax")
+    # even numbers are rows, odd ones blends, in the order of the row keys
+    mat = (rank_within(scaled_matrix(fr, "minmax"), [], ["row_id"], "_rk")
+           .select((F.col("_rk") * 2).alias("row_id"), "y", "x"))
     cols = [f"x{i}" for i in range(len(fr.num))]
     flat = mat.select("row_id", "y", *[F.col("x")[i].alias(c) for i, c in enumerate(cols)])
     sf = Frame(df=flat, num=tuple(cols), cat=(), label="y", row_id="row_id")
     inter = interpolate_rows(sf, seed=seed)
     orig = mat.withColumn("grp", F.lit(0))
-    new = inter.select((-F.col("row_id") - 1).alias("row_id"), F.col("y").cast("string").alias("y"),
+    new = inter.select((F.col("row_id") + 1).alias("row_id"), F.col("y").cast("string").alias("y"),
                        F.array(*cols).alias("x"), F.lit(1).alias("grp"))
     st = _ps(orig.unionByName(new), sorted_classes(fr), metric, block_rows)
-    test = st.where(F.col("row_id") < 0)
+    test = st.where(F.col("row_id") % 2 == 1)
     return _per_row(test, "n4", (F.col("nn_y") != F.col("y")).cast("double"))
 
 
 def minimum_spanning_forest(fr: Frame, metric: str = "gower", scale: str | None = "minmax",
-                            block_rows: int = 2048, max_rounds: int = 64) -> DataFrame:
+                            block_rows: int = 2048) -> DataFrame:
     """Exact minimum spanning forest of the complete distance graph (zero
     distances are no edge) by Boruvka rounds on the pair kernel.
 
@@ -248,10 +265,10 @@ def minimum_spanning_forest(fr: Frame, metric: str = "gower", scale: str | None
     spark = fr.spark
     comp = mat.select("row_id", F.col("row_id").alias("comp")).checkpoint(eager=True)
     edges = None
-    for _ in range(max_rounds):
+    while True:  # each round at least halves the components
         m = mat.join(comp, "row_id").select("row_id", F.col("comp").cast("string").alias("y"), "x")
         st = pair_stats(m, [], metric, block_rows, positive=True)
-        cand = (st.where(F.col("ne_id") >= 0)
+        cand = (st.where(F.col("ne_d") < F.lit(float("inf")))
                 .select(F.col("y").cast("long").alias("comp"), "row_id", "ne_id", "ne_d"))
         best = cand.groupBy("comp").agg(F.min(F.struct(
             F.col("ne_d").alias("d"), F.least("row_id", "ne_id").alias("lo"),
@@ -294,7 +311,7 @@ def ft_n1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame
     return verts.agg(F.count(F.lit(1)).alias("c")).select(entry("n1", F.col("c") / F.lit(n)).alias("e")).select("e.*")
 
 
-def hypersphere_radii(ne: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def hypersphere_radii(ne: DataFrame) -> DataFrame:
     """Radius of each row's hypersphere from the nearest-enemy chain:
     mutual nearest enemies share half their distance; any other row's radius
     is |d(row, enemy) - radius(enemy)|.  Resolved by join rounds along the
@@ -305,7 +322,7 @@ def hypersphere_radii(ne: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     cur = ne.join(e2, "ne_id", "left").select(
         "row_id", "ne_id", "ne_d", F.when(F.col("_ne2") == F.col("row_id"), 0.5 * F.col("ne_d")).alias("r"))
     cur = cur.checkpoint(eager=True)
-    for _ in range(max_rounds):
+    while True:  # every round settles a link of each chain, or the cycles
         unknown = cur.where(F.col("r").isNull()).count()
         if unknown == 0:
             break
@@ -331,7 +348,6 @@ def ft_t1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame
     undecided sphere of highest priority is always settled, so the rounds
     end; the result equals the sequential absorption loop.
     """
-    from ..functions.ranking import rank_within
     classes = sorted_classes(fr)
     mat = scaled_matrix(fr, "minmax").cache()
     n = mat.count()

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import Frame
+from ..session import ensure_checkpoint_dir
 
 MAX_CLASSES = 256
 BLOCK_ROWS = 2048
@@ -39,23 +40,27 @@ def scaled_matrix(fr: Frame, scale: str | None) -> DataFrame:
         xs = [(x - F.lit(r[f"a{i}"])) / F.lit((r[f"b{i}"] - r[f"a{i}"]) or 1.0) for i, x in enumerate(xs)]
     elif scale is not None:
         raise ValueError(scale)
-    rid = F.col(fr.row_id) if fr.row_id else F.xxhash64(*[F.col(c) for c in fr.df.columns])
-    return fr.df.select(rid.cast("long").alias("row_id"), fr.y().alias("y"), F.array(*xs).alias("x"))
+    if fr.row_id:
+        return fr.df.select(F.col(fr.row_id).cast("long").alias("row_id"), fr.y().alias("y"), F.array(*xs).alias("x"))
+    # without a key every row is one of its own, repeated ones too; the written
+    # copy keeps the numbers the same for all readers
+    ensure_checkpoint_dir(fr.spark)
+    return fr.df.select(F.monotonically_increasing_id().alias("row_id"), fr.y().alias("y"),
+                        F.array(*xs).alias("x")).checkpoint(eager=True)
 
 
 def _dist(A: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
+    """Distances by direct differences, summed column by column: no
+    cancellation, and never more than two tiles in memory."""
+    if metric not in ("euclidean", "gower", "manhattan"):
+        raise ValueError(metric)
+    total = np.zeros((A.shape[0], B.shape[0]))
+    for j in range(A.shape[1]):
+        diff = A[:, j][:, None] - B[:, j][None, :]
+        total += diff * diff if metric == "euclidean" else np.abs(diff)
     if metric == "euclidean":
-        if A.shape[0] * B.shape[0] * A.shape[1] <= 4_000_000:
-            # direct differences: no cancellation for tiny distances
-            diff = A[:, None, :] - B[None, :, :]
-            return np.sqrt((diff * diff).sum(-1))
-        d2 = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T
-        return np.sqrt(np.maximum(d2, 0))
-    if metric == "gower":  # mean absolute difference of min-max scaled columns
-        return np.abs(A[:, None, :] - B[None, :, :]).mean(-1)
-    if metric == "manhattan":
-        return np.abs(A[:, None, :] - B[None, :, :]).sum(-1)
-    raise ValueError(metric)
+        return np.sqrt(total)
+    return total / A.shape[1] if metric == "gower" else total  # gower: mean difference of min-max scaled columns
 
 
 def _stats_schema(k: int, opts: dict) -> T.StructType:
@@ -99,32 +104,32 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
         valid = ~self_mask
         if grp is not None:
             valid = valid & (grp[:, None] != other_grp[None, :])
+        # the columns of a class together: one pass over the tile for all classes
         for c in range(k):
-            m = (other_yc == c)[None, :] & valid
-            Dm = np.where(m, D, np.nan)
-            cnt = m.sum(1)
-            with np.errstate(all="ignore"):
-                out[f"s{c}"] = np.where(cnt > 0, np.nansum(Dm, 1), 0.0)
-                out[f"mn{c}"] = np.where(cnt > 0, np.nanmin(np.where(m, D, np.inf), 1), np.inf)
-                out[f"mx{c}"] = np.where(cnt > 0, np.nanmax(np.where(m, D, -np.inf), 1), -np.inf)
-            out[f"n{c}"] = cnt.astype("int64")
-        Dv = np.where(valid, D, np.nan)
-        out["sumsq"] = np.nansum(Dv * Dv, 1)
-        # nearest neighbour and nearest enemy, ties -> smallest id
-        order = np.lexsort((np.broadcast_to(other_ids, D.shape), np.where(valid, D, np.inf)), axis=1)
-        first = order[:, 0] if D.shape[1] else np.zeros(n, dtype=int)
-        has = valid.any(1)
-        out["nn_d"] = np.where(has, D[np.arange(n), first], np.inf) if D.shape[1] else np.full(n, np.inf)
+            mine = np.flatnonzero(other_yc == c)
+            Dc, vc = D[:, mine], valid[:, mine]
+            out[f"s{c}"] = np.where(vc, Dc, 0.0).sum(1)
+            out[f"mn{c}"] = np.where(vc, Dc, np.inf).min(1, initial=np.inf)
+            out[f"mx{c}"] = np.where(vc, Dc, -np.inf).max(1, initial=-np.inf)
+            out[f"n{c}"] = vc.sum(1).astype("int64")
+        Dv = np.where(valid, D, 0.0)
+        out["sumsq"] = (Dv * Dv).sum(1)
+        # nearest neighbour and nearest enemy; columns are in id order, so the
+        # first minimum has the smallest id
+        def nearest(mask):
+            if not D.shape[1]:
+                return np.full(n, np.inf), np.zeros(n, dtype=int), np.zeros(n, dtype=bool)
+            masked = np.where(mask, D, np.inf)
+            at = masked.argmin(1)
+            return masked[np.arange(n), at], at, mask.any(1)
+
+        out["nn_d"], first, has = nearest(valid)
         out["nn_id"] = np.where(has, other_ids[first], -1) if D.shape[1] else np.full(n, -1)
         out["nn_y"] = np.where(has, other_ys[first], None) if D.shape[1] else np.full(n, None)
         enemy = valid & (other_ys[None, :] != ys[:, None])
         if opts.get("positive"):
             enemy = enemy & (D > 0)  # zero distance is no edge
-        De = np.where(enemy, D, np.inf)
-        order_e = np.lexsort((np.broadcast_to(other_ids, D.shape), De), axis=1)
-        fe = order_e[:, 0] if D.shape[1] else np.zeros(n, dtype=int)
-        has_e = enemy.any(1)
-        out["ne_d"] = np.where(has_e, De[np.arange(n), fe], np.inf) if D.shape[1] else np.full(n, np.inf)
+        out["ne_d"], fe, has_e = nearest(enemy)
         out["ne_id"] = np.where(has_e, other_ids[fe], -1) if D.shape[1] else np.full(n, -1)
         if thr is not None:
             le = opts.get("thresh_le")
@@ -171,7 +176,7 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
             out["imp_all"] = wi.sum(1)
         if topk:
             Dk = np.where(valid, D, np.inf)
-            o = np.lexsort((np.broadcast_to(other_ids, D.shape), Dk), axis=1)[:, :topk]
+            o = np.argsort(Dk, axis=1, kind="stable")[:, :topk]
             lists = []
             for r in range(n):
                 lst = [{"d": float(Dk[r, j]), "id": int(other_ids[j]), "y": other_ys[j]} for j in o[r] if np.isfinite(Dk[r, j])]
@@ -181,6 +186,7 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
 
     def fn(key, pdf):
         ta, tb = int(key[0]), int(key[1])
+        pdf = pdf.sort_values("row_id", ignore_index=True)
         X = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
         ids = pdf["row_id"].to_numpy()
         ys = pdf["y"].to_numpy(dtype=object)

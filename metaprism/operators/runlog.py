@@ -50,9 +50,10 @@ MODELS: dict[str, list[str]] = {
     "clustering": ["kmeans", "dbscan", "agglomerative_clustering", "mean_shift", "spectral_clustering", "birch"],
 }
 EXTERNAL_PREFIX = "llm"          # options needing an external chat service
-NOT_BUILT = {"svc", "svr", "ada_boost_reg", "mlp_regressor", "agglomerative_clustering", "mean_shift", "birch",
+NOT_BUILT = {"svc", "svr", "mlp_regressor", "agglomerative_clustering", "mean_shift", "birch",
              "umap_20", "umap_50", "umap_80"}
-ADVISER_VECTOR = [0.0, 0.0, 0.0, 0.0]  # no external adviser selected
+NOT_BUILT_FOR = {"regresion": {"ada_boost"}}  # built for classification only
+ADVISER_VECTOR = [0.0, 0.0, 0.0, 1.0]  # the last position: no external adviser
 
 
 def option_index(spark: SparkSession) -> DataFrame:
@@ -87,7 +88,7 @@ def sample_pipelines(spark: SparkSession, n: int, task: str, seed: int = 42, all
     w = Window.partitionBy("cfg", "step").orderBy("h")  # a handful of options per (config, phase)
     chosen = ranked.withColumn("r", F.row_number().over(w)).where("r = 1").select(
         F.col("cfg").alias("num_pipeline"), "step", "phase", "option")
-    models = [m for m in MODELS[task] if m not in NOT_BUILT]
+    models = [m for m in MODELS[task] if m not in NOT_BUILT | NOT_BUILT_FOR.get(task, set())]
     k = max(1, int(model_share * len(models)))
     mt = spark.createDataFrame([(m,) for m in models], "model string").withColumn(
         "cfg", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("h", F.xxhash64("cfg", "model", F.lit(seed + 1)))
@@ -177,8 +178,10 @@ def trajectory_log_failed(steps: DataFrame, failed: DataFrame, dataset: str, tas
 # ------------------------------------------------------------ P38 phase chain
 def fit_phase(phase: str, option: str | None, train: Frame, task: str):
     """Fit one phase on train; returns a transform(Frame) -> Frame."""
-    if option is None or option.startswith(EXTERNAL_PREFIX) or option in NOT_BUILT:
+    if option is None:
         return lambda fr: fr
+    if option.startswith(EXTERNAL_PREFIX) or option in NOT_BUILT:
+        raise ValueError(f"option {option!r} of {phase} is not built")
     if phase == "tratar_duplicados":
         return lambda fr: P.dedup_rows(fr)
     if phase == "codificar_variables_binarias":
@@ -231,7 +234,7 @@ def run_experiment(fr: Frame, task: str = "clasificacion", n_configs: int = 2, n
     from . import shaping as Sh
     from . import splits
     from .models import fit_classifier, fit_regressor
-    from .neighbourhood import knn_predict
+    from .neighbourhood import knn_predict, knn_regress
     spark = fr.spark
     mf = Sh.sanitise_values(extract(fr, groups=("general", "statistical"))).collect()  # ~100 named values
     mtf = {r["name"]: r["value"] for r in mf}
@@ -266,7 +269,7 @@ def run_experiment(fr: Frame, task: str = "clasificacion", n_configs: int = 2, n
                 t1 = time.time()
                 try:
                     if name == "knn":
-                        pred = knn_predict(tr, va.df, 5)
+                        pred = knn_regress(tr, va.df, 5) if task == "regresion" else knn_predict(tr, va.df, 5)
                     elif task == "regresion":
                         pred = fit_regressor(name, tr, tr.label).predict(va.df)
                     else:

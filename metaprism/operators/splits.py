@@ -1,7 +1,7 @@
 """Splits, sampling and resampling.
 
-Randomness is a portable arithmetic hash of the row key and a seed (the same
-expression runs in SQL), so folds and samples are repeatable and checkable.
+Randomness is a mixing hash of the row key and a seed (the same expression
+runs in SQL), so folds and samples are repeatable and checkable.
 Ranks use the skew-proof distributed ranking (range partitioning + offsets).
 """
 
@@ -15,18 +15,17 @@ from pyspark.sql import functions as F
 from ..frame import Frame
 from ..functions.ranking import rank_within
 
-MOD = 4294967296
-MULT = 40503  # fixed value: 16-bit multiplicative hashing constant
-
-
 def hkey(row_id: Column, seed: int) -> Column:
-    """((row_id mod 2^32) * 40503 + seed) mod 2^32 - portable to SQL."""
-    base = ((row_id % F.lit(MOD)) + F.lit(MOD)) % F.lit(MOD)
-    return (base * F.lit(MULT) + F.lit(seed)) % F.lit(MOD)
+    """60-bit draw of a row and a seed: the head of MD5 of ``row:seed``.
+
+    Every bit mixes, so draws modulo any number are even, different seeds are
+    independent, and the same draw can be written in SQL."""
+    text = F.concat_ws(":", row_id.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def sql_hkey(row_id: str, seed: int) -> str:
-    return f"(((({row_id}) % {MOD} + {MOD}) % {MOD}) * {MULT} + {seed}) % {MOD}"
+    return f"CAST(('0x' || substr(md5(CAST({row_id} AS VARCHAR) || ':{seed}'), 1, 15)) AS BIGINT)"
 
 
 def kfold_stratified(fr: Frame, k: int = 3, shuffle: bool = True, seed: int = 42) -> DataFrame:
@@ -80,8 +79,8 @@ def sample_rows(fr: Frame, frac: float, seed: int = 42) -> DataFrame:
     return rank_within(df, [], ["_h", fr.row_id], "_rk").where(F.col("_rk") < keep).drop("_h", "_rk")
 
 
-def bootstrap_weights(fr: Frame, replicates: int = 128, seed: int = 1234) -> DataFrame:
-    """R4 helper: (row_id, rep, w) Poisson(1) weights from a hash, w > 0 only.
+def bootstrap_weights(fr: Frame, replicates: int = 128, seed: int = 1234, keep=()) -> DataFrame:
+    """R4 helper: (row_id, *keep, rep, w) Poisson(1) weights from a hash, w > 0 only.
 
     Each (row, replicate) draws a uniform from xxhash64 and inverts the
     Poisson(1) CDF; rows never leave their partition until the weighted
@@ -96,26 +95,28 @@ def bootstrap_weights(fr: Frame, replicates: int = 128, seed: int = 1234) -> Dat
         cdf.append(acc)
         p = p / (kk + 1)
     w = sum((u > F.lit(c)).cast("int") for c in cdf)
-    return (fr.df.select(F.col(fr.row_id).alias("row_id"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    return (fr.df.select(F.col(fr.row_id).alias("row_id"), *keep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
             .withColumn("w", w).where(F.col("w") > 0))
 
 
 def interpolate_rows(fr: Frame, seed: int = 0) -> DataFrame:
-    """Per class, a convex blend of each row with a hash-picked partner of
-    the same class (class sizes kept).  Partner = row at a hashed rank inside
-    the class; joined by (class, rank) - an equi-join, no pairs."""
-    y = fr.y()
-    base = fr.df.withColumn("_y", y)
+    """Per class, as many convex blends of two rows of the class, both
+    drawn at random by hash, with one weight per element.  The drawn rows are
+    joined by (class, rank) - equi-joins, no pairs.  The row key names the blend."""
+    base = fr.df.withColumn("_y", fr.y()).select(fr.row_id, "_y", *fr.num)
     ranked = rank_within(base, ["_y"], [fr.row_id], "_rk")
-    sizes = ranked.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked.join(sizes, "_y")
-    r = r.withColumn("_prk", F.pmod(F.xxhash64(F.col(fr.row_id), F.lit(seed)), F.col("_n")))
-    r = r.withColumn("_t", F.pmod(F.xxhash64(F.col(fr.row_id), F.lit(seed + 1)), F.lit(1 << 20)).cast("double") / float(1 << 20))
-    partner = ranked.select(F.col("_y"), F.col("_rk").alias("_prk"), *[F.col(c).alias(f"_p_{c}") for c in fr.num])
-    j = r.join(partner, ["_y", "_prk"])
-    out = j.select(F.col(fr.row_id), *[(F.col(c) * F.col("_t") + F.col(f"_p_{c}") * (1.0 - F.col("_t"))).alias(c)
-                                       for c in fr.num], F.col("_y").alias(fr.label))
-    return out
+    sizes = ranked.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))  # one row a class
+    rid = F.col(fr.row_id)
+    r = ranked.select(fr.row_id, "_y").join(sizes, "_y")
+    for side in (0, 1):
+        r = r.withColumn(f"_rk{side}", hkey(rid, 2 * seed + side) % F.col("_n"))
+        ends = ranked.select("_y", F.col("_rk").alias(f"_rk{side}"), *[F.col(c).alias(f"_e{side}_{c}") for c in fr.num])
+        r = r.join(ends, ["_y", f"_rk{side}"])
+    blends = []
+    for i, c in enumerate(fr.num):
+        t = hkey(rid, 1_000_003 * (seed + 1) + i).cast("double") / float(1 << 60)
+        blends.append((F.col(f"_e0_{c}") * t + F.col(f"_e1_{c}") * (1.0 - t)).alias(c))
+    return r.select(fr.row_id, *blends, F.col("_y").alias(fr.label))
 
 
 def bootstrap_ci(fr: Frame, statistic: str = "mean", replicates: int = 128, confidence=(0.95,),
@@ -125,9 +126,7 @@ def bootstrap_ci(fr: Frame, statistic: str = "mean", replicates: int = 128, conf
     aggregate grouped by replicate (Poisson(1) weights from a hash): each task
     combines its rows per replicate before the shuffle.  Returns
     (attr, theta, confidence, lower, upper)."""
-    w = bootstrap_weights(fr, replicates, seed)
-    x = fr.df.select(F.col(fr.row_id).alias("row_id"), *[F.col(c).cast("double").alias(c) for c in fr.num])
-    j = w.join(x, "row_id")
+    j = bootstrap_weights(fr, replicates, seed, [F.col(c).cast("double").alias(c) for c in fr.num])
     aggs = []
     for i, c in enumerate(fr.num):
         aggs += [F.sum(F.col("w") * F.col(c)).alias(f"s{i}"), F.sum(F.col("w") * F.col(c) * F.col(c)).alias(f"q{i}")]

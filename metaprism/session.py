@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +39,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -53,10 +55,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="metaprism-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once a Spark context), so that
+    they can import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_metaprism_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="metaprism-ship-")  # the driver's own; Spark copies the archive to the executors
+    archive = os.path.join(folder, "metaprism.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for d, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(d, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._metaprism_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -76,19 +76,26 @@ def arff_schema(header_lines: list[str]) -> tuple[T.StructType, dict]:
     return T.StructType(fields), levels
 
 
-def scan_arff(spark: SparkSession, path: str, header_path: str | None = None,
-              header_max_lines: int = 10_000) -> Frame:
-    """ARFF, last attribute is the class.  The header (bounded by the
-    attribute count) is read with ``take``; data lines are parsed by Spark."""
-    header = []
-    for r in spark.read.text(header_path or path).take(header_max_lines):
-        header.append(r["value"])
-        if r["value"].strip().lower().startswith("@data"):
-            break
-    schema, _ = arff_schema(header)
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line, id): trimmed lines, ids in file order."""
+    return spark.read.text(path).select(F.trim("value").alias("_line"), F.monotonically_increasing_id().alias("_id"))
+
+
+def scan_arff(spark: SparkSession, path: str, header_path: str | None = None) -> Frame:
+    """ARFF, last attribute is the class.  Spark finds the @data line and
+    the @attribute lines before it (one row an attribute goes to the driver)
+    and parses everything after it as data."""
+    lines = _numbered(spark, header_path or path)
+    is_data = F.lower("_line").startswith("@data")
+    start = lines.where(is_data).agg(F.min("_id")).first()[0]
+    head = lines.where(F.lower("_line").startswith("@attribute"))
+    if start is not None:
+        head = head.where(F.col("_id") < start)
+    schema, _ = arff_schema([r["_line"] for r in head.orderBy("_id").collect()])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    txt = spark.read.text(path).withColumn("_line", F.trim("value"))
-    data = txt.where((F.col("_line") != "") & ~F.col("_line").startswith("@") & ~F.col("_line").startswith("%"))
+    data = _numbered(spark, path).where((F.col("_line") != "") & ~F.col("_line").startswith("%"))
+    if header_path is None and start is not None:
+        data = data.where(F.col("_id") > start)
     parsed = data.select(F.from_csv("_line", ddl, {"quote": "'", "nullValue": "?"}).alias("r")).select("r.*")
     label = schema.fields[-1].name
     num, cat = infer_kinds(parsed, exclude={label})
