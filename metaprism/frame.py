@@ -48,7 +48,8 @@ class Frame:
         return self.df.sparkSession
 
     def with_df(self, df: DataFrame, **kw) -> "Frame":
-        return replace(self, df=df, **kw)
+        # what was computed of the old rows (the row count) does not carry over
+        return replace(self, df=df, **({"options": {k: v for k, v in self.options.items() if k[0] != "_"}} | kw))
 
     def count(self) -> int:
         """Row count, computed once per Frame (one aggregate action)."""

@@ -28,10 +28,10 @@ def fit_tree(fr: Frame, max_depth: int = 30, seed: int = 42):
     return model, classes
 
 
-def node_table(model) -> DataFrame:
+def node_table(model, spark=None) -> DataFrame:
     """MX1: (id, prediction, rawCount, left, right, feature, is_leaf, depth)."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/dt-{uuid.uuid4().hex}"
     model.write().overwrite().save(path)
@@ -42,7 +42,9 @@ def node_table(model) -> DataFrame:
     root = nodes.agg(F.min("id")).first()[0]
     depth = nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth"))
     frontier = depth
-    for d in range(1, 64):  # one round per level
+    d = 0
+    while True:  # one round per level
+        d += 1
         kids = (frontier.join(nodes, "id").where(~F.col("is_leaf"))
                 .select(F.explode(F.array("left", "right")).alias("id"))
                 .withColumn("depth", F.lit(d)))
@@ -57,7 +59,7 @@ class TreeContext:
     def __init__(self, fr: Frame, max_depth: int = 30, seed: int = 42):
         self.fr = fr
         self.model, self.classes = fit_tree(fr, max_depth, seed)
-        self.nodes = node_table(self.model).cache()
+        self.nodes = node_table(self.model, fr.spark).cache()
         self.n = fr.count()
 
 

@@ -1,26 +1,33 @@
 """Feature extraction plan: choose groups/features/summaries, compute, summarise.
 
 ``extract(fr, groups, features, summary)`` is the Spark counterpart of a
-``fit(X, y).extract()`` call: the requested feature functions each add a
-small long-form DataFrame (feature, attr, cls, idx, value); per-column
-statistical features share one aggregate; pair-kernel features share one
-kernel pass per (metric, scaling).  The union is summarised by one
+``fit(X, y).extract()`` call on a categorical and a numeric view of the table:
+the requested feature functions each add a small long-form DataFrame (feature,
+attr, cls, idx, value); per-column statistical features share one aggregate;
+pair-kernel features share one kernel pass per (metric, scaling).  The union is summarised by one
 ``groupBy(feature)`` (U15) and returned as (name, value) sorted by name.
 """
 
 from __future__ import annotations
 
+import re
+import threading
+import warnings
+from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import Frame, union_all, empty_long
+from ..frame import LONG_SCHEMA, Frame, union_all, empty_long
 from ..functions.summaries import SUMMARIES, summarise
 from ..operators import clustering, complexity, general, infotheory, itemset, statistical
 from ..operators import landmarking, modelbased
 from ..operators import neighbourhood as NB
+from ..operators.encoding import build_C, build_N
+from ..session import ensure_checkpoint_dir
 
 DEFAULT_GROUPS = ("general", "statistical", "info-theory")
 DEFAULT_SUMMARY = ("mean", "sd")
@@ -100,76 +107,118 @@ def resolve(groups="default", features="all", supervised=True) -> dict[str, list
     return out
 
 
-def feature_table(fr: Frame, groups="default", features="all", pair_block_rows: int = 2048) -> DataFrame:
-    """Long table of every requested feature (before summaries)."""
-    plan = resolve(groups, features, supervised=fr.label is not None)
-    parts: list[DataFrame] = []
+#: Feature jobs submitted at a time.
+PARALLEL = 6
+
+
+def _tasks(fr: Frame, plan: dict, cv: Frame, nv: Frame, block_rows: int) -> list:
+    """(features, callable -> long DataFrame): the jobs of an extraction.
+    General features see the raw columns, information theory and item sets the
+    categorical view, all others the numeric view."""
+    shared: dict = {}
+
+    def once(key, make):
+        """A context that several features share, made by the first user."""
+        lock, box = shared.setdefault(key, (threading.Lock(), []))
+        with lock:
+            if not box:
+                box.append(make())
+        return box[0]
+
+    tasks = []
+    add = lambda f, fn: tasks.append(([f], fn))
     for g, names in plan.items():
-        if not names:
-            continue
-        if g == "general":
-            parts += [general.FEATURES[f](fr) for f in names]
-        elif g == "statistical":
+        if g == "statistical":
             one_pass = [f for f in names if f in statistical.COLUMN_FEATURES]
-            if one_pass and fr.num:
-                parts.append(statistical.column_features(fr, one_pass))
-            parts += [statistical.FEATURES[f](fr) for f in names
-                      if f not in statistical.COLUMN_FEATURES and (fr.num or f == "sparsity")]
-        elif g == "info-theory":
-            if fr.cat:
-                ct = infotheory.K.attr_class_counts(fr).cache() if fr.label else None
-                for f in names:
-                    fn = infotheory.FEATURES[f]
-                    parts.append(fn(fr, ct) if f in ("attr_ent", "joint_ent", "mut_inf", "eq_num_attr", "ns_ratio",
-                                                     "class_conc") and ct is not None else fn(fr))
-        elif g == "itemset":
-            if fr.cat:
-                parts += [itemset.FEATURES[f](fr) for f in names]
-        elif g == "clustering":
-            simple = [f for f in names if f in clustering.FEATURES]
-            parts += [clustering.FEATURES[f](fr) for f in simple]
-            dist = [f for f in names if f not in clustering.FEATURES]
-            if dist:
-                ctx = NB.PairContext(fr, "euclidean", None, pair_block_rows)
-                fns = {"vdu": NB.ft_vdu, "int": NB.ft_int, "sil": NB.ft_sil, "pb": NB.ft_pb}
-                parts += [fns[f](ctx) for f in dist]
-        elif g == "complexity":
-            simple = [f for f in names if f in complexity.FEATURES]
-            parts += [complexity.FEATURES[f](fr) for f in simple]
-            dist = [f for f in names if f in ("n2", "n3", "lsc")]
-            if dist:
-                ctx = NB.PairContext(fr, "gower", "minmax", pair_block_rows)
-                fns = {"n2": NB.ft_n2, "n3": NB.ft_n3, "lsc": NB.ft_lsc}
-                parts += [fns[f](ctx) for f in dist]
-            if "n1" in names:
-                parts.append(NB.ft_n1(fr, block_rows=pair_block_rows))
-            if "n4" in names:
-                parts.append(NB.ft_n4(fr, block_rows=pair_block_rows))
-            if "t1" in names:
-                parts.append(NB.ft_t1(fr, block_rows=pair_block_rows))
-            if "density" in names:
-                parts.append(NB.ft_density(fr, block_rows=pair_block_rows))
-            if "cls_coef" in names:
-                parts.append(NB.ft_cls_coef(fr, block_rows=pair_block_rows))
-        elif g == "landmarking":
-            parts += [landmarking.FEATURES[f](fr) for f in names]
-        elif g == "model-based":
-            t = modelbased.TreeContext(fr)
-            parts += [modelbased.FEATURES[f](t) for f in names]
-        elif g == "concept":
-            ctx = NB.concept_context(fr, block_rows=pair_block_rows)
-            fns = {"conceptvar": NB.ft_conceptvar, "wg_dist": NB.ft_wg_dist,
-                   "impconceptvar": NB.ft_impconceptvar, "cohesiveness": NB.ft_cohesiveness}
-            parts += [fns[f](ctx) for f in names]
-    return union_all(parts) if parts else empty_long(fr.spark)
+            if one_pass and nv.num:
+                tasks.append((one_pass, lambda fs=one_pass: statistical.column_features(nv, fs)))
+        elif g in ("info-theory", "itemset") and not cv.cat:
+            continue
+        for f in names:
+            if g == "general":
+                add(f, lambda f=f: general.FEATURES[f](fr))
+            elif g == "statistical":
+                if f not in statistical.COLUMN_FEATURES and (nv.num or f == "sparsity"):
+                    add(f, lambda f=f: statistical.FEATURES[f](fr if f == "sparsity" else nv))
+            elif g == "info-theory":
+                uses_counts = fr.label and f in ("attr_ent", "joint_ent", "mut_inf", "eq_num_attr", "ns_ratio", "class_conc")
+                add(f, lambda f=f, u=uses_counts: infotheory.FEATURES[f](
+                    cv, *([once("counts", lambda: infotheory.K.attr_class_counts(cv).checkpoint(eager=True))] if u else [])))
+            elif g == "itemset":
+                add(f, lambda f=f: itemset.FEATURES[f](cv))
+            elif g == "clustering":
+                if f in clustering.FEATURES:
+                    add(f, lambda f=f: clustering.FEATURES[f](nv))
+                else:
+                    add(f, lambda f=f: {"vdu": NB.ft_vdu, "int": NB.ft_int, "sil": NB.ft_sil, "pb": NB.ft_pb}[f](
+                        once("euclidean", lambda: NB.PairContext(nv, "euclidean", None, block_rows))))
+            elif g == "complexity":
+                if f in complexity.FEATURES:
+                    add(f, lambda f=f: complexity.FEATURES[f](nv))
+                elif f in ("n2", "n3", "lsc"):
+                    add(f, lambda f=f: {"n2": NB.ft_n2, "n3": NB.ft_n3, "lsc": NB.ft_lsc}[f](
+                        once("gower", lambda: NB.PairContext(nv, "gower", "minmax", block_rows))))
+                else:
+                    add(f, lambda f=f: {"n1": NB.ft_n1, "n4": NB.ft_n4, "t1": NB.ft_t1, "density": NB.ft_density,
+                                        "cls_coef": NB.ft_cls_coef}[f](nv, block_rows=block_rows))
+            elif g == "landmarking":
+                add(f, lambda f=f: landmarking.FEATURES[f](nv))
+            elif g == "model-based":
+                add(f, lambda f=f: modelbased.FEATURES[f](once("tree", lambda: modelbased.TreeContext(nv))))
+            elif g == "concept":
+                add(f, lambda f=f: {"conceptvar": NB.ft_conceptvar, "wg_dist": NB.ft_wg_dist,
+                                    "impconceptvar": NB.ft_impconceptvar, "cohesiveness": NB.ft_cohesiveness}[f](
+                    once("concept", lambda: NB.concept_context(nv, block_rows=block_rows))))
+    return tasks
+
+
+def _plain_names(fr: Frame) -> Frame:
+    """Encoded columns are called ``column[T.level]``; names without marks
+    need no quoting anywhere."""
+    new = {c: f"{re.sub(r'[^0-9A-Za-z_]+', '_', c)}__{i}" for i, c in enumerate(fr.num) if not c.isidentifier()}
+    return fr.with_df(fr.df.withColumnsRenamed(new), num=tuple(new.get(c, c) for c in fr.num)) if new else fr
+
+
+def feature_table(fr: Frame, groups="default", features="all", pair_block_rows: int = 2048,
+                  transform_num: bool = True, transform_cat: str | None = "gray", rescale: str | None = None) -> DataFrame:
+    """Long table of every requested feature (before summaries).
+
+    ``transform_num`` discretises numeric columns into the categorical view,
+    ``transform_cat`` ("gray", "one-hot", "one-hot-full" or None) encodes text
+    columns into the numeric view, ``rescale`` scales that view.  Features are
+    jobs of their own, a few at a time, each ending in the shared folder; one
+    that fails gives NaN and a warning, and the others go on.
+    """
+    plan = {g: names for g, names in resolve(groups, features, supervised=fr.label is not None).items() if names}
+    ensure_checkpoint_dir(fr.spark)
+    uses_c = bool({"info-theory", "itemset"} & set(plan))
+    uses_n = bool(set(plan) - {"general", "info-theory", "itemset"})
+    cv = build_C(fr, transform_num) if uses_c else fr
+    nv = build_N(fr, transform_cat, rescale) if uses_n and (fr.cat or rescale) else fr
+    nv = _plain_names(nv)
+    tasks = _tasks(fr, plan, cv, nv, pair_block_rows)
+    if not tasks:
+        return empty_long(fr.spark)
+
+    def run(task):
+        names, make = task
+        try:
+            return make().checkpoint(eager=True)
+        except Exception as e:  # noqa: BLE001 - a feature that cannot be computed is NaN, as a result
+            warnings.warn(f"{', '.join(names)}: {type(e).__name__}: {str(e)[:300]}", RuntimeWarning, stacklevel=2)
+            return fr.spark.createDataFrame([(f, None, None, 0, float("nan")) for f in names], LONG_SCHEMA)
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return union_all(list(pool.map(inheritable_thread_target(run), tasks)))
 
 
 def extract(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY,
-            summary_args: dict | None = None, pair_block_rows: int = 2048) -> DataFrame:
-    """(name, value) sorted by name, like the reference's extract()."""
+            summary_args: dict | None = None, pair_block_rows: int = 2048, **views) -> DataFrame:
+    """(name, value) sorted by name, like the reference's extract(); ``views``
+    are the options of ``feature_table``."""
     plan = resolve(groups, features, supervised=fr.label is not None)
     vector = {f for g, fs in plan.items() for f in fs if CATALOGUE[g][f]}
-    long = feature_table(fr, groups, features, pair_block_rows)
+    long = feature_table(fr, groups, features, pair_block_rows, **views)
     return summarise(long, tuple(summary), vector_features=vector, args=summary_args)
 
 
