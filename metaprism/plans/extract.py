@@ -26,7 +26,7 @@ from ..functions.summaries import SUMMARIES, summarise
 from ..operators import clustering, complexity, general, infotheory, itemset, statistical
 from ..operators import landmarking, modelbased
 from ..operators import neighbourhood as NB
-from ..operators.encoding import build_C, build_N
+from ..operators.encoding import build_C, build_N, rescale_numeric
 from ..session import ensure_checkpoint_dir
 
 DEFAULT_GROUPS = ("general", "statistical", "info-theory")
@@ -194,8 +194,9 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
     uses_c = bool({"info-theory", "itemset"} & set(plan))
     uses_n = bool(set(plan) - {"general", "info-theory", "itemset"})
     cv = build_C(fr, transform_num) if uses_c else fr
-    nv = build_N(fr, transform_cat, rescale) if uses_n and (fr.cat or rescale) else fr
-    nv = _plain_names(nv)
+    nv = _plain_names(build_N(fr, transform_cat)) if uses_n and fr.cat else fr
+    if uses_n and rescale:
+        nv = rescale_numeric(nv, rescale)
     tasks = _tasks(fr, plan, cv, nv, pair_block_rows)
     if not tasks:
         return empty_long(fr.spark)
