@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import Frame, infer_kinds
+from ..functions.orderstats import quantiles
 from ..functions.ranking import sorted_levels
 from .phases import level_values, fit_scale
 
@@ -92,27 +93,10 @@ def equal_freq_edges(fr: Frame, cols=None, num_bins: int | None = None, tol: flo
     n = fr.count()
     b = num_bins or int(n ** (1 / 3))
     qs = [i / b for i in range(1, b + 1)]
-    r = fr.df.agg(*[F.percentile(F.col(c).cast("double"), qs).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-    # snap: an edge that falls on a run of equal values must equal that value
-    # exactly (interpolation between equal neighbours can be off by an ulp);
-    # one pass finds the nearest data value on each side of every edge.
-    snaps = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        for j, e in enumerate(r[f"q{i}"] or []):
-            lo, hi = e - abs(e) * 1e-12 - 1e-300, e + abs(e) * 1e-12 + 1e-300
-            snaps.append(F.max(F.when(x <= hi, x)).alias(f"l{i}_{j}"))
-            snaps.append(F.min(F.when(x >= lo, x)).alias(f"h{i}_{j}"))
-    sn = fr.df.agg(*snaps).first() if snaps else {}
     out = {}
-    for i, c in enumerate(cols):
-        e = list(r[f"q{i}"] or [])
-        for j in range(len(e)):
-            lv, hv = sn[f"l{i}_{j}"], sn[f"h{i}_{j}"]
-            if lv is not None and lv == hv:
-                e[j] = lv
-        kept = [x for j, x in enumerate(e) if j == 0 or e[j] - e[j - 1] > tol]
-        out[c] = sorted(set(kept))
+    for c, e in quantiles(fr.df, {c: F.col(c) for c in cols}, qs).items():
+        e = e or []
+        out[c] = sorted({x for j, x in enumerate(e) if j == 0 or e[j] - e[j - 1] > tol})
     return out
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import Frame, NUMERIC_TYPES
+from ..functions.orderstats import modes, quantiles
 from ..functions.ranking import sorted_levels, level_codes
 
 UNKNOWN_LABEL = "DESCONOCIDO"  # fixed value: fill text of the reference's label imputation
@@ -106,19 +107,7 @@ def fit_impute_num(fr: Frame, option: str, seed: int = 42) -> Fitted:
     cols = _null_cols(fr, fr.num)
     params: dict[str, Any] = {}
     if cols and option in ("media", "mediana", "media_geometrica", "moda"):
-        aggs = []
-        for i, c in enumerate(cols):
-            x = _d(c)
-            if option == "media":
-                aggs.append(F.bround(F.avg(x), 2).alias(f"v{i}"))
-            elif option == "mediana":
-                aggs.append(F.bround(F.median(x), 2).alias(f"v{i}"))
-            elif option == "media_geometrica":
-                aggs.append(F.bround(F.exp(F.avg(F.ln(F.when(x > 0, x)))), 2).alias(f"v{i}"))
-            else:
-                aggs.append(F.mode(x, True).alias(f"v{i}"))
-        r = fr.df.agg(*aggs).first()
-        params = {c: r[f"v{i}"] for i, c in enumerate(cols)}
+        params = _stat_params(fr, option, cols)
     elif cols and option == "aleatorio":
         return _fit_random_fill(fr, cols, seed, "impute_num")
     elif option not in ("media", "mediana", "media_geometrica", "moda", "aleatorio"):
@@ -174,8 +163,7 @@ def fit_impute_str(fr: Frame, option: str, seed: int = 42) -> Fitted:
     cols = _null_cols(fr, fr.cat)
     params: dict[str, Any] = {}
     if option == "moda" and cols:
-        r = fr.df.agg(*[F.mode(F.col(c), True).alias(f"v{i}") for i, c in enumerate(cols)]).first()
-        params = {c: (r[f"v{i}"] if r[f"v{i}"] is not None else "") for i, c in enumerate(cols)}
+        params = {c: "" if v is None else v for c, v in modes(fr.df, {c: F.col(c).cast("string") for c in cols}).items()}
     elif option == "etiqueta_desconocido":
         params = {c: UNKNOWN_LABEL for c in cols}
     elif option == "aleatorio" and cols:
@@ -294,7 +282,7 @@ def fit_high_card(fr: Frame) -> Fitted:
 def _fences(fr: Frame, cols, whis=1.5) -> dict[str, tuple[float, float]]:
     if not cols:
         return {}
-    r = fr.df.agg(*[F.percentile(_d(c), [0.25, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)]).first()
+    r = quantiles(fr.df, {f"q{i}": _d(c) for i, c in enumerate(cols)}, [0.25, 0.75])
     out = {}
     for i, c in enumerate(cols):
         q = r[f"q{i}"]
@@ -353,19 +341,18 @@ def fit_outliers(fr: Frame, option: str, only_null_columns: bool = False, seed:
 def _stat_params(fr: Frame, option: str, cols) -> dict[str, float | None]:
     if not cols:
         return {}
-    aggs = []
-    for i, c in enumerate(cols):
-        x = _d(c)
-        if option == "media":
-            aggs.append(F.bround(F.avg(x), 2).alias(f"v{i}"))
-        elif option == "mediana":
-            aggs.append(F.bround(F.median(x), 2).alias(f"v{i}"))
-        elif option == "media_geometrica":
-            aggs.append(F.bround(F.exp(F.avg(F.ln(F.when(x > 0, x)))), 2).alias(f"v{i}"))
-        else:
-            aggs.append(F.mode(x, True).alias(f"v{i}"))
-    r = fr.df.agg(*aggs).first()
-    return {c: r[f"v{i}"] for i, c in enumerate(cols)}
+    xs = {c: _d(c) for c in cols}
+    if option == "moda":
+        return modes(fr.df, xs)
+    if option == "mediana":
+        middle = quantiles(fr.df, xs, [0.5])
+        half_even = fr.df.sparkSession.range(1).select(*[F.bround(F.lit(None if q is None else q[0]).cast("double"), 2) for q in middle.values()])
+        return dict(zip(middle, half_even.first()))
+    if option == "media":
+        aggs = [F.bround(F.avg(x), 2) for x in xs.values()]
+    else:
+        aggs = [F.bround(F.exp(F.avg(F.ln(F.when(x > 0, x)))), 2) for x in xs.values()]
+    return dict(zip(cols, fr.df.agg(*aggs).first()))
 
 
 # --------------------------------------------------------------- P21-P24 scale
@@ -382,8 +369,8 @@ def fit_scale(fr: Frame, option: str, round_digits: int | None = 3, as_float: bo
                           *[F.stddev_pop(_d(c)).alias(f"b{i}") for i, c in enumerate(cols)]).first()
             params = {c: (r[f"a{i}"], r[f"b{i}"] or 1.0) for i, c in enumerate(cols)}
         elif option == "robust_scaler":
-            r = fr.df.agg(*[F.percentile(_d(c), [0.25, 0.5, 0.75]).alias(f"q{i}") for i, c in enumerate(cols)]).first()
-            params = {c: (r[f"q{i}"][1], (r[f"q{i}"][2] - r[f"q{i}"][0]) or 1.0) for i, c in enumerate(cols)}
+            r = quantiles(fr.df, {c: _d(c) for c in cols}, [0.25, 0.5, 0.75])
+            params = {c: (q[1], (q[2] - q[0]) or 1.0) for c, q in r.items() if q}
         elif option == "max_abs_scaler":
             r = fr.df.agg(*[F.max(F.abs(_d(c))).alias(f"b{i}") for i, c in enumerate(cols)]).first()
             params = {c: (0.0, r[f"b{i}"] or 1.0) for i, c in enumerate(cols)}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..frame import Frame, entry, unpivot, union_all, empty_long, collect_bounded
 from ..functions.numeric import safe_div
+from ..functions.orderstats import at_ranks, quantiles
 from . import moments as M
 
 NAN = float("nan")
@@ -37,6 +38,7 @@ BASES: dict[str, Callable[[str, bool], Column]] = {
     "kurt": lambda c, ex: F.kurtosis(_x(c)),
     "min": lambda c, ex: F.min(_x(c)),
     "max": lambda c, ex: F.max(_x(c)),
+    # exact here only inside classes; whole columns go by distributed ranks
     "q": lambda c, ex: (F.percentile(_x(c), QS) if ex
                         else F.percentile_approx(_x(c), QS, 100000).cast("array<double>")),
     "lnmean": lambda c, ex: F.avg(F.ln(F.when(_x(c) > 0, _x(c)))),
@@ -93,7 +95,14 @@ def column_bases(fr: Frame, features, cols=None, exact: bool = True, by_class: b
     aggs = [BASES[b](c, exact).alias(f"b_{b}_{i}") for i, c in enumerate(cols) for b in need]
     if by_class:
         return fr.df.groupBy(fr.y().alias("_cls")).agg(*aggs)
-    return fr.df.agg(*aggs)
+    if not (exact and "q" in need):
+        return fr.df.agg(*aggs)
+    # exact quartiles by distributed ranks, beside the one aggregate of the rest
+    q = quantiles(fr.df, {c: _x(c) for c in cols}, QS)
+    rest = [BASES[b](c, exact).alias(f"b_{b}_{i}") for i, c in enumerate(cols) for b in need if b != "q"]
+    lits = [(F.array(*[F.lit(float(v)) for v in q[c]]) if q[c] else F.lit(None).cast("array<double>")).alias(f"b_q_{i}")
+            for i, c in enumerate(cols)]
+    return fr.df.agg(F.count(F.lit(1)).alias("b_rows"), *rest).select("*", *lits)
 
 
 def column_features(fr: Frame, features=None, cols=None, exact: bool = True,
@@ -134,19 +143,16 @@ ft_var = _single("var")
 def ft_mad(fr: Frame, factor: float = 1.4826) -> DataFrame:
     """median(|x - median(x)|) * factor; the medians are a one-row fit."""
     cols = list(fr.num)
-    med = fr.df.agg(*[F.median(_x(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    dev = fr.df.agg(*[
-        F.median(F.abs(_x(c) - F.lit(med[f"m{i}"]))).alias(f"d{i}") for i, c in enumerate(cols)
-    ])
-    return unpivot(dev, [entry("mad", F.col(f"d{i}") * factor, attr=c, idx=i) for i, c in enumerate(cols)])
+    med = quantiles(fr.df, {c: _x(c) for c in cols}, [0.5])
+    dev = quantiles(fr.df, {c: F.abs(_x(c) - F.lit(med[c][0])) for c in cols if med[c]}, [0.5])
+    return unpivot(fr.spark.range(1), [entry("mad", F.lit(dev[c][0] * factor if dev.get(c) else None), attr=c, idx=i)
+                                       for i, c in enumerate(cols)])
 
 
 def ft_t_mean(fr: Frame, pcut: float = 0.2) -> DataFrame:
     """Trimmed mean: cut int(pcut*n) values at each end of the sorted column.
 
-    No sort and no window: the two boundary order statistics come from
-    ``percentile_disc`` (first value whose CDF reaches the position), then one
-    pass sums the values strictly between them and adds the boundary values as
+    The two boundary values come from distributed ranks, then one pass sums the values strictly between them and adds the boundary values as
     many times as they fall inside the kept range.
     """
     cols = list(fr.num)
@@ -157,16 +163,11 @@ def ft_t_mean(fr: Frame, pcut: float = 0.2) -> DataFrame:
         lc = int(pcut * n)
         uc = n - lc
         bounds.append((n, lc, uc))
-    exprs = []
+    cut = lambda n: (int(pcut * n), n - int(pcut * n) - 1)
+    found = at_ranks(fr.df, {c: _x(c) for c in cols}, lambda n: cut(n) if cut(n)[1] >= cut(n)[0] else ())
+    az = {}
     for i, c in enumerate(cols):
-        n, lc, uc = bounds[i]
-        if n == 0 or uc <= lc:
-            exprs += [F.lit(None).cast("double").alias(f"a{i}"), F.lit(None).cast("double").alias(f"z{i}")]
-            continue
-        pa, pz = (lc + 0.5) / n, (uc - 1 + 0.5) / n
-        exprs.append(F.expr(f"percentile_disc({pa!r}) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))").alias(f"a{i}"))
-        exprs.append(F.expr(f"percentile_disc({pz!r}) WITHIN GROUP (ORDER BY CAST(`{c}` AS DOUBLE))").alias(f"z{i}"))
-    az = fr.df.agg(*exprs).first()
+        az[f"a{i}"], az[f"z{i}"] = (found[c].get(r) for r in cut(bounds[i][0]))
     sums = []
     for i, c in enumerate(cols):
         a, z = az[f"a{i}"], az[f"z{i}"]
