@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .ranking import _ranged
 
 
-def _counts(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+def value_counts(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
     """(attr, value, n) over the non-null values of every column, in one pass."""
     cells = F.array(*[F.struct(F.lit(i).alias("attr"), c.alias("value")) for i, c in enumerate(cols.values())])
     return df.select(F.inline(cells)).where(F.col("value").isNotNull()).groupBy("attr", "value").agg(F.count("*").alias("n"))
@@ -28,7 +28,7 @@ def at_ranks(df: DataFrame, cols: Mapping[str, Column], ranks) -> dict[str, dict
     """{column: {rank: value}} of 0-based ranks in sorted order (nulls left out,
     NaN last).  ``ranks(n)`` names the wanted ranks of a column of n values."""
     names = list(cols)
-    ranged = _ranged(_counts(df, cols), ["attr", "value"], None)
+    ranged = _ranged(value_counts(df, cols), ["attr", "value"], None)
     # one row per (partition, column)
     totals = sorted(tuple(r) for r in ranged.groupBy("attr", "_pid").agg(F.sum("n")).collect())
     size: dict = defaultdict(int)
@@ -77,7 +77,7 @@ def quantiles(df: DataFrame, cols: Mapping[str, Column], qs: Iterable[float]) ->
 def modes(df: DataFrame, cols: Mapping[str, Column]) -> dict:
     """The most frequent value of every column, the smallest of equals."""
     names = list(cols)
-    top = (_counts(df, cols).groupBy("attr")
+    top = (value_counts(df, cols).groupBy("attr")
            .agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("value"))).alias("m")).collect())  # one row a column
     found = {names[r["attr"]]: r["m"]["value"] for r in top}
     return {c: found.get(c) for c in names}

@@ -68,6 +68,7 @@ def _sum(x: Column) -> Column:
     return F.when(F.count(x) == 0, F.lit(NAN)).otherwise(F.sum(x))
 
 
+#: One array of quantiles serves every summary that needs one: the plan has it once.
 QS5 = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
@@ -123,14 +124,14 @@ SUMMARIES: dict[str, Callable[..., list[Column]]] = {
     "nancount": lambda: [F.count(_ok()).cast("double")],
     "histogram": lambda bins=10: _hist(_v(), bins, True),
     "nanhistogram": lambda bins=10: _hist(_ok(), bins, False),
-    "iq_range": lambda: [_prop(F.percentile(_v(), 0.75) - F.percentile(_v(), 0.25))],
-    "naniq_range": lambda: [_nan_if_null(F.percentile(_ok(), 0.75) - F.percentile(_ok(), 0.25))],
+    "iq_range": lambda: [_prop(F.percentile(_v(), QS5)[3] - F.percentile(_v(), QS5)[1])],
+    "naniq_range": lambda: [_nan_if_null(F.percentile(_ok(), QS5)[3] - F.percentile(_ok(), QS5)[1])],
     "kurtosis": lambda method=3: [_prop(_kurt(_v(), method))],
     "nankurtosis": lambda method=3: [_kurt(_ok(), method)],
     "max": lambda: [_prop(F.max(_v()))],
     "nanmax": lambda: [_nan_if_null(F.max(_ok()))],
-    "median": lambda: [_prop(F.median(_v()))],
-    "nanmedian": lambda: [_nan_if_null(F.median(_ok()))],
+    "median": lambda: [_prop(F.percentile(_v(), QS5)[2])],
+    "nanmedian": lambda: [_nan_if_null(F.percentile(_ok(), QS5)[2])],
     "min": lambda: [_prop(F.min(_v()))],
     "nanmin": lambda: [_nan_if_null(F.min(_ok()))],
     "quantiles": lambda: _quantiles(_v(), True),

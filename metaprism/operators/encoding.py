@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..frame import Frame, infer_kinds
 from ..functions.orderstats import quantiles
 from ..functions.ranking import sorted_levels
-from .phases import level_values, fit_scale
+from .phases import all_level_values, fit_scale
 
 MAX_LEVELS = 1000
 
@@ -42,18 +42,12 @@ def infer_num_cat(df: DataFrame, exclude=(), cat_cols="auto", check_bool: bool =
     return num, cat
 
 
-def _levels(fr: Frame, c: str) -> list:
-    lv = sorted_levels(fr.df.select(F.col(c).cast("string").alias("value")))
-    return level_values(lv, MAX_LEVELS)
-
-
 def encode_onehot(fr: Frame, use_all_columns: bool = False) -> Frame:
     """One 0/1 double column ``{col}_{level}`` per level (sorted);
     the first level is dropped unless ``use_all_columns``; a single-valued
     column raises when dropping."""
     df, num = fr.df, list(fr.num)
-    for c in fr.cat:
-        levels = _levels(fr, c)
+    for c, levels in all_level_values(fr, list(fr.cat), MAX_LEVELS).items():
         if not use_all_columns and len(levels) < 2:
             raise ValueError(f"column {c} has a single value")
         keep = levels if use_all_columns else levels[1:]
@@ -72,8 +66,7 @@ def encode_dummies_reduced(fr: Frame) -> Frame:
     if any(nulls[c] for c in fr.cat):
         raise ValueError("missing values in categorical data")
     df, num = fr.df, list(fr.num)
-    for i, c in enumerate(fr.cat):
-        levels = _levels(fr, c)
+    for i, (c, levels) in enumerate(all_level_values(fr, list(fr.cat), MAX_LEVELS).items()):
         if i == 0:
             new = [(F.col(c).cast("string") == F.lit(v)).cast("double").alias(f"{c}[{v}]") for v in levels]
             num += [f"{c}[{v}]" for v in levels]

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import Frame, NUMERIC_TYPES
-from ..functions.orderstats import modes, quantiles
+from ..session import ensure_checkpoint_dir
+from ..functions.orderstats import modes, quantiles, value_counts
 from ..functions.ranking import sorted_levels, level_codes
 
 UNKNOWN_LABEL = "DESCONOCIDO"  # fixed value: fill text of the reference's label imputation
@@ -196,15 +197,13 @@ def fit_low_card(fr: Frame, option: str) -> Fitted:
     ratios = cardinality_ratios(fr)
     cols = [c for c, v in ratios.items() if v <= LOW_CARD]
     params: dict[str, Any] = {}
-    for c in cols:
-        lv = sorted_levels(fr.df.select(F.col(c).alias("value")).where(F.col("value").isNotNull()))
-        if option == "one_hot_encoding":
-            vals = level_values(lv, MAX_ONEHOT_LEVELS)
-            params[c] = vals
-        elif option == "label_encoding":
-            params[c] = lv
-        else:
-            raise ValueError(option)
+    if option == "one_hot_encoding":
+        params = all_level_values(fr, cols, MAX_ONEHOT_LEVELS)
+    elif option == "label_encoding":
+        for c in cols:
+            params[c] = sorted_levels(fr.df.select(F.col(c).alias("value")).where(F.col("value").isNotNull()))
+    else:
+        raise ValueError(option)
 
     def apply(fr: Frame, p: dict) -> Frame:
         df, num, cat = fr.df, list(fr.num), list(fr.cat)
@@ -222,16 +221,24 @@ def fit_low_card(fr: Frame, option: str) -> Fitted:
     return Fitted("low_card", option, params, apply)
 
 
-def level_values(levels: DataFrame, limit: int) -> list:
-    """Sorted level list for schema-shaping phases (one column per level).
+def all_level_values(fr: Frame, cols: list, limit: int) -> dict:
+    """Sorted level list of every column, for schema-shaping phases (one
+    column per level), from one pass over all columns.
 
-    The level count is checked first; beyond ``limit`` the phase refuses, as
+    The level counts are checked first; beyond ``limit`` the phase refuses, as
     a column per value would not be a sane schema.
     """
-    k = levels.count()
-    if k > limit:
-        raise ValueError(f"{k} levels exceed the one-hot limit {limit}")
-    return [r["value"] for r in levels.orderBy("code").collect()]
+    if not cols:
+        return {}
+    ensure_checkpoint_dir(fr.spark)
+    levels = value_counts(fr.df, {c: F.col(c).cast("string") for c in cols}).select("attr", "value").checkpoint(eager=True)
+    for r in levels.groupBy("attr").count().collect():  # one row a column
+        if r["count"] > limit:
+            raise ValueError(f"{r['count']} levels of {cols[r['attr']]} exceed the one-hot limit {limit}")
+    out: dict = {c: [] for c in cols}
+    for r in levels.orderBy("attr", "value").collect():
+        out[cols[r["attr"]]].append(r["value"])
+    return out
 
 
 def fit_mid_card(fr: Frame, option: str) -> Fitted:

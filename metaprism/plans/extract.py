@@ -210,7 +210,7 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
             return fr.spark.createDataFrame([(f, None, None, 0, float("nan")) for f in names], LONG_SCHEMA)
 
     with ThreadPoolExecutor(PARALLEL) as pool:
-        return union_all(list(pool.map(inheritable_thread_target(run), tasks)))
+        return union_all(list(pool.map(inheritable_thread_target(fr.spark)(run), tasks)))
 
 
 def extract(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY,

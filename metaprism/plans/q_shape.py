@@ -240,7 +240,7 @@ def q_duplicates(spark, sf_dir):
 
 @query("dataset_size_kb", group="shaping")
 def q_size(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem").drop("l_shipdate")
+    li = read_table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.to_date("l_shipdate"))
     return U.dataset_size_kb(Frame(df=li))
 
 
