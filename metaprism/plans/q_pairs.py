@@ -150,14 +150,23 @@ def q_t1(spark, sf_dir):
     return finish_long(NB.ft_t1(_em(spark, sf_dir)))
 
 
-@query("complexity_density", group="complexity")
+KNNG_CTE = ("ranked AS (SELECT i, j, yi, yj, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM g), "
+            "kk AS (SELECT greatest(1, least(CAST(round(count(*) * 0.15) AS BIGINT), count(*) - 1)) AS k, count(*) AS n FROM em), "
+            "kedge AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM ranked, kk WHERE rk <= k AND yi = yj AND d > 0), "
+            "deg AS (SELECT v, count(*) AS c FROM (SELECT a AS v FROM kedge UNION ALL SELECT b FROM kedge) AS t GROUP BY v)")
+_DENSITY = "(SELECT 1.0 - 2.0 * (SELECT count(*) FROM kedge) / (n * (n - 1.0)) FROM kk)"
+_CLS_COEF = ("(SELECT 1.0 - 3.0 * (SELECT count(*) FROM kedge AS e1 JOIN kedge AS e2 ON e1.a = e2.a AND e1.b < e2.b "
+             "JOIN kedge AS e3 ON e3.a = e1.b AND e3.b = e2.b) / (SELECT sum(c * (c - 1) / 2.0) FROM deg))")
+
+
+@query("complexity_density", with_(EM_CTE, EMM_CTE, G_CTE, KNNG_CTE) + sql_long(row("density", _DENSITY, src=ONE)), group="complexity")
 def q_density(spark, sf_dir):
     """1 - density of the same-class round(0.15 n)-NN graph, counted on the
     pair kernel without an edge list (checked against a dense graph in tests)."""
     return finish_long(NB.ft_density(_em(spark, sf_dir)))
 
 
-@query("complexity_cls_coef", group="complexity")
+@query("complexity_cls_coef", with_(EM_CTE, EMM_CTE, G_CTE, KNNG_CTE) + sql_long(row("cls_coef", _CLS_COEF, src=ONE)), group="complexity")
 def q_cls_coef(spark, sf_dir):
     """1 - transitivity of the same-class round(0.15 n)-NN graph (wedge join;
     checked against a dense graph in tests)."""
