@@ -26,6 +26,7 @@ from ..functions.summaries import SUMMARIES, summarise
 from ..operators import clustering, complexity, general, infotheory, itemset, statistical
 from ..operators import landmarking, modelbased
 from ..operators import neighbourhood as NB
+from ..operators.shaping import relative_rank
 from ..operators.encoding import build_C, build_N, rescale_numeric
 from ..session import ensure_checkpoint_dir
 
@@ -59,6 +60,7 @@ CATALOGUE: dict[str, dict[str, bool]] = {
                     "tree_shape": True, "var_importance": True},
     "concept": {"cohesiveness": True, "conceptvar": True, "impconceptvar": True, "wg_dist": True},
 }
+CATALOGUE["relative"] = dict(CATALOGUE["landmarking"])  # ranks of the landmarkers' summaries
 NEEDS_LABEL = (general.NEEDS_LABEL | statistical.NEEDS_LABEL | infotheory.NEEDS_LABEL
                | clustering.NEEDS_LABEL | complexity.NEEDS_LABEL
                | {"int", "pb", "sil", "vdu", "lsc", "n1", "n2", "n3", "n4", "t1", "density", "cls_coef", "hubs", "conceptvar", "impconceptvar"}
@@ -74,6 +76,8 @@ def catalogue_df(spark, summaries: Iterable[str] = DEFAULT_SUMMARY) -> DataFrame
                 for s in summaries:
                     width = len(SUMMARIES[s]())
                     names = [f"{f}.{s}"] if width == 1 else [f"{f}.{s}.{i}" for i in range(width)]
+                    if g == "relative":
+                        names = [f"{n}.relative" for n in names]
                     rows += [(g, f, f in NEEDS_LABEL, vec, nm) for nm in names]
             else:
                 rows.append((g, f, f in NEEDS_LABEL, vec, f))
@@ -189,7 +193,13 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
     jobs of their own, a few at a time, each ending in the shared folder; one
     that fails gives NaN and a warning, and the others go on.
     """
-    plan = {g: names for g, names in resolve(groups, features, supervised=fr.label is not None).items() if names}
+    plan = resolve(groups, features, supervised=fr.label is not None)
+    return _table(fr, plan, pair_block_rows, transform_num, transform_cat, rescale)
+
+
+def _table(fr: Frame, plan: dict, pair_block_rows: int, transform_num: bool = True,
+           transform_cat: str | None = "gray", rescale: str | None = None) -> DataFrame:
+    plan = {g: names for g, names in plan.items() if names and g != "relative"}
     ensure_checkpoint_dir(fr.spark)
     uses_c = bool({"info-theory", "itemset"} & set(plan))
     uses_n = bool(set(plan) - {"general", "info-theory", "itemset"})
@@ -216,15 +226,28 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
 def extract(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY,
             summary_args: dict | None = None, pair_block_rows: int = 2048, **views) -> DataFrame:
     """(name, value) sorted by name, like the reference's extract(); ``views``
-    are the options of ``feature_table``."""
+    are the options of ``feature_table``.  The relative group ranks the
+    landmarkers by each summary, which computes them if need be."""
     plan = resolve(groups, features, supervised=fr.label is not None)
+    ranked, shown = plan.pop("relative", []), plan.get("landmarking", [])
+    if ranked:
+        plan["landmarking"] = [f for f in CATALOGUE["landmarking"] if f in {*ranked, *shown}]
     vector = {f for g, fs in plan.items() for f in fs if CATALOGUE[g][f]}
-    long = feature_table(fr, groups, features, pair_block_rows, **views)
-    return summarise(long, tuple(summary), vector_features=vector, args=summary_args)
+    out = summarise(_table(fr, plan, pair_block_rows, **views), tuple(summary), vector_features=vector, args=summary_args)
+    if not ranked:
+        return out
+    out = out.checkpoint(eager=True)
+    base = F.split(F.col("name"), r"\.").getItem(0)
+    hidden = [f for f in plan["landmarking"] if f not in shown]
+    ranks = relative_rank(out.where(base.isin(ranked)), ranked).select("name", F.col("value").cast("double").alias("value"))
+    return out.where(~base.isin(hidden) if hidden else F.lit(True)).unionByName(ranks).orderBy("name")
 
 
 def parse_by_group(results: DataFrame, groups: Iterable[str], spark=None) -> DataFrame:
     """Keep the (name, value) rows produced by features of ``groups``."""
-    feats = [f for g in groups for f in CATALOGUE[g]]
     base = F.split(F.col("name"), r"\.").getItem(0)
-    return results.where(base.isin(feats))
+    is_rank = F.col("name").endswith(".relative")
+    keep = F.lit(False)
+    for g in groups:
+        keep = keep | (base.isin(list(CATALOGUE[g])) & (is_rank if g == "relative" else ~is_rank))
+    return results.where(keep)

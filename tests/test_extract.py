@@ -46,3 +46,15 @@ def test_row_count_follows_the_rows(spark):
     fr = mixed(spark)
     assert fr.count() == 400
     assert fr.with_df(fr.df.where(F.col("p") < 3)).count() == fr.df.where("p < 3").count()
+
+
+def test_relative_ranks(spark):
+    fr = mixed(spark)
+    names = ["one_nn", "naive_bayes"]
+    both = values(X.extract(fr, ("landmarking", "relative"), names, summary=("mean",)))
+    assert set(both) == {f"{n}.mean{e}" for n in names for e in ("", ".relative")}
+    assert sorted(both[f"{n}.mean.relative"] for n in names) in ([1.0, 2.0], [1.5, 1.5])
+    assert (both["one_nn.mean"] > both["naive_bayes.mean"]) == (both["one_nn.mean.relative"] > both["naive_bayes.mean.relative"])
+    only = X.extract(fr, ("relative",), names, summary=("mean",))
+    assert set(values(only)) == {f"{n}.mean.relative" for n in names}
+    assert X.parse_by_group(only, ["landmarking"]).count() == 0 and X.parse_by_group(only, ["relative"]).count() == 2
