@@ -9,6 +9,7 @@ Feature operators return the long form ``(feature, attr, cls, idx, value)``.
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field, replace
 from typing import Iterable, Sequence
 
@@ -48,14 +49,20 @@ class Frame:
         return self.df.sparkSession
 
     def with_df(self, df: DataFrame, **kw) -> "Frame":
-        # what was computed of the old rows (the row count) does not carry over
-        return replace(self, df=df, **({"options": {k: v for k, v in self.options.items() if k[0] != "_"}} | kw))
+        # what was computed of the old rows does not carry over
+        return replace(self, df=df, **({"options": {}} | kw))
+
+    def memo(self, key, make):
+        """``make()`` once per Frame and key, also when several features ask
+        for it at the same time."""
+        with self.options.setdefault(("lock", key), threading.RLock()):
+            if key not in self.options:
+                self.options[key] = make()
+            return self.options[key]
 
     def count(self) -> int:
         """Row count, computed once per Frame (one aggregate action)."""
-        if "_n" not in self.options:
-            self.options["_n"] = self.df.count()
-        return self.options["_n"]
+        return self.memo("rows", self.df.count)
 
     def y(self) -> Column:
         if self.label is None:

@@ -225,9 +225,10 @@ def _svm_pairs(fr: Frame, max_iter: int = 100, seed: int = 0, parallelism: int =
     scaler, model), n_a + n_b, (class_a, class_b))].  Fits are shared by l1,
     l2 and l3 (memoised per Frame) and submitted concurrently (each fit is its
     own distributed job; the driver only waits)."""
-    key = ("_svm_pairs", max_iter)
-    if key in fr.options:
-        return fr.options[key]
+    return fr.memo(("svm_pairs", max_iter, seed), lambda: _fit_svm_pairs(fr, max_iter, parallelism))
+
+
+def _fit_svm_pairs(fr: Frame, max_iter: int, parallelism: int):
     from concurrent.futures import ThreadPoolExecutor
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -246,9 +247,7 @@ def _svm_pairs(fr: Frame, max_iter: int = 100, seed: int = 0, parallelism: int =
         return f"{classes[a]}|{classes[b]}", data, (va, sc, svm), n, (classes[a], classes[b])
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        out = list(pool.map(fit, ovo_pairs(len(classes))))
-    fr.options[key] = out
-    return out
+        return list(pool.map(fit, ovo_pairs(len(classes))))
 
 
 def _margin():

@@ -37,11 +37,11 @@ def attr_entropies(fr: Frame, ct: DataFrame | None = None) -> DataFrame:
 
 def class_entropy_value(fr: Frame) -> float:
     """Entropy of the label (memoised per Frame: one grouped pass)."""
-    if "_class_ent" not in fr.options:
+    def one_pass():
         cc = (fr.df.where(fr.y().isNotNull()).groupBy(fr.y().alias("y"))
               .agg(F.count(F.lit(1)).cast("double").alias("cnt")))
-        fr.options["_class_ent"] = _entropy(cc.withColumn("g", F.lit(0)), ["g"]).first()["ent"]
-    return fr.options["_class_ent"]
+        return _entropy(cc.withColumn("g", F.lit(0)), ["g"]).first()["ent"]
+    return fr.memo("class_ent", one_pass)
 
 
 def joint_entropies(ct: DataFrame, eps: float = EPS) -> DataFrame:

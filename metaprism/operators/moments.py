@@ -63,9 +63,7 @@ def class_scatter(fr: Frame, cols: list[str] | None = None) -> ClassScatter:
     correlations, Box's M, f1, f1v, ch, discriminant models) shares one pass."""
     cols = list(cols if cols is not None else fr.num)
     key = ("_class_scatter", tuple(cols))
-    if key not in fr.options:
-        fr.options[key] = _class_scatter(fr, cols)
-    return fr.options[key]
+    return fr.memo(key, lambda: _class_scatter(fr, cols))
 
 
 def _class_scatter(fr: Frame, cols: list[str]) -> ClassScatter:
@@ -95,9 +93,7 @@ def covariance(fr: Frame, cols: list[str] | None = None) -> tuple[np.ndarray, fl
     (memoised per Frame)."""
     cols = list(cols if cols is not None else fr.num)
     key = ("_covariance", tuple(cols))
-    if key not in fr.options:
-        fr.options[key] = _covariance(fr, cols)
-    return fr.options[key]
+    return fr.memo(key, lambda: _covariance(fr, cols))
 
 
 def _covariance(fr: Frame, cols: list[str]) -> tuple[np.ndarray, float]:

@@ -49,7 +49,7 @@ CATALOGUE: dict[str, dict[str, bool]] = {
     "itemset": {"one_itemset": True, "two_itemset": True},
     "clustering": {"ch": False, "int": False, "nre": False, "pb": False, "sc": False, "sil": False,
                    "vdb": False, "vdu": False},
-    "complexity": {"c1": False, "c2": False, "cls_coef": False, "density": False, "f1": True, "f1v": True, "f2": True, "f3": True, "f4": True,
+    "complexity": {"c1": False, "c2": False, "cls_coef": False, "density": False, "f1": True, "f1v": True, "f2": True, "f3": True, "f4": True, "hubs": True,
                    "l1": True, "l2": True, "l3": True, "lsc": False, "n1": False, "n2": True, "n3": True,
                    "n4": True, "t1": False, "t2": False, "t3": False, "t4": False},
     "landmarking": {"best_node": True, "elite_nn": True, "linear_discr": True, "naive_bayes": True,
@@ -111,8 +111,10 @@ def resolve(groups="default", features="all", supervised=True) -> dict[str, list
     return out
 
 
+#: Features of many rounds or fits.
+SLOW = {"hubs", "l1", "l2", "l3", "n1", "t1", "f4", "elite_nn", "linear_discr", "best_node", "worst_node", "random_node"}
 #: Feature jobs submitted at a time.
-PARALLEL = 6
+PARALLEL = 8
 
 
 def _tasks(fr: Frame, plan: dict, cv: Frame, nv: Frame, block_rows: int) -> list:
@@ -164,7 +166,7 @@ def _tasks(fr: Frame, plan: dict, cv: Frame, nv: Frame, block_rows: int) -> list
                         once("gower", lambda: NB.PairContext(nv, "gower", "minmax", block_rows))))
                 else:
                     add(f, lambda f=f: {"n1": NB.ft_n1, "n4": NB.ft_n4, "t1": NB.ft_t1, "density": NB.ft_density,
-                                        "cls_coef": NB.ft_cls_coef}[f](nv, block_rows=block_rows))
+                                        "cls_coef": NB.ft_cls_coef, "hubs": NB.ft_hubs}[f](nv, block_rows=block_rows))
             elif g == "landmarking":
                 add(f, lambda f=f: landmarking.FEATURES[f](nv))
             elif g == "model-based":
@@ -211,8 +213,11 @@ def _table(fr: Frame, plan: dict, pair_block_rows: int, transform_num: bool = Tr
     if not tasks:
         return empty_long(fr.spark)
 
-    def run(task):
-        names, make = task
+    # the longest jobs first, so that none is left alone at the end
+    order = sorted(range(len(tasks)), key=lambda i: not SLOW & set(tasks[i][0]))
+
+    def run(i):
+        names, make = tasks[i]
         try:
             return make().checkpoint(eager=True)
         except Exception as e:  # noqa: BLE001 - a feature that cannot be computed is NaN, as a result
@@ -220,7 +225,8 @@ def _table(fr: Frame, plan: dict, pair_block_rows: int, transform_num: bool = Tr
             return fr.spark.createDataFrame([(f, None, None, 0, float("nan")) for f in names], LONG_SCHEMA)
 
     with ThreadPoolExecutor(PARALLEL) as pool:
-        return union_all(list(pool.map(inheritable_thread_target(fr.spark)(run), tasks)))
+        parts = dict(zip(order, pool.map(inheritable_thread_target(fr.spark)(run), order)))
+    return union_all([parts[i] for i in range(len(tasks))])
 
 
 def extract(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY,

@@ -35,7 +35,6 @@ def test_cls_coef_matches_dense_graph(spark):
     assert abs(got - want) < 1e-12
 
 
-@pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="hundreds of power steps; set RUN_SLOW=1")
 def test_hubs_match_principal_eigenvector(spark):
     fr = embeddings_frame(spark, SF0001)
     pdf = fr.df.orderBy("row_id").toPandas()
