@@ -126,10 +126,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     """Fit on rows with text and language.
 
     N-gram document frequencies cover all rows.  Centroids and length floors
-    are fitted on at most ``per_lang`` texts a language, those of lowest text
-    hash.  A floor is ``slack`` times the least own-language cosine seen in
-    the length class or a longer one; below 128 letters, where a key or a
-    number can be half the text, the slack shrinks with the length class.
+    are fitted on at most ``per_lang`` distinct texts a language, those of
+    lowest hash, so that a large group of copies counts as one text.  A floor
+    is ``slack`` times the least own-language cosine seen in the length class
+    or a longer one; below 128 letters, where a key or a number can be half
+    the text, the slack shrinks with the length class.
     None when there is no usable row.
     """
     training = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
@@ -137,12 +138,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     if not n:
         return None
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    counts = training.groupBy("lang").count().collect()  # one row a language
     h = F.xxhash64("text")
+    # copies collapse to their hash before the shuffle; one row a language comes back
+    counts = training.select("lang", h.alias("h")).distinct().groupBy("lang").count().collect()
     wanted = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * per_lang / r["count"]))) for r in counts])
     near = (h.cast("double") / F.lit(2.0 ** 64) + 0.5) <= wanted  # twice the bound is expected to pass
     from pyspark.sql import Window
-    sample = (training.filter(near).withColumn("h", h)
+    sample = (training.filter(near).groupBy("lang", h.alias("h")).agg(F.first("text").alias("text"))
               .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
               .filter(F.col("rank") <= per_lang).select("lang", "text"))
 
