@@ -184,6 +184,16 @@ def test_language_rejects_strange_text(spark, docs):
     assert all(r[0] for r in odd.select(language.predictor(model)("text")["rejected"]).collect())
 
 
+def test_language_copies_do_not_crowd_out(spark, docs):
+    """One text holding most rows of its language leaves the centroids alone."""
+    one = docs.filter("lang = 'de' and text is not null").orderBy("doc_id").limit(1)
+    many = docs.unionByName(one.select(*docs.columns).crossJoin(spark.range(3000)).select(
+        *[(F.col("id") + 10_000_000).alias(c) if c == "doc_id" else F.col(c) for c in docs.columns]))
+    plain = {r["doc_id"]: r["lang"] for r in language.identify(docs).filter("held_out").collect()}
+    with_copies = {r["doc_id"]: r["lang"] for r in language.identify(many).filter("held_out and doc_id < 10000000").collect()}
+    assert np.mean([plain[i] == with_copies[i] for i in plain]) > 0.98
+
+
 # --- 5 SimHash ---------------------------------------------------------------
 
 def slow_print(t):
@@ -367,6 +377,29 @@ def test_pii_adds_what_looks_like_it(spark):
     assert not any(i < 1200 and i % 2 == 0 for i in extra)
 
 
+def test_pii_adds_what_the_base_patterns_swallow(spark):
+    rng = random.Random(3)
+    phone = lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+
+    def card(good):
+        d = [rng.randint(0, 9) for _ in range(15)]
+        check = -sum(x if i % 2 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10
+        return "".join(map(str, d)) + str((check + (not good)) % 10)
+
+    rows = [(i, (f"call {phone()} now", f"paid by {card(True)} then", f"order {card(False)} sent")[i % 3]) for i in range(1500)]
+    rows += [(5000 + i, f"é {phone()} {card(True)} end") for i in range(60)] + [(6000 + i, f"é {card(False)} {card(False)} end") for i in range(60)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.detect(rows)).collect()}
+    for i, t in rows.collect():
+        want = base_pii(t)
+        assert got[i]["base_sha256"] == sha(want)
+        if 5000 <= i < 6000:
+            assert not [w for w in want if w[3] in ("card", "phone")]
+            assert got[i]["spans"] == f"phone:2:{2 + 17},card:20:36"
+        else:
+            assert got[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+
+
 # --- 9 HTML ------------------------------------------------------------------
 
 @pytest.mark.parametrize("markup, text", [
