@@ -208,23 +208,32 @@ def _fit_adaboost(fr: Frame, n_estimators: int, seed: int) -> FittedModel:
 
 
 # ------------------------------------------------------------------ regression
-# MLlib minimises RSS / 2n + penalty: ridge's alpha = 1 is 1/n there, lasso's
-# and elastic net's are the same.
+# Ridge's alpha = 1 is 1/n in terms of RSS / 2n + penalty; lasso's and elastic
+# net's are the same.
+def _penalised(l1: float, l2: float, spread: float):
+    """Linear regression minimising RSS / 2n + l1 |w| + l2 |w|^2 / 2.  MLlib
+    divides the quadratic penalty by the target's standard deviation
+    (``spread``), which is undone here."""
+    reg = l1 + l2 * spread
+    return MR.LinearRegression(regParam=reg, elasticNetParam=l1 / reg, standardization=False)
+
+
 REGRESSORS = {
-    "lineal": lambda n, seed: MR.LinearRegression(regParam=0.0),
-    "ridge": lambda n, seed: MR.LinearRegression(regParam=1.0 / n, elasticNetParam=0.0, standardization=False),
-    "lasso": lambda n, seed: MR.LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False),
-    "elasticnet": lambda n, seed: MR.LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False),
-    "arbol_decision": lambda n, seed: MR.DecisionTreeRegressor(maxDepth=30, seed=seed),
-    "random_forest": lambda n, seed: MR.RandomForestRegressor(numTrees=100, maxDepth=30, seed=seed),
-    "gradient_boosting": lambda n, seed: MR.GBTRegressor(maxIter=100, maxDepth=3, seed=seed),
+    "lineal": lambda n, spread, seed: MR.LinearRegression(regParam=0.0),
+    "ridge": lambda n, spread, seed: _penalised(0.0, 1.0 / n, spread),
+    "lasso": lambda n, spread, seed: _penalised(1.0, 0.0, spread),
+    "elasticnet": lambda n, spread, seed: _penalised(0.5, 0.5, spread),
+    "arbol_decision": lambda n, spread, seed: MR.DecisionTreeRegressor(maxDepth=30, seed=seed),
+    "random_forest": lambda n, spread, seed: MR.RandomForestRegressor(numTrees=100, maxDepth=30, seed=seed),
+    "gradient_boosting": lambda n, spread, seed: MR.GBTRegressor(maxIter=100, maxDepth=3, seed=seed),
 }
 
 
 def fit_regressor(name: str, fr: Frame, target: str, seed: int = 42) -> FittedModel:
     if name not in REGRESSORS:
         raise ValueError(f"unknown regressor {name}")
-    est = REGRESSORS[name](max(fr.count(), 1), seed).setFeaturesCol(FEAT).setLabelCol(target).setPredictionCol("pred")
+    n, spread = fr.df.agg(F.count(F.lit(1)), F.stddev_pop(F.col(target).cast("double"))).first()
+    est = REGRESSORS[name](max(n, 1), spread or 1.0, seed).setFeaturesCol(FEAT).setLabelCol(target).setPredictionCol("pred")
     model = est.fit(assemble(fr.df, fr.num))
 
     def predict(df: DataFrame) -> DataFrame:

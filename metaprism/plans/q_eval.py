@@ -172,3 +172,21 @@ def q_bootstrap_ci(spark, sf_dir):
     li = fr.df.withColumn("row_id", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     fr2 = Frame(df=li, num=fr.num, cat=(), label="y", row_id="row_id")
     return R.bootstrap_ci(fr2, "mean", replicates=128, confidence=(0.9, 0.95))
+
+
+_MATCH_SQL = """
+WITH ct AS (SELECT l_linestatus AS c, l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY ALL),
+grid AS (SELECT cs.c, ys.y, coalesce(ct.n, 0) AS n FROM (SELECT DISTINCT c FROM ct) AS cs
+  CROSS JOIN (SELECT DISTINCT y FROM ct) AS ys LEFT JOIN ct ON ct.c = cs.c AND ct.y = ys.y),
+best AS (SELECT a.c AS c1, a.y AS y1, b.c AS c2, b.y AS y2 FROM grid AS a JOIN grid AS b ON a.c < b.c AND a.y <> b.y
+  ORDER BY a.n + b.n DESC LIMIT 1)
+SELECT c1 AS cluster, y1 AS mapped FROM best UNION ALL SELECT c2, y2 FROM best
+"""
+
+
+@query("cluster_class_match", _MATCH_SQL, group="evaluation")
+def q_cluster_class_match(spark, sf_dir):
+    """V6 with l_linestatus as clusters and l_returnflag as classes; the SQL
+    tries every one-to-one assignment of the two clusters."""
+    from ..session import read_table
+    return V.cluster_class_match(read_table(spark, sf_dir, "lineitem"), "l_linestatus", "l_returnflag")

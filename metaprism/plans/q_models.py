@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..frame import Frame, union_all
-from ..functions.numeric import sig
+from ..functions.numeric import sig, sql_sig
 from ..functions.summaries import summarise
 from ..operators import clustering as K
 from ..operators import evaluation as V
@@ -79,6 +79,33 @@ def q_model_regression(spark, sf_dir):
     return union_all(out)
 
 
+def _line_sql() -> str:
+    """Closed forms of the penalised one-column fits."""
+    def soft(by):
+        return f"sign(sxy) * greatest(abs(sxy) / n - {by}, 0)"
+
+    slopes = {"lineal": "sxy / sxx", "ridge": "sxy / (sxx + 1)", "lasso": f"{soft(1.0)} / (sxx / n)",
+              "elasticnet": f"{soft(0.5)} / (sxx / n + 0.5)"}
+    parts = [f"SELECT '{m}' AS model, {sql_sig(e, 6)} AS slope, {sql_sig(f'my - ({e}) * mx', 6)} AS intercept FROM s" for m, e in slopes.items()]
+    return ("WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, "
+            "covar_pop(l_quantity, l_extendedprice) * count(*) AS sxy, var_pop(l_quantity) * count(*) AS sxx FROM lineitem) "
+            + " UNION ALL ".join(parts))
+
+
+@query("regression_line", _line_sql(), group="models")
+def q_regression_line(spark, sf_dir):
+    """E14 on one column: slope and intercept of l_extendedprice on l_quantity."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"))
+    fr = Frame(df=li, num=("l_quantity",), cat=(), label=None, row_id=None)
+    rows = []
+    for name in ("lineal", "ridge", "lasso", "elasticnet"):
+        m = E.fit_regressor(name, fr, "l_extendedprice").model
+        rows.append((name, float(m.coefficients[0]), float(m.intercept)))
+    return (spark.createDataFrame(rows, "model string, slope double, intercept double")
+            .select("model", sig(F.col("slope"), 6).alias("slope"), sig(F.col("intercept"), 6).alias("intercept")))
+
+
 @query("clustering_models", group="models")
 def q_clustering_models(spark, sf_dir):
     """k-means (k=8) and spectral (power iteration on the k-NN graph) on EM:

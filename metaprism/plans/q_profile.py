@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..frame import union_all
 from ..operators import general as G
 from ..operators import statistical as S
-from ..sources.tables import lineitem_frame, LI_NUM
+from ..sources.tables import embeddings_frame, lineitem_frame, LI_NUM
 from .registry import query, finish_long, sql_long, row, union
 from .sqlbind import LI_CTE, LI_CAT, with_
 
@@ -176,11 +176,41 @@ def q_stat_discriminant(spark, sf_dir):
                                   S.ft_lh_trace(fr), S.ft_roy_root(fr), S.ft_sd_ratio(fr)]))
 
 
-@query("stat_nr_norm", group="statistical")
+def _normality_sql(values: str) -> str:
+    """Columns of ``values`` (attr, x) whose K^2 p-value, exp(-K^2 / 2) with two
+    degrees of freedom, is over 0.05 (published forms of both z-scores)."""
+    return f"""SELECT 'nr_norm' AS feature, NULL AS attr, NULL AS cls, 0 AS idx, CAST(count(*) AS DOUBLE) AS value FROM (
+  SELECT *, (1 - 2 / (9 * a) - (CASE WHEN q < 0 THEN -1 ELSE 1 END) * power(abs((1 - 2 / a) / q), 1.0 / 3)) / sqrt(2 / (9 * a)) AS z2 FROM (
+    SELECT attr, z1, a, 1 + x * sqrt(2 / (a - 4)) AS q FROM (
+      SELECT *, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS a FROM (
+        SELECT attr,
+          asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1,
+          (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / (power(n + 1, 2) * (n + 3) * (n + 5))) AS x,
+          6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS rb
+        FROM (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y,
+            -1 + sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) AS w2
+          FROM (SELECT attr, CAST(count(*) AS DOUBLE) AS n, avg(power(x - mu, 3)) / power(avg(power(x - mu, 2)), 1.5) AS g1,
+              avg(power(x - mu, 4)) / power(avg(power(x - mu, 2)), 2) AS b2
+            FROM (SELECT attr, x, avg(x) OVER (PARTITION BY attr) AS mu FROM ({values}) AS v0) AS v1 GROUP BY attr) AS m) AS s) AS k) AS c) AS e
+) AS t WHERE exp(-(z1 * z1 + z2 * z2) / 2) > 0.05"""
+
+
+@query("stat_nr_norm", with_(LI_CTE) + sql_long(_normality_sql(
+    " UNION ALL ".join(f"SELECT '{c}' AS attr, CAST({c} AS DOUBLE) AS x FROM li WHERE {c} IS NOT NULL" for c in NUM))), group="statistical")
 def q_stat_nr_norm(spark, sf_dir):
     return finish_long(S.ft_nr_norm(_li(spark, sf_dir)))
 
 
+EM_WIDTH = 64  # length of the embeddings
+
+
+@query("stat_nr_norm_wide", sql_long(_normality_sql(
+    f"SELECT i AS attr, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, {EM_WIDTH + 1}) AS r(i)")), group="statistical")
+def q_stat_nr_norm_wide(spark, sf_dir):
+    """Normality of every embedding element."""
+    return finish_long(S.ft_nr_norm(embeddings_frame(spark, sf_dir, dims=EM_WIDTH)))
+
+
 # ------------------------------------------------------------------ general
 _GEN_SQL = with_(LI_CTE) + sql_long(union([
     row("nr_inst", "count(*)", src="FROM li"),
