@@ -21,6 +21,15 @@ _VALUE = r"[A-Za-z0-9+/_.=-]+"
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
 _ASSIGN = rf"{_KEYWORD}[\"']?\x20*[:=]\x20*[\"']?({_VALUE})"
 
+# A PEM key up to its END line; without one, its header and base64 lines (line
+# ends also as \n of quoted code).  Possessive, so that no text is tried twice.
+_BREAK = r"(?:[\s>\"']|\\[nrt])"
+_PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+        r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+        rf"|(?:{_BREAK}*+(?:Proc-Type|DEK-Info):[\x20A-Za-z0-9,-]*+)*+"
+        rf"(?:{_BREAK}*+[A-Za-z0-9+/]{{24,}}+={{0,2}}+)*+"
+        rf"(?:{_BREAK}++[A-Za-z0-9+/]++={{1,2}}+|[\x20\t\r]*+\n[A-Za-z0-9+/]++(?=[\x20\t\r]*+(?:\n|\z)))?+)")
+
 LEDGER_SCHEMA = f"blob string, rules array<string>, findings {SPANS}"
 
 
@@ -48,7 +57,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", lambda t: t.contains("AKIA"), lambda m: F.length(m) >= 20, base=True),
     # A run shorter than 24 cannot match, a longer one matches from its start.
     Rule("hex", r"[0-9a-f]{24,}", lambda t: t.rlike(r"[0-9a-f]{24}"), base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", lambda t: t.contains("PRIVATE KEY-----")),
+    Rule("private_key", _PEM, lambda t: t.contains("PRIVATE KEY-----"), version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}", lambda t: t.contains(".eyJ")),
 )
 

@@ -328,6 +328,21 @@ def test_redaction(spark):
     assert df.select(secrets.redact(F.col("text"), F.col("findings"))).first()[0] == "é [SECRET] and [SECRET] end [SECRET]"
 
 
+def test_redaction_takes_the_whole_private_key(spark):
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["MIIEpAIBAAKCAQEA" + "Qx7/k+Zz" * 6] * 12 + ["Tail+short/9w=="]
+    body = "\n".join(lines)
+    texts = [
+        (f"a {head}\n{body}\n{end} b", "a [SECRET] b"), (f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n{body}\n{end}\nb", "a [SECRET]\nb"),
+        (f'k = "{head}\\n' + "\\n".join(lines) + f'\\n{end}" b', 'k = "[SECRET]" b'), (f"a {head}\n{body}\nno end line here", "a [SECRET]\nno end line here"),
+        (f"a {head} {' '.join(lines[:-1])} then words", "a [SECRET] then words"), (f"{head}\n{body}\n{head}\n{body}\n{end} z", "[SECRET]\n[SECRET] z"),
+        (f"the line {head} starts a key", "the line [SECRET] starts a key"), (head * 3000, "[SECRET]" * 3000), (f"{head}{'- ' * 200_000}", "[SECRET]" + "- " * 200_000),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = secrets.scan_versions(df).join(df, "doc_id").select("doc_id", secrets.redact(F.col("text"), F.col("findings")).alias("t")).collect()
+    assert {r["doc_id"]: r["t"] for r in got} == {i: t for i, (_, t) in enumerate(texts)}
+
+
 # --- 8 PII -------------------------------------------------------------------
 
 PII = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
