@@ -5,6 +5,11 @@ m + 1 - q (k + 1) of the item's q-grams, all on diagonals that differ by at
 most k.  Shared q-grams are counted in overlapping diagonal bands; bands that
 reach the bound are verified by banded alignment.  Nothing that is within the
 edit budget is missed.
+
+The same lemma and alignment apply to overlapping windows of each item, so
+that a text which keeps only a region of an item is found too: a retained
+region of ``REGION + REGION // 2`` characters holds a whole window wherever it
+lies, one of ``REGION`` characters does where it meets an end of the item.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 
 Q = 10
 EDIT_RATE = 0.08
+#: Characters of a window; windows start every half of it, the last ends with the item.
+REGION = 100
 #: Characters of benchmark text that one pass over the documents holds.
 BLOCK_CHARS = 4_000_000
 _BITS = 22
@@ -59,6 +66,7 @@ class Block:
     first: np.ndarray
     many: np.ndarray
     seen: np.ndarray
+    size: np.ndarray
     q: int
     rate: float
 
@@ -73,7 +81,7 @@ def build_block(items: list, q: int, rate: float) -> Block:
     uniq, first, many = np.unique(flat[order], return_index=True, return_counts=True)
     seen = np.zeros(1 << _BITS, bool)
     seen[(uniq >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    return Block(np.array([i for i, _ in items], object), codes, uniq, item[order], pos[order], first, many, seen, q, rate)
+    return Block(np.array([i for i, _ in items], object), codes, uniq, item[order], pos[order], first, many, seen, np.array([len(c) for c in codes], np.int64), q, rate)
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int):
@@ -101,11 +109,10 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int):
     return (best, int(ends[int(row.argmin())])) if best <= k else None
 
 
-def find(text: str, block: Block) -> list:
-    """(item index, edits, start diagonal, end) of every item within its edit
-    budget in the text, the best occurrence of each."""
-    c = codes_of(text)
-    q, hits_item, hits_diag = block.q, [], []
+def _hits(c: np.ndarray, block: Block):
+    """(item, position in the item, diagonal) of every shared q-gram; None
+    where there is none."""
+    q, hits_item, hits_pos, hits_diag = block.q, [], [], []
     for a in range(0, max(len(c) - q + 1, 0), _PIECE):  # long texts piece by piece
         h = _grams(c[a:a + _PIECE + q - 1], q)
         at = np.nonzero(block.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])[0]
@@ -119,10 +126,74 @@ def find(text: str, block: Block) -> list:
         rep = np.repeat(np.arange(len(at)), many)
         ref = block.first[ix][rep] + np.arange(len(rep)) - (np.cumsum(many) - many)[rep]
         hits_item.append(block.item[ref])
+        hits_pos.append(block.pos[ref])
         hits_diag.append(at[rep] - block.pos[ref])
-    if not hits_item:
+    return (np.concatenate(hits_item), np.concatenate(hits_pos), np.concatenate(hits_diag)) if hits_item else None
+
+
+def find(text: str, block: Block) -> list:
+    """(item index, edits, end) of every whole item within its edit budget in
+    the text, the best occurrence of each."""
+    c = codes_of(text)
+    hits = _hits(c, block)
+    return _whole(c, block, hits) if hits else []
+
+
+def find_regions(text: str, block: Block) -> list:
+    """As ``find``, and of the other items the best window (the first of equal
+    ones) within its edit budget."""
+    c = codes_of(text)
+    hits = _hits(c, block)
+    if hits is None:
+        return []
+    whole = _whole(c, block, hits)
+    return sorted(whole + _windows(c, block, hits, {w[0] for w in whole}))
+
+
+def _windows(c: np.ndarray, block: Block, hits: tuple, done: set) -> list:
+    item, pos, diag = hits
+    q, step = block.q, REGION // 2
+    k = budget(REGION, q, block.rate)
+    need, width = REGION + 1 - q * (k + 1), max(16, 2 * k)
+    size = block.size
+    keep = (np.bincount(item, minlength=len(size)) >= need) & (size > REGION)
+    if not keep.any():
         return []
-    item, diag = np.concatenate(hits_item), np.concatenate(hits_diag)
+    keep = keep[item]
+    item, pos, diag = item[keep], pos[keep], diag[keep]
+    band, rest = np.divmod(diag, width)
+    low = rest < k  # each band overlaps the next by k
+    item, pos, band = (np.concatenate([x, y]) for x, y in ((item, item[low]), (pos, pos[low]), (band, band[low] - 1)))
+    # hits whose item and band hold enough for any window
+    span = int(band.max() - band.min()) + 1
+    slot = (item * span + (band - band.min())) & 0x3FFF  # sharing a slot only keeps more
+    keep = np.bincount(slot)[slot] >= need
+    if not keep.any():
+        return []
+    item, pos, band = item[keep], pos[keep], band[keep]
+    # windows 0 .. last-1 start every step, window last ends with the item; a q-gram lies in at most three
+    last = -(-(size[item] - REGION) // step)
+    parts = []
+    for w in (pos // step, pos // step - 1, last):
+        start = np.minimum(w * step, size[item] - REGION)
+        ok = (w >= 0) & (w <= last) & (start <= pos) & (pos + q <= start + REGION)
+        if w is not last:
+            ok &= w < last
+        parts.append((item[ok], start[ok], band[ok]))
+    keys, counts = np.unique(np.stack([np.concatenate(x) for x in zip(*parts)]), axis=1, return_counts=True)
+    best: dict = {}
+    for i, a, b in keys[:, counts >= need].T.tolist():
+        if i in done or best.get(i, (1,))[0] == 0:
+            continue
+        got = align(block.codes[i][a:a + REGION], c, b * width + a, b * width + a + width + k, k)
+        if got and (i not in best or got[0] < best[i][0]):
+            best[i] = got
+    return [(i, *got) for i, got in best.items()]
+
+
+def _whole(c: np.ndarray, block: Block, hits: tuple) -> list:
+    item, _, diag = hits
+    q = block.q
     found = []
     present, total = np.unique(item, return_counts=True)
     for i, n in zip(present.tolist(), total.tolist()):
@@ -163,9 +234,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text: str = "text", q: int = Q, rate: float = EDIT_RATE,
             block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, item_id, edits, end) for every row and item whose text occurs in
-    the row's within the edit budget (``rate`` of the item's characters), after
-    lower-casing and collapsing white space.
+    """(id, item_id, edits, end) for every row and item whose text, or a window
+    of ``REGION`` characters of it, occurs in the row's within the edit budget
+    (``rate`` of the characters), after lower-casing and collapsing white space;
+    edits and end are the whole item's, else those of its best window.
 
     Items are a stated query set: a block of bounded size goes to the tasks,
     larger benchmarks take further passes.  Items of fewer than ``q``
@@ -182,7 +254,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
             block = build_block(shared.value, q, rate)
             for b in batches:
                 rows = [(doc, block.ids[i], edits, end) for doc, t in zip(b["rid"], b["text"]) if t
-                        for i, edits, end in find(t, block)]
+                        for i, edits, end in find_regions(t, block)]
                 yield pd.DataFrame(rows, columns=[id_col, item_col, "edits", "end"], dtype=object)
 
         part = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text")).mapInPandas(search, schema)
@@ -193,12 +265,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def contaminated(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", q: int = Q,
                  rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS):
     """Arrow-batched column functions, one a block: text -> whether an item
-    occurs in it (null: no)."""
+    or a window of one occurs in it (null: no)."""
     def tester(shared):
         def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             block = build_block(shared.value, q, rate)
             for texts in batches:
-                yield pd.Series([bool(t) and bool(find(t, block)) for t in texts.tolist()], dtype=bool)
+                yield pd.Series([bool(t) and bool(find_regions(t, block)) for t in texts.tolist()], dtype=bool)
         return F.pandas_udf(test, "boolean").asNondeterministic()
 
     sc = benchmark.sparkSession.sparkContext

@@ -169,6 +169,30 @@ def test_decontamination_blocks_agree(spark, docs):
     assert one and one == rows(decontam.matches(docs, bench, block_chars=2000))
 
 
+def test_decontamination_finds_truncated_and_interrupted_items(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    phrase = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, phrase(60)[:394].strip()) for k in range(20)]
+    block = decontam.build_block(items, decontam.Q, decontam.EDIT_RATE)
+    for k, t in items:
+        n = len(t)
+        for cut in (t[:int(n * 0.85)], t[n - int(n * 0.85):], t[:n // 2] + " " + phrase(30) + " " + t[n // 2:], t[:100], t[-100:], t[120:270],
+                    t[:160] + "#" + t[161:200]):
+            text = phrase(20) + " # " + cut.upper() + " # " + phrase(20)
+            assert not decontam.find(text, block) and [f[0] for f in decontam.find_regions(text, block)] == [k]
+        assert not decontam.find_regions(phrase(20) + " " + t[:70] + " " + phrase(20), block)
+        text = phrase(9) + " " + t
+        assert decontam.find_regions(text, block) == decontam.find(text, block) != []
+    docs = spark.createDataFrame([(1, phrase(9) + " " + items[0][1][:335]), (2, phrase(90))], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench).collect()] == [(1, 0)]
+    kept = docs
+    for test in decontam.contaminated(bench):
+        kept = kept.filter(~test("text"))
+    assert [r["doc_id"] for r in kept.collect()] == [2]
+
+
 # --- 4 language --------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark, docs):
