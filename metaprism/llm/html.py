@@ -142,6 +142,8 @@ def build(html: str) -> Node:
 
     for t in tokens(html):
         kind = t[0]
+        if stack[-1].tag == "colgroup" and (t[1] not in ("col", "template", "colgroup") if kind == "open" else kind == "text" and t[1].strip()):
+            pop_to(len(stack) - 1)  # its end tag is optional
         if kind in ("text", "raw"):
             stack[-1].items.append(t[1] if kind == "raw" or "&" not in t[1] else unescape(t[1]))
             continue
@@ -263,13 +265,44 @@ def _width(s: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in s)
 
 
-def _rows(table: Node) -> Iterator[Node]:
-    for x in table.items:
-        if isinstance(x, Node) and visible(x):
-            if x.tag == "tr":
-                yield x
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(x)
+def _parts(table: Node) -> tuple[Node, list]:
+    """The visible rows, below sections and any other wrapper, and the rest as
+    a tree of its own.  Rows of nested tables and rows are not looked for."""
+    order, above = [], {}
+    todo = [table]
+    while todo:  # elements that can hold rows, each after the one around it
+        node = todo.pop()
+        order.append(node)
+        for x in node.items:
+            if isinstance(x, Node) and x.items and x.tag not in ("tr", "table", "td", "th") and visible(x):
+                above[id(x)] = node
+                todo.append(x)
+    holds = set()
+    for node in reversed(order):
+        if id(node) in holds or any(isinstance(x, Node) and x.tag == "tr" for x in node.items):
+            holds.add(id(node))
+            if node is not table:
+                holds.add(id(above[id(node)]))
+    loose, rows = Node("div", {}), []
+    todo = [(iter(table.items), loose, None)]
+    while todo:
+        items, into, outer = todo[-1]
+        for x in items:
+            if not isinstance(x, Node):
+                into.items.append(x)
+            elif x.tag == "tr":
+                if visible(x):
+                    rows.append(x)
+            elif id(x) in holds or (x.tag in ("thead", "tbody", "tfoot") and visible(x)):
+                todo.append((iter(x.items), Node(x.tag, x.attrs), into))
+                break
+            else:
+                into.items.append(x)
+        else:
+            todo.pop()
+            if outer is not None and any(isinstance(x, Node) or x.strip() for x in into.items):
+                outer.items.append(into)
+    return loose, rows
 
 
 def _span(cell: Node) -> int:
@@ -279,13 +312,12 @@ def _span(cell: Node) -> int:
 
 def _table(node: Node, out: _Writer, level: int):
     """Cells side by side, every column as wide as its widest line."""
-    loose = Node("div", {})
-    loose.items = [x for x in node.items if not (isinstance(x, Node) and x.tag in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"))]
+    loose, rows = _parts(node)
     lines = _lines(loose, level)
     if lines:
         out.block(lines)
     grid = []
-    for tr in _rows(node):
+    for tr in rows:
         cells = [(_lines(c, level), _span(c)) for c in tr.items if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
         stray = Node("div", {})
         stray.items = [c for c in tr.items if not (isinstance(c, Node) and c.tag in ("td", "th"))]

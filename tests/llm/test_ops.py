@@ -454,6 +454,19 @@ def test_render(markup, text):
     assert html.render(markup) == text
 
 
+@pytest.mark.parametrize("markup, text", [
+    ("<table><tbody><form><tr><td>A</td></tr></form></tbody></table>", "A"), ("<table><colgroup><col><tr><td>A</table>", "A"),
+    ("<table><tbody>x<div>y</div><center>z</center><tr><td>A</table>", "x\ny\nz\nA"), ("<table><colgroup><col><td>A<td>B</table>", "A | B"),
+    ("<table><tbody><a href=u><tr><td>A<tr><td>B</table>", "A\nB"), ("<table><thead><font>f<tr><td>A<td>B<tr><td>C</table>", "f\nA | B\nC"),
+    ("<table><colgroup><col><caption>c</caption><tr><th>A</table>", "c\nA"), ("<table><colgroup><col><tbody><tr><td>A</table>", "A"),
+    ("<table><form><div><tr><td>A</td></tr>d</div></form><tfoot><tr><td>B</table>", "d\nA\nB"),
+    ("<table><tbody hidden>h<tr><td>A</tbody><tbody><form hidden><tr><td>B</form></table>k", "k"),
+    ("<table><tr><td>A<table><tbody><form><tr><td>B</table><tr><td>C</table>", "A\n\nB\nC"),
+])
+def test_render_tables_lose_nothing(markup, text):
+    assert html.render(markup) == text
+
+
 def test_render_keeps_all_visible_text(spark):
     for r in spark.read.parquet(f"{SF001}/pages.parquet").limit(100).collect():
         body = re.sub(r"(?s)<(script|style|title)\b.*?</\1>|<!--.*?-->", " ", r["html"])
