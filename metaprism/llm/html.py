@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from html import unescape
-from typing import Iterator
+from typing import Generator, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,9 +42,10 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset(["body"])),
 }
 FORMATTING = frozenset("a b big code em font i s small strike strong tt u".split())
+TABLE_FENCES = frozenset(["td", "th", "caption", "table"])
 IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
-#: Open elements a tree may nest; deeper markup is kept as siblings.
-MAX_DEPTH = 200
+#: Tables, quotes and items that may lay out one line; deeper ones are plain blocks.
+MAX_LAYOUT = 200
 
 _TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*))")
 _ATTR = re.compile(r"""[\s/]*(?:(?P<end>>)|(?P<name>[^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"(?P<d>[^"]*)"|'(?P<s>[^']*)'|(?P<u>[^\s>]*)))?)""")
@@ -117,28 +119,32 @@ def build(html: str) -> Node:
     head, body = Node("head", {}), Node("body", {})
     root.items = [head, body]
     stack, in_head = [root, body], True
-    seen: dict = {"html": 1, "body": 1}
+    at: dict = {}  # tag -> its places on the stack
+    blocks: list = []  # places of block elements
 
     def push(node):
         stack[-1].items.append(node)
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
-            seen[node.tag] = seen.get(node.tag, 0) + 1
+        at.setdefault(node.tag, []).append(len(stack))
+        if node.tag in BLOCK:
+            blocks.append(len(stack))
+        stack.append(node)
 
     def pop_to(index):
         while len(stack) > max(index, 2):
-            seen[stack.pop().tag] -= 1
+            tag = stack.pop().tag
+            at[tag].pop()
+            if tag in BLOCK:
+                blocks.pop()
+
+    def last(names):
+        return max((at[x][-1] for x in names if at.get(x)), default=-1)
 
     def close(names, fences):
         """Close back to the outermost of ``names`` that no fence hides."""
-        found = None
-        for i in range(len(stack) - 1, 1, -1):
-            if stack[i].tag in names:
-                found = i
-            elif stack[i].tag in fences:
-                break
-        if found is not None:
-            pop_to(found)
+        fence = last(fences - names)
+        found = [at[x][i] for x in names if at.get(x) for i in [bisect_right(at[x], fence)] if i < len(at[x])]
+        if found:
+            pop_to(min(found))
 
     for t in tokens(html):
         kind = t[0]
@@ -153,18 +159,15 @@ def build(html: str) -> Node:
                 continue
             if name == "br":
                 stack[-1].items.append(Node("br", {}))
-            elif name == "p" and not seen.get("p"):
+            elif name == "p" and not at.get("p"):
                 stack[-1].items.append(Node("p", {}))
-            elif seen.get(name):
-                fences = frozenset(["td", "th", "caption", "table"]) - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else (
+            elif at.get(name):
+                fences = TABLE_FENCES - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else (
                     frozenset(["table"]) if name != "table" else frozenset())
-                for i in range(len(stack) - 1, 1, -1):
-                    if stack[i].tag == name:
-                        # formatting that a block end cuts off stays open inside the next text only where it was opened
-                        pop_to(i)
-                        break
-                    if stack[i].tag in fences or (name in FORMATTING and stack[i].tag in BLOCK):
-                        break
+                i = at[name][-1]
+                # formatting that a block end cuts off stays open inside the next text only where it was opened
+                if i > last(fences) and not (name in FORMATTING and blocks and blocks[-1] > i):
+                    pop_to(i)
             continue
         if name in ("html", "body"):
             for k, v in t[2].items():
@@ -174,11 +177,11 @@ def build(html: str) -> Node:
             continue
         if name in IMPLIED:
             names, fences = IMPLIED[name]
-            if any(seen.get(x) for x in names):
+            if any(at.get(x) for x in names):
                 close(names, fences)
-        if name in CLOSES_P and seen.get("p"):
+        if name in CLOSES_P and at.get("p"):
             close(frozenset(["p"]), SCOPES | {"button"})
-        if name in ("td", "th") and seen.get("table") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+        if name in ("td", "th") and at.get("table") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push(Node("tr", {}))
         node = Node(name, t[2])
         if name in VOID:
@@ -310,18 +313,36 @@ def _span(cell: Node) -> int:
     return min(max(int(v), 1), 1000) if v.isascii() and v.isdigit() and len(v) < 7 else 1
 
 
-def _table(node: Node, out: _Writer, level: int):
+def _run(step: Generator):
+    """The result of a rendering step.  Steps yield the steps they need the
+    result of, so that nesting takes no recursion."""
+    stack, value = [step], None
+    while stack:
+        try:
+            step, value = stack[-1].send(value), None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+        else:
+            stack.append(step)
+    return value
+
+
+def _table(node: Node, out: _Writer, level: int, deep: int) -> Generator:
     """Cells side by side, every column as wide as its widest line."""
     loose, rows = _parts(node)
-    lines = _lines(loose, level)
+    lines = yield _lines(loose, level, deep)
     if lines:
         out.block(lines)
     grid = []
     for tr in rows:
-        cells = [(_lines(c, level), _span(c)) for c in tr.items if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
+        cells = []
+        for c in tr.items:
+            if isinstance(c, Node) and c.tag in ("td", "th") and visible(c):
+                cells.append(((yield _lines(c, level, deep)), _span(c)))
         stray = Node("div", {})
         stray.items = [c for c in tr.items if not (isinstance(c, Node) and c.tag in ("td", "th"))]
-        extra = _lines(stray, level)
+        extra = yield _lines(stray, level, deep)
         if extra:
             cells.append((extra, 1))
         if cells:
@@ -345,7 +366,7 @@ def _table(node: Node, out: _Writer, level: int):
             out.block([" | ".join(parts).rstrip()])
 
 
-def _list(node: Node, out: _Writer, level: int):
+def _list(node: Node, out: _Writer, level: int, deep: int) -> Generator:
     v = node.attrs.get("start", "")
     number = int(v) if re.fullmatch(r"-?[0-9]{1,9}", v) else 1
     for x in node.items:
@@ -355,26 +376,26 @@ def _list(node: Node, out: _Writer, level: int):
             if x.tag == "li":
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
-                lines = _lines(x, level + 1)
+                lines = yield _lines(x, level + 1, deep)
                 if lines:
                     out.block(lines, mark, " " * len(mark))
             else:
-                _render(x, out, level)
+                yield _render(x, out, level, False, deep)
 
 
-def _lines(node: Node, level: int) -> list:
+def _lines(node: Node, level: int, deep: int) -> Generator:
     """The children of an element as lines of their own."""
     inner = _Writer()
     for x in node.items:
         if isinstance(x, Node):
-            _render(x, inner, level)
+            yield _render(x, inner, level, False, deep + 1)
         else:
             inner.text(x)
     inner.flush()
     return inner.lines
 
 
-def _render(node: Node, out: _Writer, level: int = 0, pre: bool = False):
+def _render(node: Node, out: _Writer, level: int = 0, pre: bool = False, deep: int = 0) -> Generator:
     if not visible(node):
         return
     tag = node.tag
@@ -395,20 +416,21 @@ def _render(node: Node, out: _Writer, level: int = 0, pre: bool = False):
         out.gap()
     elif block:
         out.flush()
-    if tag == "table":
-        _table(node, out, level)
-    elif tag in LISTS:
-        _list(node, out, level)
-    elif tag == "blockquote":
-        out.block(_lines(node, level), "> ", "> ")
-    elif tag == "dd":
-        out.block(_lines(node, level), "    ", "    ")
+    flat = deep >= MAX_LAYOUT
+    if tag == "table" and not flat:
+        yield _table(node, out, level, deep)
+    elif tag in LISTS and not flat:
+        yield _list(node, out, level, deep)
+    elif tag == "blockquote" and not flat:
+        out.block((yield _lines(node, level, deep)), "> ", "> ")
+    elif tag == "dd" and not flat:
+        out.block((yield _lines(node, level, deep)), "    ", "    ")
     else:
         pre = pre or tag in ("pre", "listing")
         first = True
         for x in node.items:
             if isinstance(x, Node):
-                _render(x, out, level, pre)
+                yield _render(x, out, level, pre, deep)
             else:
                 out.text(x[1:] if pre and first and tag == "pre" and x[:1] == "\n" else x, pre)
             first = False
@@ -423,7 +445,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     out = _Writer()
-    _render(build(html), out)
+    _run(_render(build(html), out))
     out.flush()
     return "\n".join(out.lines)
 
@@ -432,7 +454,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(id, text, n_lines) per row.
 
     Null and empty html give empty text; broken markup always gives a tree;
-    nesting beyond ``MAX_DEPTH`` is kept as siblings, so no text is lost;
+    nesting has no bound, only beyond ``MAX_LAYOUT`` tables, quotes and items
+    around each other the inner ones are plain blocks, no text is lost;
     repeated rows and null ids each keep their row; an empty table gives no
     rows; other columns are never read.
     """

@@ -5,6 +5,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -480,6 +481,27 @@ def test_render_hostile():
         html.render(bad)
 
 
+@pytest.mark.parametrize("wrap", ["font", "span", "b", "div"])
+@pytest.mark.parametrize("page", [
+    "x<script>var a = '<p>';</script><style>p{}</style><div style='display:none'>no<span>no</span></div><p hidden>no<b>no</b></p>y",
+    "<div hidden><span>no</span>no<div>no</div>no</div>z", "<table><tr><td>a<div><span>b</span></div>c<td>d</table>e",
+    "<ul><li>a<li>b<ul><li>c</ul></ul><blockquote>q</blockquote>",
+])
+def test_render_deep_as_shallow(wrap, page):
+    for depth in (250, 5_000):
+        assert html.render(f"<div>{f'<{wrap}>' * depth}{page}</div>") == html.render(page)
+        assert html.render(f"<div>{f'<{wrap}>' * depth}{page}{f'</{wrap}>' * depth}</div>") == html.render(page)
+
+
+def test_render_deep_layout():
+    started = time.time()
+    for tag in ("blockquote", "ul><li", "table><td", "dd", "table><tbody><form"):
+        text = html.render("".join(f"<{tag}>w{i} " for i in range(2_000)) + "<p hidden>no</p>")
+        assert re.findall(r"w\d+|no", text) == [f"w{i}" for i in range(2_000)]
+    html.render("<ul><li><ul>" + "<span>" * 30_000 + "<li></li>" * 30_000 + "</b>" * 30_000)
+    assert time.time() - started < 120
+
+
 # --- 10 mixing ---------------------------------------------------------------
 
 def test_mixing_shares(spark, docs):
