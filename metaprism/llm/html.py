@@ -2,7 +2,8 @@
 
 A tree builder with implied tags turns any markup into a tree; visibility
 rules drop what a browser does not show; the renderer emits all visible text
-with block spacing, list marks and aligned table cells.
+with block spacing, list marks and aligned table cells.  Formulas, text in
+diagrams and text areas count as visible; options of a select do not.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist "
-                   "input select textarea title meta link base area param source track col colgroup".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist "
+                   "input select title meta link base area param source track col colgroup".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search "
                   "section summary table tbody td tfoot th thead tr ul".split())
@@ -29,6 +30,9 @@ SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 ol pre table ul men
 CLOSES_P = BLOCK - frozenset("body caption dd dt html legend li tbody td tfoot th thead tr".split())
 LISTS = frozenset("ul ol menu dir".split())
 SCOPES = frozenset("table td th caption html button object template".split())
+#: What svg and math do not show; elsewhere these names are plain elements.
+UNSEEN = {"svg": frozenset("defs symbol clippath mask pattern marker filter lineargradient radialgradient metadata desc title".split()),
+          "math": frozenset("annotation annotation-xml".split())}
 #: An opening tag closes these open elements, up to the given fences.
 IMPLIED = {
     "li": (frozenset(["li"]), LISTS | SCOPES),
@@ -59,8 +63,9 @@ class Node:
         self.tag, self.attrs, self.items = tag, attrs, []
 
 
-def _attributes(html: str, at: int) -> tuple[dict, int]:
-    """Attributes from ``at`` to after the closing bracket (or the end)."""
+def _attributes(html: str, at: int) -> tuple[dict, int, bool]:
+    """Attributes from ``at`` to after the closing bracket (or the end), and
+    whether the tag closes itself."""
     attrs: dict = {}
     while at < len(html):
         m = _ATTR.match(html, at)
@@ -69,15 +74,15 @@ def _attributes(html: str, at: int) -> tuple[dict, int]:
             continue
         at = m.end()
         if m["end"]:
-            return attrs, at
+            return attrs, at, m[0].endswith("/>")
         value = m["d"] if m["d"] is not None else m["s"] if m["s"] is not None else m["u"]
         attrs.setdefault(m["name"].lower(), unescape(value) if value else "")
-    return attrs, at
+    return attrs, at, False
 
 
 def tokens(html: str) -> Iterator[tuple]:
-    """("text", s), ("open", name, attrs), ("close", name)."""
-    at, n, lower = 0, len(html), None
+    """("text", s), ("raw", s), ("open", name, attrs, closes itself), ("close", name)."""
+    at, n, lower, foreign = 0, len(html), None, 0
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
@@ -94,12 +99,14 @@ def tokens(html: str) -> Iterator[tuple]:
             at = n if end < 0 else end + 1
         else:
             name = m["name"].lower()
-            attrs, at = _attributes(html, m.end())
+            attrs, at, closed = _attributes(html, m.end())
             if m["close"]:
                 yield "close", name
+                foreign = max(foreign - (name in UNSEEN), 0)
                 continue
-            yield "open", name, attrs
-            if name in RAW:
+            yield "open", name, attrs, closed
+            foreign += name in UNSEEN and not closed
+            if name in RAW and not (closed and foreign):
                 lower = html.lower() if lower is None or len(lower) != n else lower
                 if len(lower) != n:  # lower-casing changed the length: search without it
                     found = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
@@ -151,7 +158,8 @@ def build(html: str) -> Node:
         if stack[-1].tag == "colgroup" and (t[1] not in ("col", "template", "colgroup") if kind == "open" else kind == "text" and t[1].strip()):
             pop_to(len(stack) - 1)  # its end tag is optional
         if kind in ("text", "raw"):
-            stack[-1].items.append(t[1] if kind == "raw" or "&" not in t[1] else unescape(t[1]))
+            source = kind == "raw" and stack[-1].tag != "textarea"
+            stack[-1].items.append(t[1] if source or "&" not in t[1] else unescape(t[1]))
             continue
         name = t[1]
         if kind == "close":
@@ -184,7 +192,11 @@ def build(html: str) -> Node:
         if name in ("td", "th") and at.get("table") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             push(Node("tr", {}))
         node = Node(name, t[2])
-        if name in VOID:
+        svg, math = last(("svg",)), last(("math",))
+        foreign = max(svg, math) > last(("foreignobject",))
+        if foreign and name in UNSEEN["svg" if svg > math else "math"]:
+            node.attrs["hidden"] = ""
+        if name in VOID or (t[3] and (foreign or name in UNSEEN)):
             stack[-1].items.append(node)
         else:
             push(node)
@@ -426,13 +438,13 @@ def _render(node: Node, out: _Writer, level: int = 0, pre: bool = False, deep: i
     elif tag == "dd" and not flat:
         out.block((yield _lines(node, level, deep)), "    ", "    ")
     else:
-        pre = pre or tag in ("pre", "listing")
+        pre = pre or tag in ("pre", "listing", "textarea")
         first = True
         for x in node.items:
             if isinstance(x, Node):
                 yield _render(x, out, level, pre, deep)
             else:
-                out.text(x[1:] if pre and first and tag == "pre" and x[:1] == "\n" else x, pre)
+                out.text(x[1:] if pre and first and tag in ("pre", "textarea") and x[:1] == "\n" else x, pre)
             first = False
     if spaced:
         out.gap()

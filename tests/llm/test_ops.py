@@ -481,6 +481,18 @@ def test_render_hostile():
         html.render(bad)
 
 
+@pytest.mark.parametrize("markup, text", [
+    ("a <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math> b", "a x=2 b"),
+    ("<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><text>yes</text></svg>", "yes"),
+    ("<svg><title/><style/><defs/><path d='M0'/><text>yes</text></svg>z", "yesz"), ("<svg/>a<math/>b", "ab"),
+    ("<textarea>\na &lt;b&gt;\n  c</textarea>", "a <b>\n  c"), ("<textarea hidden>no</textarea><svg style='display:none'><text>no</text></svg>y", "y"),
+    ("<filter>f</filter><desc>d</desc><svg><foreignObject><p>p<desc>q</desc></foreignObject></svg>", "fd\n\npq"),
+    ("<svg><style>no{}</style><script>no</script><text>a</text></svg>", "a"), ("<svg><a href=u/>k</a></svg>", "k"),
+])
+def test_render_formulas_diagrams_and_text_areas(markup, text):
+    assert html.render(markup) == text
+
+
 @pytest.mark.parametrize("wrap", ["font", "span", "b", "div"])
 @pytest.mark.parametrize("page", [
     "x<script>var a = '<p>';</script><style>p{}</style><div style='display:none'>no<span>no</span></div><p hidden>no<b>no</b></p>y",
