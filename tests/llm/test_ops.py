@@ -440,6 +440,14 @@ def test_pii_adds_what_the_base_patterns_swallow(spark):
             assert got[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
 
 
+def test_pii_takes_spans_greedily(spark):
+    rows = [(1, [(0.9, 0, 4), (0.8, 2, 12), (0.7, 10, 16)]), (2, [(0.7, 0, 4), (0.8, 2, 12), (0.7, 10, 16)]), (3, [(0.5, 0, 4), (0.5, 0, 6)]), (4, [])]
+    df = spark.createDataFrame([(i, [(p, (a, 2, b, "card", "m", [0.0], None)) for p, a, b in spans]) for i, spans in rows],
+                               f"id long, s array<struct<p:double,c:{pii.CANDIDATE}>>")
+    got = {r["id"]: [(x["start"], x["end"]) for x in r["t"]] for r in df.select("id", pii.without_overlap(F.col("s")).alias("t")).collect()}
+    assert got == {1: [(0, 4), (10, 16)], 2: [(2, 12)], 3: [(0, 6)], 4: []}
+
+
 # --- 9 HTML ------------------------------------------------------------------
 
 @pytest.mark.parametrize("markup, text", [
