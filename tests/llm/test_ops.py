@@ -440,6 +440,24 @@ def test_pii_adds_what_the_base_patterns_swallow(spark):
             assert got[i]["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
 
 
+def test_pii_adds_forms_the_base_patterns_do_not_know(spark):
+    rng = random.Random(4)
+    n = lambda k: rng.randint(10 ** (k - 1), 10 ** k - 1)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 8)))
+    plain = [lambda: f"please phone +1 ({n(3)}) 555-{n(4)} today", lambda: f"call +1 {n(3)}-{n(3)}-{n(4)} now", lambda: f"mail {word()}@{word()}.com soon",
+             lambda: f"the total of {n(10)} items", lambda: f"order {n(3)}-{n(3)}-{n(4)} sent", lambda: f"look (at) {word()} now",
+             lambda: f"at x@{word()} there", lambda: f"version {n(2)}.{n(2)}.{n(3)}"]
+    rows = [(i, plain[i % len(plain)]()) for i in range(2400)]
+    new = [(5000 + i, f"please phone {n(3)}-{n(3)}-{n(4)} today", "phone:13:25") for i in range(20)]
+    new += [(6000 + i, f"mail {a} (at) {b} (dot) com soon", f"email:5:{5 + len(a + b) + 16}") for i in range(20) for a, b in [(word(), word())]]
+    new += [(7000 + i, f"mail {a}[at]{b}.com soon", f"email:5:{5 + len(a + b) + 8}") for i in range(20) for a, b in [(word(), word())]]
+    docs = spark.createDataFrame(rows + [(i, t) for i, t, _ in new], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.detect(docs)).collect()}
+    assert {i: got[i] for i, _, _ in new} == {i: want for i, _, want in new}
+    for i, t in rows:
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_pii(t)), t
+
+
 def test_pii_takes_spans_greedily(spark):
     rows = [(1, [(0.9, 0, 4), (0.8, 2, 12), (0.7, 10, 16)]), (2, [(0.7, 0, 4), (0.8, 2, 12), (0.7, 10, 16)]), (3, [(0.5, 0, 4), (0.5, 0, 6)]), (4, [])]
     df = spark.createDataFrame([(i, [(p, (a, 2, b, "card", "m", [0.0], None)) for p, a, b in spans]) for i, spans in rows],
