@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import decontam, html, language, mixing, pii, quality, secrets, simhash, urls, warc
+from . import bpe, decontam, fim, html, language, merkle, mixing, pii, quality, secrets, simhash, urls, warc
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    vocab = bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digest(bpe.encode(read_table(spark, sf_dir, "documents"), vocab), vocab)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_quality, op3_decontamination, op4_language, op5_simhash, op6_urls,
-                                   op7_secrets, op8_pii, op9_html, op10_mixing)}
+                                   op7_secrets, op8_pii, op9_html, op10_mixing, op11_merkle, op12_bpe, op13_fim)}
 
 _OP1_SQL = """
 WITH p AS (
@@ -136,4 +150,70 @@ SELECT c.doc_id, CAST(c.size AS BIGINT) AS size, c.ss AS source_size, c.target,
 FROM c LEFT JOIN g USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_warc": _OP1_SQL, "op7_secrets": _op7_sql(), "op10_mixing": _OP10_SQL}
+def _field_sql(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+_LEAF_SQL = "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: CRC-32 of the id's decimal digits, bit by bit (-1 stands for one shift).
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda ch: list_concat([ascii(ch)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+_OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS t, {_LEAF_SQL.format(text='text')} AS leaf,
+    CASE WHEN {_CRC_SQL} % 2 = 0 THEN {_LEAF_SQL.format(text="replace(text, chr(10), '')")} ELSE {_LEAF_SQL.format(text='text')} END AS claim FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d
+), b AS (
+  SELECT t, 0 AS lev, pos, leaf AS x, count(*) OVER (PARTITION BY t) AS m FROM l
+  UNION ALL
+  SELECT t, lev + 1, pos // 3, sha256(string_agg(x, '' ORDER BY pos)), CAST(ceil(any_value(m) / 3.0) AS BIGINT) FROM b WHERE m > 1 GROUP BY t, lev, pos // 3
+), s AS (
+  SELECT t, x, row_number() OVER (ORDER BY t) - 1 AS pos FROM b WHERE m = 1
+), u AS (
+  SELECT 0 AS lev, pos, x, count(*) OVER () AS m FROM s
+  UNION ALL
+  SELECT lev + 1, pos // 3, sha256(string_agg(x, '' ORDER BY pos)), CAST(ceil(any_value(m) / 3.0) AS BIGINT) FROM u WHERE m > 1 GROUP BY lev, pos // 3
+), n AS (
+  SELECT t, lev, pos, x, m FROM b UNION ALL SELECT '', lev, pos, x, m FROM u
+), r AS (
+  SELECT o.t, o.lev, o.pos, o.m, coalesce(string_agg(i.x, '' ORDER BY i.pos) FILTER (i.pos < o.pos), '') AS a,
+    coalesce(string_agg(i.x, '' ORDER BY i.pos) FILTER (i.pos > o.pos), '') AS z
+  FROM n o JOIN n i ON o.t = i.t AND o.lev = i.lev AND o.pos // 3 = i.pos // 3 WHERE o.m > 1 GROUP BY ALL
+), f AS (
+  SELECT rid, t AS own, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.t = l.t AND lev = 0 AND m = 1) THEN '' ELSE t END AS t, 0 AS lev,
+    CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.t = l.t AND lev = 0 AND m = 1) THEN (SELECT s.pos FROM s WHERE s.t = l.t) ELSE pos END AS pos, claim AS x, '' AS proof FROM l
+  UNION ALL
+  SELECT f.rid, f.own, CASE WHEN r.m <= 3 AND f.t <> '' THEN '' ELSE f.t END, CASE WHEN r.m <= 3 AND f.t <> '' THEN 0 ELSE f.lev + 1 END,
+    CASE WHEN r.m <= 3 AND f.t <> '' THEN s.pos ELSE f.pos // 3 END, sha256(r.a || f.x || r.z), f.proof || r.a || r.z
+  FROM f JOIN r ON r.t = f.t AND r.lev = f.lev AND r.pos = f.pos JOIN s ON s.t = f.own
+), e AS (
+  SELECT rid, arg_max(x, length(proof)) AS y, max(proof) AS proof FROM (
+    SELECT rid, x, proof FROM f WHERE t = '' AND lev = (SELECT max(lev) FROM u)) GROUP BY rid
+)
+SELECT l.doc_id, l.leaf, s.x AS subroot, top.x AS root, sha256(e.proof) AS proof_sha256, e.y AS folded_root, e.y = top.x AS verified
+FROM l JOIN s USING (t) JOIN e USING (rid), (SELECT x FROM u WHERE m = 1) top
+"""
+
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS w FROM documents
+), n AS (
+  SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n
+), o AS (
+  SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM o
+"""
+
+ORACLE_SQL = {"op1_warc": _OP1_SQL, "op7_secrets": _op7_sql(), "op10_mixing": _OP10_SQL, "op11_merkle": _OP11_SQL, "op13_fim": _OP13_SQL}

@@ -5,11 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-SF001 = "/root/testdata/sf0.01"
-
-#: Columns of the tables, and extra ones named like results and helpers.
-CLASH = ("rid", "n_words", "kept", "fp", "spans", "base", "cands", "size", "target", "cum", "blob", "findings", "lang_pred",
-         "score", "p", "c", "text_hash", "root", "component_id", "host", "path", "rule", "label", "payload", "sha1", "v", "h")
+from llm_paths import CLASH  # noqa: E402
 
 
 @pytest.fixture(scope="session")

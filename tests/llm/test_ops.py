@@ -17,7 +17,7 @@ from metaprism.llm import decontam, html, language, mixing, pii, quality, secret
 from metaprism.llm.queries import ORACLE_SQL, QUERIES
 from metaprism.plans.oracle import compare, duck
 
-from conftest import SF001
+from llm_paths import SF001
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
