@@ -8,7 +8,7 @@ import pytest
 from metaprism.operators import neighbourhood as NB
 from metaprism.sources.tables import embeddings_frame
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_cls_coef_matches_dense_graph(spark):

@@ -5,7 +5,7 @@ import numpy as np
 from metaprism.operators import models as E
 from metaprism.sources.tables import embeddings_frame
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def _brute(X, ids, eps, min_samples):

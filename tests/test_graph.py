@@ -5,7 +5,7 @@ import numpy as np
 from metaprism.operators import neighbourhood as NB
 from metaprism.sources.tables import embeddings_frame
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def _prim_weight_and_n1(X, y):

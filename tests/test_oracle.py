@@ -5,7 +5,7 @@ import pytest
 from metaprism.plans import load_all
 from metaprism.plans.oracle import compare, duck
 
-from conftest import SF0001
+from paths import SF0001
 
 import os
 

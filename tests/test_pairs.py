@@ -7,7 +7,7 @@ from metaprism.operators import neighbourhood as NB
 from metaprism.operators.pairs import pair_stats, scaled_matrix, sorted_classes
 from metaprism.sources.tables import embeddings_frame
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def _collect(df, cols):

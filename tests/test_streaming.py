@@ -9,7 +9,7 @@ from metaprism.session import ensure_checkpoint_dir
 from metaprism.sources.tables import lineitem_frame
 from metaprism.streaming.apply import apply_phases, write_available
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_stream_apply_equals_batch(spark):
