@@ -194,6 +194,32 @@ def test_decontamination_finds_truncated_and_interrupted_items(spark):
     assert [r["doc_id"] for r in kept.collect()] == [2]
 
 
+def test_decontamination_finds_regions_of_short_items():
+    """Items of up to 100 characters have windows of half their length; items
+    under ten characters match as whole words."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9)))
+    phrase = lambda n: " ".join(word() for _ in range(n))
+    items = [(k, phrase(30)[:60 + 2 * k].strip()) for k in range(21)] + [(50, "Zyx abc"), (51, "qqq"), (52, "qrst")]
+    block = decontam.build_block(items, decontam.Q, decontam.EDIT_RATE)
+    for k, t in items[:21]:
+        n = len(t)
+        for cut in (t[:int(n * 0.8)], t[n - int(n * 0.8):], t[:n // 2 + 10] + " " + phrase(9)):
+            text = phrase(20) + " # " + cut.upper() + " # " + phrase(20)
+            assert [f[0] for f in decontam.find_regions(text, block)] == [k]
+        assert not decontam.find_regions(phrase(9) + " # " + t[:30] + " # " + phrase(9), block)
+    assert [f[:2] for f in decontam.find("see ZYX\nabc, there", block)] == [(21, 0)]
+    assert not decontam.find("see zyx abcd qqq aqrst qrst7", block) and [f[0] for f in decontam.find("qrst", block)] == [23]
+
+
+def test_decontamination_batches_agree_with_single_texts(docs):
+    texts = [r["text"] for r in docs.select("text").limit(300).collect()]
+    items = [(k, t[50:50 + 40 * (k % 9 + 1)]) for k, t in enumerate(texts[:80]) if t and len(t) > 500]
+    block = decontam.build_block(items, decontam.Q, decontam.EDIT_RATE)
+    together = decontam.search(texts, block)
+    assert together == [decontam.find_regions(t, block) if t else [] for t in texts] and any(together)
+
+
 # --- 4 language --------------------------------------------------------------
 
 def test_language_held_out_accuracy(spark, docs):
