@@ -30,10 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item in their text."""
-    for test in decontam.contaminated(read_table(spark, sf_dir, "benchmark")):
-        docs = (docs.select(F.struct("*").alias("__row"), test(F.col("text")).alias("__bad"))
-                .filter(~F.col("__bad")).select("__row.*"))
-    return docs
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
