@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ranking import rank_within
 from .common import WORD, materialise
 
 #: Leading hex digits of the shuffle hash that cut a source's order into ranges.
@@ -52,15 +53,27 @@ def fair_targets(sizes: DataFrame, weights=(1, 2, 3), share: float = 1.0, most:
     return rows.select("skey", "source_size", F.least(F.col("w") * F.lit(rate), F.col("cap")).alias("target"))
 
 
-def finish_times(docs: DataFrame, seed: int, weights, share: float, most: int) -> DataFrame:
+def _draw(seed: int, *parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+
+
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """Adds the shuffle hash ``h`` to rows (rid, source, size, text_md5): of
+    seed and id.  Rows without an id draw by their text and, where that is
+    equal too, by their number among its copies, so that they lie apart."""
+    known = rows.filter("rid is not null").withColumn("h", _draw(seed, F.col("rid")))
+    none = rank_within(rows.filter("rid is null").withColumn("skey", _source_key(F.col("source"))), ["skey", "text_md5"], ["size"], "copy")
+    return known.unionByName(none.withColumn("h", _draw(seed, F.lit("null"), F.col("text_md5"), F.col("copy"))).drop("copy", "skey")).drop("text_md5")
+
+
+def finish_times(docs: DataFrame, weights, share: float, most: int) -> DataFrame:
     """Adds skey, source_size, target, cum (words of the source's shuffled
-    order up to and with the document) to rows (rid, source, size).
+    order up to and with the document) to rows (rid, source, size, h).
 
-    The order is by MD5 of seed and id.  Sums of its 16^3 ranges give every
-    range its offset, so no task holds more than a range of a source.
+    The order is by the hash ``h``.  Sums of its 16^3 ranges give every range
+    its offset, so no task holds more than a range of a source.
     """
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rid").cast("string")).cast("binary"))
-    d = docs.withColumns({"skey": _source_key(F.col("source")), "h": h}).withColumn("part", F.substring("h", 1, PART_DIGITS))
+    d = docs.withColumns({"skey": _source_key(F.col("source")), "part": F.substring("h", 1, PART_DIGITS)})
     parts = materialise(d.groupBy("skey", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
     targets = fair_targets(parts.groupBy("skey").agg(F.sum("part_size").alias("source_size")), weights, share, most)
     ahead = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,8 +140,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sized = materialise(docs.select(
         F.col(id_col).alias("rid"), F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
-    placed = materialise(finish_times(sized, seed, weights, share, most), "mix-placed")
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("text_md5")), "mix-sizes")
+    placed = materialise(finish_times(_drawn(sized, seed), weights, share, most), "mix-placed")
     budget = (placed.agg(F.sum("size")).first()[0] or 0) * share
     v, skey = cut(placed, budget, most, ranges)
     inside = lambda x: (x < F.lit(v)) | ((x == F.lit(v)) & (F.col("skey") <= F.lit(skey)))

@@ -98,7 +98,8 @@ _VALUE_OF = "^" + _KEYWORD + r"""[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+
 def _op7_sql() -> str:
     kinds = (("assign", _ASSIGN_SQL, f"length(regexp_extract(m, '{_VALUE_OF}', 1)) >= 6"),
              ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"), ("hex", "[0-9a-f]+", "length(m) >= 24"),
-             ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+             # whole keys; of one without an END line the operator takes the base64 lines too
+             ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----)?", "true"),
              ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "true"))
     parts = []
     for i, (kind, pattern, ok) in enumerate(kinds):
@@ -126,7 +127,9 @@ FROM documents d LEFT JOIN per p USING (doc_id)
 _OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
-    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR))) AS h
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    CASE WHEN doc_id IS NOT NULL THEN md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR))) ELSE md5(concat_ws(':', '17', 'null', md5(coalesce(text, '')),
+      CAST(row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS VARCHAR))) END AS h
   FROM documents
 ), s AS (
   SELECT k, CAST(sum(size) AS BIGINT) AS ss, CAST(1 + (row_number() OVER (ORDER BY k) - 1) % 3 AS DOUBLE) AS w FROM d GROUP BY k
@@ -199,7 +202,10 @@ FROM l JOIN s USING (t) JOIN e USING (rid), (SELECT x FROM u WHERE m = 1) top
 _OP13_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
-    regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS w FROM documents
+    regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS w FROM documents
 ), n AS (
   SELECT *, len(w) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
 ), c AS (

@@ -15,7 +15,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPANS, count_kind, in_order, let, lookup, materialise, no_spans, regex_spans, shared_path, span_string
+from .common import count_kind, in_order, let, lookup, materialise, no_spans, regex_spans, shared_path, span_string
 
 _VALUE = r"[A-Za-z0-9+/_.=-]+"
 _KEYWORD = r"(?i:password|passwd|secret|token|api_?key)"
@@ -30,7 +30,11 @@ _PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
         rf"(?:{_BREAK}*+[A-Za-z0-9+/]{{24,}}+={{0,2}}+)*+"
         rf"(?:{_BREAK}++[A-Za-z0-9+/]++={{1,2}}+|[\x20\t\r]*+\n[A-Za-z0-9+/]++(?=[\x20\t\r]*+(?:\n|\z)))?+)")
 
-LEDGER_SCHEMA = f"blob string, rules array<string>, findings {SPANS}"
+#: What the ledger keeps of a finding: where it is, never what it says.
+FOUND = "array<struct<start:int,ord:int,end:int,kind:string>>"
+LEDGER_SCHEMA = f"blob string, rules array<string>, findings {FOUND}"
+#: Blobs that may be broadcast for a scan; their number is counted first.
+FEW_BLOBS = 50_000
 
 
 @dataclass(frozen=True)
@@ -80,17 +84,23 @@ def blob_id(text: Column) -> Column:
 
 def unseen(versions: DataFrame, ledger: str, text_col: str = "text", rules=RULES) -> DataFrame:
     """One row (blob, text, todo) per distinct blob with rule versions that the
-    ledger has not recorded.  Copies collapse before the shuffle."""
+    ledger has not recorded.
+
+    With an empty ledger every blob is new and copies collapse before the
+    shuffle.  Else the blobs' ids alone meet the ledger, and only texts with
+    something to do leave their tasks."""
     spark = versions.sparkSession
-    blobs = (versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-             .groupBy("blob").agg(F.first("text").alias("text")))
-    seen = (_ledger(spark, ledger).groupBy("blob")
-            .agg(F.flatten(F.collect_list("rules")).alias("seen")))
     every = F.array(*[F.lit(r.id) for r in rules])
-    return (blobs.join(seen, "blob", "left")
-            .select("blob", "text", F.when(F.col("seen").isNull(), every)
-                    .otherwise(F.array_except(every, F.col("seen"))).alias("todo"))
-            .filter(F.size("todo") > 0))
+    rows = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = _ledger(spark, ledger)
+    if kept.isEmpty():
+        return rows.groupBy("blob").agg(F.first("text").alias("text")).withColumn("todo", every).filter(F.size("todo") > 0)
+    seen = kept.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("seen"))
+    ids = rows.groupBy("blob").agg(F.count("*").alias("n"))
+    todo = materialise(ids.join(seen, "blob", "left").select("blob", "n", F.when(F.col("seen").isNull(), every).otherwise(
+        F.array_except(every, F.col("seen"))).alias("todo")).filter(F.size("todo") > 0), "secret-todo")
+    found = rows.join(F.broadcast(todo.drop("n")), "blob") if todo.count() <= FEW_BLOBS else lookup(rows, todo, "blob", "n")
+    return found.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
 
 
 def scan(versions: DataFrame, ledger: str, text_col: str = "text", rules=RULES) -> None:
@@ -101,7 +111,8 @@ def scan(versions: DataFrame, ledger: str, text_col: str = "text", rules=RULES)
     parts = [F.when(F.array_contains("todo", r.id) & r.hint(text),
                     regex_spans(text, r.pattern, r.kind, i, r.ok)).otherwise(no_spans())
              for i, r in enumerate(rules)]
-    (todo.select("blob", F.col("todo").alias("rules"), in_order(F.concat(*parts)).alias("findings"))
+    where = F.transform(in_order(F.concat(*parts)), lambda s: F.struct(s["start"], s["ord"], s["end"], s["kind"])).cast(FOUND)
+    (todo.select("blob", F.col("todo").alias("rules"), where.alias("findings"))
      .write.mode("append").parquet(ledger))
 
 

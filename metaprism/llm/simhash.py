@@ -227,14 +227,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stays = (found.filter(first).groupBy("root")
              .agg(F.min(F.struct("text_hash")).alias("k"), F.first("component_id").alias("rid"))
              .select("rid", "k.text_hash"))
-    copies = found.groupBy(F.col(id_col).alias("rid"), "text_hash").agg(F.count("*").alias("n"))
-    same = F.col("a.rid").eqNullSafe(F.col("b.rid")) & (F.col("a.text_hash") == F.col("b.text_hash"))
-    stays = stays.distinct().alias("a").join(copies.alias("b"), same).select(
-        F.col("a.rid").alias("__rid"), F.col("a.text_hash").alias("__hash"), F.col("n").alias("__n"))
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__text"))
-    kept = rows.join(stays, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__text") == F.col("__hash")))
+    # one key for an id (or none) and a text; those that many rows share are broadcast, so copies without an id do not meet
+    key = lambda i, h: F.concat_ws(":", F.when(i.isNull(), "null").otherwise(F.concat(F.lit("id"), i.cast("string"))), h.cast("string"))
+    copies = found.groupBy(key(F.col(id_col), F.col("text_hash")).alias("__key")).agg(F.count("*").alias("n"))
+    stays = materialise(stays.select(key(F.col("rid"), F.col("text_hash")).alias("__key")).distinct().join(copies, "__key"), "simhash-stays")
+    rows = docs.select(F.struct("*").alias("__row"), key(F.col(id_col), F.xxhash64(F.col(text_col))).alias("__key"))
+    kept = lookup(rows, stays.withColumn("__n", F.col("n")), "__key", "n")
     one = kept.filter("__n = 1").select("__row.*")
-    again = kept.filter("__n > 1").dropDuplicates(["__rid", "__hash"]).select("__row.*")
+    again = kept.filter("__n > 1").dropDuplicates(["__key"]).select("__row.*")  # collapses in each task before its shuffle
     return one.unionByName(again)
 
 

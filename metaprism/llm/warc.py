@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 import zlib
+from urllib.parse import quote
 from typing import Iterator
 
 import pandas as pd
@@ -69,23 +70,28 @@ def _head(fields: list) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(k + b": " + v + _EOL for k, v in fields) + _EOL
 
 
+def _id_part(page_id: str | None) -> bytes:
+    """An id as part of a record's name, percent-encoded; ~ is the null id."""
+    return b"~" if page_id is None else quote(page_id, safe="").replace("~", "%7E").encode()
+
+
 def _one_line(value: str) -> bytes:
     return re.sub(r"[\r\n]+", " ", value).encode("utf-8", "replace")
 
 
-def records_of(page_id: str, unique: str, url: str | None, payload: bytes, sha1: str, refers_to: str | None,
+def records_of(page_id: str | None, unique: str, url: str | None, payload: bytes, sha1: str, refers_to: str | None,
                segment_bytes: int, chunk_bytes: int) -> list:
     """The WARC records of one page: a revisit, or a response and its
     continuations (bytes without the last line end)."""
     digest = base64.b32encode(bytes.fromhex(sha1))
-    name = b"<urn:page:%s:%s#%s>" % (page_id.encode(), digest, unique.encode())
+    name = b"<urn:page:%s:%s#%s>" % (_id_part(page_id), digest, unique.encode())
     uri = [(b"WARC-Target-URI", _one_line(url))] if url else []
     common = [(b"WARC-Date", _DATE), *uri, (b"Content-Type", b"application/http;msgtype=response"),
               (b"WARC-Payload-Digest", b"sha1:" + digest)]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         return [_head([(b"WARC-Type", b"revisit"), (b"WARC-Record-ID", name), *common, (b"WARC-Profile", _PROFILE),
-                       (b"WARC-Refers-To", b"<urn:page:%s:%s>" % (refers_to.encode(), digest)),
+                       (b"WARC-Refers-To", b"<urn:page:%s:%s>" % (_id_part(refers_to), digest)),
                        (b"Content-Length", b"%d" % len(block))]) + block + _EOL]
     block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
              + chunked(payload, chunk_bytes))
@@ -117,10 +123,14 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     small = materialise(keyed.select("rid", "sha1", F.length("payload").alias("bytes")), "warc-digests")
     first = small.filter(F.col("bytes") >= min_bytes).groupBy("sha1").agg(F.min("rid").alias("refers_to"), F.count("*").alias("n"))
     shared = materialise(first.filter("n > 1 and refers_to is not null"), "warc-shared")
-    repeats = small.filter(F.col("bytes") >= min_bytes)
-    back = (lookup(repeats, shared, "sha1", "n").filter("rid is null or rid <> refers_to")
+    repeats = small.filter((F.col("bytes") >= min_bytes) & F.col("rid").isNotNull())
+    back = (lookup(repeats, shared, "sha1", "n").filter("rid <> refers_to")
             .select(F.col("rid").alias("r"), F.col("sha1").alias("s"), F.col("refers_to").cast("string").alias("refers_to")).distinct())
-    return (keyed.join(back, F.col("rid").eqNullSafe(F.col("r")) & (F.col("sha1") == F.col("s")), "left").drop("r", "s"))
+    known = keyed.filter("rid is not null").join(back, (F.col("rid") == F.col("r")) & (F.col("sha1") == F.col("s")), "left").drop("r", "s")
+    # rows without an id have nothing but their digest to be joined by: its frequent values are broadcast
+    none = lookup(keyed.filter("rid is null"), shared, "sha1", "n", how="left").withColumn(
+        "refers_to", F.when(F.length("payload") >= min_bytes, F.col("refers_to")).cast("string"))
+    return known.unionByName(none)
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -137,7 +147,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             out = []
             for rid, url, payload, sha1, ref in zip(b["rid"], b["url"], b["payload"], b["sha1"], b["refers_to"]):
                 n += 1
-                out += records_of("null" if rid is None else rid, f"{task}.{n}", url, bytes(payload), sha1, ref,
+                out += records_of(rid, f"{task}.{n}", url, bytes(payload), sha1, ref,
                                   segment_bytes, chunk_bytes)
             yield pd.DataFrame({"record": out})
 
@@ -286,8 +296,11 @@ def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     path = path or shared_path(spark, "warc")
     write_archives(pages, path, id_col=id_col, **options)
     kind = pages.schema[id_col].dataType.simpleString()
-    id_of = lambda c: F.when(F.regexp_extract(c, r"^<urn:page:(.*):[A-Z2-7]{32}", 1) != "null",
-                             F.regexp_extract(c, r"^<urn:page:(.*):[A-Z2-7]{32}", 1)).cast(kind)
+
+    def id_of(name):
+        part = F.regexp_extract(name, r"^<urn:page:([^:]*):[A-Z2-7]{32}", 1)
+        return F.when(part != "~", F.url_decode(part)).cast(kind)
+
     return (reassemble(read_records(spark, path))
             .withColumn(id_col, id_of(F.col("record_id")))
             .withColumn("refers_to_id", F.when(F.col("warc_type") == "revisit", id_of(F.col("refers_to")))))
