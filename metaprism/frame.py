@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import ensure_checkpoint_dir
+
 LONG_SCHEMA = T.StructType([
     T.StructField("feature", T.StringType()),
     T.StructField("attr", T.StringType()),
@@ -29,6 +31,11 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType,
                  T.FloatType, T.DoubleType, T.DecimalType)
 
 
+class NotComputable(ValueError):
+    """A feature has no value on these data (too few rows, levels or classes),
+    or they exceed a stated size."""
+
+
 @dataclass(frozen=True)
 class Frame:
     df: DataFrame
@@ -66,7 +73,7 @@ class Frame:
 
     def y(self) -> Column:
         if self.label is None:
-            raise ValueError("this feature needs a label")
+            raise NotComputable("this feature needs a label")
         return F.col(self.label).cast("string")
 
 
@@ -82,6 +89,22 @@ def frame(df: DataFrame, label: str | None = None, num: Sequence[str] | None = N
     return Frame(df=df, num=tuple(num), cat=tuple(cat), label=label, row_id=row_id, name=name)
 
 
+ROW_KEY = "_row"
+
+
+def keyed(fr: Frame, integral: bool = False) -> Frame:
+    """``fr`` itself if it has a row key (``integral``: a whole number), else
+    with ``ROW_KEY``: the rows' numbers in their order, written once, so that
+    every reader sees the same ones.  Repeated rows are rows of their own."""
+    if fr.row_id is not None and (not integral or isinstance(fr.df.schema[fr.row_id].dataType, T.IntegralType)):
+        return fr
+
+    def number() -> Frame:
+        ensure_checkpoint_dir(fr.spark)
+        return fr.with_df(fr.df.withColumn(ROW_KEY, F.monotonically_increasing_id()).checkpoint(eager=True), row_id=ROW_KEY)
+    return fr.memo("keyed", number)
+
+
 def infer_kinds(df: DataFrame, exclude: Iterable[str | None] = ()) -> tuple[list[str], list[str]]:
     ex = set(exclude)
     num, cat = [], []
@@ -138,5 +161,5 @@ def collect_bounded(df: DataFrame, what: str, limit: int = MAX_GROUPS) -> list:
     ``limit`` raises instead of silently truncating."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} {what}: too many to bring to the driver")
+        raise NotComputable(f"more than {limit} {what}: too many to bring to the driver")
     return rows

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame
+from ..frame import Frame, NotComputable
 
 
 def long_values(fr: Frame, cols=None, with_label: bool = True) -> DataFrame:
@@ -55,7 +55,7 @@ def pair_counts(fr: Frame, cols=None) -> DataFrame:
                                   F.col(a).cast("string").alias("va"),
                                   F.col(b).cast("string").alias("vb")))
     if not items:
-        raise ValueError("need at least two categorical columns")
+        raise NotComputable("need at least two categorical columns")
     return (fr.df.select(F.inline(F.array(*items)))
             .where(F.col("va").isNotNull() & F.col("vb").isNotNull())
             .groupBy("a", "b", "va", "vb").agg(F.count(F.lit(1)).cast("double").alias("cnt")))

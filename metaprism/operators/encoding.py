@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame, infer_kinds
+from ..frame import Frame, NotComputable, infer_kinds
 from ..functions.orderstats import quantiles
 from ..functions.ranking import sorted_levels
 from .phases import all_level_values, fit_scale
@@ -49,7 +49,7 @@ def encode_onehot(fr: Frame, use_all_columns: bool = False) -> Frame:
     df, num = fr.df, list(fr.num)
     for c, levels in all_level_values(fr, list(fr.cat), MAX_LEVELS).items():
         if not use_all_columns and len(levels) < 2:
-            raise ValueError(f"column {c} has a single value")
+            raise NotComputable(f"column {c} has a single value")
         keep = levels if use_all_columns else levels[1:]
         df = df.select("*", *[(F.col(c).cast("string") == F.lit(v)).cast("double").alias(f"{c}_{v}") for v in keep])
         num += [f"{c}_{v}" for v in keep]
@@ -64,7 +64,7 @@ def encode_dummies_reduced(fr: Frame) -> Frame:
         return fr
     nulls = fr.df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in fr.cat]).first()
     if any(nulls[c] for c in fr.cat):
-        raise ValueError("missing values in categorical data")
+        raise NotComputable("missing values in categorical data")
     df, num = fr.df, list(fr.num)
     for i, (c, levels) in enumerate(all_level_values(fr, list(fr.cat), MAX_LEVELS).items()):
         if i == 0:
@@ -139,7 +139,7 @@ def class_index(fr: Frame) -> tuple[DataFrame, DataFrame]:
     cc = fr.df.groupBy(fr.y().alias("cls")).agg(F.count(F.lit(1)).alias("cnt"))
     k = cc.count()
     if k > 10_000:
-        raise ValueError(f"{k} classes: one-vs-one pairs would be too many")
+        raise NotComputable(f"{k} classes: one-vs-one pairs would be too many")
     a, b = cc.alias("a"), cc.alias("b")
     pairs = F.broadcast(a).join(b, F.col("a.cls") < F.col("b.cls")).select(
         F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b"))

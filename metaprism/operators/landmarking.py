@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame, entry
+from ..frame import Frame, entry, keyed
 from . import splits
 from .pairs import pair_stats, sorted_classes
 
@@ -35,6 +35,7 @@ def _score(df: DataFrame, score: str) -> DataFrame:
 def ft_one_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, cols=None,
               block_rows: int = 2048, feature: str = "one_nn") -> DataFrame:
     cols = list(cols or fr.num)
+    fr = keyed(fr, integral=True)
     folded = cv_folds(fr, num_cv_folds)
     mat = folded.select(F.col(fr.row_id).cast("long").alias("row_id"), fr.y().alias("y"),
                         F.array(*[F.col(c).cast("double") for c in cols]).alias("x"),
@@ -50,6 +51,7 @@ def ft_one_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, cols=N
 def _fold_scores(fr: Frame, feature: str, fit_predict, score: str, num_cv_folds: int) -> DataFrame:
     """Fit on each fold's train part, predict its test part; one score per
     fold.  ``fit_predict(train: Frame, fold: int) -> predict(df) -> df+pred``."""
+    fr = keyed(fr)
     folded = cv_folds(fr, num_cv_folds).withColumn("y", fr.y()).cache()
 
     def one(f):
@@ -112,6 +114,7 @@ def ft_elite_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, seed
                 block_rows: int = 2048) -> DataFrame:
     """1-NN on the most important column of each fold's tree."""
     from .pairs import pair_stats as _ps
+    fr = keyed(fr, integral=True)
     folded = cv_folds(fr, num_cv_folds).withColumn("y", fr.y()).cache()
     preds = []
     classes = sorted_classes(fr)

@@ -267,47 +267,15 @@ def spectral_clustering(fr: Frame, k: int = 8, n_neighbors: int = 10, seed: int
 def dbscan(fr: Frame, eps: float = 0.5, min_samples: int = 5, block_rows: int = 2048) -> DataFrame:
     """Density clusters (Euclidean).  Core rows have >= min_samples rows
     (themselves included) within eps.  Clusters are the connected components
-    of core rows linked within eps, found by min-label rounds on the pair
-    kernel (each row takes the smallest label of its core neighbours) with
-    pointer jumping between rounds; border rows take the smallest cluster
-    label among their core neighbours; the rest is noise (-1).  No pair is
-    ever materialised.  Returns (row_id, pred) with clusters numbered from 0
-    in order of their smallest row key."""
-    from .pairs import pair_stats, scaled_matrix
-    big = (1 << 63) - 1
-    mat = scaled_matrix(fr, None).withColumn("y", F.lit("_")).cache()
-    n = mat.count()
-    lab = mat.select("row_id", F.col("row_id").alias("lab"), F.lit(1).alias("core"))
-    st = pair_stats(mat.join(lab, "row_id"), [], "euclidean", block_rows, n=n, eps=eps)
-    core = st.select("row_id", ((F.col("n_eps") + 1) >= min_samples).cast("int").alias("core")).checkpoint(eager=True)
-    lab = core.select("row_id", F.col("row_id").alias("lab"), "core")
-    while True:
-        st = pair_stats(mat.join(lab, "row_id"), [], "euclidean", block_rows, n=n, eps=eps)
-        upd = lab.join(st.select("row_id", "lab_min"), "row_id").select(
-            "row_id", "core", "lab",
-            F.when(F.col("core") == 1, F.least("lab", "lab_min")).otherwise(F.col("lab")).alias("new"))
-        # pointer jumping: follow labels to their own labels until stable
-        cur = upd.select("row_id", "core", F.col("new").alias("lab")).checkpoint(eager=True)
-        while True:
-            ref = cur.where(F.col("core") == 1).select(F.col("row_id").alias("lab"), F.col("lab").alias("_l2"))
-            nxt = cur.join(ref, "lab", "left").select(
-                "row_id", "core", F.when(F.col("core") == 1, F.coalesce("_l2", "lab")).otherwise(F.col("lab")).alias("lab")
-            ).checkpoint(eager=True)
-            moved = nxt.join(cur.withColumnRenamed("lab", "_old"), ["row_id", "core"]).where(F.col("lab") != F.col("_old")).count()
-            cur = nxt
-            if moved == 0:
-                break
-        changed = cur.join(lab.withColumnRenamed("lab", "_old"), ["row_id", "core"]).where(F.col("lab") != F.col("_old")).count()
-        lab = cur
-        if changed == 0:
-            break
-    # border rows: smallest label among core neighbours; noise otherwise
-    st = pair_stats(mat.join(lab, "row_id"), [], "euclidean", block_rows, n=n, eps=eps)
-    final = lab.join(st.select("row_id", "lab_min"), "row_id").select(
-        "row_id", F.when(F.col("core") == 1, F.col("lab"))
-        .when(F.col("lab_min") < F.lit(big), F.col("lab_min")).otherwise(F.lit(None)).alias("cl"))
-    ids = final.where(F.col("cl").isNotNull()).select("cl").distinct()
+    of core rows linked within eps; border rows take the smallest cluster
+    label among their core neighbours; the rest is noise (-1).  Two passes
+    over the cells within eps of a row and one contraction of their links
+    (``cells.density_clusters``).  Returns (row_id, pred) with clusters
+    numbered from 0 in order of their smallest core row."""
     from ..functions.ranking import sorted_levels
-    codes = sorted_levels(ids.withColumnRenamed("cl", "value"))
-    out = final.join(codes.withColumnRenamed("value", "cl"), "cl", "left")
+    from .cells import density_clusters
+    from .pairs import scaled_matrix
+    final = density_clusters(scaled_matrix(fr, None), eps, min_samples, "euclidean", block_rows)
+    ids = final.where(F.col("root").isNotNull()).select(F.col("root").alias("value")).distinct()
+    out = final.join(sorted_levels(ids).withColumnRenamed("value", "root"), "root", "left")
     return out.select("row_id", F.coalesce(F.col("code"), F.lit(-1)).cast("string").alias("pred"))

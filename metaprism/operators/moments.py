@@ -15,9 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame, collect_bounded
+from ..frame import Frame, NotComputable, collect_bounded
 
-# Wide tables switch to the MLlib Summarizer path above this many columns.
+#: Columns for which every pair is an expression of one aggregate.
 MAX_PAIRWISE_COLS = 200
 
 
@@ -69,7 +69,7 @@ def class_scatter(fr: Frame, cols: list[str] | None = None) -> ClassScatter:
 def _class_scatter(fr: Frame, cols: list[str]) -> ClassScatter:
     d = len(cols)
     if d > MAX_PAIRWISE_COLS:
-        raise ValueError(f"{d} columns: use the assembled-vector path for wide tables")
+        raise NotComputable(f"{d} columns exceed {MAX_PAIRWISE_COLS} for d x d statistics")
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]
     aggs += _pair_aggs(cols)

@@ -18,9 +18,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame, empty_long, entry
+from ..frame import Frame, NotComputable, empty_long, entry, keyed
 from ..functions.ranking import rank_within
 from . import moments as M
+from ..session import written
+from .cells import Enemies, nearest_in, nearest_rows
+from .kth import kth_neighbours, neighbour_edges
 from .pairs import pair_stats, scaled_matrix, sorted_classes
 
 CONCEPT_DEFAULTS = (2.0, 1e-9, 1.0)  # conceptvar/wg_dist alpha, minimum, impconceptvar/cohesiveness alpha
@@ -126,8 +129,11 @@ def ft_pb(ctx: PairContext) -> DataFrame:
 
 # ------------------------------------------------------------------ complexity
 def nearest_enemy(ctx: PairContext) -> DataFrame:
-    """XX1: (row_id, ne_d, ne_id)."""
-    return ctx.stats.select("row_id", "ne_d", "ne_id")
+    """XX1: (row_id, ne_d, ne_id), found by cells (``cells.Enemies``); a row
+    without one has distance infinity and id -1."""
+    found = Enemies(ctx.mat, ctx.metric, ctx.block_rows).nearest(ctx.mat.select("row_id", F.col("y").alias("g")))
+    return ctx.mat.select("row_id").join(found, "row_id", "left").select(
+        "row_id", F.coalesce("ne_d", F.lit(float("inf"))).alias("ne_d"), F.coalesce("ne_id", F.lit(-1)).alias("ne_id"))
 
 
 def ft_n2(ctx: PairContext) -> DataFrame:
@@ -175,16 +181,14 @@ def concept_context(fr: Frame, alpha: float = 2.0, minimum: float = 1e-9, imp_al
 # ------------------------------------------------------------------ neighbours
 def knn_table(fr: Frame, n_neighbors: int | None = None, metric: str = "euclidean",
               block_rows: int = 2048) -> DataFrame:
-    """KX2: (row_id, rank, nb_id, nb_dist, nb_y); k = int(sqrt(min class size))."""
+    """KX2: (row_id, rank, nb_id, nb_dist, nb_y); k = int(sqrt(min class size)).
+    Found by cells of about ``block_rows`` rows, which only rows near enough
+    visit."""
     if n_neighbors is None:
         m = fr.df.groupBy(fr.y()).count().agg(F.min("count")).first()[0]
         n_neighbors = max(1, int(math.sqrt(m)))
-    classes = sorted_classes(fr)
-    mat = scaled_matrix(fr, None)
-    st = pair_stats(mat, classes, metric, block_rows, topk=n_neighbors)
-    return st.select("row_id", F.posexplode("topk").alias("rank", "nb")).select(
-        "row_id", (F.col("rank") + 1).alias("rank"), F.col("nb.id").alias("nb_id"),
-        F.col("nb.d").alias("nb_dist"), F.col("nb.y").alias("nb_y"))
+    found = nearest_rows(scaled_matrix(fr, None), n_neighbors, metric, block_rows)
+    return found.select("row_id", "rank", F.col("id").alias("nb_id"), F.col("d").alias("nb_dist"), F.col("y").alias("nb_y"))
 
 
 def knn_vote(fr: Frame, k: int = 5, block_rows: int = 2048) -> DataFrame:
@@ -196,19 +200,19 @@ def knn_vote(fr: Frame, k: int = 5, block_rows: int = 2048) -> DataFrame:
     return best.select("row_id", F.col("b.nb_y").alias("pred"))
 
 
+def _train_neighbours(train: Frame, valid: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(row_id, nb_y): labels of the k nearest train rows of every validation
+    row."""
+    rid = F.col(train.row_id).cast("long").alias("row_id")
+    x = F.array(*[F.col(c).cast("double") for c in train.num]).alias("x")
+    found = nearest_in(train.df.select(rid, train.y().alias("y"), x), valid.select(rid, x), k, "euclidean", block_rows)
+    return found.select("row_id", F.col("y").alias("nb_y"))
+
+
 def knn_predict(train: Frame, valid: DataFrame, k: int = 5, block_rows: int = 2048) -> DataFrame:
-    """k-NN vote for validation rows using only train rows: one kernel pass
-    with groups (train = 0, valid = 1; rows only see the other group)."""
-    from .pairs import pair_stats as _ps
-    cols = list(train.num)
-    tr = train.df.select(F.col(train.row_id).cast("long").alias("row_id"), train.y().alias("y"),
-                         F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.lit(0).alias("grp"))
-    va = valid.select(F.col(train.row_id).cast("long").alias("row_id"), F.col(train.label).cast("string").alias("y"),
-                      F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.lit(1).alias("grp"))
-    mat = tr.unionByName(va)
-    st = _ps(mat, sorted_classes(train), "euclidean", block_rows, topk=k)
-    nb = st.join(va.select("row_id"), "row_id").select("row_id", F.explode("topk").alias("nb"))
-    votes = nb.groupBy("row_id", F.col("nb.y").alias("nb_y")).agg(F.count(F.lit(1)).alias("v"))
+    """k-NN vote for validation rows using only train rows (ties -> smallest
+    label); both have the train frame's row key."""
+    votes = _train_neighbours(train, valid, k, block_rows).groupBy("row_id", "nb_y").agg(F.count(F.lit(1)).alias("v"))
     best = votes.groupBy("row_id").agg(F.min(F.struct((-F.col("v")).alias("nv"), F.col("nb_y"))).alias("b"))
     return valid.join(best.select(F.col("row_id").alias("_rid"), F.col("b.nb_y").alias("pred")),
                       F.col(train.row_id).cast("long") == F.col("_rid")).drop("_rid")
@@ -218,13 +222,7 @@ def knn_regress(train: Frame, valid: DataFrame, k: int = 5, block_rows: int = 20
     """E8, regression form: the mean target of the k nearest train rows; adds
     ``pred``.  Targets travel with the neighbours, so any number of distinct
     values will do."""
-    rid = F.col(train.row_id).cast("long").alias("row_id")
-    x = F.array(*[F.col(c).cast("double") for c in train.num]).alias("x")
-    y = F.col(train.label).cast("string").alias("y")
-    mat = (train.df.select(rid, y, x, F.lit(0).alias("grp"))
-           .unionByName(valid.select(rid, y, x, F.lit(1).alias("grp"))))
-    st = pair_stats(mat, [], "euclidean", block_rows, topk=k)
-    mean = st.select("row_id", F.explode("topk").alias("nb")).groupBy("row_id").agg(F.avg(F.col("nb.y").cast("double")).alias("pred"))
+    mean = _train_neighbours(train, valid, k, block_rows).groupBy("row_id").agg(F.avg(F.col("nb_y").cast("double")).alias("pred"))
     return valid.join(mean.select(F.col("row_id").alias("_rid"), "pred"), F.col(train.row_id).cast("long") == F.col("_rid")).drop("_rid")
 
 
@@ -253,23 +251,22 @@ def ft_n4(fr: Frame, metric: str = "gower", seed: int = 0, block_rows: int = 204
 def minimum_spanning_forest(fr: Frame, metric: str = "gower", scale: str | None = "minmax",
                             block_rows: int = 2048) -> DataFrame:
     """Exact minimum spanning forest of the complete distance graph (zero
-    distances are no edge) by Boruvka rounds on the pair kernel.
+    distances are no edge) by Boruvka rounds over cells.
 
-    Each round: one kernel pass gives every row its nearest row in another
-    component (ties by id); each component keeps its lightest edge under the
+    Each round gives every row its nearest row in another component (ties by
+    id); cells that lie in the row's own component, or too far, are not
+    visited; each component keeps its lightest edge under the
     total order (d, low id, high id); components merge by pointer jumping
     on the component table.  O(log n) rounds; every round's component table is
     checkpointed to the shared folder.  Returns edges (src, dst, d).
     """
-    mat = scaled_matrix(fr, scale).cache()
+    mat = scaled_matrix(fr, scale)
     spark = fr.spark
+    search = Enemies(mat, metric, block_rows, positive=True)
     comp = mat.select("row_id", F.col("row_id").alias("comp")).checkpoint(eager=True)
     edges = None
     while True:  # each round at least halves the components
-        m = mat.join(comp, "row_id").select("row_id", F.col("comp").cast("string").alias("y"), "x")
-        st = pair_stats(m, [], metric, block_rows, positive=True)
-        cand = (st.where(F.col("ne_d") < F.lit(float("inf")))
-                .select(F.col("y").cast("long").alias("comp"), "row_id", "ne_id", "ne_d"))
+        cand = search.nearest(comp.select("row_id", F.col("comp").alias("g"))).select(F.col("g").cast("long").alias("comp"), "row_id", "ne_id", "ne_d")
         best = cand.groupBy("comp").agg(F.min(F.struct(
             F.col("ne_d").alias("d"), F.least("row_id", "ne_id").alias("lo"),
             F.greatest("row_id", "ne_id").alias("hi"), F.col("row_id").alias("src"),
@@ -301,6 +298,7 @@ def minimum_spanning_forest(fr: Frame, metric: str = "gower", scale: str | None
 
 def ft_n1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame:
     """Share of rows incident to a spanning-forest edge joining classes."""
+    fr = keyed(fr, integral=True)
     edges = minimum_spanning_forest(fr, metric, "minmax", block_rows)
     lab = fr.df.select(F.col(fr.row_id).cast("long").alias("id"), fr.y().alias("y"))
     e = (edges.join(lab.withColumnRenamed("id", "src").withColumnRenamed("y", "ys"), "src")
@@ -351,7 +349,7 @@ def ft_t1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame
     classes = sorted_classes(fr)
     mat = scaled_matrix(fr, "minmax").cache()
     n = mat.count()
-    ne = pair_stats(mat, classes, metric, block_rows, n=n).select("row_id", "ne_id", "ne_d")
+    ne = Enemies(mat, metric, block_rows).nearest(mat.select("row_id", F.col("y").alias("g"))).select("row_id", "ne_id", "ne_d")
     radii = hypersphere_radii(ne)
     thr = radii.select("row_id", F.col("r").alias("thresh"))
     mass = pair_stats(mat, classes, metric, block_rows, thresh=thr, n=n, thresh_le=True) \
@@ -377,23 +375,29 @@ def ft_t1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame
     return surv.agg(F.count(F.lit(1)).alias("c")).select(entry("t1", F.col("c") / F.lit(float(n))).alias("e")).select("e.*")
 
 
-def ft_density(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048) -> DataFrame:
-    """1 - density of the graph linking each row to its round(0.15 n)
-    nearest rows of the same class (positive distances, either direction).
+def _reach(metric: str, columns: int) -> float:
+    """The greatest distance of min-max scaled rows."""
+    return {"euclidean": math.sqrt(columns), "gower": 1.0}.get(metric, float(columns)) * (1 + 1e-9)
 
-    Two kernel passes and no edge list: the first finds each row's k-th
-    neighbour (distance, id); the second counts, per row, out-edges and
-    mutual edges under the exact (distance, id) neighbour order, so
-    |E| = sum(out) - sum(mutual) / 2."""
-    classes = sorted_classes(fr)
+
+def _kth(fr: Frame, metric: str, radius_frac: float, block_rows: int):
+    """(scaled rows, their number, each row's k-th neighbour), k = round(0.15 n)."""
     mat = scaled_matrix(fr, "minmax").cache()
     n = mat.count()
     k = int(round(n * radius_frac)) if 0 < radius_frac < 1 else int(radius_frac)
     k = max(1, min(k, n - 1))
-    top = pair_stats(mat, classes, metric, block_rows, topk=k, n=n)
-    kth = top.select("row_id", F.element_at("topk", -1).alias("kth")).select(
-        "row_id", F.col("kth.d").alias("rkd"), F.col("kth.id").alias("rkid"))
-    st = pair_stats(mat.join(kth, "row_id"), classes, metric, block_rows, n=n)
+    return mat, n, kth_neighbours(mat, k, metric, n, _reach(metric, len(fr.num)), block_rows)
+
+
+def ft_density(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048) -> DataFrame:
+    """1 - density of the graph linking each row to its round(0.15 n)
+    nearest rows of the same class (positive distances, either direction).
+
+    No edge list: counting passes find each row's k-th neighbour (distance,
+    id); another counts, per row, out-edges and mutual edges under the exact
+    (distance, id) neighbour order, so |E| = sum(out) - sum(mutual) / 2."""
+    mat, n, kth = _kth(fr, metric, radius_frac, block_rows)
+    st = pair_stats(mat.join(kth, "row_id"), [], metric, block_rows, n=n)
     e = st.agg((F.sum("knn_out") - F.sum("knn_mutual") / 2.0).alias("E"))
     dens = F.col("E") * 2.0 / (float(n) * (n - 1.0))
     return e.select(entry("density", 1.0 - dens).alias("e")).select("e.*")
@@ -401,19 +405,10 @@ def ft_density(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, bloc
 
 def knn_graph_edges(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048) -> DataFrame:
     """Undirected edges (a < b) of the same-class round(0.15 n)-NN graph with
-    positive distances.  The graph is the feature's own object, so its edge
-    list (n * k rows at most) is materialised here; density avoids it."""
-    classes = sorted_classes(fr)
-    mat = scaled_matrix(fr, "minmax").cache()
-    n = mat.count()
-    k = int(round(n * radius_frac)) if 0 < radius_frac < 1 else int(radius_frac)
-    k = max(1, min(k, n - 1))
-    top = pair_stats(mat, classes, metric, block_rows, topk=k, n=n)
-    e = (top.select("row_id", "y", F.explode("topk").alias("nb"))
-         .where((F.col("nb.y") == F.col("y")) & (F.col("nb.d") > 0))
-         .select(F.least("row_id", F.col("nb.id")).alias("a"), F.greatest("row_id", F.col("nb.id")).alias("b"))
-         .distinct())
-    return e
+    positive distances.  The graph is the feature's own object, so its edges
+    are written here, a row each; density avoids them."""
+    mat, n, kth = _kth(fr, metric, radius_frac, block_rows)
+    return neighbour_edges(mat, written(kth, "kth"), metric, n, block_rows)
 
 
 def ft_cls_coef(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_rows: int = 2048) -> DataFrame:
@@ -440,6 +435,7 @@ def ft_hubs(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_r
     join-aggregates over the edges and one aggregate of inner products; the
     basis is one array a row, written every step.  Only the small projected
     matrix is on the driver.  Raises where ``max_steps`` do not reach ``tol``."""
+    fr = keyed(fr, integral=True)
     e = knn_graph_edges(fr, metric, radius_frac, block_rows)
     directed = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint(eager=True)
     verts = fr.df.select(F.col(fr.row_id).cast("long").alias("v")).distinct()
@@ -474,7 +470,7 @@ def ft_hubs(fr: Frame, metric: str = "gower", radius_frac: float = 0.15, block_r
         if beta <= 1e-12 * scale or beta * abs(top[-1]) < tol * scale or k >= n:
             break
         if k >= max_steps:
-            raise RuntimeError(f"hub scores did not converge in {max_steps} steps")
+            raise NotComputable(f"hub scores did not converge in {max_steps} steps")
         betas.append(beta)
         basis = w.select("v", F.concat("q", F.array(F.col("x") / F.lit(beta))).alias("q")).checkpoint(eager=True)
     x = F.aggregate(F.zip_with("q", F.array(*[F.lit(float(c)) for c in top]), lambda q, c: q * c), F.lit(0.0), lambda s, t: s + t)

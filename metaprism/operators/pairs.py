@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import Frame
-from ..session import ensure_checkpoint_dir
+from ..frame import Frame, NotComputable, keyed
 
 MAX_CLASSES = 256
 BLOCK_ROWS = 2048
@@ -40,13 +39,8 @@ def scaled_matrix(fr: Frame, scale: str | None) -> DataFrame:
         xs = [(x - F.lit(r[f"a{i}"])) / F.lit((r[f"b{i}"] - r[f"a{i}"]) or 1.0) for i, x in enumerate(xs)]
     elif scale is not None:
         raise ValueError(scale)
-    if fr.row_id:
-        return fr.df.select(F.col(fr.row_id).cast("long").alias("row_id"), fr.y().alias("y"), F.array(*xs).alias("x"))
-    # without a key every row is one of its own, repeated ones too; the written
-    # copy keeps the numbers the same for all readers
-    ensure_checkpoint_dir(fr.spark)
-    return fr.df.select(F.monotonically_increasing_id().alias("row_id"), fr.y().alias("y"),
-                        F.array(*xs).alias("x")).checkpoint(eager=True)
+    fr = keyed(fr, integral=True)
+    return fr.df.select(F.col(fr.row_id).cast("long").alias("row_id"), fr.y().alias("y"), F.array(*xs).alias("x"))
 
 
 def _dist(A: np.ndarray, B: np.ndarray, metric: str) -> np.ndarray:
@@ -226,6 +220,15 @@ def _tile_fn(classes: list[str], metric: str, opts: dict):
     return fn
 
 
+def tiled(mat: DataFrame, blocks: int) -> DataFrame:
+    """``mat`` dealt to ``blocks`` blocks by a hash of the row (``_blk``), every
+    row once for each tile (``_ta``, ``_tb``) that its block takes part in."""
+    return (mat.withColumn("_blk", F.pmod(F.xxhash64(F.col("row_id"), F.lit(17)), F.lit(blocks)))
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .withColumn("_ta", F.least("_blk", "_o")).withColumn("_tb", F.greatest("_blk", "_o"))
+            .drop("_o"))
+
+
 def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", block_rows: int = BLOCK_ROWS,
                thresh: DataFrame | None = None, concept: tuple | None = None, topk: int = 0,
                n: int | None = None, positive: bool = False, thresh_le: bool = False,
@@ -236,7 +239,7 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
     other rows closer than the row's threshold.  Returns one row per row_id.
     """
     if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{len(classes)} classes exceed {MAX_CLASSES} for class-wise pair statistics")
+        raise NotComputable(f"{len(classes)} classes exceed {MAX_CLASSES} for class-wise pair statistics")
     n = n if n is not None else mat.count()
     B = max(1, math.ceil(n / block_rows))
     opts = {"thresh": thresh is not None, "concept": concept, "topk": topk, "grp": "grp" in mat.columns,
@@ -247,11 +250,7 @@ def pair_stats(mat: DataFrame, classes: list[str], metric: str = "euclidean", bl
         m = m.join(thresh, "row_id")
     else:
         m = m.withColumn("thresh", F.lit(None).cast("double"))
-    blk = F.pmod(F.xxhash64(F.col("row_id"), F.lit(17)), F.lit(B))
-    rep = (m.withColumn("_blk", blk)
-           .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-           .withColumn("_ta", F.least("_blk", "_o")).withColumn("_tb", F.greatest("_blk", "_o"))
-           .drop("_o"))
+    rep = tiled(m, B)
     k = len(classes)
     schema = _stats_schema(k, opts)
     part = rep.groupBy("_ta", "_tb").applyInPandas(_tile_fn(classes, metric, opts), schema)
@@ -285,5 +284,5 @@ def sorted_classes(fr: Frame) -> list[str]:
     d = fr.df.select(fr.y().alias("y")).where(F.col("y").isNotNull()).distinct()
     k = d.count()
     if k > MAX_CLASSES:
-        raise ValueError(f"{k} classes exceed {MAX_CLASSES}")
+        raise NotComputable(f"{k} classes exceed {MAX_CLASSES}")
     return sorted(r["y"] for r in d.collect())

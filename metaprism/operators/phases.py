@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import Frame, NUMERIC_TYPES
+from ..frame import Frame, NUMERIC_TYPES, NotComputable
 from ..session import ensure_checkpoint_dir
 from ..functions.orderstats import modes, quantiles, value_counts
 from ..functions.ranking import sorted_levels, level_codes
@@ -234,7 +234,7 @@ def all_level_values(fr: Frame, cols: list, limit: int) -> dict:
     levels = value_counts(fr.df, {c: F.col(c).cast("string") for c in cols}).select("attr", "value").checkpoint(eager=True)
     for r in levels.groupBy("attr").count().collect():  # one row a column
         if r["count"] > limit:
-            raise ValueError(f"{r['count']} levels of {cols[r['attr']]} exceed the one-hot limit {limit}")
+            raise NotComputable(f"{r['count']} levels of {cols[r['attr']]} exceed the one-hot limit {limit}")
     out: dict = {c: [] for c in cols}
     for r in levels.orderBy("attr", "value").collect():
         out[cols[r["attr"]]].append(r["value"])

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame
+from ..frame import Frame, keyed
 from ..functions.ranking import rank_within
 
 def hkey(row_id: Column, seed: int) -> Column:
@@ -35,12 +35,15 @@ def kfold_stratified(fr: Frame, k: int = 3, shuffle: bool = True, seed: int = 42
     shuffle=False: the unshuffled stratified rule - classes laid out in sorted
     order and dealt round-robin into k folds, each class's rows (in row-key
     order) filling its fold allocation in turn.
+
+    Without a row key the rows' order stands for one.
     """
+    shown, fr = fr.df.columns, keyed(fr)
     rid = F.col(fr.row_id)
     df = fr.df.withColumn("_y", fr.y())
     if shuffle:
         ranked = rank_within(df.withColumn("_h", hkey(rid, seed)), ["_y"], ["_h", fr.row_id], "_rk")
-        return ranked.withColumn("fold", (F.col("_rk") % k).cast("int")).drop("_h", "_rk", "_y")
+        return ranked.withColumn("fold", (F.col("_rk") % k).cast("int")).select(*shown, "fold")
     from ..frame import collect_bounded
     counts = {r["_y"]: r["count"] for r in collect_bounded(df.groupBy("_y").count(), "classes")}
     classes = sorted(counts)
@@ -59,24 +62,26 @@ def kfold_stratified(fr: Frame, k: int = 3, shuffle: bool = True, seed: int = 42
     for c, cum in bounds.items():
         f_c = sum((F.col("_rk") >= F.lit(b)).cast("int") for b in cum[:-1]) if k > 1 else F.lit(0)
         fold = F.when(F.col("_y") == c, f_c).otherwise(fold)
-    return ranked.withColumn("fold", fold.cast("int")).drop("_rk", "_y")
+    return ranked.withColumn("fold", fold.cast("int")).select(*shown, "fold")
 
 
 def kfold_plain(fr: Frame, k: int = 3, seed: int = 42) -> DataFrame:
     """R2: global rank by the seeded hash, fold = rank mod k."""
+    shown, fr = fr.df.columns, keyed(fr)
     df = fr.df.withColumn("_h", hkey(F.col(fr.row_id), seed))
     return rank_within(df, [], ["_h", fr.row_id], "_rk").withColumn(
-        "fold", (F.col("_rk") % k).cast("int")).drop("_h", "_rk")
+        "fold", (F.col("_rk") % k).cast("int")).select(*shown, "fold")
 
 
 def sample_rows(fr: Frame, frac: float, seed: int = 42) -> DataFrame:
     """Exactly int(frac * n) rows without replacement (frac in [0.5, 1])."""
     if not 0.5 <= frac <= 1.0:
         raise ValueError("lm_sample_frac must be in [0.5, 1.0]")
+    shown, fr = fr.df.columns, keyed(fr)
     n = fr.count()
     keep = int(n * frac)
     df = fr.df.withColumn("_h", hkey(F.col(fr.row_id), seed))
-    return rank_within(df, [], ["_h", fr.row_id], "_rk").where(F.col("_rk") < keep).drop("_h", "_rk")
+    return rank_within(df, [], ["_h", fr.row_id], "_rk").where(F.col("_rk") < keep).select(*shown)
 
 
 def bootstrap_weights(fr: Frame, replicates: int = 128, seed: int = 1234, keep=()) -> DataFrame:
@@ -86,6 +91,7 @@ def bootstrap_weights(fr: Frame, replicates: int = 128, seed: int = 1234, keep=(
     Poisson(1) CDF; rows never leave their partition until the weighted
     aggregate of the statistic of interest.
     """
+    fr = keyed(fr)
     u = (F.pmod(F.xxhash64(F.col("row_id"), F.col("rep"), F.lit(seed)), F.lit(1 << 30)).cast("double")
          / float(1 << 30))
     cdf, terms, p = [], [], math.exp(-1.0)
@@ -103,6 +109,7 @@ def interpolate_rows(fr: Frame, seed: int = 0) -> DataFrame:
     """Per class, as many convex blends of two rows of the class, both
     drawn at random by hash, with one weight per element.  The drawn rows are
     joined by (class, rank) - equi-joins, no pairs.  The row key names the blend."""
+    fr = keyed(fr)
     base = fr.df.withColumn("_y", fr.y()).select(fr.row_id, "_y", *fr.num)
     ranked = rank_within(base, ["_y"], [fr.row_id], "_rk")
     sizes = ranked.groupBy("_y").agg(F.count(F.lit(1)).alias("_n"))  # one row a class

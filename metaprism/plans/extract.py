@@ -16,12 +16,13 @@ import warnings
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable
 
-from pyspark import inheritable_thread_target
+import numpy as np
+from pyspark import errors, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import LONG_SCHEMA, Frame, union_all, empty_long
+from ..frame import LONG_SCHEMA, Frame, NotComputable, union_all, empty_long
 from ..functions.summaries import SUMMARIES, summarise
 from ..operators import clustering, complexity, general, infotheory, itemset, statistical
 from ..operators import landmarking, modelbased
@@ -113,6 +114,8 @@ def resolve(groups="default", features="all", supervised=True) -> dict[str, list
 
 #: Features of many rounds or fits.
 SLOW = {"hubs", "l1", "l2", "l3", "n1", "t1", "f4", "elite_nn", "linear_discr", "best_node", "worst_node", "random_node"}
+#: Errors that say that a feature has no value on these data.
+NOT_COMPUTABLE = (NotComputable, ArithmeticError, np.linalg.LinAlgError, errors.ArithmeticException, errors.IllegalArgumentException)
 #: Feature jobs submitted at a time.
 PARALLEL = 8
 
@@ -193,7 +196,8 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
     ``transform_cat`` ("gray", "one-hot", "one-hot-full" or None) encodes text
     columns into the numeric view, ``rescale`` scales that view.  Features are
     jobs of their own, a few at a time, each ending in the shared folder; one
-    that fails gives NaN and a warning, and the others go on.
+    that has no value on these data (``NOT_COMPUTABLE``) gives NaN and a
+    warning, and the others go on.
     """
     plan = resolve(groups, features, supervised=fr.label is not None)
     return _table(fr, plan, pair_block_rows, transform_num, transform_cat, rescale)
@@ -220,7 +224,7 @@ def _table(fr: Frame, plan: dict, pair_block_rows: int, transform_num: bool = Tr
         names, make = tasks[i]
         try:
             return make().checkpoint(eager=True)
-        except Exception as e:  # noqa: BLE001 - a feature that cannot be computed is NaN, as a result
+        except NOT_COMPUTABLE as e:  # such a feature is NaN, as a result; other errors are raised
             warnings.warn(f"{', '.join(names)}: {type(e).__name__}: {str(e)[:300]}", RuntimeWarning, stacklevel=2)
             return fr.spark.createDataFrame([(f, None, None, 0, float("nan")) for f in names], LONG_SCHEMA)
 

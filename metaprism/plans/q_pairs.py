@@ -17,6 +17,7 @@ from .registry import query, finish_long, sql_long, row, union
 from .sqlbind import EM_CTE, EM_NUM, with_
 
 D = len(EM_NUM)
+CELL = 100  # rows a cell, so that these tables have several
 ONE = "FROM (SELECT 1) AS one"
 
 
@@ -83,7 +84,7 @@ def q_complexity_nb(spark, sf_dir):
        with_(EM_CTE, EMM_CTE, G_CTE) + f"SELECT i AS row_id, {sql_sig('min(d)')} AS ne_d, arg_min(j, (d, j)) AS ne_id "
        "FROM g WHERE yi <> yj GROUP BY i", group="complexity")
 def q_nearest_enemy(spark, sf_dir):
-    ctx = NB.PairContext(_em(spark, sf_dir), "gower", "minmax")
+    ctx = NB.PairContext(_em(spark, sf_dir), "gower", "minmax", block_rows=CELL)
     return NB.nearest_enemy(ctx).select("row_id", sig(F.col("ne_d")).alias("ne_d"), "ne_id")
 
 
@@ -114,7 +115,7 @@ _KNN_SQL = with_(EM_CTE, P_CTE) + (
 
 @query("knn_table", _KNN_SQL, group="clustering")
 def q_knn_table(spark, sf_dir):
-    t = NB.knn_table(_em(spark, sf_dir))
+    t = NB.knn_table(_em(spark, sf_dir), block_rows=2 * CELL)
     return t.select("row_id", F.col("rank").cast("int").alias("rank"), "nb_id", sig(F.col("nb_dist")).alias("nb_dist"), "nb_y")
 
 
@@ -126,7 +127,7 @@ _VOTE_SQL = with_(EM_CTE, P_CTE) + (
 
 @query("knn_vote", _VOTE_SQL, group="models")
 def q_knn_vote(spark, sf_dir):
-    return NB.knn_vote(_em(spark, sf_dir), k=5)
+    return NB.knn_vote(_em(spark, sf_dir), k=5, block_rows=2 * CELL)
 
 
 @query("complexity_n4", group="complexity")

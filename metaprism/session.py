@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -81,5 +82,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._metaprism_shipped = True
 
 
+def written(df, tag: str = "part"):
+    """``df`` written once to the shared checkpoint folder and read back:
+    lineage ends here, and nothing is computed twice for it."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

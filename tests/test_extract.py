@@ -42,6 +42,14 @@ def test_a_failing_feature_is_nan(spark, monkeypatch):
     assert math.isnan(got["nr_inst"]) and got["nr_class"] == 2
 
 
+def test_other_errors_are_raised(spark, monkeypatch):
+    def broken(fr):
+        raise KeyError("a bug")
+    monkeypatch.setitem(X.general.FEATURES, "nr_inst", broken)
+    with pytest.raises(KeyError):
+        X.extract(mixed(spark), ("general",), ["nr_inst", "nr_class"])
+
+
 def test_row_count_follows_the_rows(spark):
     fr = mixed(spark)
     assert fr.count() == 400
@@ -53,6 +61,7 @@ def test_relative_ranks(spark):
     names = ["one_nn", "naive_bayes"]
     both = values(X.extract(fr, ("landmarking", "relative"), names, summary=("mean",)))
     assert set(both) == {f"{n}.mean{e}" for n in names for e in ("", ".relative")}
+    assert all(math.isfinite(v) for v in both.values())
     assert sorted(both[f"{n}.mean.relative"] for n in names) in ([1.0, 2.0], [1.5, 1.5])
     assert (both["one_nn.mean"] > both["naive_bayes.mean"]) == (both["one_nn.mean.relative"] > both["naive_bayes.mean.relative"])
     only = X.extract(fr, ("relative",), names, summary=("mean",))
