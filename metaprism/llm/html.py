@@ -3,14 +3,16 @@
 A tree builder with implied tags turns any markup into a tree; visibility
 rules drop what a browser does not show; the renderer emits all visible text
 with block spacing, list marks and aligned table cells.  Formulas, text in
-diagrams and text areas count as visible; options of a select do not.
+diagrams and text areas count as visible, so do labels of buttons and what
+stands in an object without data; options of a select do not, nor do closed
+dialogs and the bodies of closed details.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from html import unescape
 from typing import Generator, Iterator
 
@@ -50,6 +52,10 @@ TABLE_FENCES = frozenset(["td", "th", "caption", "table"])
 IN_HEAD = frozenset("base link meta noscript script style template title head html".split())
 #: Tables, quotes and items that may lay out one line; deeper ones are plain blocks.
 MAX_LAYOUT = 200
+#: Blank places below row spans, a cell of the table, up to which they are laid
+#: out; markup beyond it has its row spans read as 1, so that a page cannot ask
+#: for a text that grows with its square.  No text is lost.
+MAX_BLANK = 50
 
 _TAG = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*))")
 _ATTR = re.compile(r"""[\s/]*(?:(?P<end>>)|(?P<name>[^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"(?P<d>[^"]*)"|'(?P<s>[^']*)'|(?P<u>[^\s>]*)))?)""")
@@ -128,6 +134,7 @@ def build(html: str) -> Node:
     stack, in_head = [root, body], True
     at: dict = {}  # tag -> its places on the stack
     blocks: list = []  # places of block elements
+    unsettled = False  # whether anything is there for _settle
 
     def push(node):
         stack[-1].items.append(node)
@@ -162,6 +169,8 @@ def build(html: str) -> Node:
             stack[-1].items.append(t[1] if source or "&" not in t[1] else unescape(t[1]))
             continue
         name = t[1]
+        if kind == "open" and (name == "details" or (t[2] and "visibility" in t[2].get("style", "").lower())):
+            unsettled = True
         if kind == "close":
             if name in ("html", "body"):
                 continue
@@ -200,28 +209,75 @@ def build(html: str) -> Node:
             stack[-1].items.append(node)
         else:
             push(node)
-    return root
+    return _settle(root) if unsettled else root
+
+
+#: What the two properties may be set to here.
+STYLES = {"display": frozenset("none block inline inline-block flex inline-flex grid inline-grid flow-root contents list-item table "
+                               "inline-table table-row table-cell table-row-group table-header-group table-footer-group initial".split()),
+          "visibility": frozenset("visible hidden collapse initial".split())}
+BUTTONS = frozenset("submit reset button".split())
+
+
+def _style(node: Node) -> dict:
+    """display and visibility as the style attribute sets them: the last
+    declaration counts, important ones before others."""
+    found: dict = {}
+    forced = set()
+    for part in node.attrs["style"].lower().split(";"):
+        k, _, v = part.partition(":")
+        k = k.strip()
+        if k in STYLES:
+            v, _, mark = v.partition("!")
+            v, strong = v.strip(), mark.strip() == "important"
+            if v in STYLES[k] and (strong or k not in forced):
+                found[k] = v
+                if strong:
+                    forced.add(k)
+    return found
 
 
 def visible(node: Node) -> bool:
-    """Whether a browser shows the element."""
-    if node.tag in HIDDEN:
+    """Whether the element takes part in the layout.  What is only without ink
+    (``visibility``) does; ``_settle`` has emptied it."""
+    tag, a = node.tag, node.attrs
+    if tag in HIDDEN and not (tag == "object" and "data" not in a) and not (
+            tag == "input" and a.get("value") and a.get("type", "").lower() in BUTTONS):
+        return False
+    if tag == "dialog" and "open" not in a:
         return False
-    a = node.attrs
     if not a:
         return True
-    if "hidden" in a:
-        return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
-    style = a.get("style")
-    if style:
-        for part in style.lower().split(";"):
-            k, _, v = part.partition(":")
-            k, v = k.strip(), v.replace("!important", "").strip()
-            if (k == "display" and v == "none") or (k == "visibility" and v in ("hidden", "collapse")):
-                return False
-    return True
+    return "hidden" not in a and not (a.get("style") and _style(node).get("display") == "none")
+
+
+def _settle(root: Node) -> Node:
+    """Takes out the bodies of closed details and all that ``visibility``
+    hides.  It is inherited, until an element below sets it back.  A hidden
+    cell stays, empty, in a row that is not hidden."""
+    order, todo, any_dark = [], [(root, False)], False
+    while todo:
+        node, dark = todo.pop()
+        if node.attrs.get("style"):
+            v = _style(node).get("visibility")
+            dark = dark if v is None else v in ("hidden", "collapse")
+            any_dark = any_dark or dark
+        if node.tag == "details" and "open" not in node.attrs:
+            node.items = [x for x in node.items if isinstance(x, Node) and x.tag == "summary"][:1]
+        order.append((node, dark))
+        todo.extend((x, dark) for x in node.items if isinstance(x, Node))
+    if not any_dark:
+        return root
+    gone, blank = set(), set()
+    for node, dark in reversed(order):  # children before what holds them
+        node.items = [x for x in node.items if (id(x) not in gone if isinstance(x, Node) else not dark)]
+        if dark and all(id(x) in blank for x in node.items):
+            if node.tag in ("td", "th"):
+                node.items = []
+                blank.add(id(node))
+            else:
+                gone.add(id(node))
+    return root
 
 
 class _Writer:
@@ -281,8 +337,9 @@ def _width(s: str) -> int:
 
 
 def _parts(table: Node) -> tuple[Node, list]:
-    """The visible rows, below sections and any other wrapper, and the rest as
-    a tree of its own.  Rows of nested tables and rows are not looked for."""
+    """The visible rows, each with the section it is in, below sections and any
+    other wrapper, and the rest as a tree of its own.  Rows of nested tables and
+    rows are not looked for."""
     order, above = [], {}
     todo = [table]
     while todo:  # elements that can hold rows, each after the one around it
@@ -307,7 +364,7 @@ def _parts(table: Node) -> tuple[Node, list]:
                 into.items.append(x)
             elif x.tag == "tr":
                 if visible(x):
-                    rows.append(x)
+                    rows.append((into, x))
             elif id(x) in holds or (x.tag in ("thead", "tbody", "tfoot") and visible(x)):
                 todo.append((iter(x.items), Node(x.tag, x.attrs), into))
                 break
@@ -320,9 +377,69 @@ def _parts(table: Node) -> tuple[Node, list]:
     return loose, rows
 
 
-def _span(cell: Node) -> int:
-    v = cell.attrs.get("colspan", "")
-    return min(max(int(v), 1), 1000) if v.isascii() and v.isdigit() and len(v) < 7 else 1
+def _span(cell: Node, name: str, most: int) -> int:
+    v = cell.attrs.get(name, "")
+    if not (v.isascii() and v.isdigit() and len(v) < 7):
+        return 1
+    return min(int(v), most) or (most if name == "rowspan" else 1)
+
+
+class _Cell:
+    """A cell with its lines, the columns and rows it takes, and how many of
+    its lines are printed."""
+    __slots__ = ("text", "cols", "rows", "col", "done")
+
+    def __init__(self, text: list, cols: int = 1, rows: int = 1):
+        self.text, self.cols, self.rows, self.col, self.done = text, cols, rows, 0, 0
+
+
+def _place(rows: list) -> list:
+    """Deals the cells of ``[(section, cells)]`` to columns: each takes the
+    first free ones that hold it whole, beside those that reach down from rows
+    above.  Row spans end with their section.  Per row its cells from left to
+    right as (cell, begins here, ends here)."""
+    n, blanks, allowed = len(rows), 0, MAX_BLANK * sum(len(cells) for _, cells in rows)
+    last = list(range(n))  # last row of the section of each row
+    for r in range(n - 2, -1, -1):
+        if rows[r][0] is rows[r + 1][0]:
+            last[r] = last[r + 1]
+    out, down = [], []  # cells that reach further down, with their last row
+    for r, (_, cells) in enumerate(rows):
+        slots, col, i = [], 0, 0
+        for cell in cells:
+            while i < len(down) and down[i][0].col < col + cell.cols:
+                slots.append((*down[i], False))
+                col = down[i][0].col + down[i][0].cols
+                i += 1
+            cell.col = col
+            col += cell.cols
+            slots.append((cell, min(r + cell.rows - 1, last[r]), True))
+        slots += [(*d, False) for d in down[i:]]
+        down = [(c, end) for c, end, _ in slots if end > r]
+        blanks += len(slots) - len(cells)
+        if blanks > allowed:
+            for _, again in rows:
+                for c in again:
+                    c.rows = 1
+            return _place(rows)
+        out.append([(c, begins, end == r) for c, end, begins in slots])
+    return out
+
+
+def _columns(cells: list) -> list:
+    """Counts only columns in which a cell begins and returns where each
+    begins, and the end: from left to right, each as soon as all cells before it
+    and a bar have room."""
+    starts = sorted({c.col for c in cells})
+    ending: list = [[] for _ in starts]
+    for c in cells:
+        first = bisect_left(starts, c.col)
+        c.col, c.cols = first, bisect_left(starts, c.col + c.cols) - first
+        ending[first + c.cols - 1].append(c)
+    left = [0]
+    for here in ending:
+        left.append(max([left[-1] + 3] + [left[c.col] + 3 + max(map(_width, c.text), default=0) for c in here]))
+    return left
 
 
 def _run(step: Generator):
@@ -341,41 +458,38 @@ def _run(step: Generator):
 
 
 def _table(node: Node, out: _Writer, level: int, deep: int) -> Generator:
-    """Cells side by side, every column as wide as its widest line."""
+    """Cells side by side, every column as wide as its widest line, cells below
+    a row span in the columns that it leaves free."""
     loose, rows = _parts(node)
     lines = yield _lines(loose, level, deep)
     if lines:
         out.block(lines)
     grid = []
-    for tr in rows:
+    for section, tr in rows:
         cells = []
         for c in tr.items:
             if isinstance(c, Node) and c.tag in ("td", "th") and visible(c):
-                cells.append(((yield _lines(c, level, deep)), _span(c)))
+                cells.append(_Cell((yield _lines(c, level, deep)), _span(c, "colspan", 1000), _span(c, "rowspan", 65534)))
         stray = Node("div", {})
         stray.items = [c for c in tr.items if not (isinstance(c, Node) and c.tag in ("td", "th"))]
         extra = yield _lines(stray, level, deep)
         if extra:
-            cells.append((extra, 1))
-        if cells:
-            grid.append(cells)
-    widths: dict = {}
-    for cells in grid:
-        col = 0
-        for text, span in cells:
-            if span == 1:
-                widths[col] = max(widths.get(col, 0), max(map(_width, text), default=0))
-            col += span
-    for cells in grid:
-        height = max((len(text) for text, _ in cells), default=0)
-        for i in range(height):
-            parts, col = [], 0
-            for k, (text, span) in enumerate(cells):
-                line = text[i] if i < len(text) else ""
-                room = sum(widths.get(c, 0) for c in range(col, col + span)) + 3 * (span - 1)
-                parts.append(line if k == len(cells) - 1 else line + " " * (room - _width(line)))
-                col += span
-            out.block([" | ".join(parts).rstrip()])
+            cells.append(_Cell(extra))
+        grid.append((section, cells))
+    placed = _place(grid)
+    left = _columns([c for _, cells in grid for c in cells])
+    for slots in placed:
+        # a cell that goes on below prints one line beside each line of its rows, the rest with its last row
+        due = [len(c.text) - c.done if ends else min(len(c.text), 1) if begins else 0 for c, begins, ends in slots]
+        tail = max((k for k, (_, begins, _) in enumerate(slots) if begins), default=-1)
+        for _ in range(max(due, default=0)):
+            parts, shown = [], tail
+            for k, (c, _, _) in enumerate(slots):
+                line = c.text[c.done] if c.done < len(c.text) else ""
+                c.done += 1
+                shown = max(shown, k) if line else shown
+                parts.append((line, left[c.col + c.cols] - left[c.col] - 3))
+            out.block([" | ".join([line + " " * (room - _width(line)) for line, room in parts[:shown]] + [parts[shown][0]]).rstrip()])
 
 
 def _list(node: Node, out: _Writer, level: int, deep: int) -> Generator:
@@ -423,6 +537,9 @@ def _render(node: Node, out: _Writer, level: int = 0, pre: bool = False, deep: i
         return
     if tag == "wbr":
         return
+    if tag == "input":
+        out.text(node.attrs["value"])
+        return
     block, spaced = tag in BLOCK, tag in SPACED and not (tag in LISTS and level)
     if spaced:
         out.gap()

@@ -507,6 +507,64 @@ def test_render(markup, text):
     assert html.render(markup) == text
 
 
+@pytest.mark.parametrize("markup, text", [
+    ("<table><tr><td>a<td>bbb<tr><td rowspan=2>cc<td>d<tr><td>e</table>", "a  | bbb\ncc | d\n   | e"),
+    ("<table><tr><td colspan=2>a long title<td>z<tr><td>a<td>b<td>c</table>", "a long title | z\na | b        | c"),
+    ("<table><tr><td rowspan=3>a<br>b<br>c<br>d<td>1<tr><td>2<tr><td>3</table>", "a | 1\nb | 2\nc | 3\nd |"),
+    ("<table><tr><td>x<td rowspan=2>y<tr><td>z</table>", "x | y\nz"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"),  # spans end with their section
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+    ("<table><tr><td style='visibility:hidden'>a<td>b<tr><td>cc<td>d</table>", "   | b\ncc | d"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>c</b>d<p>e</div>f", "c\nf"),
+    ("<p style='display:none;display:block'>a<p style='display:none !important;display:block'>b<p style='DISPLAY: None'>c", "a"),
+    ("<dialog>x</dialog>y<dialog open>z</dialog>", "y\nz"),
+    ("<details>no<summary>s</summary>body<summary>t</summary></details><details open><summary>u</summary>v</details>", "s\nu\nv"),
+    ("<object>fall</object> <object data=x>no</object><input type=Submit value=Go><input value=q><input type=reset>", "fall Go"),
+])
+def test_render_grid_and_visibility(markup, text):
+    assert html.render(markup) == text
+
+
+def test_grid_against_painted_slots():
+    rng = random.Random(7)
+    for _ in range(300):
+        rows = [[("w" * rng.randint(1, 9), rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2, 4])) for _ in range(rng.randint(1, 4))]
+                for _ in range(rng.randint(1, 6))]
+        taken, cells = {}, []
+        for r, row in enumerate(rows):
+            for text, cs, rs in row:
+                c = next(c for c in range(100) if all((r, x) not in taken for x in range(c, c + cs)))
+                for y in range(r, min(r + rs, len(rows))):
+                    for x in range(c, c + cs):
+                        taken[y, x] = len(cells)
+                cells.append((r, c, c + cs, text))
+        starts = sorted({c for _, c, _, _ in cells})
+        left = {c: 0 for c in starts}  # offset of each column in which a cell begins
+        grow = True
+        while grow:  # push columns right until every cell fits in front of the next one
+            grow = False
+            for _, c, end, text in cells:
+                for nxt in [x for x in starts if x >= end][:1]:
+                    if left[nxt] < left[c] + len(text) + 3:
+                        left[nxt], grow = left[c] + len(text) + 3, True
+            for a, b in zip(starts, starts[1:]):
+                if left[b] < left[a] + 3:
+                    left[b], grow = left[a] + 3, True
+        markup = "<table>" + "".join("<tr>" + "".join(f"<td colspan={cs} rowspan={rs}>{t}" for t, cs, rs in row) for row in rows) + "</table>"
+        lines = html.render(markup).split("\n")
+        assert len(lines) == len(rows)
+        for r, line in enumerate(lines):
+            mine = [(c, t) for y, c, _, t in cells if y == r]
+            got = [(m.start(), m[0]) for m in re.finditer("w+", line)]
+            assert got == [(left[c], t) for c, t in mine], markup
+
+
+def test_spans_that_would_square_the_page():
+    rows = "<tr><td rowspan=60000 colspan=1000>q" * 2_000
+    text = html.render(f"<table>{rows}</table>")
+    assert text == "\n".join(["q"] * 2_000)
+
+
 @pytest.mark.parametrize("markup, text", [
     ("<table><tbody><form><tr><td>A</td></tr></form></tbody></table>", "A"), ("<table><colgroup><col><tr><td>A</table>", "A"),
     ("<table><tbody>x<div>y</div><center>z</center><tr><td>A</table>", "x\ny\nz\nA"), ("<table><colgroup><col><td>A<td>B</table>", "A | B"),
