@@ -483,13 +483,17 @@ def _table(node: Node, out: _Writer, level: int, deep: int) -> Generator:
         due = [len(c.text) - c.done if ends else min(len(c.text), 1) if begins else 0 for c, begins, ends in slots]
         tail = max((k for k, (_, begins, _) in enumerate(slots) if begins), default=-1)
         for _ in range(max(due, default=0)):
-            parts, shown = [], tail
+            line, width, shown = "", 0, tail
             for k, (c, _, _) in enumerate(slots):
-                line = c.text[c.done] if c.done < len(c.text) else ""
+                if c.done < len(c.text) and c.text[c.done]:
+                    shown = max(shown, k)
+            for k, (c, _, _) in enumerate(slots):
+                if k <= shown:
+                    line += " " * (left[c.col] - 3 * (k > 0) - width) + (" | " if k else "")
+                    text = c.text[c.done] if c.done < len(c.text) else ""
+                    line, width = line + text, left[c.col] + _width(text)
                 c.done += 1
-                shown = max(shown, k) if line else shown
-                parts.append((line, left[c.col + c.cols] - left[c.col] - 3))
-            out.block([" | ".join([line + " " * (room - _width(line)) for line, room in parts[:shown]] + [parts[shown][0]]).rstrip()])
+            out.block([line.rstrip()])
 
 
 def _list(node: Node, out: _Writer, level: int, deep: int) -> Generator:

@@ -532,8 +532,10 @@ def test_grid_against_painted_slots():
                 for _ in range(rng.randint(1, 6))]
         taken, cells = {}, []
         for r, row in enumerate(rows):
-            for text, cs, rs in row:
-                c = next(c for c in range(100) if all((r, x) not in taken for x in range(c, c + cs)))
+            c, cs = 0, 0
+            for text, wide, rs in row:
+                c = next(x for x in range(c + cs, 100) if all((r, y) not in taken for y in range(x, x + wide)))
+                cs = wide
                 for y in range(r, min(r + rs, len(rows))):
                     for x in range(c, c + cs):
                         taken[y, x] = len(cells)
