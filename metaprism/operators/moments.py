@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import Frame, NotComputable, collect_bounded
+from . import gram
 
-#: Columns for which every pair is an expression of one aggregate.
+#: Columns for which every pair is an expression of one aggregate; more go by
+#: the blocked kernel (``gram``), with the same values.
 MAX_PAIRWISE_COLS = 200
+#: Numbers of class covariances that the driver takes for its algebra.
+MAX_DRIVER_CELLS = 40_000_000
 
 
 @dataclass
@@ -68,16 +72,20 @@ def class_scatter(fr: Frame, cols: list[str] | None = None) -> ClassScatter:
 
 def _class_scatter(fr: Frame, cols: list[str]) -> ClassScatter:
     d = len(cols)
-    if d > MAX_PAIRWISE_COLS:
-        raise NotComputable(f"{d} columns exceed {MAX_PAIRWISE_COLS} for d x d statistics")
+    wide = d > MAX_PAIRWISE_COLS
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]
-    aggs += _pair_aggs(cols)
+    aggs += [] if wide else _pair_aggs(cols)
     rows = sorted(collect_bounded(fr.df.groupBy(fr.y().alias("cls")).agg(*aggs), "classes"),
-                  key=lambda r: r["cls"])
+                  key=lambda r: (r["cls"] is not None, r["cls"]))  # rows without a label are a class, the first
     k = len(rows)
     counts = np.array([r["n"] for r in rows], dtype=float)
     means = np.array([[r[f"m_{i}"] for i in range(d)] for r in rows], dtype=float).reshape(k, d)
+    if wide:
+        _check_cells(k, d)
+        found = gram.covariances(fr.df, cols, fr.y())
+        covs = np.array([found[r["cls"]] for r in rows]).reshape(k, d, d)
+        return ClassScatter([r["cls"] for r in rows], counts, means, covs, cols)
     covs = np.zeros((k, d, d))
     for c, r in enumerate(rows):
         for i in range(d):
@@ -88,6 +96,11 @@ def _class_scatter(fr: Frame, cols: list[str]) -> ClassScatter:
     return ClassScatter([r["cls"] for r in rows], counts, means, covs, cols)
 
 
+def _check_cells(k: int, d: int) -> None:
+    if k * d * d > MAX_DRIVER_CELLS:
+        raise NotComputable(f"{k} classes of {d} x {d} covariances exceed {MAX_DRIVER_CELLS} numbers")
+
+
 def covariance(fr: Frame, cols: list[str] | None = None) -> tuple[np.ndarray, float]:
     """Sample covariance matrix (ddof 1) of the numeric columns, one pass
     (memoised per Frame)."""
@@ -98,6 +111,9 @@ def covariance(fr: Frame, cols: list[str] | None = None) -> tuple[np.ndarray, fl
 
 def _covariance(fr: Frame, cols: list[str]) -> tuple[np.ndarray, float]:
     d = len(cols)
+    if d > MAX_PAIRWISE_COLS:
+        _check_cells(1, d)
+        return gram.covariances(fr.df, cols).get(None, np.full((d, d), np.nan)), float(fr.count())
     r = fr.df.agg(F.count(F.lit(1)).alias("n"), *_pair_aggs(cols)).first()
     cov = np.zeros((d, d))
     for i in range(d):

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..frame import Frame, entry, unpivot, union_all, empty_long, collect_bounded
 from ..functions.numeric import safe_div
 from ..functions.orderstats import at_ranks, quantiles
+from . import gram
 from . import moments as M
 
 NAN = float("nan")
@@ -204,22 +205,37 @@ def _lower_pairs(cols):
     return [(i, j) for i in range(len(cols)) for j in range(i)]
 
 
-def _pair_feature(fr: Frame, name: str, agg_fn) -> DataFrame:
+def _corr(a: Column, b: Column) -> Column:
+    """Correlation over the rows that have both; null where either is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_samp(a, b), F.sqrt(F.var_samp(F.when(both, a)) * F.var_samp(F.when(both, b))))
+
+
+def _pair_feature(fr: Frame, name: str, agg_fn, blocked: bool | None = None, size: int = gram.TILE) -> DataFrame:
+    """Absolute values of all column pairs.  ``blocked``: by the blocked kernel
+    rather than by an expression a pair; None takes it beyond
+    ``moments.MAX_PAIRWISE_COLS`` columns."""
     cols = list(fr.num)
-    pairs = _lower_pairs(cols)
-    if not pairs:
+    if len(cols) < 2:
         return empty_long(fr.spark)
+    if blocked or (blocked is None and len(cols) > M.MAX_PAIRWISE_COLS):
+        names = F.array(*[F.lit(c) for c in cols])
+        i, j = F.col("i"), F.col("j")
+        at = entry(name, F.abs(F.col("value")), attr=F.concat_ws("|", names[i], names[j]),
+                   idx=(i.cast("long") * (i - 1) / 2).cast("int") + j)
+        return gram.pair_values(fr.df, cols, name, size).select(F.inline(F.array(at)))
+    pairs = _lower_pairs(cols)
     r = fr.df.agg(*[agg_fn(_x(cols[i]), _x(cols[j])).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
     return unpivot(r, [entry(name, F.abs(F.col(f"p{k}")), attr=f"{cols[i]}|{cols[j]}", idx=k)
                        for k, (i, j) in enumerate(pairs)])
 
 
-def ft_cor(fr: Frame) -> DataFrame:
-    return _pair_feature(fr, "cor", F.corr)
+def ft_cor(fr: Frame, blocked: bool | None = None, size: int = gram.TILE) -> DataFrame:
+    return _pair_feature(fr, "cor", _corr, blocked, size)
 
 
-def ft_cov(fr: Frame) -> DataFrame:
-    return _pair_feature(fr, "cov", F.covar_samp)
+def ft_cov(fr: Frame, blocked: bool | None = None, size: int = gram.TILE) -> DataFrame:
+    return _pair_feature(fr, "cov", F.covar_samp, blocked, size)
 
 
 def ft_nr_cor_attr(fr: Frame, threshold: float = 0.5, normalize: bool = True) -> DataFrame:
@@ -229,8 +245,11 @@ def ft_nr_cor_attr(fr: Frame, threshold: float = 0.5, normalize: bool = True) ->
     norm = 2.0 / (d * (d - 1.0)) if normalize and d > 1 else 1.0
     if not pairs:
         return unpivot(fr.df.agg(F.count(F.lit(1))), [entry("nr_cor_attr", F.lit(NAN))])
-    r = fr.df.agg(*[F.corr(_x(cols[i]), _x(cols[j])).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
-    hits = sum((F.abs(F.col(f"p{k}")) >= threshold).cast("double") for k in range(len(pairs)))
+    if d > M.MAX_PAIRWISE_COLS:
+        r = gram.pair_values(fr.df, cols, "cor").agg(F.count_if(F.abs(F.col("value")) >= threshold).alias("hits"))
+        return unpivot(r, [entry("nr_cor_attr", F.col("hits") * norm)])
+    r = fr.df.agg(*[_corr(_x(cols[i]), _x(cols[j])).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
+    hits = sum(F.coalesce(F.abs(F.col(f"p{k}")) >= threshold, F.lit(False)).cast("double") for k in range(len(pairs)))
     return unpivot(r, [entry("nr_cor_attr", hits * norm)])
 
 
