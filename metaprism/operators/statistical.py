@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..frame import Frame, entry, unpivot, union_all, empty_long, collect_bounded
 from ..functions.numeric import safe_div
+from ..functions.normality import anderson_critical, rank_statistics, shapiro_pvalue
 from ..functions.orderstats import at_ranks, quantiles
 from . import gram
 from . import moments as M
@@ -367,24 +368,43 @@ def ft_sd_ratio(fr: Frame, reference_flip: bool = False) -> DataFrame:
     return M.values_frame(fr.spark, "sd_ratio", [v])
 
 
-def ft_nr_norm(fr: Frame, method: str = "dagostino-pearson", threshold: float = 0.05) -> DataFrame:
-    """Columns that pass D'Agostino-Pearson's K^2 normality test.
+NORMALITY = ("dagostino-pearson", "shapiro-wilk", "anderson-darling")
 
-    The statistic needs only n, skewness and kurtosis of each column, so the
-    whole column is one aggregate; the d-sized test arithmetic runs on the
-    driver.
+
+def ft_nr_norm(fr: Frame, method: str = "dagostino-pearson", threshold: float = 0.05, failure: str = "soft") -> DataFrame:
+    """Columns that pass a normality test, over all rows.
+
+    ``dagostino-pearson`` needs only n, skewness and kurtosis of each column,
+    one aggregate; the other two are rank-weighted sums (``functions.normality``).
+    ``all``: any test (``failure="soft"``) or every test (``"hard"``) must be
+    passed.  A column on which a test has no value does not pass it.
     """
-    if method != "dagostino-pearson":
-        raise ValueError("only 'dagostino-pearson' is built on aggregate moments")
+    if method not in (*NORMALITY, "all"):
+        raise ValueError(f"method must be one of {(*NORMALITY, 'all')}")
+    if failure not in ("soft", "hard"):
+        raise ValueError("failure must be 'soft' or 'hard'")
     cols = list(fr.num)
-    r = fr.df.agg(*[F.count(_x(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                  *[F.skewness(_x(c)).alias(f"g{i}") for i, c in enumerate(cols)],
-                  *[F.kurtosis(_x(c)).alias(f"k{i}") for i, c in enumerate(cols)]).first()
-    passed = 0
-    for i in range(len(cols)):
-        p = k2_pvalue(float(r[f"n{i}"]), r[f"g{i}"], r[f"k{i}"])
-        passed += int(p is not None and p > threshold)
-    return M.values_frame(fr.spark, "nr_norm", [float(passed)])
+    tests = NORMALITY if method == "all" else (method,)
+    verdicts = []
+    if "dagostino-pearson" in tests:
+        r = fr.df.agg(*[F.count(_x(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                      *[F.skewness(_x(c)).alias(f"g{i}") for i, c in enumerate(cols)],
+                      *[F.kurtosis(_x(c)).alias(f"k{i}") for i, c in enumerate(cols)]).first()
+        ps = [k2_pvalue(float(r[f"n{i}"]), r[f"g{i}"], r[f"k{i}"]) for i in range(len(cols))]
+        verdicts.append([p is not None and p > threshold for p in ps])
+    if len(tests) > 1 or method != "dagostino-pearson":
+        found = normality_statistics(fr)
+        if "shapiro-wilk" in tests:
+            verdicts.append([found[c]["w"] is not None and shapiro_pvalue(found[c]["w"], found[c]["n"]) > threshold for c in cols])
+        if "anderson-darling" in tests:
+            verdicts.append([found[c]["a2"] is not None and found[c]["a2"] <= anderson_critical(found[c]["n"], threshold) for c in cols])
+    decide = any if failure == "soft" else all
+    return M.values_frame(fr.spark, "nr_norm", [float(sum(decide(v) for v in zip(*verdicts)))])
+
+
+def normality_statistics(fr: Frame) -> dict[str, dict]:
+    """{column: {n, w, a2}}, once per Frame."""
+    return fr.memo("normality", lambda: rank_statistics(fr.df, {c: _x(c) for c in fr.num}))
 
 
 def k2_pvalue(n: float, g1, g2):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..frame import union_all
 from ..operators import general as G
 from ..operators import statistical as S
+from ..operators.moments import values_frame
 from ..sources.tables import embeddings_frame, lineitem_frame, LI_NUM
 from .registry import query, finish_long, sql_long, row, union
-from .sqlbind import LI_CTE, LI_CAT, with_
+from .sqlbind import EM_CTE, LI_CTE, LI_CAT, with_
 
 NUM = list(LI_NUM)
 ATTRS = NUM + list(LI_CAT)
@@ -211,6 +214,61 @@ def q_stat_nr_norm_wide(spark, sf_dir):
     return finish_long(S.ft_nr_norm(embeddings_frame(spark, sf_dir, dims=EM_WIDTH)))
 
 
+@query("stat_nr_norm_rank", group="statistical")
+def q_stat_nr_norm_rank(spark, sf_dir):
+    """Normal columns by the rank-based tests and by all three, and the
+    statistics behind them."""
+    fr = _li(spark, sf_dir)
+    counts = [S.ft_nr_norm(fr, m, failure=f).withColumn("cls", F.lit(f"{m} {f}"))
+              for m, f in (("shapiro-wilk", "soft"), ("anderson-darling", "soft"), ("all", "soft"), ("all", "hard"))]
+    found = S.normality_statistics(fr)
+    stats = [values_frame(spark, k, [found[c][k] for c in NUM], NUM) for k in ("w", "a2")]
+    return finish_long(union_all(counts + stats))
+
+
+_PAIR_SUMS = "FROM em_long a JOIN em_long b ON a.row_id = b.row_id AND b.i < a.i GROUP BY a.i, b.i"
+_WIDE_SQL = (f"WITH em_long AS (SELECT vec_id AS row_id, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, {EM_WIDTH + 1}) AS r(i)) "
+             + sql_long(union([row(name, f"abs({fn}(a.x, b.x))", attr="('e' || a.i || '|e' || b.i)", idx="CAST(a.i * (a.i - 1) // 2 + b.i AS INTEGER)",
+                                   src=_PAIR_SUMS) for name, fn in (("cov", "covar_samp"), ("cor", "corr"))])))
+
+
+@query("stat_pairs_wide", _WIDE_SQL, group="statistical")
+def q_stat_pairs_wide(spark, sf_dir):
+    """Covariances and correlations of all pairs of embedding elements by the
+    blocked kernel, ten pairs of blocks."""
+    fr = embeddings_frame(spark, sf_dir, dims=EM_WIDTH)
+    return finish_long(S.ft_cov(fr, blocked=True, size=16).unionByName(S.ft_cor(fr, blocked=True, size=16)))
+
+
+# Two columns: W^-1 B is 2 x 2, its eigenvalues l1 >= l2 those of trace and determinant.
+_TWO_SQL = with_(EM_CTE, """k AS (SELECT y, CAST(count(*) AS DOUBLE) AS n, avg(e0) AS m0, avg(e1) AS m1,
+    var_samp(e0) AS v0, var_samp(e1) AS v1, covar_samp(e0, e1) AS c FROM em GROUP BY y)""",
+    "g AS (SELECT sum(n) AS n, sum(n * m0) / sum(n) AS g0, sum(n * m1) / sum(n) AS g1, CAST(count(*) AS DOUBLE) AS k FROM k)",
+    """s AS (SELECT sum((k.n - 1) * v0) AS wa, sum((k.n - 1) * c) AS wb, sum((k.n - 1) * v1) AS wd,
+    sum(k.n * power(m0 - g0, 2)) AS ba, sum(k.n * (m0 - g0) * (m1 - g1)) AS bb, sum(k.n * power(m1 - g1, 2)) AS bd,
+    sum(1 / (k.n - 1)) AS inv, sum((k.n - 1) * ln(v0 * v1 - c * c)) AS logs, max(g.n) AS n, max(g.k) AS k FROM k, g)""",
+    """t AS (SELECT *, (wd * ba - 2 * wb * bb + wa * bd) / (wa * wd - wb * wb) AS tr,
+    (ba * bd - bb * bb) / (wa * wd - wb * wb) AS det, (wa + ba) / (n - 1) AS ta, (wb + bb) / (n - 1) AS tb, (wd + bd) / (n - 1) AS td FROM s)""",
+    "l AS (SELECT *, tr / 2 + sqrt(tr * tr / 4 - det) AS l1, tr / 2 - sqrt(tr * tr / 4 - det) AS l2, "
+    "1 - 13.0 / (18 * (k - 1)) * (inv - 1 / (n - k)) AS gam FROM t)") + sql_long(union([
+        row("can_cor", "sqrt(l1 / (1 + l1))", src="FROM l"), row("can_cor", "sqrt(l2 / (1 + l2))", idx=1, src="FROM l"),
+        row("nr_disc", "least(2, k - 1)", src="FROM l"), row("w_lambda", "1 / ((1 + l1) * (1 + l2))", src="FROM l"),
+        row("p_trace", "l1 / (1 + l1) + l2 / (1 + l2)", src="FROM l"), row("lh_trace", "l1 + l2", src="FROM l"),
+        row("roy_root", "l1", src="FROM l"),
+        row("sd_ratio", "exp(gam * ((n - k) * ln((wa * wd - wb * wb) / power(n - k, 2)) - logs) / (2 * (n - k)))", src="FROM l"),
+        row("eigenvalues", "(ta + td) / 2 - sqrt(power((ta - td) / 2, 2) + tb * tb)", src="FROM l"),
+        row("eigenvalues", "(ta + td) / 2 + sqrt(power((ta - td) / 2, 2) + tb * tb)", idx=1, src="FROM l")]))
+
+
+@query("stat_discriminant_two", _TWO_SQL, group="statistical")
+def q_stat_discriminant_two(spark, sf_dir):
+    """The discriminant features and eigenvalues of two columns, where SQL has a
+    closed form for them."""
+    fr = embeddings_frame(spark, sf_dir, dims=2)
+    return finish_long(union_all([S.ft_can_cor(fr), S.ft_nr_disc(fr), S.ft_w_lambda(fr), S.ft_p_trace(fr),
+                                  S.ft_lh_trace(fr), S.ft_roy_root(fr), S.ft_sd_ratio(fr), S.ft_eigenvalues(fr)]))
+
+
 # ------------------------------------------------------------------ general
 _GEN_SQL = with_(LI_CTE) + sql_long(union([
     row("nr_inst", "count(*)", src="FROM li"),
