@@ -2,7 +2,7 @@
 
 A task goes once over its rows and keeps, per class, the sums that pairwise
 covariances need; it emits them as tiles of ``TILE`` x ``TILE`` column pairs.
-Tiles of one place are added up by two levels of groups, so neither a class nor
+Tiles of one place are added up as a tree over the tasks, so neither a class nor
 a pair of blocks meets in one task at once.  Rows are never shuffled.  Pairs are
 complete by pair, as in Spark's own ``covar_samp`` and ``corr``: rows that lack
 either value do not count.
@@ -23,15 +23,15 @@ from pyspark.sql import types as T
 TILE = 128
 #: Numbers a task may hold of all its classes before it emits its tiles.
 HELD = 32_000_000
-#: Groups of the first level that add up the tiles of one place.
-SPREAD = 64
+#: Parts that a group adds up on each of the first two levels.
+FAN = 64
 
 PARTS = ("n", "sx", "sy", "xy", "xx", "yy")
 TILES = T.StructType([T.StructField("cls", T.StringType()), T.StructField("bi", T.IntegerType()), T.StructField("bj", T.IntegerType())]
                      + [T.StructField(p, T.BinaryType()) for p in PARTS])
 
 
-def _shifts(df: DataFrame, cols: list[str]) -> np.ndarray:
+def shifts(df: DataFrame, cols: list[str]) -> np.ndarray:
     """The mean of each column, of a constant one its value, so that its
     deviations are exactly zero."""
     xs = [F.col(c).cast("double") for c in cols]
@@ -116,16 +116,29 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
+def added_up(parts: DataFrame, keys: list[str], add, schema: T.StructType) -> DataFrame:
+    """The parts of each key made one by ``add``, as a tree over the tasks that
+    emitted them: ``FAN`` neighbouring tasks, ``FAN`` of those, then the rest."""
+    level = T.StructType([*schema.fields, T.StructField("_task", T.LongType())])
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        return add(pdf).assign(_task=pdf["_task"].iloc[0])
+
+    out = parts.withColumn("_task", F.spark_partition_id().cast("long"))
+    for _ in range(2):
+        out = (out.withColumn("_task", F.floor(F.col("_task") / FAN))
+               .groupBy(*keys, "_task").applyInPandas(step, level))
+    return out.drop("_task").groupBy(*keys).applyInPandas(lambda pdf: add(pdf), schema)
+
+
 def tiles(df: DataFrame, cols: list[str], cls: Column | None = None, size: int = TILE) -> DataFrame:
     """(cls, bi, bj, sums as bytes): one row a class and pair of column blocks
     ``bi <= bj``.  ``cls`` null or not given is one class, null.  An empty
     table gives no rows."""
     cls = F.lit(None).cast("string") if cls is None else cls.cast("string")
     rows = df.select(cls.alias("cls"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    parts = rows.mapInArrow(_partials(_shifts(df, cols), size), TILES)
-    spread = parts.withColumn("salt", F.spark_partition_id() % SPREAD)
-    once = spread.groupBy("cls", "bi", "bj", "salt").applyInPandas(lambda pdf: _add(pdf), TILES)
-    return once.groupBy("cls", "bi", "bj").applyInPandas(lambda pdf: _add(pdf), TILES)
+    parts = rows.mapInArrow(_partials(shifts(df, cols), size), TILES)
+    return added_up(parts, ["cls", "bi", "bj"], _add, TILES)
 
 
 def _unpack(row, d: int, size: int) -> tuple[list[np.ndarray], int, int]:
@@ -134,18 +147,18 @@ def _unpack(row, d: int, size: int) -> tuple[list[np.ndarray], int, int]:
     return [np.frombuffer(row[p]).reshape(shape) for p in PARTS], i, j
 
 
-def _covariance(n, sx, sy, xy, xx, yy) -> np.ndarray:
+def covariance(n, sx, sy, xy, xx, yy) -> np.ndarray:
     with np.errstate(all="ignore"):
         return np.where(n > 1, (xy - sx * sy / n) / (n - 1), np.nan)
 
 
-def _correlation(n, sx, sy, xy, xx, yy) -> np.ndarray:
+def correlation(n, sx, sy, xy, xx, yy) -> np.ndarray:
     with np.errstate(all="ignore"):
         vx, vy = xx - sx * sx / n, yy - sy * sy / n
         return np.where((n > 1) & (vx > 0) & (vy > 0), (xy - sx * sy / n) / np.sqrt(vx * vy), np.nan)
 
 
-MEASURES = {"cov": _covariance, "cor": _correlation}
+MEASURES = {"cov": covariance, "cor": correlation}
 
 
 def pair_values(df: DataFrame, cols: list[str], measure: str, size: int = TILE) -> DataFrame:
@@ -172,7 +185,7 @@ def covariances(df: DataFrame, cols: list[str], cls: Column | None = None, size:
     for row in tiles(df, cols, cls, size).toLocalIterator():
         parts, i, j = _unpack(row, d, size)
         m = out.setdefault(row["cls"], np.full((d, d), np.nan))
-        v = _covariance(*parts)
+        v = covariance(*parts)
         m[i:i + v.shape[0], j:j + v.shape[1]] = v
         m[j:j + v.shape[1], i:i + v.shape[0]] = v.T
     return out

@@ -133,6 +133,31 @@ def discriminant_eigs(sc: ClassScatter) -> np.ndarray:
     return vals[:m]
 
 
+#: Features of the discriminant eigenvalues.
+DISCRIMINANT = {
+    "can_cor": lambda lam: np.sqrt(lam / (1.0 + lam)),
+    "nr_disc": lambda lam: float(len(lam)),
+    "w_lambda": lambda lam: float(np.exp(-np.sum(np.log1p(lam)))),
+    "p_trace": lambda lam: float(np.sum(lam / (1.0 + lam))),
+    "lh_trace": lambda lam: float(np.sum(lam)),
+    "roy_root": lambda lam: float(np.max(lam)) if len(lam) else float("nan"),
+}
+
+
+def box_m(sc: ClassScatter, reference_flip: bool = False) -> float:
+    """Box's M of the class covariance matrices, per column and degree of freedom."""
+    n, d, k = sc.n, len(sc.cols), len(sc.classes)
+    covs = np.flip(sc.covs, axis=(0, 1)) if reference_flip else sc.covs
+    w = sc.counts - 1.0
+    with np.errstate(all="ignore"):
+        pooled = (w[:, None, None] * covs).sum(0) / (n - k)
+        gamma = 1.0 - ((2.0 * d ** 2 + 3.0 * d - 1.0) / (6.0 * (d + 1.0) * (k - 1.0))) * (
+            np.sum(1.0 / w) - 1.0 / (n - k))
+        logdets = [np.log(np.linalg.det(S)) for S in covs]
+        m = gamma * ((n - k) * np.log(np.linalg.det(pooled)) - np.dot(w, logdets))
+        return float("nan") if (np.isinf(m) or np.isnan(m)) else float(np.exp(m / (d * (n - k))))
+
+
 def values_frame(spark, feature: str, values, attrs=None, classes=None) -> DataFrame:
     """Long rows for driver-computed small results (d or k values)."""
     from ..frame import LONG_SCHEMA

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,39 +130,11 @@ def interpolate_rows(fr: Frame, seed: int = 0) -> DataFrame:
 def bootstrap_ci(fr: Frame, statistic: str = "mean", replicates: int = 128, confidence=(0.95,),
                  seed: int = 1234) -> DataFrame:
     """Basic bootstrap intervals theta - quantile(theta* - theta) for the
-    mean or sd of every numeric column.  All replicates are ONE weighted
-    aggregate grouped by replicate (Poisson(1) weights from a hash): each task
-    combines its rows per replicate before the shuffle.  Returns
-    (attr, theta, confidence, lower, upper)."""
-    j = bootstrap_weights(fr, replicates, seed, [F.col(c).cast("double").alias(c) for c in fr.num])
-    aggs = []
-    for i, c in enumerate(fr.num):
-        aggs += [F.sum(F.col("w") * F.col(c)).alias(f"s{i}"), F.sum(F.col("w") * F.col(c) * F.col(c)).alias(f"q{i}")]
-    rep = j.groupBy("rep").agg(F.sum("w").alias("n"), *aggs)
-    full = fr.df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(fr.num)],
-                     *[F.stddev_samp(F.col(c).cast("double")).alias(f"d{i}") for i, c in enumerate(fr.num)])
-    stat_rows = []
-    for i, c in enumerate(fr.num):
-        mean = F.col(f"s{i}") / F.col("n")
-        if statistic == "mean":
-            v = mean
-        else:
-            v = F.sqrt((F.col(f"q{i}") - F.col("n") * mean * mean) / (F.col("n") - 1.0))
-        stat_rows.append(F.struct(F.lit(c).alias("attr"), F.lit(i).alias("i"), v.alias("v")))
-    reps = rep.select("rep", F.inline(F.array(*stat_rows)))
-    theta = full.select(F.inline(F.array(*[F.struct(F.lit(c).alias("attr"),
-                                                    F.col(f"m{i}" if statistic == "mean" else f"d{i}").alias("theta"))
-                                           for i, c in enumerate(fr.num)])))
-    qs = sorted({q for cl in confidence for q in ((1 - cl) / 2, 1 - (1 - cl) / 2)})
-    d = reps.join(theta, "attr").withColumn("delta", F.col("v") - F.col("theta"))
-    pct = d.groupBy("attr", "theta").agg(F.percentile("delta", qs).alias("p"))
-    out = []
-    for cl in confidence:
-        lo_q, hi_q = qs.index((1 - cl) / 2), qs.index(1 - (1 - cl) / 2)
-        out.append(pct.select("attr", "theta", F.lit(cl).alias("confidence"),
-                              (F.col("theta") - F.col("p")[hi_q]).alias("lower"),
-                              (F.col("theta") - F.col("p")[lo_q]).alias("upper")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    mean or sd of every numeric column, all replicates in one pass over the
+    rows (``resampling``).  Returns (attr, theta, confidence, lower, upper)."""
+    from .resampling import intervals, replicate_values, resampled  # it draws by hkey, above
+    re = resampled(fr, replicates, seed)
+    values = replicate_values(re, statistic) if re.rows else []
+    rows = [(c, float(values[0][i]), *found) for i, c in enumerate(fr.num) if values
+            for found in intervals(np.array([v[i] for v in values]), confidence)]
+    return fr.spark.createDataFrame(rows, "attr string, theta double, confidence double, lower double, upper double")

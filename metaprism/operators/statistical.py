@@ -352,20 +352,7 @@ def ft_sd_ratio(fr: Frame, reference_flip: bool = False) -> DataFrame:
     formulation (weights pair with the reversed class list and the matrices
     are transposed in their first two axes).
     """
-    sc = M.class_scatter(fr)
-    n, d, k = sc.n, len(sc.cols), len(sc.classes)
-    covs = sc.covs
-    if reference_flip:
-        covs = np.flip(covs, axis=(0, 1))
-    w = sc.counts - 1.0
-    pooled = (w[:, None, None] * covs).sum(0) / (n - k)
-    gamma = 1.0 - ((2.0 * d ** 2 + 3.0 * d - 1.0) / (6.0 * (d + 1.0) * (k - 1.0))) * (
-        np.sum(1.0 / w) - 1.0 / (n - k))
-    with np.errstate(all="ignore"):
-        logdets = [np.log(np.linalg.det(S)) for S in covs]
-        m = gamma * ((n - k) * np.log(np.linalg.det(pooled)) - np.dot(w, logdets))
-        v = NAN if (np.isinf(m) or np.isnan(m)) else float(np.exp(m / (d * (n - k))))
-    return M.values_frame(fr.spark, "sd_ratio", [v])
+    return M.values_frame(fr.spark, "sd_ratio", [M.box_m(M.class_scatter(fr), reference_flip)])
 
 
 NORMALITY = ("dagostino-pearson", "shapiro-wilk", "anderson-darling")

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import LONG_SCHEMA, Frame, NotComputable, union_all, empty_long
+from ..frame import LONG_SCHEMA, Frame, NotComputable, empty_long, keyed, union_all
 from ..functions.summaries import SUMMARIES, summarise
 from ..operators import clustering, complexity, general, infotheory, itemset, statistical
-from ..operators import landmarking, modelbased
+from ..operators import landmarking, modelbased, resampling
 from ..operators import neighbourhood as NB
 from ..operators.shaping import relative_rank
 from ..operators.encoding import build_C, build_N, rescale_numeric
@@ -253,6 +253,54 @@ def extract(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY
     return out.where(~base.isin(hidden) if hidden else F.lit(True)).unionByName(ranks).orderBy("name")
 
 
+def extract_with_confidence(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY, replicates: int = 128,
+                            confidence=(0.95,), seed: int = 1234, transform_cat: str | None = "gray",
+                            slow_features: bool = False, **views) -> DataFrame:
+    """(name, value, confidence, lower, upper): basic bootstrap intervals of
+    extracted features.
+
+    Features that moments determine (``resampling.FEATURES``) take one pass over
+    the rows for all replicates.  The others asked for are left out, with a
+    warning that names them, unless ``slow_features``: then each replicate is a
+    table of its own, on which they are extracted, one replicate at a time.
+    Every row takes part in a replicate as often as a Poisson(1) draw of its key
+    says, so the number of rows varies.  Summaries are ``mean`` and ``sd``
+    (``SUMMARIES`` for slow features).
+    """
+    plan = resolve(groups, features, supervised=fr.label is not None)
+    wanted = {f for fs in plan.values() for f in fs}
+    fast = [f for f in resampling.FEATURES if any(f in plan.get(g, ()) for g in ("general", "statistical"))]
+    rest = [f for f in sorted(wanted) if f not in fast]
+    if set(summary) - {"mean", "sd"}:
+        fast, rest = [], sorted(wanted)
+    fr = keyed(fr)
+    table: dict = {}
+    if fast:
+        nv = _plain_names(build_N(fr, transform_cat)) if fr.cat else fr
+        re_ = resampling.resampled(nv, replicates, seed, with_pairs=bool(resampling.NEEDS_PAIRS & set(fast)))
+        for f in fast if re_.rows else ():
+            values = resampling.replicate_values(re_, f)
+            if any(CATALOGUE[g].get(f) for g in ("general", "statistical")):
+                with np.errstate(all="ignore"):
+                    for s in summary:
+                        one = {"mean": lambda v: v.mean() if len(v) else np.nan, "sd": lambda v: v.std(ddof=1) if len(v) > 1 else np.nan}[s]
+                        table[f"{f}.{s}"] = np.array([one(v) for v in values])
+            else:
+                table[f] = np.array([v[0] for v in values])
+    if rest and not slow_features:
+        warnings.warn(f"no intervals for {', '.join(rest)}", RuntimeWarning, stacklevel=2)
+    elif rest:
+        runs = []
+        for r in range(replicates + 1):
+            one = resampling.replicate_frame(fr, r, seed)
+            got = extract(one, groups, rest, summary, transform_cat=transform_cat, **views)
+            runs.append({x["name"]: x["value"] for x in got.collect()})  # one row a name
+        for name in runs[0]:
+            table[name] = np.array([np.nan if v.get(name) is None else v[name] for v in runs])
+    rows = [(name, float(v[0]), *i) for name, v in sorted(table.items()) for i in resampling.intervals(v, confidence)]
+    return fr.spark.createDataFrame(rows, "name string, value double, confidence double, lower double, upper double")
+
+
 def parse_by_group(results: DataFrame, groups: Iterable[str], spark=None) -> DataFrame:
     """Keep the (name, value) rows produced by features of ``groups``."""
     base = F.split(F.col("name"), r"\.").getItem(0)

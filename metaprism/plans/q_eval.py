@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from ..frame import Frame
@@ -11,7 +13,8 @@ from ..operators import landmarking as L
 from ..operators import neighbourhood as NB
 from ..operators import splits as R
 from ..session import read_table
-from ..sources.tables import embeddings_frame
+from ..sources.tables import embeddings_frame, lineitem_frame
+from .extract import extract_with_confidence
 from .registry import query, finish_long, sql_long, row
 from .sqlbind import EM_CTE, with_
 from .q_pairs import P_CTE
@@ -72,8 +75,7 @@ def q_bootstrap(spark, sf_dir):
     """Poisson(1) bootstrap weights, then the weighted mean per replicate of
     o_totalprice (all replicates in one aggregate)."""
     fr = orders_frame(spark, sf_dir)
-    w = R.bootstrap_weights(fr, replicates=16)
-    j = w.join(fr.df.select(F.col("o_orderkey").alias("row_id"), "o_totalprice"), "row_id")
+    j = R.bootstrap_weights(fr, keep=[F.col("o_totalprice")])
     return j.groupBy("rep").agg((F.sum(F.col("w") * F.col("o_totalprice")) / F.sum("w")).alias("mean"))
 
 
@@ -174,6 +176,14 @@ def q_bootstrap_ci(spark, sf_dir):
     return R.bootstrap_ci(fr2, "mean", replicates=128, confidence=(0.9, 0.95))
 
 
+@query("extract_with_confidence", group="splits")
+def q_extract_with_confidence(spark, sf_dir):
+    """Intervals of all features that moments determine, on LI."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", RuntimeWarning)  # it names the features without intervals
+        return extract_with_confidence(lineitem_frame(spark, sf_dir), ("general", "statistical"), confidence=(0.9, 0.95))
+
+
 _MATCH_SQL = """
 WITH ct AS (SELECT l_linestatus AS c, l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY ALL),
 grid AS (SELECT cs.c, ys.y, coalesce(ct.n, 0) AS n FROM (SELECT DISTINCT c FROM ct) AS cs
