@@ -31,16 +31,6 @@ TILES = T.StructType([T.StructField("cls", T.StringType()), T.StructField("bi",
                      + [T.StructField(p, T.BinaryType()) for p in PARTS])
 
 
-def shifts(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """The mean of each column, of a constant one its value, so that its
-    deviations are exactly zero."""
-    xs = [F.col(c).cast("double") for c in cols]
-    r = df.agg(F.array(*[F.avg(x) for x in xs]).alias("m"), F.array(*[F.min(x) for x in xs]).alias("a"),
-               F.array(*[F.max(x) for x in xs]).alias("z")).first()  # one row, three numbers a column
-    pick = [a if a == z else m for m, a, z in zip(r["m"], r["a"], r["z"])]
-    return np.array([v if v is not None and np.isfinite(v) else 0.0 for v in pick], dtype=float)
-
-
 class _Sums:
     """Of one class: rows without gaps are kept as vectors and one matrix, rows
     with gaps as matrices of the pairs that are there."""
@@ -131,13 +121,50 @@ def added_up(parts: DataFrame, keys: list[str], add, schema: T.StructType) -> Da
     return out.drop("_task").groupBy(*keys).applyInPandas(lambda pdf: add(pdf), schema)
 
 
-def tiles(df: DataFrame, cols: list[str], cls: Column | None = None, size: int = TILE) -> DataFrame:
+def _ranges(pdf: pd.DataFrame) -> pd.DataFrame:
+    n, total, low, high = (np.stack([np.frombuffer(v) for v in pdf[k]]) for k in ("n", "total", "low", "high"))
+    out = {"n": n.sum(0), "total": total.sum(0), "low": low.min(0), "high": high.max(0)}
+    return pd.DataFrame({"one": [0], **{k: [v.tobytes()] for k, v in out.items()}})
+
+
+def shifts(df: DataFrame, cols: list[str]) -> np.ndarray:
+    """About the mean of each column, of a constant one its value, so that its
+    deviations are exactly zero.  Values that are not finite are passed over."""
+    d = len(cols)
+    names = ("n", "total", "low", "high")
+    layout = T.StructType([T.StructField("one", T.IntegerType())] + [T.StructField(k, T.BinaryType()) for k in names])
+    schema = pa.schema([("one", pa.int32())] + [(k, pa.binary()) for k in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, low, high = np.zeros(d), np.zeros(d), np.full(d, np.inf), np.full(d, -np.inf)
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            there = np.isfinite(x)
+            n += there.sum(0)
+            total += np.where(there, x, 0.0).sum(0)
+            low = np.minimum(low, np.where(there, x, np.inf).min(0, initial=np.inf))
+            high = np.maximum(high, np.where(there, x, -np.inf).max(0, initial=-np.inf))
+        yield pa.RecordBatch.from_pylist([{"one": 0, **{k: v.tobytes() for k, v in zip(names, (n, total, low, high))}}], schema=schema)
+
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    r = added_up(rows.mapInArrow(run, layout), ["one"], _ranges, layout).first()
+    if r is None:
+        return np.zeros(d)
+    n, total, low, high = (np.frombuffer(r[k]) for k in names)
+    with np.errstate(all="ignore"):
+        pick = np.where(low == high, low, total / n)
+    return np.where(np.isfinite(pick), pick, 0.0)
+
+
+def tiles(df: DataFrame, cols: list[str], cls: Column | None = None, size: int = TILE,
+          shift: np.ndarray | None = None) -> DataFrame:
     """(cls, bi, bj, sums as bytes): one row a class and pair of column blocks
-    ``bi <= bj``.  ``cls`` null or not given is one class, null.  An empty
-    table gives no rows."""
+    ``bi <= bj``, of deviations from ``shift`` (default: ``shifts``).  ``cls``
+    null or not given is one class, null.  An empty table gives no rows."""
+    shift = shifts(df, cols) if shift is None else shift
     cls = F.lit(None).cast("string") if cls is None else cls.cast("string")
     rows = df.select(cls.alias("cls"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    parts = rows.mapInArrow(_partials(shifts(df, cols), size), TILES)
+    parts = rows.mapInArrow(_partials(shift, size), TILES)
     return added_up(parts, ["cls", "bi", "bj"], _add, TILES)
 
 
@@ -179,13 +206,16 @@ def pair_values(df: DataFrame, cols: list[str], measure: str, size: int = TILE)
 
 
 def covariances(df: DataFrame, cols: list[str], cls: Column | None = None, size: int = TILE) -> dict:
-    """{class: d x d sample covariances} on the driver, for algebra on d x d
-    matrices.  The caller bounds classes x d x d."""
-    d, out = len(cols), {}
-    for row in tiles(df, cols, cls, size).toLocalIterator():
+    """{class: (means, d x d sample covariances)} on the driver, for algebra on
+    d x d matrices.  The caller bounds classes x d x d."""
+    d, out, shift = len(cols), {}, shifts(df, cols)
+    for row in tiles(df, cols, cls, size, shift).toLocalIterator():
         parts, i, j = _unpack(row, d, size)
-        m = out.setdefault(row["cls"], np.full((d, d), np.nan))
+        mean, m = out.setdefault(row["cls"], (np.full(d, np.nan), np.full((d, d), np.nan)))
         v = covariance(*parts)
         m[i:i + v.shape[0], j:j + v.shape[1]] = v
         m[j:j + v.shape[1], i:i + v.shape[0]] = v.T
+        if i == j:
+            with np.errstate(all="ignore"):
+                mean[i:i + v.shape[0]] = shift[i:i + v.shape[0]] + np.diag(parts[1]) / np.diag(parts[0])
     return out

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +57,30 @@ def node_table(model, spark=None) -> DataFrame:
 
 
 class TreeContext:
+    """A fitted tree with its nodes, column and class names and number of rows."""
+
     def __init__(self, fr: Frame, max_depth: int = 30, seed: int = 42):
-        self.fr = fr
         self.model, self.classes = fit_tree(fr, max_depth, seed)
+        self.spark, self.attrs, self.n = fr.spark, list(fr.num), fr.count()
         self.nodes = node_table(self.model, fr.spark).cache()
-        self.n = fr.count()
+
+    @classmethod
+    def of(cls, model, spark, attrs=None, classes=None) -> "TreeContext":
+        """Of a model fitted elsewhere: a decision tree classifier, or a fitted
+        pipeline that ends with one.  Names default to the numbers of features
+        and classes; the rows are those that the tree counted at its root."""
+        tree = model.stages[-1] if isinstance(model, PipelineModel) and model.stages else model
+        if not isinstance(tree, DecisionTreeClassificationModel):
+            raise TypeError(f"a fitted decision tree classifier is needed, not {type(tree).__name__}")
+        t = cls.__new__(cls)
+        t.model, t.spark = tree, spark
+        t.attrs = [str(i) for i in range(tree.numFeatures)] if attrs is None else list(attrs)
+        t.classes = [str(i) for i in range(tree.numClasses)] if classes is None else list(classes)
+        if len(t.attrs) != tree.numFeatures or len(t.classes) != tree.numClasses:
+            raise ValueError(f"the tree has {tree.numFeatures} features and {tree.numClasses} classes")
+        t.nodes = node_table(tree, spark).cache()
+        t.n = t.nodes.where(F.col("depth") == 0).first()["rawCount"]
+        return t
 
 
 def _leaves(t: TreeContext) -> DataFrame:
@@ -80,7 +100,7 @@ def ft_nodes(t):
 
 
 def ft_nodes_per_attr(t):
-    return unpivot(_inner(t).agg(F.count(F.lit(1)).alias("v")), [entry("nodes_per_attr", F.col("v") / len(t.fr.num))])
+    return unpivot(_inner(t).agg(F.count(F.lit(1)).alias("v")), [entry("nodes_per_attr", F.col("v") / len(t.attrs))])
 
 
 def ft_nodes_per_inst(t):
@@ -129,14 +149,14 @@ def ft_nodes_per_level(t):
 
 
 def ft_nodes_repeated(t):
-    names = F.array(*[F.lit(c) for c in t.fr.num])
+    names = F.array(*[F.lit(c) for c in t.attrs])
     per = _inner(t).groupBy("feature").agg(F.count(F.lit(1)).alias("c"))
     return per.select(entry("nodes_repeated", F.col("c"), attr=names[F.col("feature")], idx=F.col("feature")).alias("e")).select("e.*")
 
 
 def ft_var_importance(t):
     imp = t.model.featureImportances.toArray()
-    return M.values_frame(t.fr.spark, "var_importance", imp, attrs=list(t.fr.num))
+    return M.values_frame(t.spark, "var_importance", imp, attrs=t.attrs)
 
 
 def ft_tree_imbalance(t):

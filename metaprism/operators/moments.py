@@ -74,18 +74,20 @@ def _class_scatter(fr: Frame, cols: list[str]) -> ClassScatter:
     d = len(cols)
     wide = d > MAX_PAIRWISE_COLS
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]
-    aggs += [] if wide else _pair_aggs(cols)
+    if not wide:
+        aggs += [F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]
+        aggs += _pair_aggs(cols)
     rows = sorted(collect_bounded(fr.df.groupBy(fr.y().alias("cls")).agg(*aggs), "classes"),
                   key=lambda r: (r["cls"] is not None, r["cls"]))  # rows without a label are a class, the first
     k = len(rows)
     counts = np.array([r["n"] for r in rows], dtype=float)
-    means = np.array([[r[f"m_{i}"] for i in range(d)] for r in rows], dtype=float).reshape(k, d)
     if wide:
         _check_cells(k, d)
-        found = gram.covariances(fr.df, cols, fr.y())
-        covs = np.array([found[r["cls"]] for r in rows]).reshape(k, d, d)
-        return ClassScatter([r["cls"] for r in rows], counts, means, covs, cols)
+        by_class = gram.covariances(fr.df, cols, fr.y())
+        found = [by_class[r["cls"]] for r in rows]
+        return ClassScatter([r["cls"] for r in rows], counts, np.array([m for m, _ in found]).reshape(k, d),
+                            np.array([c for _, c in found]).reshape(k, d, d), cols)
+    means = np.array([[r[f"m_{i}"] for i in range(d)] for r in rows], dtype=float).reshape(k, d)
     covs = np.zeros((k, d, d))
     for c, r in enumerate(rows):
         for i in range(d):
@@ -113,7 +115,7 @@ def _covariance(fr: Frame, cols: list[str]) -> tuple[np.ndarray, float]:
     d = len(cols)
     if d > MAX_PAIRWISE_COLS:
         _check_cells(1, d)
-        return gram.covariances(fr.df, cols).get(None, np.full((d, d), np.nan)), float(fr.count())
+        return gram.covariances(fr.df, cols).get(None, (None, np.full((d, d), np.nan)))[1], float(fr.count())
     r = fr.df.agg(F.count(F.lit(1)).alias("n"), *_pair_aggs(cols)).first()
     cov = np.zeros((d, d))
     for i in range(d):

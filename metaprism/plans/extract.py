@@ -301,6 +301,17 @@ def extract_with_confidence(fr: Frame, groups="default", features="all", summary
     return fr.spark.createDataFrame(rows, "name string, value double, confidence double, lower double, upper double")
 
 
+def extract_from_model(model, spark, features="all", summary=DEFAULT_SUMMARY, summary_args: dict | None = None,
+                       attrs=None, classes=None) -> DataFrame:
+    """(name, value) of the model-based features of a fitted decision tree
+    (``TreeContext.of``), without the data it was fitted on."""
+    names = resolve("model-based", features)["model-based"]
+    t = modelbased.TreeContext.of(model, spark, attrs, classes)
+    table = union_all([empty_long(spark), *[modelbased.FEATURES[f](t) for f in names]])
+    vector = {f for f in names if CATALOGUE["model-based"][f]}
+    return summarise(table, tuple(summary), vector_features=vector, args=summary_args)
+
+
 def parse_by_group(results: DataFrame, groups: Iterable[str], spark=None) -> DataFrame:
     """Keep the (name, value) rows produced by features of ``groups``."""
     base = F.split(F.col("name"), r"\.").getItem(0)

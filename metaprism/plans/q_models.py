@@ -21,6 +21,7 @@ from ..operators import shaping as U
 from ..operators import splits as R
 from ..session import read_table
 from ..sources.tables import embeddings_frame
+from .extract import extract_from_model
 from .registry import query, finish_long
 
 CLASSIFIERS = ["logistic_regression", "linear_svc", "sgd_classifier", "ridge_classifier", "decision_tree",
@@ -135,6 +136,15 @@ def q_tree_shape(spark, sf_dir):
     return finish_long(union_all([fn(t) for fn in MB.FEATURES.values()]))
 
 
+@query("extract_from_model", group="model-based")
+def q_extract_from_model(spark, sf_dir):
+    """Tree shape of a model that was fitted before, from the model alone."""
+    fr = embeddings_frame(spark, sf_dir)
+    model, classes = MB.fit_tree(fr)
+    out = extract_from_model(model, spark, attrs=fr.num, classes=classes)
+    return out.select("name", sig(F.col("value")).alias("value"))
+
+
 @query("landmarking", group="landmarking")
 def q_landmarking(spark, sf_dir):
     fr = embeddings_frame(spark, sf_dir)

@@ -48,6 +48,7 @@ def test_class_covariances_as_by_expressions(gappy, monkeypatch):
     got, cov2 = M._class_scatter(gappy, list(gappy.num)), M._covariance(gappy, list(gappy.num))
     assert got.classes == want.classes
     np.testing.assert_allclose(got.covs, want.covs, rtol=1e-7, atol=1e-9)
+    np.testing.assert_allclose(got.means, want.means, rtol=1e-12)
     np.testing.assert_allclose(cov2[0], cov[0], rtol=1e-7, atol=1e-9)
     assert cov2[1] == cov[1]
 
