@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..frame import Frame, entry, unpivot, union_all, empty_long, collect_bounded
 from ..functions.numeric import safe_div
 from ..functions.normality import anderson_critical, rank_statistics, shapiro_pvalue
-from ..functions.orderstats import at_ranks, quantiles
+from ..functions.orderstats import at_ranks, group_quantiles, quantiles
 from . import gram
 from . import moments as M
 
@@ -40,9 +40,8 @@ BASES: dict[str, Callable[[str, bool], Column]] = {
     "kurt": lambda c, ex: F.kurtosis(_x(c)),
     "min": lambda c, ex: F.min(_x(c)),
     "max": lambda c, ex: F.max(_x(c)),
-    # exact here only inside classes; whole columns go by distributed ranks
-    "q": lambda c, ex: (F.percentile(_x(c), QS) if ex
-                        else F.percentile_approx(_x(c), QS, 100000).cast("array<double>")),
+    # exact quartiles go by distributed ranks
+    "q": lambda c, ex: F.percentile_approx(_x(c), QS, 100000).cast("array<double>"),
     "lnmean": lambda c, ex: F.avg(F.ln(F.when(_x(c) > 0, _x(c)))),
     "invsum": lambda c, ex: F.sum(F.try_divide(F.lit(1.0), _x(c))),
 }
@@ -95,13 +94,16 @@ def column_bases(fr: Frame, features, cols=None, exact: bool = True, by_class: b
     cols = list(cols if cols is not None else fr.num)
     need = sorted({b for f in features for b in COLUMN_FEATURES[f][0]})
     aggs = [BASES[b](c, exact).alias(f"b_{b}_{i}") for i, c in enumerate(cols) for b in need]
-    if by_class:
-        return fr.df.groupBy(fr.y().alias("_cls")).agg(*aggs)
-    if not (exact and "q" in need):
-        return fr.df.agg(*aggs)
+    ranked = exact and "q" in need
+    if not ranked:
+        return fr.df.groupBy(fr.y().alias("_cls")).agg(*aggs) if by_class else fr.df.agg(*aggs)
     # exact quartiles by distributed ranks, beside the one aggregate of the rest
-    q = quantiles(fr.df, {c: _x(c) for c in cols}, QS)
     rest = [BASES[b](c, exact).alias(f"b_{b}_{i}") for i, c in enumerate(cols) for b in need if b != "q"]
+    if by_class:
+        q = group_quantiles(fr.df, {f"b_q_{i}": _x(c) for i, c in enumerate(cols)}, fr.y(), QS)
+        rows = fr.df.groupBy(fr.y().alias("_cls")).agg(F.count(F.lit(1)).alias("b_rows"), *rest)
+        return rows.join(q, F.col("_cls").eqNullSafe(F.col("grp")), "left").drop("grp")
+    q = quantiles(fr.df, {c: _x(c) for c in cols}, QS)
     lits = [(F.array(*[F.lit(float(v)) for v in q[c]]) if q[c] else F.lit(None).cast("array<double>")).alias(f"b_q_{i}")
             for i, c in enumerate(cols)]
     return fr.df.agg(F.count(F.lit(1)).alias("b_rows"), *rest).select("*", *lits)

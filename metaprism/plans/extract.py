@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import LONG_SCHEMA, Frame, NotComputable, empty_long, keyed, union_all
-from ..functions.summaries import SUMMARIES, summarise
+from ..functions.summaries import summarise, summary_width
 from ..operators import clustering, complexity, general, infotheory, itemset, statistical
 from ..operators import landmarking, modelbased, resampling
 from ..operators import neighbourhood as NB
@@ -75,7 +75,7 @@ def catalogue_df(spark, summaries: Iterable[str] = DEFAULT_SUMMARY) -> DataFrame
         for f, vec in feats.items():
             if vec:
                 for s in summaries:
-                    width = len(SUMMARIES[s]())
+                    width = summary_width(s)
                     names = [f"{f}.{s}"] if width == 1 else [f"{f}.{s}.{i}" for i in range(width)]
                     if g == "relative":
                         names = [f"{n}.relative" for n in names]
@@ -120,8 +120,9 @@ NOT_COMPUTABLE = (NotComputable, ArithmeticError, np.linalg.LinAlgError, errors.
 PARALLEL = 8
 
 
-def _tasks(fr: Frame, plan: dict, cv: Frame, nv: Frame, block_rows: int) -> list:
-    """(features, callable -> long DataFrame): the jobs of an extraction.
+def _tasks(fr: Frame, plan: dict, cv: Frame, nv: Frame, block_rows: int, counted: bool) -> list:
+    """(features, callable -> long DataFrame): the jobs of an extraction;
+    ``counted``: two_itemset as counted values, for summaries.
     General features see the raw columns, information theory and item sets the
     categorical view, all others the numeric view."""
     shared: dict = {}
@@ -154,7 +155,7 @@ def _tasks(fr: Frame, plan: dict, cv: Frame, nv: Frame, block_rows: int) -> list
                 add(f, lambda f=f, u=uses_counts: infotheory.FEATURES[f](
                     cv, *([once("counts", lambda: infotheory.K.attr_class_counts(cv).checkpoint(eager=True))] if u else [])))
             elif g == "itemset":
-                add(f, lambda f=f: itemset.FEATURES[f](cv))
+                add(f, lambda f=f: (itemset.two_itemset_counts if counted and f == "two_itemset" else itemset.FEATURES[f])(cv))
             elif g == "clustering":
                 if f in clustering.FEATURES:
                     add(f, lambda f=f: clustering.FEATURES[f](nv))
@@ -204,7 +205,9 @@ def feature_table(fr: Frame, groups="default", features="all", pair_block_rows:
 
 
 def _table(fr: Frame, plan: dict, pair_block_rows: int, transform_num: bool = True,
-           transform_cat: str | None = "gray", rescale: str | None = None) -> DataFrame:
+           transform_cat: str | None = "gray", rescale: str | None = None, counted: bool = False) -> DataFrame:
+    """``feature_table``, or with ``counted`` and two_itemset among the features
+    (feature, value, n), where a row counts n times."""
     plan = {g: names for g, names in plan.items() if names and g != "relative"}
     ensure_checkpoint_dir(fr.spark)
     uses_c = bool({"info-theory", "itemset"} & set(plan))
@@ -213,7 +216,8 @@ def _table(fr: Frame, plan: dict, pair_block_rows: int, transform_num: bool = Tr
     nv = _plain_names(build_N(fr, transform_cat)) if uses_n and fr.cat else fr
     if uses_n and rescale:
         nv = rescale_numeric(nv, rescale)
-    tasks = _tasks(fr, plan, cv, nv, pair_block_rows)
+    counted = counted and "two_itemset" in plan.get("itemset", ())
+    tasks = _tasks(fr, plan, cv, nv, pair_block_rows, counted)
     if not tasks:
         return empty_long(fr.spark)
 
@@ -230,7 +234,10 @@ def _table(fr: Frame, plan: dict, pair_block_rows: int, transform_num: bool = Tr
 
     with ThreadPoolExecutor(PARALLEL) as pool:
         parts = dict(zip(order, pool.map(inheritable_thread_target(fr.spark)(run), order)))
-    return union_all([parts[i] for i in range(len(tasks))])
+    tables = [parts[i] for i in range(len(tasks))]
+    if counted:
+        tables = [t.select("feature", "value", F.col("n") if "n" in t.columns else F.lit(1).cast("long").alias("n")) for t in tables]
+    return union_all(tables)
 
 
 def extract(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY,
@@ -243,7 +250,7 @@ def extract(fr: Frame, groups="default", features="all", summary=DEFAULT_SUMMARY
     if ranked:
         plan["landmarking"] = [f for f in CATALOGUE["landmarking"] if f in {*ranked, *shown}]
     vector = {f for g, fs in plan.items() for f in fs if CATALOGUE[g][f]}
-    out = summarise(_table(fr, plan, pair_block_rows, **views), tuple(summary), vector_features=vector, args=summary_args)
+    out = summarise(_table(fr, plan, pair_block_rows, **views, counted=True), tuple(summary), vector_features=vector, args=summary_args)
     if not ranked:
         return out
     out = out.checkpoint(eager=True)
