@@ -532,16 +532,22 @@ def mutual_info_scores(fr: Frame) -> DataFrame:
     return j.groupBy("attr").agg(F.sum(term).alias("mi"))
 
 
-def select_mutual_info(fr: Frame, share: float) -> Frame:
-    scores = {r["attr"]: r["mi"] for r in mutual_info_scores(fr).collect()}  # one row per column
-    top = max(scores.values()) if scores else 0.0
+def select_mutual_info(fr: Frame, share: float, task: str = "clasificacion") -> Frame:
+    """Columns of at least ``share`` of the best score; with a numeric target
+    (``regresion``) the numeric columns by nearest neighbours, text columns go."""
+    if task == "regresion":
+        from .nnmi import mutual_info_numeric
+        scores = {r["attr"]: r["mi"] for r in mutual_info_numeric(fr).collect() if r["mi"] == r["mi"]}  # one row per column
+    else:
+        scores = {r["attr"]: r["mi"] for r in mutual_info_scores(fr).collect()}  # one row per column
+    top = max(scores.values(), default=0.0)
     keep = [c for c in fr.attrs if top > 0 and scores.get(c, 0.0) >= share * top]
     return select_columns(fr, keep)
 
 
-def fit_select_mutual_info(fr: Frame, share: float) -> Fitted:
+def fit_select_mutual_info(fr: Frame, share: float, task: str = "clasificacion") -> Fitted:
     """P34 as a fitted phase: columns chosen on train, applied anywhere."""
-    keep = list(select_mutual_info(fr, share).attrs)
+    keep = list(select_mutual_info(fr, share, task).attrs)
     return Fitted("select", f"mutual_info_{int(share * 100)}", {"keep": keep},
                   lambda f, p: select_columns(f, p["keep"]))
 

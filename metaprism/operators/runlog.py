@@ -205,7 +205,7 @@ def fit_phase(phase: str, option: str | None, train: Frame, task: str):
     if phase == "seleccionar_variables":
         if option.startswith("mutual_info_"):
             share = int(option.rsplit("_", 1)[1]) / 100.0
-            return P.fit_select_mutual_info(train, share).transform
+            return P.fit_select_mutual_info(train, share, task).transform
         if option.startswith("pca_"):
             return P.fit_pca(train, int(option.rsplit("_", 1)[1]) / 100.0).transform
         if option == "select_from_model":
