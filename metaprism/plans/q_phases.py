@@ -428,6 +428,16 @@ def q_mutual_info(spark, sf_dir):
     return P.mutual_info_scores(fr).select("attr", sig(F.col("mi")).alias("mi"))
 
 
+@query("mutual_info_numeric", group="phases")
+def q_mutual_info_numeric(spark, sf_dir):
+    """Scores of the other numeric columns with the price as numeric target."""
+    from ..operators.nnmi import mutual_info_numeric
+    cols = [c for c in LI_NUM if c != "l_extendedprice"]
+    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("row")
+    li = read_table(spark, sf_dir, "lineitem").select(key, *LI_NUM)
+    return mutual_info_numeric(Frame(df=li, num=tuple(cols), label="l_extendedprice", row_id="row"))
+
+
 # ---------------------------------------------------------------- duplicates
 @query("dedup_rows",
        f"SELECT {KEYS_SQL}, l_quantity, l_linestatus FROM (SELECT *, row_number() OVER (PARTITION BY l_quantity, "

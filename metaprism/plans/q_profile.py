@@ -77,6 +77,11 @@ def q_stat_columns(spark, sf_dir):
     return finish_long(S.column_features(_li(spark, sf_dir), ALL_COL))
 
 
+@query("class_quartiles", col_features_sql(["median", "iq_range"], by_class=True), group="statistical")
+def q_class_quartiles(spark, sf_dir):
+    return finish_long(S.column_features(_li(spark, sf_dir), ["median", "iq_range"], by_class=True))
+
+
 _MAD_SQL = with_(LI_CTE) + sql_long(union([
     row("mad", f"quantile_cont(abs({c} - med), 0.5) * 1.4826", attr=c, idx=i,
         src=f"FROM li, (SELECT quantile_cont({c}, 0.5) AS med FROM li) AS m")

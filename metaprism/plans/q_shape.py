@@ -284,6 +284,16 @@ def q_class_centers(spark, sf_dir):
     return cent.select("cls", "cnt", *[sig(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(NUM))])
 
 
+@query("class_centers_median",
+       "SELECT l_returnflag AS cls, count(*) AS cnt, " + ", ".join(
+           f"{sql_sig(f'quantile_cont({c}, 0.5)')} AS c{i}" for i, c in enumerate(NUM)) + " FROM lineitem GROUP BY 1",
+       group="clustering")
+def q_class_centers_median(spark, sf_dir):
+    from ..operators import clustering as K
+    cent = K.class_centroids(lineitem_frame(spark, sf_dir, with_cat=False), "median")
+    return cent.select("cls", "cnt", *[sig(F.col(f"c{i}")).alias(f"c{i}") for i in range(len(NUM))])
+
+
 @query("build_views", group="typing")
 def q_build_views(spark, sf_dir):
     """Categorical view (text columns + equal-frequency codes of the

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..frame import Frame
 from ..functions.numeric import sig, sql_sig
 from ..functions.summaries import summarise
+from ..operators import itemset as J
 from ..operators import statistical as S
+from ..session import read_table
 from ..sources.tables import lineitem_frame
 from .q_profile import col_features_union
-from .registry import query
+from .registry import query, row, union
 from .sqlbind import LI_CTE
 
 ALL_COL = list(S.COLUMN_FEATURES)
@@ -19,7 +22,8 @@ NANS = ["nanmean", "nansd", "nanvar", "nancount", "nanhistogram", "naniq_range",
         "nanmedian", "nanmin", "nanquantiles", "nanrange", "nanskewness", "nansum", "nanpowersum", "nanpnorm"]
 
 
-def _summary_sql() -> str:
+def _summary_sql(lf: str | None = None) -> str:
+    """Every summary of the long rows that ``lf`` selects from ``li``."""
     g = "FROM lf GROUP BY feature"
     mo = ("FROM lf JOIN (SELECT feature, avg(value) AS mu FROM lf GROUP BY feature) AS m USING (feature) "
           "GROUP BY feature")
@@ -52,7 +56,7 @@ def _summary_sql() -> str:
         add(pre + "powersum", "sum(power(value, 2))")
         add(pre + "pnorm", "sqrt(sum(power(abs(value), 2)))")
     body = "\nUNION ALL\n".join(parts)
-    return (f"WITH {LI_CTE}, lf AS ({col_features_union(ALL_COL)}), "
+    return (f"WITH {LI_CTE}, lf AS ({lf or col_features_union(ALL_COL)}), "
             "mm AS (SELECT feature, CASE WHEN min(value) = max(value) THEN min(value) - 0.5 ELSE min(value) END AS lo, "
             "CASE WHEN min(value) = max(value) THEN max(value) + 0.5 ELSE max(value) END AS hi FROM lf GROUP BY feature) "
             f"SELECT name, {sql_sig('value')} AS value FROM ({body}) AS s")
@@ -65,6 +69,29 @@ def q_summary_functions(spark, sf_dir):
     return out.select("name", sig(F.col("value")).alias("value"))
 
 
+ITEM_COLS = ("l_partkey", "l_suppkey", "l_quantity")
+
+
+def _item_grid_sql() -> str:
+    """All cells of all level pairs, absent ones included, as the features define them."""
+    count = lambda cols, n: f"(SELECT {cols}, count(*) AS {n} FROM li GROUP BY ALL)"
+    return union([
+        row("two_itemset", "(xs.na + ys.nb - 2.0 * coalesce(p.nab, 0)) / (SELECT count(*) FROM li)", idx=0,
+            src=f"FROM {count(f'{a} AS va', 'na')} AS xs CROSS JOIN {count(f'{b} AS vb', 'nb')} AS ys "
+                f"LEFT JOIN {count(f'{a} AS va, {b} AS vb', 'nab')} AS p ON p.va = xs.va AND p.vb = ys.vb")
+        for i, a in enumerate(ITEM_COLS) for b in ITEM_COLS[i + 1:]])
+
+
+@query("itemset_summaries", _summary_sql(_item_grid_sql()), group="summary")
+def q_itemset_summaries(spark, sf_dir):
+    """Summaries of the two-item features of columns with many levels, without
+    the level grid that the SQL has."""
+    li = read_table(spark, sf_dir, "lineitem").select(*ITEM_COLS)
+    counts = J.two_itemset_counts(Frame(df=li, cat=ITEM_COLS))
+    out = summarise(counts, PLAIN + NANS, vector_features={"two_itemset"})
+    return out.select("name", sig(F.col("value")).alias("value"))
+
+
 @query("extract_default", group="extract")
 def q_extract_default(spark, sf_dir):
     """The reference's default call: general, statistical and information
