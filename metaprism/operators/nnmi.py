@@ -83,11 +83,13 @@ def plane_rows(fr: Frame, target: str, cols: list[str], seed: int = 0) -> DataFr
     return fr.df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
 
 
-def nearest(pa, pb, qa, qb, left, right, k: int) -> np.ndarray:
+def nearest(pa, pb, qa, qb, left, right, k: int, limit=np.inf) -> np.ndarray:
     """The k smallest Chebyshev distances (ascending, inf where fewer) of queries
     to points sorted by ``pa``.  Queries look at the points from ``left`` down and
-    from ``right`` up until the first coordinate alone is too far."""
-    best = np.full((len(qa), k), np.inf)
+    from ``right`` up until the first coordinate alone is too far.  Distances of
+    ``limit`` and more are inf."""
+    limit = np.broadcast_to(limit, len(qa))[:, None]
+    best = np.repeat(limit, k, axis=1)
     open_ = [left >= 0, right < len(pa)]
     step = 0
     while open_[0].any() or open_[1].any():
@@ -105,7 +107,7 @@ def nearest(pa, pb, qa, qb, left, right, k: int) -> np.ndarray:
             following = at + way
             open_[side][who] = (along < best[who, -1]) & (following >= 0) & (following < len(pa))
         step += 1
-    return best
+    return np.where(best < limit, best, np.inf)
 
 
 def _sorted_points(pdf: pd.DataFrame):
@@ -136,7 +138,7 @@ def _visit(k: int):
         qa, qb = visitors[axis[0]].to_numpy(float), visitors[axis[1]].to_numpy(float)
         at = np.searchsorted(a, qa)
         return pd.DataFrame({"attr": visitors["attr"].to_numpy(), "id": visitors["id"].to_numpy(),
-                             "near": list(nearest(a, b, qa, qb, at - 1, at, k))})
+                             "near": list(nearest(a, b, qa, qb, at - 1, at, k, visitors["r"].to_numpy(float)))})
     return run
 
 
@@ -159,9 +161,10 @@ def _reach(boxes: dict[int, np.ndarray], first: int | None, skip: int):
                     go = (gap < r[e, None]) & (rank >= skip) & (rank < (first if first is not None else len(box)))
                     i, j = np.nonzero(go)
                     part = rows.iloc[e].iloc[i][["attr", "id", "x", "y"]].copy()
+                    part["r"] = r[e][i]
                     part["to"] = box[j, 0].astype("int32")
                     out.append(part)
-            yield pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("attr", "id", "x", "y", "to")})
+            yield pd.concat(out) if out else pd.DataFrame({c: pd.Series([], dtype=object) for c in ("attr", "id", "x", "y", "r", "to")})
     return run
 
 
@@ -181,7 +184,7 @@ def radii(rows: DataFrame, k: int, box_rows: int = BOX_ROWS) -> DataFrame:
     own = f"attr int, id {id_type}, x double, y double, _pid int, near array<double>"
     state = ranged.groupBy("_pid", "attr").applyInPandas(_own(k), own).checkpoint(eager=True)
     for first, skip in ((2, 0), (None, 2)):
-        visits = state.mapInPandas(_reach(boxes, first, skip), f"attr int, id {id_type}, x double, y double, to int")
+        visits = state.mapInPandas(_reach(boxes, first, skip), f"attr int, id {id_type}, x double, y double, r double, to int")
         there = (visits.withColumnRenamed("to", "_pid").groupBy("_pid", "attr")
                  .cogroup(ranged.groupBy("_pid", "attr")).applyInPandas(_visit(k), f"attr int, id {id_type}, near array<double>"))
         empty = F.lit(None)
