@@ -433,9 +433,9 @@ def q_mutual_info_numeric(spark, sf_dir):
     """Scores of the other numeric columns with the price as numeric target."""
     from ..operators.nnmi import mutual_info_numeric
     cols = [c for c in LI_NUM if c != "l_extendedprice"]
-    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("row")
-    li = read_table(spark, sf_dir, "lineitem").select(key, *LI_NUM)
-    return mutual_info_numeric(Frame(df=li, num=tuple(cols), label="l_extendedprice", row_id="row"))
+    # order and line number repeat in this table: rows are numbered instead
+    li = read_table(spark, sf_dir, "lineitem").select(*LI_NUM)
+    return mutual_info_numeric(Frame(df=li, num=tuple(cols), label="l_extendedprice"))
 
 
 # ---------------------------------------------------------------- duplicates
