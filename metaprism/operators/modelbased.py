@@ -4,7 +4,9 @@ The tree is a Spark ML ``DecisionTreeClassificationModel``.  Its node table
 is read the way any Spark user can: save the model to the shared checkpoint
 folder and read ``<path>/data`` as parquet (columns id, prediction, impurity,
 impurityStats, rawCount, gain, leftChild, rightChild, split).  Node depths
-come from iterative parent joins (one round per tree level, at most 30).
+come from joins with ever higher ancestors (pointer doubling: five rounds for
+the 30 levels of the deepest tree), each round written to the shared folder, so
+that no plan holds more than one of them.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import Frame, entry, unpivot
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, written
 from . import moments as M
 from .models import FEAT, LBL, _indexed, class_list
 
@@ -39,21 +41,15 @@ def node_table(model, spark=None) -> DataFrame:
     nodes = spark.read.parquet(f"{path}/data").select(
         "id", "prediction", "rawCount", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
         F.col("split.featureIndex").alias("feature"))
-    nodes = nodes.withColumn("is_leaf", F.col("left") < 0).cache()
-    root = nodes.agg(F.min("id")).first()[0]
-    depth = nodes.where(F.col("id") == root).select("id", F.lit(0).alias("depth"))
-    frontier = depth
-    d = 0
-    while True:  # one round per level
-        d += 1
-        kids = (frontier.join(nodes, "id").where(~F.col("is_leaf"))
-                .select(F.explode(F.array("left", "right")).alias("id"))
-                .withColumn("depth", F.lit(d)))
-        if kids.isEmpty():
-            break
-        depth = depth.unionByName(kids)
-        frontier = kids
-    return nodes.join(depth, "id")
+    nodes = nodes.withColumn("is_leaf", F.col("left") < 0)
+    up = nodes.where(~F.col("is_leaf")).select(F.explode(F.array("left", "right")).alias("id"), F.col("id").alias("up"))
+    # (id, up, depth): the ancestor ``depth`` levels above, none for the root
+    at = written(nodes.select("id").join(up, "id", "left").select("id", "up", F.col("up").isNotNull().cast("int").alias("depth")), "dt-up")
+    while not at.where("up is not null").isEmpty():  # every round doubles the step
+        above = at.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("depth").alias("more"))
+        at = written(at.join(above, "up", "left").select(
+            "id", F.col("top").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "dt-up")
+    return written(nodes.join(at.select("id", "depth"), "id"), "dt-nodes")
 
 
 class TreeContext:
@@ -62,7 +58,7 @@ class TreeContext:
     def __init__(self, fr: Frame, max_depth: int = 30, seed: int = 42):
         self.model, self.classes = fit_tree(fr, max_depth, seed)
         self.spark, self.attrs, self.n = fr.spark, list(fr.num), fr.count()
-        self.nodes = node_table(self.model, fr.spark).cache()
+        self.nodes = node_table(self.model, fr.spark)
 
     @classmethod
     def of(cls, model, spark, attrs=None, classes=None) -> "TreeContext":
@@ -78,7 +74,7 @@ class TreeContext:
         t.classes = [str(i) for i in range(tree.numClasses)] if classes is None else list(classes)
         if len(t.attrs) != tree.numFeatures or len(t.classes) != tree.numClasses:
             raise ValueError(f"the tree has {tree.numFeatures} features and {tree.numClasses} classes")
-        t.nodes = node_table(tree, spark).cache()
+        t.nodes = node_table(tree, spark)
         t.n = t.nodes.where(F.col("depth") == 0).first()["rawCount"]
         return t
 

@@ -48,3 +48,19 @@ def test_other_models_are_refused(spark):
     tree = DecisionTreeClassifier(featuresCol="v", labelCol="y").fit(v)
     with pytest.raises(ValueError):
         extract_from_model(tree, spark, attrs=["a", "b"])
+
+
+def test_depths_of_a_deep_tree_hold_no_rounds(spark):
+    """Depths as the tree has them, in a plan that does not grow by a join a level."""
+    df = spark.createDataFrame([(float(i), float(i % 2)) for i in range(64)], "x double, y double")
+    v = VectorAssembler(inputCols=["x"], outputCol="v").transform(df)
+    tree = DecisionTreeClassifier(featuresCol="v", labelCol="y", maxDepth=30, maxBins=64).fit(v)
+    nodes = MB.node_table(tree, spark)
+    kids, want, level = {r["id"]: (r["left"], r["right"]) for r in nodes.collect()}, {0: 0}, [0]
+    while level:
+        level = [(k, want[i] + 1) for i in level if kids[i][0] >= 0 for k in kids[i]]
+        want |= dict(level)
+        level = [k for k, _ in level]
+    assert {r["id"]: r["depth"] for r in nodes.collect()} == want and len(want) == tree.numNodes
+    assert max(want.values()) == tree.depth > 5
+    assert "Join" not in nodes._jdf.queryExecution().optimizedPlan().toString()
