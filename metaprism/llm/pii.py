@@ -5,7 +5,7 @@ Exact patterns with validity checks give the base spans.  High-recall
 generators propose further, overlapping spans; boosted trees score them by
 format and context; a threshold per kind, calibrated on rows the trees did not
 see, selects the ones that are redacted beside the base spans.  The trees are
-trained on the corpus itself: candidates that are a base span are positive.
+trained on the whole corpus itself: candidates that are a base span are positive.
 What lies inside a longer match that the base patterns dropped (a telephone
 number with a card number right behind it is one run of digits to them) has no
 label; nor have forms that no base pattern knows, an address with (at) or a
@@ -15,6 +15,8 @@ learn such forms from base spans rewritten that way.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -75,8 +77,6 @@ FEATURES = ("kind", "length", "digits", "letters", "dots", "hyphens", "spaces",
             "groups", "distinct", "first", "left_alnum", "right_alnum", "cue", "valid")
 #: Words before a span that tell its kind.
 CUES = {"email": r"(?i)mail|contact", "ip": r"(?i)host|addr|\bip\b", "card": r"(?i)card|visa", "phone": r"(?i)phone|tel|call|fax|contact"}
-#: Most candidates the trees are fitted and calibrated on.
-FIT_ROWS = 20_000
 CONTEXT = 24
 
 
@@ -197,25 +197,29 @@ def score(model, x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * margin))
 
 
-def fit(found: DataFrame, fit_rows: int, trees: int, depth: int, precision: float):
-    """(model, {kind: threshold}) from at most ``fit_rows`` labelled candidates,
-    those of lowest hash; a quarter of them only calibrates.  A kind whose scores never
+def fit(found: DataFrame, trees: int, depth: int, precision: float):
+    """(model, {kind: threshold}) from all labelled candidates; a quarter of
+    them, by hash, only calibrates.  Equal ones are one row with their number as
+    weight, so copies cost nothing.  A kind whose scores never
     reach ``precision`` adds nothing; without both labels there is no model."""
     known = found.select(F.explode("cands").alias("c")).filter("c.y is not null")
     forms = found.select(F.explode("forms").alias("f")).select(F.struct("f.*", F.lit(1.0).alias("y")).alias("c"))
     columns = ("kind", "match", "start", "x", "y")
     rows = materialise(
-        known.select(F.struct(*[F.col(f"c.{k}").alias(k) for k in columns]).alias("c")).unionByName(forms).select("c.kind", "c.x", "c.y", F.xxhash64("c.match", "c.start").alias("h"))
-        .orderBy("h", "kind", "y").limit(fit_rows).withColumn("held", F.pmod("h", F.lit(4)) == 0), "pii-fit")
-    training = rows.filter("not held").select(array_to_vector("x").alias("features"), F.col("y").alias("label")).coalesce(4).cache()
+        known.select(F.struct(*[F.col(f"c.{k}").alias(k) for k in columns]).alias("c")).unionByName(forms)
+        .groupBy("c.kind", "c.x", "c.y", (F.pmod(F.xxhash64("c.match", "c.start"), F.lit(4)) == 0).alias("held"))
+        .agg(F.count("*").cast("double").alias("n")).sortWithinPartitions("kind", "x", "y", "held"), "pii-fit")
+    training = rows.filter("not held").select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "n").cache()
     try:
         if training.select("label").distinct().count() < 2:
             return None, {}
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=32).fit(training)
+        # MLlib proposes splits from maxBins ** 2 rows: so many bins that these are all
+        bins = max(32, math.isqrt(training.count()) + 1)
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=bins, weightCol="n").fit(training)
     finally:
         training.unpersist()
-    steps = (rows.filter("held").select("kind", F.floor(score(model, F.col("x")) * 100).cast("int").alias("step"), "y")
-             .groupBy("kind", "step").agg(F.count("*").alias("n"), F.sum("y").alias("hits")).collect())  # <= 4 x 101 rows
+    steps = (rows.filter("held").select("kind", F.floor(score(model, F.col("x")) * 100).cast("int").alias("step"), "y", "n")
+             .groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.col("y") * F.col("n")).alias("hits")).collect())  # <= 4 x 101 rows
     thresholds = {}
     for kind in KINDS:
         n = hits = 0
@@ -239,7 +243,7 @@ def without_overlap(scored: Column) -> Column:
         F.concat(taken, F.array(F.struct(*[s["c"][k].alias(k) for k in ("start", "ord", "end", "kind", "match")])).cast(SPANS))))
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS,
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            trees: int = 12, depth: int = 4, precision: float = 0.95) -> DataFrame:
     """(id, base, spans): the base spans, and all spans with the selected
     candidates that overlap no base span (best score first, each that meets none taken before).
@@ -248,7 +252,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_
     their row; an empty table gives no rows; other columns are never read.
     """
     found = materialise(candidates(docs, id_col, text_col), "pii-candidates")
-    model, thresholds = fit(found, fit_rows, trees, depth, precision)
+    model, thresholds = fit(found, trees, depth, precision)
     if not thresholds:
         return found.select(F.col("rid").alias(id_col), "base", F.col("base").alias("spans"))
     least = lambda kind: F.coalesce(*[F.when(kind == k, F.lit(float(thresholds.get(k, 2.0)))) for k in KINDS])

@@ -484,6 +484,19 @@ def test_pii_adds_forms_the_base_patterns_do_not_know(spark):
         assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_pii(t)), t
 
 
+def test_pii_learns_from_all_candidates(spark, monkeypatch):
+    """Every labelled candidate counts, however many there are; equal ones are one row."""
+    seen, write = {}, pii.materialise
+    monkeypatch.setattr(pii, "materialise", lambda df, tag: seen.setdefault(tag, write(df, tag)))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.format_string("mail u%d@example.org of release 1.2.%d", "id", "id").alias("text"))
+    pii.detect(docs, trees=2, depth=2)
+    labelled = F.size(F.filter("cands", lambda c: c["y"].isNotNull())) + F.size("forms")
+    total = seen["pii-candidates"].agg(F.sum(labelled)).first()[0]
+    fitted = seen["pii-fit"]
+    assert fitted.agg(F.sum("n")).first()[0] == total > 20_000
+    assert fitted.count() < 1000
+
+
 def test_pii_takes_spans_greedily(spark):
     rows = [(1, [(0.9, 0, 4), (0.8, 2, 12), (0.7, 10, 16)]), (2, [(0.7, 0, 4), (0.8, 2, 12), (0.7, 10, 16)]), (3, [(0.5, 0, 4), (0.5, 0, 6)]), (4, [])]
     df = spark.createDataFrame([(i, [(p, (a, 2, b, "card", "m", [0.0], None)) for p, a, b in spans]) for i, spans in rows],
