@@ -74,3 +74,17 @@ def test_edges_of_rows_without_a_label(spark, graph):
     fr, A = graph
     got = {(r["a"], r["b"]) for r in NB.knn_graph_edges(fr, block_rows=20).collect()}
     assert got == {(i, j) for i, j in zip(*np.nonzero(A)) if i < j}
+
+
+def test_pair_statistics_on_demand(spark, graph):
+    """Only what is wanted is computed, with the values of the whole."""
+    from metaprism.operators.pairs import pair_stats, scaled_matrix, sorted_classes
+    fr, _ = graph
+    mat, classes = scaled_matrix(fr, "minmax"), sorted_classes(fr)
+    want = {r["row_id"]: r for r in pair_stats(mat, classes, "gower", 40).collect()}
+    got = pair_stats(mat, classes, "gower", 40, want=NB.NEIGHBOURS)
+    assert set(got.columns) == {"row_id", "y", "own_d", "nn_d", "nn_id", "nn_y", "ne_d", "ne_id"}
+    for r in got.collect():
+        assert all(r[c] == want[r["row_id"]][c] for c in got.columns)
+        own = classes.index(r["y"]) if r["y"] else None
+        assert r["own_d"] == (None if own is None else want[r["row_id"]][f"mn{own}"])
