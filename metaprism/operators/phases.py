@@ -120,11 +120,17 @@ def fit_impute_num(fr: Frame, option: str, seed: int = 42) -> Fitted:
     return Fitted("impute_num", option, params, apply)
 
 
+#: Distinct values of a column that are sent to all tasks.
+BROADCAST_LEVELS = 10_000
+
+
 def _fit_random_fill(fr: Frame, cols: list[str], seed: int, phase: str, where=None) -> Fitted:
     """Fill each null (or each ``where`` cell) with a distinct train value
     picked by a portable hash of (row key, seed + 7919 * column position).
     The distinct-value table is ranked distributedly and joined on the drawn
-    rank - no value list on the driver, no per-row Python.
+    rank - no value list on the driver, no per-row Python.  Up to
+    ``BROADCAST_LEVELS`` values go to the rows; with more, cells that are kept
+    have keys of their own, which no value has, so that they do not meet.
     """
     if fr.row_id is None:
         raise ValueError("random fill needs a row key")
@@ -146,9 +152,10 @@ def _fit_random_fill(fr: Frame, cols: list[str], seed: int, phase: str, where=No
             hit = F.col(c).isNull() if where is None else where(c)
             draw = hkey(F.col(fr.row_id), p["seed"] + 7919 * j) % F.lit(k)
             lv = p["_tables"][c].select(F.col("code").alias(f"_d_{c}"), F.col("value").alias(f"_v_{c}"))
-            df = (df.withColumn(f"_d_{c}", F.when(hit, draw))
-                  .join(lv, f"_d_{c}", "left")
-                  .withColumn(c, F.when(F.col(f"_d_{c}").isNotNull(), F.col(f"_v_{c}").cast(df.schema[c].dataType))
+            kept = -1 - F.pmod(F.xxhash64(fr.row_id), F.lit(1 << 40))
+            df = (df.withColumn(f"_d_{c}", F.when(hit, draw).otherwise(kept))
+                  .join(F.broadcast(lv) if k <= BROADCAST_LEVELS else lv, f"_d_{c}", "left")
+                  .withColumn(c, F.when(F.col(f"_d_{c}") >= 0, F.col(f"_v_{c}").cast(df.schema[c].dataType))
                               .otherwise(F.col(c)))
                   .drop(f"_d_{c}", f"_v_{c}"))
         return fr.with_df(df.select(*fr.df.columns))
