@@ -167,7 +167,8 @@ class Cells:
 
     def nearest(self, queries: DataFrame, k: int, by_group: bool = False, positive: bool = False) -> DataFrame:
         """(qid, rank, id, d, y): the k nearest points of each row of
-        ``queries`` (qid, g, x), by distance and then id, the smallest first.
+        ``queries`` (qid, g, x), by distance and then id, the smallest first;
+        with a column ``limit``, only points no farther than that.
         ``by_group``: only points of another group; ``positive``: only points
         at a distance above zero."""
         metric = self.metric
@@ -200,14 +201,16 @@ class Cells:
                 out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[row[top]], "d": d[top], "id": ids[col[top]], "y": ys[col[top]]}))
             return pd.concat(out, ignore_index=True)
 
-        queries = written(queries.select("qid", F.col("g").cast("string").alias("g"), "x"), "cells-queries")
+        limited = "limit" in queries.columns  # such rows need no first rounds to learn how far to look
+        limit = F.col("limit") if limited else F.lit(float("inf"))
+        queries = written(queries.select("qid", F.col("g").cast("string").alias("g"), "x", limit.alias("limit")), "cells-queries")
         best, first = None, 0
-        for last in ROUNDS:
+        for last in (None,) if limited else ROUNDS:
             if best is None:
-                state = queries.withColumn("limit", F.lit(float("inf")))
+                state = queries
             else:  # rows that have k neighbours look no farther than the k-th
-                full = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("limit"))
-                state = queries.join(full, "qid", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+                full = best.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("kth"))
+                state = queries.join(full, "qid", "left").withColumn("limit", F.least("limit", "kth")).drop("kth")
             found = self._meet(self._to_visit(state, first, last, by_group), tile, "qid long, d double, id long, y string")
             found = found if best is None else best.unionByName(found)
             ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).where(F.col("rank") <= k)

@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame, NotComputable, empty_long, entry, keyed
+from ..frame import Frame, NotComputable, empty_long, entry, keyed, union_all
 from ..functions.ranking import rank_within
 from . import moments as M
 from ..session import written
-from .cells import Enemies, nearest_in, nearest_rows
+from .cells import CELL_ROWS, Cells, Enemies, nearest_in, nearest_rows
 from .kth import ClassBlocks, kth_neighbours, neighbour_edges, product
 from .pairs import STATS, pair_stats, scaled_matrix, sorted_classes, spread, tiled, _dist
 
@@ -248,52 +248,97 @@ def ft_n4(fr: Frame, metric: str = "gower", seed: int = 0, block_rows: int = 204
     return _per_row(test, "n4", (F.col("nn_y") != F.col("_y")).cast("double"))
 
 
+#: Nearest rows that a row knows before the rounds of a spanning forest.
+FOREST_LINKS = 16
+
+
 def minimum_spanning_forest(fr: Frame, metric: str = "gower", scale: str | None = "minmax",
-                            block_rows: int = 2048) -> DataFrame:
+                            block_rows: int = 2048, links: int = FOREST_LINKS, log: list | None = None) -> DataFrame:
     """Exact minimum spanning forest of the complete distance graph (zero
-    distances are no edge) by Boruvka rounds over cells.
-
-    Each round gives every row its nearest row in another component (ties by
-    id); cells that lie in the row's own component, or too far, are not
-    visited; each component keeps its lightest edge under the
-    total order (d, low id, high id); components merge by pointer jumping
-    on the component table.  O(log n) rounds; every round's component table is
-    checkpointed to the shared folder.  Returns edges (src, dst, d).
+    distances are no edge) by Boruvka rounds.
+
+    Equal rows are one point: every further copy hangs on the nearest row of
+    its point.  Points know their ``links`` nearest points (one search over
+    cells); each round drops those in their own component, and the component's
+    lightest edge under the total order (d, low id, high id) is the least of
+    what is left.  Only a point without links, none of whose unknown
+    neighbours need be farther than that edge, searches again, no farther than
+    the edge (a component without any edge asks one point first).  Components
+    merge by pointer jumping on the component table.  O(log n) rounds, each
+    written to the shared folder.  ``log`` takes the number of points of each
+    search.  Returns edges (src, dst, d).
     """
-    mat = scaled_matrix(fr, scale)
-    spark = fr.spark
-    search = Enemies(mat, metric, block_rows, positive=True)
-    comp = mat.select("row_id", F.col("row_id").alias("comp")).checkpoint(eager=True)
-    edges = None
-    while True:  # each round at least halves the components
-        cand = search.nearest(comp.select("row_id", F.col("comp").alias("g"))).select(F.col("g").cast("long").alias("comp"), "row_id", "ne_id", "ne_d")
-        best = cand.groupBy("comp").agg(F.min(F.struct(
-            F.col("ne_d").alias("d"), F.least("row_id", "ne_id").alias("lo"),
-            F.greatest("row_id", "ne_id").alias("hi"), F.col("row_id").alias("src"),
-            F.col("ne_id").alias("dst"))).alias("e")).select("comp", "e.*").cache()
-        if best.isEmpty():
+    mat = written(scaled_matrix(fr, scale).select("row_id", "x"), "forest-rows")
+    point = written(mat.groupBy("x").agg(F.min("row_id").alias("row_id")).select("row_id", "x"), "forest-points")
+    none = F.lit(None).cast("string")
+    cells = Cells(point.select("row_id", none.alias("y"), none.alias("g"), "x"), metric, min(CELL_ROWS, block_rows))
+    dealt = cells.points
+    inf = F.lit(float("inf"))
+
+    def search(asks: DataFrame, by_group: bool) -> tuple[DataFrame, DataFrame]:
+        """(row_id, nb, d) found for (qid, g, x, limit), and (row_id, beyond):
+        every point not found lies at least so far."""
+        if log is not None:
+            log.append(asks.count())
+        found = written(cells.nearest(asks, links, by_group=by_group, positive=True)
+                        .select(F.col("qid").alias("row_id"), F.col("id").alias("nb"), "d", "rank"), "forest-found")
+        full = found.where(F.col("rank") == links).select("row_id", F.col("d").alias("kth"))
+        # not found within the limit: farther than it, by one unit in the last place at least
+        past = F.when(F.col("limit") == inf, inf).otherwise(F.col("limit") * (1 + 2.0 ** -52) + 5e-324)
+        limit = F.col("limit") if "limit" in asks.columns else inf
+        reach = asks.select(F.col("qid").alias("row_id"), limit.alias("limit")).join(full, "row_id", "left")
+        return found, reach.select("row_id", F.coalesce("kth", past).alias("beyond"))
+
+    known, reach = search(point.select(F.col("row_id").alias("qid"), none.alias("g"), "x"), False)
+    reach = written(reach, "forest-reach")
+    # copies of a point: an edge each to the nearest row of another point
+    first = known.where(F.col("rank") == 1).select(F.col("row_id").alias("rep"), "nb", "d")
+    copies = mat.join(point.withColumnRenamed("row_id", "rep"), "x").where(F.col("row_id") != F.col("rep")).join(first, "rep")
+    edges = [copies.select(F.least("row_id", "nb").alias("lo"), F.greatest("row_id", "nb").alias("hi"), "d")]
+    known = known.drop("rank")
+    comp = written(point.select("row_id", F.col("row_id").alias("comp")), "forest-comp")
+    while True:  # a merge at least halves the components that have an edge
+        mine, other = comp.withColumnRenamed("comp", "a"), comp.select(F.col("row_id").alias("nb"), F.col("comp").alias("b"))
+        known = written(known.select("row_id", "nb", "d").join(mine, "row_id").join(other, "nb").where(F.col("a") != F.col("b")), "forest-links")
+        least = written(known.groupBy("a").agg(F.min(F.struct(
+            "d", F.least("row_id", "nb").alias("lo"), F.greatest("row_id", "nb").alias("hi"), "b")).alias("e")).select("a", "e.*"), "forest-least")
+        asks = (reach.where(F.col("beyond") < inf).join(known.select("row_id").distinct(), "row_id", "left_anti").join(mine, "row_id")
+                .join(least.select("a", F.col("d").alias("limit")), "a", "left")
+                .where(F.col("limit").isNull() | (F.col("beyond") <= F.col("limit"))))
+        alone = asks.where(F.col("limit").isNull()).groupBy("a").agg(F.min("row_id").alias("row_id")).select("row_id")
+        asks = asks.where(F.col("limit").isNotNull()).select("row_id", "a", "limit").unionByName(
+            asks.join(alone, "row_id", "left_semi").select("row_id", "a", inf.alias("limit")))
+        asks = written(asks.join(point, "row_id").select(F.col("row_id").alias("qid"), F.col("a").cast("string").alias("g"), "x", "limit"), "forest-asks")
+        if not asks.isEmpty():
+            cells.points = written(dealt.drop("g").join(comp.select("row_id", F.col("comp").cast("string").alias("g")), "row_id")
+                                   .select("row_id", "y", "g", "x", "cell"), "forest-groups")
+            found, now = search(asks, True)
+            known = known.select("row_id", "nb", "d").unionByName(found.select("row_id", "nb", "d"))
+            # a component whose point found nothing without a limit is the only one within reach
+            over = (asks.where(F.col("limit") == inf).join(found.select(F.col("row_id").alias("qid")), "qid", "left_anti")
+                    .select(F.col("g").cast("long").alias("a"), F.lit(True).alias("over")))
+            reach = written(reach.join(now.withColumnRenamed("beyond", "now"), "row_id", "left").join(mine, "row_id").join(over, "a", "left").select(
+                "row_id", F.when(F.col("over"), inf).otherwise(F.coalesce("now", "beyond")).alias("beyond")), "forest-reach")
+            continue
+        if least.isEmpty():
             break
-        new = best.select("lo", "hi", "d").distinct()
-        edges = new if edges is None else edges.unionByName(new).distinct()
-        edges = edges.checkpoint(eager=True)
-        # pointer of each component = component of its edge's other end
-        ptr = best.join(comp.withColumnRenamed("row_id", "dst").withColumnRenamed("comp", "p"), "dst") \
-            .select("comp", "p")
-        back = ptr.select(F.col("comp").alias("p"), F.col("p").alias("pp"))
-        ptr = ptr.join(back, "p", "left").select(
-            "comp", F.when((F.col("pp") == F.col("comp")) & (F.col("comp") < F.col("p")), F.col("comp"))
-            .otherwise(F.col("p")).alias("p")).checkpoint(eager=True)
-        while True:  # pointer jumping, O(log #components) rounds
-            nxt = ptr.join(ptr.select(F.col("comp").alias("p"), F.col("p").alias("p2")), "p", "left") \
-                .select("comp", F.coalesce("p2", "p").alias("p")).checkpoint(eager=True)
-            changed = nxt.join(ptr.withColumnRenamed("p", "old"), "comp").where(F.col("p") != F.col("old")).count()
-            ptr = nxt
-            if changed == 0:
+        edges.append(least.select("lo", "hi", "d"))
+        # pointer of each component = component of its edge's other end; of two that point at each other the smaller stays
+        back = least.select(F.col("a").alias("b"), F.col("b").alias("bb"))
+        ptr = written(least.select("a", "b").join(back, "b").select(
+            F.col("a").alias("comp"), F.when((F.col("bb") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("p")), "forest-pointers")
+        while True:  # pointer jumping, three steps a round: O(log #components) rounds
+            hop = ptr.select(F.col("comp").alias("p"), F.col("p").alias("p2"))
+            two = ptr.join(hop, "p", "left").select("comp", F.col("p").alias("old"), F.coalesce("p2", "p").alias("p"))
+            nxt = written(two.join(hop, "p", "left").select(
+                "comp", F.coalesce("p2", "p").alias("p"), (F.coalesce("p2", "p") != F.col("old")).alias("moved")), "forest-pointers")
+            moved = not nxt.where("moved").isEmpty()
+            ptr = nxt.drop("moved")
+            if not moved:
                 break
-        comp = comp.join(ptr, "comp", "left").select("row_id", F.coalesce("p", "comp").alias("comp")).checkpoint(eager=True)
-    if edges is None:
-        return spark.createDataFrame([], "src long, dst long, d double")
-    return edges.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "d")
+        comp = written(comp.join(ptr, "comp", "left").select("row_id", F.coalesce("p", "comp").alias("comp")), "forest-comp")
+    out = union_all(edges).distinct()
+    return out.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "d")
 
 
 def ft_n1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame:
