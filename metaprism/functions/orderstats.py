@@ -65,6 +65,12 @@ def ranks_of_keys(ranged: DataFrame, keys: list[str], ranks) -> dict[tuple, dict
     return out
 
 
+def weighted_counts(counts: DataFrame, value: Column) -> DataFrame:
+    """Counts of ``value``, an expression of each counted value (attr, value, n)."""
+    return (counts.select("attr", value.alias("value"), "n").where(F.col("value").isNotNull())
+            .groupBy("attr", "value").agg(F.sum("n").alias("n")))
+
+
 def at_ranks(df: DataFrame, cols: Mapping[str, Column], ranks) -> dict[str, dict[int, float]]:
     """{column: {rank: value}} of 0-based ranks in sorted order (nulls left out,
     NaN last).  ``ranks(n)`` names the wanted ranks of a column of n values."""

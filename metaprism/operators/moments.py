@@ -20,7 +20,7 @@ from . import gram
 
 #: Columns for which every pair is an expression of one aggregate; more go by
 #: the blocked kernel (``gram``), with the same values.
-MAX_PAIRWISE_COLS = 200
+MAX_PAIRWISE_COLS = 6
 #: Numbers of class covariances that the driver takes for its algebra.
 MAX_DRIVER_CELLS = 40_000_000
 

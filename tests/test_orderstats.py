@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from metaprism.functions.orderstats import at_ranks, modes, quantiles
+from metaprism.functions.orderstats import at_ranks, modes, quantiles, value_counts
 
 
 def test_quantiles_and_ranks(spark):
@@ -23,3 +23,26 @@ def test_modes(spark):
     df = spark.createDataFrame([("x",), ("y",), ("y",), ("x",), ("z",), (None,), (None,), (None,)], "c string")
     assert modes(df, {"c": F.col("c"), "n": F.lit(None).cast("string")}) == {"c": "x", "n": None}
     assert modes(df.limit(0), {"c": F.col("c")}) == {"c": None}
+
+
+def test_column_features_count_the_rows_once(spark, monkeypatch):
+    """Quartiles, deviations, trimmed means and moments share one count of the
+    values; they are numpy's, and a constant or empty column stays one."""
+    from metaprism.frame import Frame
+    from metaprism.operators import statistical as S
+    rng = np.random.default_rng(5)
+    a, b = rng.gamma(2.0, size=3000), rng.integers(0, 9, 3000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y), 2.5, None) for x, y in zip(a, b)], "a double, b double, c double, e double")
+    fr, passes = Frame(df=df, num=("a", "b", "c", "e")), []
+    monkeypatch.setattr(S, "value_counts", lambda *args: passes.append(1) or value_counts(*args))
+    rows = S.column_features(fr).unionByName(S.ft_mad(fr)).unionByName(S.ft_t_mean(fr)).unionByName(S.ft_nr_outliers(fr)).collect()
+    got = {(r["feature"], r["attr"]): r["value"] for r in rows}
+    assert len(passes) == 1
+    for c, v in (("a", a), ("b", b)):
+        cut = np.sort(v)[600:-600]
+        want = {"mean": v.mean(), "var": v.var(ddof=1), "median": np.median(v), "mad": 1.4826 * np.median(np.abs(v - np.median(v))),
+                "t_mean": cut.mean(), "min": v.min(), "max": v.max(), "iq_range": np.subtract(*np.quantile(v, [0.75, 0.25]))}
+        assert all(np.isclose(got[f, c], w, rtol=1e-10) for f, w in want.items())
+    k = ((a - a.mean()) ** 4).mean() / a.var() ** 2 * (1 - 1 / 3000) ** 2 - 3
+    assert np.isclose(got["kurtosis", "a"], k) and np.isclose(got["g_mean", "a"], np.exp(np.log(a).mean()))
+    assert got["var", "c"] == 0 and got["kurtosis", "c"] is None and got["mean", "c"] == 2.5 and got["mean", "e"] is None
