@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..frame import Frame, union_all
+from ..functions.orderstats import distinct_values
 from ..functions.numeric import sig, sql_sig
 from ..functions.summaries import summarise
 from ..operators import encoding as T
@@ -305,8 +306,7 @@ def q_build_views(spark, sf_dir):
     parts = []
     for view, f in (("C", c_view), ("N", n_view)):
         cols = list(f.cat if view == "C" else f.num)
-        r = f.df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-        parts += [(view, c, int(r[f"d{i}"])) for i, c in enumerate(cols)]
+        parts += [(view, c, n) for c, n in distinct_values(f.df, {c: F.col(f"`{c}`") for c in cols}).items()]
     return spark.createDataFrame(parts, "view string, column_name string, distinct_values long")
 
 

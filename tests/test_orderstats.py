@@ -46,3 +46,10 @@ def test_column_features_count_the_rows_once(spark, monkeypatch):
     k = ((a - a.mean()) ** 4).mean() / a.var() ** 2 * (1 - 1 / 3000) ** 2 - 3
     assert np.isclose(got["kurtosis", "a"], k) and np.isclose(got["g_mean", "a"], np.exp(np.log(a).mean()))
     assert got["var", "c"] == 0 and got["kurtosis", "c"] is None and got["mean", "c"] == 2.5 and got["mean", "e"] is None
+
+
+def test_distinct_values(spark):
+    from metaprism.functions.orderstats import distinct_values
+    df = spark.createDataFrame([(1, 0.0, "x"), (2, -0.0, "x"), (2, None, None)], "`a.b` long, b double, c string")
+    cols = {"a.b": F.col("`a.b`"), "b": F.col("b"), "c": F.col("c"), "none": F.lit(None).cast("string"), "big": F.lit(2 ** 53) + F.col("`a.b`")}
+    assert distinct_values(df, cols) == {"a.b": 2, "b": 1, "c": 1, "none": 0, "big": 2}
