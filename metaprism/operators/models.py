@@ -9,10 +9,12 @@ grouped moments pass plus d x d algebra, then a score expression.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any, Callable
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import classification as MC
 from pyspark.ml import clustering as MK
 from pyspark.ml import regression as MR
@@ -20,7 +22,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import Frame
+from ..frame import Frame, keyed
+from ..session import written
 from . import moments as Mo
 
 FEAT = "_features"
@@ -229,12 +232,101 @@ REGRESSORS = {
 }
 
 
+#: Weight column of cells.
+CNT = "_n"
+#: Rows of equal features that a cell stands for, on average, at least; otherwise trees are fitted on rows.
+CELL_ROWS = 4
+#: Rows of a task when trees are fitted on cells.
+TASK_CELLS = 20_000
+#: Trees whose bootstrap sums one aggregate makes; cells times trees of a forest on cells, at most.
+BAG, MAX_BAG_CELLS = 10, 100_000_000
+#: Tree learners to whose splits a cell's weight and mean target say the same as its rows.
+ON_CELLS = {"arbol_decision", "gradient_boosting"}
+
+
+def _mean(weight, target):
+    """Weighted mean (null without weight); null as soon as one target is, which learners refuse."""
+    return F.when(F.count(target) == F.count(F.lit(1)), F.try_divide(F.sum(weight * target), F.sum(weight)))
+
+
+def cells(fr: Frame, target: str) -> tuple[DataFrame, int]:
+    """Rows of equal features as one row with their number and mean target, written,
+    and the number of such rows.  Variance inside a cell is on the same side of every
+    split, so gains and leaf means of trees over cells are those over rows."""
+    def make():
+        t = F.col(target).cast("double")
+        out = written(fr.df.groupBy(*fr.num).agg(F.count(F.lit(1)).cast("double").alias(CNT), _mean(F.lit(1.0), t).alias(target)), "cells")
+        return out, out.count()
+    return fr.memo(("cells", target), make)
+
+
+def poisson_draw(row_id: str, seed: int, tree: int):
+    """Times that a bootstrap of one tree has a row: Poisson of mean 1, drawn from the row's key."""
+    u = f"shiftrightunsigned(xxhash64(`{row_id}`, {seed}, {tree}), 12)"
+    p, upto, cases = math.exp(-1.0), 0.0, ""
+    for j in range(18):
+        upto += p
+        cases += f" WHEN {u} < {int(upto * 2**52)} THEN {j}D"
+        p /= j + 1
+    return F.expr(f"CASE{cases} ELSE 18D END")  # one text: a call of the JVM a case takes seconds over 100 trees
+
+
+def bootstrap_cells(fr: Frame, target: str, trees: int, seed: int) -> list[DataFrame]:
+    """One table a tree: every row drawn as often as its key says for that tree,
+    equal features as one row with the draws' number and mean target."""
+    fr = keyed(fr)
+    t = F.col(target).cast("double")
+    out: list[DataFrame] = []
+    for start in range(0, trees, BAG):
+        block = range(start, min(start + BAG, trees))
+        drawn = fr.df.select(*fr.num, t.alias(target), *[poisson_draw(fr.row_id, seed, i).alias(f"_w{i}") for i in block])
+        sums = written(drawn.groupBy(*fr.num).agg(*[F.sum(f"_w{i}").alias(f"_w{i}") for i in block],
+                                                  *[_mean(F.col(f"_w{i}"), F.col(target)).alias(f"_t{i}") for i in block]), "bags")
+        out += [sums.where(F.col(f"_w{i}") > 0).select(*fr.num, F.col(f"_w{i}").alias(CNT), F.col(f"_t{i}").alias(target))
+                for i in block]
+    return out
+
+
+def _fit_forest_on_cells(fr: Frame, target: str, est, seed: int, n_cells: int) -> FittedModel:
+    """A forest whose trees see their bootstrap of the rows as cells, so that levels
+    cost the distinct features, not the rows; prediction is the trees' mean."""
+    trees = est.getNumTrees()
+    subset = est.getFeatureSubsetStrategy()
+    subset = ("onethird" if trees > 1 else "all") if subset == "auto" else subset
+    bags = bootstrap_cells(fr, target, trees, seed)
+
+    def one(i: int):
+        tree = est.copy({est.numTrees: 1, est.bootstrap: False, est.featureSubsetStrategy: subset, est.seed: seed + i})
+        data = bags[i].coalesce(max(1, n_cells // TASK_CELLS))
+        return tree.setWeightCol(CNT).setPredictionCol(f"_p{i}").fit(assemble(data, fr.num))
+    with ThreadPoolExecutor(8) as pool:
+        models = list(pool.map(inheritable_thread_target(fr.spark)(one), range(trees)))
+
+    def predict(df: DataFrame) -> DataFrame:
+        seen = df.select(*[F.col(c).alias(f"_v{j}") for j, c in enumerate(fr.num)]).distinct()
+        vec = VectorAssembler(inputCols=[f"_v{j}" for j in range(len(fr.num))], outputCol=FEAT, handleInvalid="keep").transform(seen)
+        for m in models:
+            vec = m.transform(vec)
+        mean = sum((F.col(f"_p{i}") for i in range(1, trees)), F.col("_p0")) / float(trees)
+        known = written(vec.select(*seen.columns, mean.alias("pred")), "forest")
+        same = [F.col(c).eqNullSafe(F.col(f"_v{j}")) for j, c in enumerate(fr.num)]
+        return df.join(known, same, "left").select(*df.columns, "pred")
+    return FittedModel("random_forest", predict, models)
+
+
 def fit_regressor(name: str, fr: Frame, target: str, seed: int = 42) -> FittedModel:
     if name not in REGRESSORS:
         raise ValueError(f"unknown regressor {name}")
     n, spread = fr.df.agg(F.count(F.lit(1)), F.stddev_pop(F.col(target).cast("double"))).first()
     est = REGRESSORS[name](max(n, 1), spread or 1.0, seed).setFeaturesCol(FEAT).setLabelCol(target).setPredictionCol("pred")
-    model = est.fit(assemble(fr.df, fr.num))
+    data = fr.df
+    if name in ON_CELLS or name == "random_forest":
+        few, m = cells(fr, target)
+        if m * CELL_ROWS <= n and name == "random_forest" and m * est.getNumTrees() <= MAX_BAG_CELLS:
+            return _fit_forest_on_cells(fr, target, est, seed, m)
+        if m * CELL_ROWS <= n and name in ON_CELLS:
+            data, est = few.coalesce(max(1, m // TASK_CELLS)), est.setWeightCol(CNT)
+    model = est.fit(assemble(data, fr.num))
 
     def predict(df: DataFrame) -> DataFrame:
         return model.transform(assemble(df, fr.num)).select(*df.columns, "pred")
