@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from metaprism.frame import Frame, NotComputable
 from metaprism.operators import nnmi, phases
+from metaprism.session import written as session_written
 
 
 def psi(m):
@@ -62,6 +63,28 @@ def test_radii_and_counts_of_every_row(spark):
             assert [m[a, key, "x"], m[a, key, "y"]] == [counts[0][i], counts[1][i]]
 
 
+def test_few_rows_leave_their_box_and_ends_inside_runs_are_counted(spark):
+    """Only rows near a box's edge are handed on, and with two runs a range most
+    ends lie inside one."""
+    fr = table(spark, 1500)
+    rows = nnmi.plane_rows(fr, "y", ["free", "hot"])
+    sent, visits = [], nnmi._reach
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(nnmi, "_reach", lambda boxes, first, skip: sent.append((first, skip)) or visits(boxes, first, skip))
+        m.setattr(nnmi, "written", lambda df, tag: sent.append((tag, w := session_written(df, tag))) or w)
+        near = nnmi.radii(rows, 3, box_rows=300)
+    assert near.count() == 3000
+    opened = {tag: df.count() for tag, df in sent if isinstance(tag, str)}
+    assert 0 < opened["nnmi-open"] < 1500  # the rows that leave their box; all 3000 before
+    m = {(t["attr"], t["id"], t["axis"]): t["m"] for t in nnmi.axis_counts(near, most_runs=2).collect()}
+    r = {(t["attr"], t["id"]): t["r"] for t in near.collect()}
+    for a, p in enumerate(planes(fr, ["free", "hot"]).values()):
+        want, counts, _ = all_pairs(p["x"].to_numpy(), p["y"].to_numpy(), 3)
+        assert [r[a, i] for i in p["id"]] == list(want)
+        assert [m[a, i, "x"] for i in p["id"]] == list(counts[0])
+        assert [m[a, i, "y"] for i in p["id"]] == list(counts[1])
+
+
 def test_known_value(spark):
     """Two normals of correlation 0.9: -ln(1 - 0.81) / 2."""
     rng = np.random.default_rng(1)
