@@ -165,12 +165,12 @@ class Cells:
                     yield out
         return state.mapInPandas(choose, "qid long, g string, x array<double>, limit double, cell int")
 
-    def nearest(self, queries: DataFrame, k: int, by_group: bool = False, positive: bool = False) -> DataFrame:
+    def nearest(self, queries: DataFrame, k: int, by_group: bool = False, positive: bool = False, own: bool = False) -> DataFrame:
         """(qid, rank, id, d, y): the k nearest points of each row of
         ``queries`` (qid, g, x), by distance and then id, the smallest first;
         with a column ``limit``, only points no farther than that.
-        ``by_group``: only points of another group; ``positive``: only points
-        at a distance above zero."""
+        ``by_group``: only points of another group; ``own``: only points of the
+        row's group; ``positive``: only points at a distance above zero."""
         metric = self.metric
         if by_group:
             self._see_groups()
@@ -187,6 +187,8 @@ class Cells:
                 ok = D <= part["limit"].to_numpy()[:, None]
                 if by_group:
                     ok &= part["g"].to_numpy(dtype=object)[:, None] != rg[None, :]
+                if own:
+                    ok &= part["g"].to_numpy(dtype=object)[:, None] == rg[None, :]
                 if positive:
                     ok &= D > 0
                 D = np.where(ok, D, np.inf)
@@ -221,6 +223,53 @@ class Cells:
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).select("qid", "rank", "id", "d", "y")
 
 
+    def near_visits(self, queries: DataFrame) -> DataFrame:
+        """Visits of rows (qid, g, x, limit) to every cell that their limit can
+        reach, also as rows (cell -1) with the number ``n`` of points in cells that
+        lie within the limit as a whole, which nobody visits.  Points weigh ``y``."""
+        geometry = self.geometry
+        weight = np.zeros(len(geometry.count))
+        for r in self.points.groupBy("cell").agg(F.sum(F.col("y").cast("long")).alias("w")).collect():  # a row a cell
+            weight[r["cell"]] = r["w"]
+
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for a in range(0, len(b) if geometry.count.any() else 0, _CHUNK):
+                    part = b.iloc[a:a + _CHUNK]
+                    X, limit = _matrix(part["x"]), part["limit"].to_numpy()[:, None]
+                    low, _ = geometry.bounds(X)
+                    # never below the true distance by rounding
+                    most = (_dist(X, geometry.pivots, geometry.metric) + geometry.far[-1]) * (1 + 1e-9) + 1e-12
+                    some = geometry.count > 0
+                    whole = (most < limit) & some
+                    row, cell = np.nonzero((low <= limit) & ~whole & some)
+                    out = part.iloc[row].copy()
+                    out["cell"], out["n"] = cell.astype("int32"), 0
+                    sums = part.copy()
+                    sums["cell"], sums["n"] = np.int32(-1), (whole @ weight).astype("int64")
+                    yield pd.concat([out, sums])
+        schema = "qid long, g string, x array<double>, limit double, cell int, n long"
+        return written(queries.select("qid", F.col("g").cast("string").alias("g"), "x", "limit").mapInPandas(choose, schema), "cells-reach")
+
+    def count_within(self, queries: DataFrame, strict: bool) -> DataFrame:
+        """(qid, n): the weight ``y`` of the points nearer than (else: no farther
+        than) the limit of each row of ``queries`` (qid, g, x, limit)."""
+        metric = self.metric
+
+        def tile(visitors: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
+            if not len(visitors) or not len(residents):
+                return pd.DataFrame({"qid": [], "n": []})
+            R, w, out = _matrix(residents["x"]), residents["y"].astype("int64").to_numpy(), []
+            for a in range(0, len(visitors), _CHUNK):
+                part = visitors.iloc[a:a + _CHUNK]
+                D, limit = _dist(_matrix(part["x"]), R, metric), part["limit"].to_numpy()[:, None]
+                out.append(pd.DataFrame({"qid": part["qid"], "n": (D < limit if strict else D <= limit) @ w}))
+            return pd.concat(out, ignore_index=True)
+        visits = self.near_visits(queries)
+        found = self._meet(visits.where("cell >= 0").drop("n"), tile, "qid long, n long")
+        return found.unionByName(visits.where("cell < 0").select("qid", "n")).groupBy("qid").agg(F.sum("n").alias("n"))
+
+
 def _fewest(rows: DataFrame, by: list[str], keep: int) -> DataFrame:
     """The ``keep`` rows of smallest id of each ``by``: the limit is applied in
     every task before the shuffle, so a frequent value never meets as a whole."""
@@ -244,6 +293,17 @@ def nearest_rows(mat: DataFrame, k: int, metric: str = "euclidean", cell_rows: i
     return joined.withColumn("rank", place).where(F.col("rank") <= k).select("row_id", "rank", "id", "d", "y")
 
 
+def nearest_own(mat: DataFrame, metric: str = "euclidean", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(row_id, d): distance to the nearest OTHER row of the group of every row
+    of ``mat`` (row_id, g, x) that has one."""
+    mat = written(mat.select("row_id", F.col("g").alias("y"), "x", "g"), "cells-mat")
+    cells = Cells(_fewest(mat, ["x", "g"], 2), metric, cell_rows, rows=mat)
+    asked = mat.groupBy("x", "g").agg(F.min("row_id").alias("qid"))
+    found = cells.nearest(asked.select("qid", "g", "x"), 2, own=True)
+    back = mat.select("row_id", "x", "g").join(asked, ["x", "g"]).select("row_id", "qid")
+    return back.join(found, "qid").where(F.col("id") != F.col("row_id")).groupBy("row_id").agg(F.min("d").alias("d"))
+
+
 def nearest_in(points: DataFrame, queries: DataFrame, k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS) -> DataFrame:
     """(row_id, rank, id, d, y): the k nearest rows of ``points`` (row_id, y, x)
     for every row of ``queries`` (row_id, x)."""

@@ -23,12 +23,14 @@ from ..frame import Frame, NotComputable, empty_long, entry, keyed, union_all
 from ..functions.ranking import rank_within
 from . import moments as M
 from ..session import written
-from .cells import CELL_ROWS, Cells, Enemies, nearest_in, nearest_rows
+from .cells import CELL_ROWS, Cells, Enemies, nearest_in, nearest_own, nearest_rows
 from .kth import ClassBlocks, kth_neighbours, neighbour_edges, product
 from .pairs import STATS, pair_stats, scaled_matrix, sorted_classes, spread, tiled, _dist
 
 #: What the clustering features and n2, n3, lsc need of a ``PairContext``.
 CLUSTERING, NEIGHBOURS = ("classes", "sumsq"), ("own", "nn", "ne")
+#: Rows up to which nearest rows, enemies and spheres are found on the pair kernel, in fewer jobs; beyond, by cells.
+PAIR_ROWS = 65_536
 CONCEPT_DEFAULTS = (2.0, 1e-9, 1.0)  # conceptvar/wg_dist alpha, minimum, impconceptvar/cohesiveness alpha
 
 
@@ -44,6 +46,26 @@ def _per_row(df: DataFrame, feature: str, value: Column) -> DataFrame:
     return df.select(entry(feature, value, attr=F.col("row_id").cast("string")).alias("e")).select("e.*")
 
 
+def _group(y: str = "y") -> Column:
+    """The label as a group that equals itself also where it is null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(y).cast("string")), F.lit(""))
+
+
+def neighbour_stats(mat: DataFrame, metric: str, block_rows: int) -> DataFrame:
+    """``pair_stats`` of ``NEIGHBOURS`` for (row_id, y, x) by searches over
+    cells: nearest row of the own class, nearest row, nearest enemy."""
+    size = min(CELL_ROWS, block_rows)
+    mat = written(mat.select("row_id", "y", "x", _group().alias("g")), "neighbours-rows")
+    own = nearest_own(mat, metric, size).withColumnRenamed("d", "_own")
+    nn = nearest_rows(mat, 1, metric, size).select("row_id", F.col("d").alias("_nn"), F.col("id").alias("nn_id"), F.col("y").alias("nn_y"))
+    ne = Enemies(mat, metric, size).nearest(mat.select("row_id", "g")).select("row_id", F.col("ne_d").alias("_ne"), "ne_id")
+    inf = F.lit(float("inf"))
+    return mat.select("row_id", "y").join(own, "row_id", "left").join(nn, "row_id", "left").join(ne, "row_id", "left").select(
+        "row_id", "y", F.when(F.col("y").isNotNull(), F.coalesce("_own", inf)).alias("own_d"),
+        F.coalesce("_nn", inf).alias("nn_d"), F.coalesce("nn_id", F.lit(-1)).alias("nn_id"), "nn_y",
+        F.coalesce("_ne", inf).alias("ne_d"), F.coalesce("ne_id", F.lit(-1)).alias("ne_id"))
+
+
 class PairContext:
     """Kernel results shared by the features of one Frame, metric and scale."""
 
@@ -59,8 +81,15 @@ class PairContext:
         self.concept = concept
         self._stats = None
 
+    @property
+    def by_cells(self) -> bool:
+        """Whether all that is wanted are nearest rows, of many."""
+        return self.n > PAIR_ROWS and tuple(self.want) == NEIGHBOURS and self.concept is None
+
     @property
     def stats(self) -> DataFrame:
+        if self._stats is None and self.by_cells:
+            self._stats = neighbour_stats(self.mat, self.metric, self.block_rows).cache()
         if self._stats is None:
             self._stats = pair_stats(self.mat, self.classes, self.metric, self.block_rows,
                                      concept=self.concept, n=self.n, want=self.want).cache()
@@ -151,6 +180,14 @@ def ft_n3(ctx: PairContext) -> DataFrame:
 
 def ft_lsc(ctx: PairContext) -> DataFrame:
     thr = ctx.stats.select("row_id", F.col("ne_d").alias("thresh"))
+    if ctx.by_cells:  # of equal rows one point, which weighs as many
+        size = min(CELL_ROWS, ctx.block_rows)
+        point = ctx.mat.groupBy("x").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).cast("string").alias("y"))
+        none = F.lit(None).cast("string").alias("g")
+        cells = Cells(point.select("row_id", "y", none, "x"), ctx.metric, size)
+        asked = ctx.mat.join(thr, "row_id").select(F.col("row_id").alias("qid"), none, "x", F.col("thresh").alias("limit"))
+        b = cells.count_within(asked, strict=True).agg(F.sum("n")).first()[0]  # the row itself where its limit is above zero
+        return M.values_frame(ctx.fr.spark, "lsc", [1.0 - float(b) / float(ctx.n) ** 2])
     st = pair_stats(ctx.mat, ctx.classes, ctx.metric, ctx.block_rows, thresh=thr, n=ctx.n, want=())
     r = st.join(thr, "row_id").agg(
         (F.sum("below") + F.count_if(F.col("thresh") > 0)).cast("double").alias("b"))
