@@ -434,23 +434,79 @@ def ft_t1(fr: Frame, metric: str = "gower", block_rows: int = 2048) -> DataFrame
     n = mat.count()
     ne = Enemies(mat, metric, block_rows).nearest(mat.select("row_id", F.col("y").alias("g"))).select("row_id", "ne_id", "ne_d")
     radii = hypersphere_radii(ne)
-    thr = radii.select("row_id", F.col("r").alias("thresh"))
-    mass = pair_stats(mat, classes, metric, block_rows, thresh=thr, n=n, thresh_le=True, want=()) \
-        .select("row_id", (F.col("below") + 1).alias("mass"))
+    spheres = Spheres(mat, radii, metric, min(CELL_ROWS, block_rows)) if n > PAIR_ROWS else None
+    if spheres is None:
+        thr = radii.select("row_id", F.col("r").alias("thresh"))
+        mass = pair_stats(mat, classes, metric, block_rows, thresh=thr, n=n, thresh_le=True, want=()) \
+            .select("row_id", (F.col("below") + 1).alias("mass"))
+    else:
+        mass = spheres.mass()
+
+    def containers(live, asked):
+        return _containers(live, metric, block_rows, asked) if spheres is None else spheres.containers(live, asked)
     ordered = rank_within(mass.join(radii, "row_id").withColumn("_neg", -F.col("mass")), [], ["_neg", "row_id"], "ord")
     # only undecided spheres are asked, and absorbed ones contain nothing
     live = written(mat.select("row_id", "x").join(ordered.select("row_id", "r", "ord", F.lit(0).alias("st")), "row_id"), "t1-spheres")
     left = n
     while left:
-        c = _containers(live, metric, block_rows, 0)
+        c = containers(live, 0)
         live = written(live.join(c, "row_id", "left").withColumn("st", F.when(F.col("st") != 0, F.col("st"))
                        .when(F.col("act") > 0, F.lit(2)).when(F.col("und") == 0, F.lit(1)).otherwise(F.lit(0)))
                        .where("st != 2").drop("act", "und", "any"), "t1-spheres")
         left = live.where("st = 0").count()
-    surv = _containers(live, metric, block_rows, 1).where("any = 0")
+    surv = containers(live, 1).where("any = 0")
     return surv.agg(F.count(F.lit(1)).alias("c")).select(entry("t1", F.col("c") / F.lit(float(n))).alias("e")).select("e.*")
 
 
+class Spheres:
+    """Spheres (row_id, r) around rows (row_id, y, x): each visits the cells that
+    it can reach, which are chosen once, since rows and radii stay."""
+
+    def __init__(self, mat: DataFrame, radii: DataFrame, metric: str, cell_rows: int):
+        none = F.lit(None).cast("string")
+        self.metric = metric
+        self.cells = Cells(mat.select("row_id", F.lit("1").alias("y"), none.alias("g"), "x"), metric, cell_rows)
+        self.dealt = self.cells.points.select("row_id", "x", "cell")
+        self.asks = written(mat.select("row_id", "x").join(radii, "row_id").select(
+            F.col("row_id").alias("qid"), none.alias("g"), "x", F.col("r").alias("limit")), "spheres-asks")
+        self.reach = None
+
+    def mass(self) -> DataFrame:
+        """(row_id, mass): rows inside each sphere, its own among them."""
+        return self.cells.count_within(self.asks, strict=False).select(F.col("qid").alias("row_id"), F.col("n").alias("mass"))
+
+    def containers(self, live: DataFrame, asked: int) -> DataFrame:
+        """``_containers`` by visits of spheres to the cells of the centres asked about."""
+        metric = self.metric
+        if self.reach is None:  # also cells inside a sphere: their centres are told one by one
+            self.reach = written(self.cells._to_visit(self.asks, 0, None, False), "spheres-reach")
+        state = live.select("row_id", (F.col("ord") * 4 + F.col("st")).cast("string").alias("code"))
+        none = F.lit(None).cast("string")
+        self.cells.points = written(self.dealt.join(state.join(live.where(F.col("st") == asked).select("row_id"), "row_id", "left_semi"), "row_id")
+                                    .select("row_id", F.col("code").alias("y"), none.alias("g"), "x", "cell"), "spheres-centres")
+        visits = self.reach.drop("g").join(state.select(F.col("row_id").alias("qid"), F.col("code").alias("g")), "qid").select("qid", "g", "x", "limit", "cell")
+
+        def tile(visitors, residents):
+            if not len(visitors) or not len(residents):
+                return pd.DataFrame({"row_id": [], "act": [], "und": [], "any": []})
+            X = np.array(residents["x"].tolist(), dtype=float).reshape(len(residents), -1)
+            ids, rank = residents["row_id"].to_numpy(), residents["y"].astype("int64").to_numpy() // 4
+            sums = np.zeros((3, len(ids)), dtype="int64")
+            for a in range(0, len(visitors), 512):
+                part = visitors.iloc[a:a + 512]
+                code = part["g"].astype("int64").to_numpy()
+                inside = _dist(X, np.array(part["x"].tolist(), dtype=float).reshape(len(part), -1), metric) <= part["limit"].to_numpy()[None, :]
+                inside &= ids[:, None] != part["qid"].to_numpy()[None, :]
+                before = inside & (code[None, :] // 4 < rank[:, None])
+                act, und = code % 4 == 1, code % 4 == 0
+                sums += [np.count_nonzero(before[:, act], axis=1), np.count_nonzero(before[:, und], axis=1), np.count_nonzero(inside[:, act], axis=1)]
+            return pd.DataFrame({"row_id": ids, "act": sums[0], "und": sums[1], "any": sums[2]})
+        found = self.cells._meet(visits, tile, "row_id long, act long, und long, any long")
+        # a centre that no sphere reaches has no container
+        rest = live.where(F.col("st") == asked).select("row_id", *[F.lit(0).cast("long").alias(c) for c in ("act", "und", "any")])
+        return found.unionByName(rest).groupBy("row_id").agg(*[F.sum(c).alias(c) for c in ("act", "und", "any")])
+
+
 def _containers(live: DataFrame, metric: str, block_rows: int, asked: int) -> DataFrame:
     """(row_id, act, und, any): for every sphere of ``live`` (row_id, x, r, ord,
     st) in state ``asked``, how many active and undecided ones of higher

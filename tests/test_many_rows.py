@@ -39,3 +39,11 @@ def test_neighbourhood(spark, odd, monkeypatch):
         assert got[i] == r, i
     for n, w in want.items():
         assert values[n] == pytest.approx(w, nan_ok=True, abs=1e-15), n
+
+
+def test_t1(spark, odd, monkeypatch):
+    fr = odd.with_df(odd.df.where("y IS NOT NULL"))
+    want = NB.ft_t1(fr, block_rows=64).first()["value"]
+    monkeypatch.setattr(NB, "PAIR_ROWS", 0)
+    monkeypatch.setattr(NB, "_containers", None)
+    assert NB.ft_t1(fr, block_rows=64).first()["value"] == want
