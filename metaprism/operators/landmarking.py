@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from ..frame import Frame, entry, keyed
 from ..session import written
 from . import splits
+from .cells import CELL_ROWS, Enemies
+from .neighbourhood import PAIR_ROWS
 from .pairs import pair_stats, sorted_classes
 
+#: Rows of all trees that are fitted at a time, unless one alone has more.
+TREE_ROWS = 200_000
+
 
 def cv_folds(fr: Frame, k: int = 10, shuffle: bool = False, seed: int = 42) -> DataFrame:
     return splits.kfold_stratified(fr, k=k, shuffle=shuffle, seed=seed)
@@ -39,6 +44,18 @@ def _score(df: DataFrame, score: str) -> DataFrame:
     raise ValueError(f"unknown score {score}")
 
 
+def _other_folds_nearest(fr: Frame, mat: DataFrame, block_rows: int) -> DataFrame:
+    """(row_id, y, fold, pred): label of the nearest row of another fold of
+    every row of ``mat`` (row_id, y, x, grp); many rows search over cells."""
+    if fr.count() <= PAIR_ROWS:
+        st = pair_stats(mat, sorted_classes(fr), "euclidean", block_rows, n=fr.count(), want=("nn",))
+        return st.select("row_id", "y", F.col("nn_y").alias("pred")).join(mat.select("row_id", F.col("grp").alias("fold")), "row_id")
+    found = Enemies(mat, "euclidean", min(CELL_ROWS, block_rows)).nearest(mat.select("row_id", F.col("grp").alias("g")))
+    label = mat.select(F.col("row_id").alias("ne_id"), F.col("y").alias("pred"))
+    near = found.select("row_id", "ne_id").join(label, "ne_id").select("row_id", "pred")
+    return mat.select("row_id", "y", F.col("grp").alias("fold")).join(near, "row_id", "left")
+
+
 def ft_one_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, cols=None,
               block_rows: int = 2048, feature: str = "one_nn") -> DataFrame:
     cols = list(cols or fr.num)
@@ -47,9 +64,7 @@ def ft_one_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, cols=N
     mat = folded.select(F.col(fr.row_id).cast("long").alias("row_id"), fr.y().alias("y"),
                         F.array(*[F.col(c).cast("double") for c in cols]).alias("x"),
                         F.col("fold").alias("grp")).cache()
-    st = pair_stats(mat, sorted_classes(fr), "euclidean", block_rows, n=fr.count(), want=("nn",))
-    pred = st.select("row_id", "y", F.col("nn_y").alias("pred")).join(
-        mat.select("row_id", F.col("grp").alias("fold")), "row_id")
+    pred = _other_folds_nearest(fr, mat, block_rows)
     sc = _score(pred, score)
     return sc.select(entry(feature, F.col("value"), idx=F.col("fold")).alias("e")).select("e.*")
 
@@ -88,7 +103,8 @@ def _fold_importances(fr: Frame, folded: DataFrame, k: int, seed: int) -> list:
         def one(f):
             return _tree_importances(Frame(df=folded.where(F.col("fold") != f), num=fr.num, cat=(), label="y", row_id=fr.row_id), seed)
         from concurrent.futures import ThreadPoolExecutor
-        with ThreadPoolExecutor(max_workers=min(8, k)) as pool:
+        # a tree grows with the rows and is whole on the driver while it is fitted
+        with ThreadPoolExecutor(max_workers=max(1, min(8, k, TREE_ROWS // max(1, fr.count())))) as pool:
             return list(pool.map(one, range(k)))
     return fr.memo(("fold importances", k, seed), fit)
 
@@ -139,12 +155,11 @@ def ft_elite_nn(fr: Frame, score: str = "accuracy", num_cv_folds: int = 10, seed
     folded = _folded(fr, num_cv_folds)
     importances = _fold_importances(fr, folded, num_cv_folds, seed)
     chosen = [fr.num[int(importances[f].argmax())] for f in range(num_cv_folds)]
-    preds, classes = [], sorted_classes(fr)
+    preds = []
     for col in sorted(set(chosen)):
         mat = folded.select(F.col(fr.row_id).cast("long").alias("row_id"), "y", F.array(F.col(col).cast("double")).alias("x"), F.col("fold").alias("grp"))
-        st = pair_stats(mat, classes, "euclidean", block_rows, n=fr.count(), want=("nn",))
-        p = st.join(mat.select("row_id", F.col("grp").alias("fold")), "row_id")
-        preds.append(p.where(F.col("fold").isin([f for f, c in enumerate(chosen) if c == col])).select("fold", "y", F.col("nn_y").alias("pred")))
+        p = _other_folds_nearest(fr, mat, block_rows)
+        preds.append(p.where(F.col("fold").isin([f for f, c in enumerate(chosen) if c == col])).select("fold", "y", "pred"))
     from ..frame import union_all
     sc = _score(union_all(preds), score)
     return sc.select(entry("elite_nn", F.col("value"), idx=F.col("fold")).alias("e")).select("e.*")

@@ -27,7 +27,7 @@ from .models import FEAT, LBL, _indexed, class_list
 def fit_tree(fr: Frame, max_depth: int = 30, seed: int = 42):
     classes = class_list(fr)
     model = DecisionTreeClassifier(featuresCol=FEAT, labelCol=LBL, maxDepth=max_depth, seed=seed,
-                                   maxBins=256).fit(_indexed(fr, classes))
+                                   maxBins=256, cacheNodeIds=True).fit(_indexed(fr, classes))
     return model, classes
 
 

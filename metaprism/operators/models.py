@@ -69,7 +69,8 @@ def class_list(fr: Frame) -> list[str]:
 
 
 # The defaults of the reference's learners: penalty C = 1 spread over n rows,
-# no standardisation; boosting of depth 3; forests and trees as deep as MLlib goes.
+# no standardisation; boosting of depth 3; forests and trees as deep as MLlib goes.  Deep ones keep each
+# row's node, or every pass would send the whole tree to all tasks.
 MLLIB_CLASSIFIERS = {
     "logistic_regression": lambda n, seed: MC.LogisticRegression(
         family="multinomial", maxIter=100, regParam=1.0 / n, standardization=False),
@@ -77,8 +78,8 @@ MLLIB_CLASSIFIERS = {
         classifier=MC.LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False), parallelism=8),
     "sgd_classifier": lambda n, seed: MC.OneVsRest(
         classifier=MC.LinearSVC(maxIter=100, regParam=1e-4, standardization=False), parallelism=8),
-    "decision_tree": lambda n, seed: MC.DecisionTreeClassifier(maxDepth=30, seed=seed),
-    "random_forest": lambda n, seed: MC.RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed),
+    "decision_tree": lambda n, seed: MC.DecisionTreeClassifier(maxDepth=30, seed=seed, cacheNodeIds=True),
+    "random_forest": lambda n, seed: MC.RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, cacheNodeIds=True),
     "gradient_boosting": lambda n, seed: MC.OneVsRest(
         classifier=MC.GBTClassifier(maxIter=100, maxDepth=3, seed=seed), parallelism=8),
     "hist_gradient_boosting": lambda n, seed: MC.OneVsRest(

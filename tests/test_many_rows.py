@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from metaprism.frame import Frame
+from metaprism.operators import landmarking as L
+from metaprism.operators import models as E
 from metaprism.operators import neighbourhood as NB
 from metaprism.sources.tables import embeddings_frame
 
@@ -47,3 +49,29 @@ def test_t1(spark, odd, monkeypatch):
     monkeypatch.setattr(NB, "PAIR_ROWS", 0)
     monkeypatch.setattr(NB, "_containers", None)
     assert NB.ft_t1(fr, block_rows=64).first()["value"] == want
+
+
+def test_landmarks(spark, odd, monkeypatch):
+    fr = odd.with_df(odd.df.where("y IS NOT NULL"))
+    want = _values(L.ft_one_nn(fr)), _values(L.ft_elite_nn(fr))
+    monkeypatch.setattr(L, "PAIR_ROWS", 0)
+    monkeypatch.setattr(L, "pair_stats", None)
+    fr = odd.with_df(odd.df.where("y IS NOT NULL"))
+    assert (_values(L.ft_one_nn(fr)), _values(L.ft_elite_nn(fr))) == want
+
+
+def test_trees_of_many_rows_one_at_a_time(spark, odd, monkeypatch):
+    fr = odd.with_df(odd.df.where("y IS NOT NULL"))
+    now, most, fit = [0], [0], L._tree_importances
+
+    def one(train, seed):
+        now[0] += 1
+        most[0] = max(most[0], now[0])
+        out = fit(train, seed)
+        now[0] -= 1
+        return out
+    monkeypatch.setattr(L, "_tree_importances", one)
+    monkeypatch.setattr(L, "TREE_ROWS", 100)
+    L._fold_importances(fr, L._folded(fr, 4), 4, 0)
+    assert most[0] == 1
+    assert all(E.MLLIB_CLASSIFIERS[n](1, 0).getCacheNodeIds() for n in ("decision_tree", "random_forest"))
