@@ -75,3 +75,12 @@ def test_trees_of_many_rows_one_at_a_time(spark, odd, monkeypatch):
     L._fold_importances(fr, L._folded(fr, 4), 4, 0)
     assert most[0] == 1
     assert all(E.MLLIB_CLASSIFIERS[n](1, 0).getCacheNodeIds() for n in ("decision_tree", "random_forest"))
+
+
+def test_the_graph_is_found_once(spark, monkeypatch):
+    fr = embeddings_frame(spark, SF0001)
+    found, kth = [], NB.kth_neighbours
+    monkeypatch.setattr(NB, "kth_neighbours", lambda *a: found.append(a) or kth(*a))
+    NB.ft_density(fr)
+    NB.ft_cls_coef(fr)
+    assert len(found) == 1
